@@ -33,17 +33,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("timestamp") for n in naive}) if naive else df
 
 
+def _named(column: Column, name, alias: str | None) -> Column:
+    label = alias or (name if isinstance(name, str) else None)
+    return column.alias(label) if label else column
+
+
+def _column(name) -> Column:
+    return F.col(name) if isinstance(name, str) else name
+
+
 def r6(name: str | Column, alias: str | None = None) -> Column:
-    column = F.col(name) if isinstance(name, str) else name
-    rounded = F.round(column.cast("double"), 6) + F.lit(0.0)
-    return rounded.alias(alias or name) if isinstance(alias or name, str) else rounded
+    """Rounded to six places; minus zero becomes zero."""
+    return _named(F.round(_column(name).cast("double"), 6) + F.lit(0.0), name, alias)
 
 
 def secs(name: str | Column, alias: str | None = None) -> Column:
-    column = F.col(name) if isinstance(name, str) else name
-    return F.unix_seconds(column.cast("timestamp")).alias(alias or name)
+    return _named(F.unix_seconds(_column(name).cast("timestamp")), name, alias)
 
 
 def n(name: str | Column, alias: str | None = None) -> Column:
-    column = F.col(name) if isinstance(name, str) else name
-    return column.cast("long").alias(alias or name)
+    return _named(_column(name).cast("long"), name, alias)

@@ -6,23 +6,23 @@ from pyspark.sql import functions as F
 
 from catalog.base import n, query, r6, secs, table
 from catalog.metrics import metrics_of
-from catalog.standins import BARS, DAILY, HOURLY, RETURNS, asset_topic, assets, daily, events_cte, hourly, market_bars, metrics_cte, signals_cte
+from catalog.standins import BARS, DAILY_DENSE, HOURLY_DENSE, RETURNS, asset_topic, assets, daily, events_cte, hourly, market_bars, metrics_cte, signals_cte
 from murmur.functions import timeutil as tu
 from murmur.operators import events as ev
 from murmur.operators import market as mk
 from murmur.operators.metrics import metric_signals
 
-_HOURLY_EVENTS = f"WITH {HOURLY}, {metrics_cte()}, {signals_cte()}, {events_cte(3.0, '1h')}"
-_DAILY_EVENTS = f"WITH {DAILY}, {metrics_cte()}, {signals_cte()}, {events_cte(2.0, '1d')}"
+_HOURLY_EVENTS = f"WITH {HOURLY_DENSE}, {metrics_cte()}, {signals_cte()}, {events_cte(3.0, '1h')}"
+_DAILY_EVENTS = f"WITH {DAILY_DENSE}, {metrics_cte()}, {signals_cte()}, {events_cte(2.0, '1d')}"
 
 
 def hourly_events(spark, sf):
-    return ev.detect_events(metric_signals(metrics_of(hourly(spark, sf))))
+    return ev.detect_events(metric_signals(metrics_of(hourly(spark, sf, dense=True))))
 
 
 def daily_events(spark, sf):
     """The daily stand-in is smoother, so its events use the lower threshold of 2."""
-    return ev.detect_events(metric_signals(metrics_of(daily(spark, sf))), min_robust_z=2.0)
+    return ev.detect_events(metric_signals(metrics_of(daily(spark, sf, dense=True))), min_robust_z=2.0)
 
 
 def daily_returns(spark, sf):
@@ -37,7 +37,7 @@ def daily_returns(spark, sf):
     " round(robust_z, 6) AS robust_z FROM strong WHERE event_type IS NOT NULL",
 )
 def p20(spark, sf):
-    strong = ev.qualifying(metric_signals(metrics_of(hourly(spark, sf))))
+    strong = ev.qualifying(metric_signals(metrics_of(hourly(spark, sf, dense=True))))
     return strong.select(secs("bucket_at"), "event_type", "source", n("topic_id"), n("asset_id"), "metric_name", r6("robust_z"))
 
 
@@ -136,7 +136,7 @@ def bars(spark, sf):
 
 @query(
     "j13_asof_entry",
-    f"""WITH {HOURLY}, {BARS}, posts AS (SELECT o_orderkey AS content_id, o_orderkey % 6 + 1 AS asset_id,
+    f"""WITH {BARS}, posts AS (SELECT o_orderkey AS content_id, o_orderkey % 6 + 1 AS asset_id,
       CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 MINUTE * (o_orderkey % 180) AS signal_at FROM orders)
     SELECT content_id, p.asset_id, CAST(epoch(signal_at) AS BIGINT) AS signal_at, CAST(epoch(b.ts) AS BIGINT) AS entry_at, round(b.open, 8) AS entry_price
     FROM posts p ASOF JOIN bars b ON p.asset_id = b.asset_id AND p.signal_at < b.ts""",
@@ -187,7 +187,7 @@ def j16(spark, sf):
     WHERE position <= 50""",
 )
 def j20(spark, sf):
-    d = hourly(spark, sf)
+    d = hourly(spark, sf, dense=True)
     _, links = hourly_events(spark, sf)
     return ev.event_contents(links, d.content, d.content_topic, size="1h").select("event_key", "content_id", n("position"))
 

@@ -28,7 +28,7 @@ def asset_topic(spark: SparkSession) -> DataFrame:
     )
 
 
-def _domain(spark: SparkSession, content: DataFrame, size: str) -> Domain:
+def _domain(spark: SparkSession, content: DataFrame, size: str, dense: bool = False) -> Domain:
     first = F.col("k") % 8 + 1
     topics = F.when(
         F.col("k") < 96,
@@ -66,10 +66,12 @@ def _domain(spark: SparkSession, content: DataFrame, size: str) -> Domain:
         (F.col("h") % 29 == 0).alias("spam"),
         (F.col("h") % 23 == 0).alias("promotion"),
     )
+    if dense:
+        topics = F.array(F.col("k") % 2 + 1)
     return Domain(
         content=content,
         content_topic=content.select("content_id", F.explode(topics).alias("topic_id")),
-        content_asset=content.where(F.col("k") % 4 == 0).select("content_id", (F.col("k") % 6 + 1).alias("asset_id")),
+        content_asset=content.where(F.col("k") == 24 if dense else F.col("k") % 4 == 0).select("content_id", (F.col("k") % 6 + 1).alias("asset_id")),
         asset_topic=asset_topic(spark),
         analysis=analysis,
         size=size,
@@ -80,8 +82,8 @@ def _empty(name: str) -> Column:
     return F.lit(None).cast("long").alias(name)
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> Domain:
-    """Posts from ``events``: one post per event."""
+def hourly(spark: SparkSession, sf_dir: str, dense: bool = False) -> Domain:
+    """Posts from ``events``: one post per event. ``dense`` uses two topics, so that events occur."""
     k = F.get_json_object("props", "$.k").cast("long")
     content = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("content_id"),
@@ -93,10 +95,10 @@ def hourly(spark: SparkSession, sf_dir: str) -> Domain:
         F.floor("value").cast("long").alias("likes"), _empty("favorites"), (k % 10).alias("comments"),
         _empty("shares"), _empty("views"), F.lit(False).alias("is_deleted"), k.alias("k"),
     )
-    return _domain(spark, content, "1h")
+    return _domain(spark, content, "1h", dense)
 
 
-def daily(spark: SparkSession, sf_dir: str) -> Domain:
+def daily(spark: SparkSession, sf_dir: str, dense: bool = False) -> Domain:
     """Posts from ``orders``: one post per order, over about 2,400 days."""
     content = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("content_id"),
@@ -108,7 +110,7 @@ def daily(spark: SparkSession, sf_dir: str) -> Domain:
         F.floor("o_totalprice").cast("long").alias("likes"), _empty("favorites"), _empty("comments"),
         _empty("shares"), _empty("views"), F.lit(False).alias("is_deleted"), (F.col("o_orderkey") % 100).alias("k"),
     )
-    return _domain(spark, content, "1d")
+    return _domain(spark, content, "1d", dense)
 
 
 _SHARED = """
@@ -158,6 +160,12 @@ content AS (
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
 """ + _SHARED
 
+DENSE_TOPICS = """
+content_topic AS (SELECT content_id, k % 2 + 1 AS topic_id FROM content),
+content_asset AS (SELECT content_id, k % 6 + 1 AS asset_id FROM content WHERE k = 24),
+asset_topic AS ("""
+_DENSE = DENSE_TOPICS + _SHARED.split("asset_topic AS (", 1)[1]
+
 DAILY = """
 content AS (
   SELECT o_orderkey AS content_id, o_orderstatus AS source, 'post' AS kind, o_custkey AS author_id,
@@ -167,6 +175,9 @@ content AS (
   FROM orders),
 """ + _SHARED
 
+HOURLY_DENSE = HOURLY.replace(_SHARED, _DENSE)
+DAILY_DENSE = DAILY.replace(_SHARED, _DENSE)
+
 
 def metrics_cte(name: str = "metrics") -> str:
     """A01 in SQL, over whichever domain CTEs come before it."""
@@ -315,3 +326,85 @@ paid AS (
   LEFT JOIN bars be ON be.asset_id = a.benchmark AND be.ts = e.entry_at LEFT JOIN bars bx ON bx.asset_id = a.benchmark AND bx.ts = x.ts
   LEFT JOIN bars se ON se.asset_id = a.sector AND se.ts = e.entry_at LEFT JOIN bars sx ON sx.asset_id = a.sector AND sx.ts = x.ts)
 """
+
+
+def trend_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts per order priority as page views; the topic is the rank of the name."""
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("value")).select(
+        (F.unix_date("day").cast("long") * 10 + F.substring("o_orderpriority", 1, 1).cast("long")).alias("observation_id"),
+        F.lit("wikimedia-pageviews").alias("source"), F.col("o_orderpriority").alias("keyword"),
+        (F.substring("o_orderpriority", 1, 1).cast("long") % 3 + 1).alias("topic_id"),
+        F.col("day").cast("timestamp").alias("observed_at"), F.col("value").cast("double").alias("value"), F.lit("views").alias("unit"),
+    )
+
+
+TRENDS = """
+obs AS (
+  SELECT (date_diff('day', DATE '1970-01-01', day) * 10 + substr(keyword, 1, 1)::BIGINT) AS observation_id, keyword,
+    substr(keyword, 1, 1)::BIGINT % 3 + 1 AS topic_id, CAST(day AS TIMESTAMP) AS observed_at, CAST(n AS DOUBLE) AS value
+  FROM (SELECT o_orderpriority AS keyword, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY ALL)),
+obs_framed AS (
+  SELECT *, count(*) OVER w AS n, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS std, median(value) OVER w AS med,
+    mad(value) OVER w AS dev, min(value) OVER w AS lo, max(value) OVER w AS hi, list(value) OVER w AS frame, last(value) OVER w AS prev
+  FROM obs WINDOW w AS (PARTITION BY topic_id, keyword ORDER BY observed_at RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 SECOND PRECEDING)),
+trend AS (
+  SELECT observation_id, topic_id, keyword, observed_at, value AS raw_value, CASE WHEN prev <> 0 THEN (value - prev) / prev END AS change_ratio,
+    CASE WHEN n >= 14 AND lo < hi THEN (value - mean) / std END AS zscore, CASE WHEN n >= 14 AND dev > 0 THEN (value - med) / (1.4826 * dev) END AS robust_z,
+    CASE WHEN n >= 14 THEN (len(list_filter(frame, lambda v: v <= value)) + 1) / (n + 1) END AS percentile
+  FROM obs_framed)
+"""
+
+
+def heat_cte(level: str = "topic") -> str:
+    """A03/A04, X17, X18, W14-W16, W18 in SQL, after a domain."""
+    if level == "topic":
+        pairs, key = "SELECT ct.content_id, ct.topic_id FROM content_topic ct", "topic_id, "
+    else:
+        pairs, key = "SELECT ct.content_id, min(ct.topic_id) AS topic_id FROM content_topic ct GROUP BY 1", ""
+    part = "PARTITION BY topic_id" if level == "topic" else ""
+    frames, columns = [], []
+    for name, (first, last) in {"week": (6, 0), "previous_week": (13, 7), "month": (29, 0), "previous_month": (59, 30)}.items():
+        end = "CURRENT ROW" if last == 0 else f"INTERVAL {last} DAY PRECEDING"
+        frames.append(f"{name} AS ({part} ORDER BY bucket_at RANGE BETWEEN INTERVAL {first} DAY PRECEDING AND {end})")
+        columns.append(
+            f"round(round(avg(heat_index) FILTER (analyzed_count > 0) OVER {name}, 6), 1) AS {name}_index,"
+            f" round(round(avg(retail_count) FILTER (analyzed_count > 0) OVER {name}, 6), 1) AS {name}_retail_average,"
+            f" count(*) FILTER (analyzed_count > 0) OVER {name} AS {name}_days,"
+            f" count(heat_index) FILTER (analyzed_count > 0) OVER {name} AS {name}_index_days"
+        )
+    return f"""
+seen AS ({pairs}),
+day_stats AS (
+  SELECT {key}c.bucket_at, count(*) FILTER (kind <> 'comment') AS post_count, count(*) FILTER (kind = 'comment') AS comment_count, count(*) AS attention,
+    count(DISTINCT author_id) AS unique_author_count, count(DISTINCT source) AS source_count, CAST(sum(likes + comments) AS DOUBLE) AS engagement_sum,
+    count(p.analysis_id) AS analyzed_count, count(*) FILTER (retail) AS retail_count, count(*) FILTER (retail AND investor_level = 'novice') AS novice_count,
+    count(*) FILTER (retail AND intent = 'buy') AS buy_intent_count, count(*) FILTER (retail AND intent = 'sell') AS sell_intent_count,
+    count(*) FILTER (retail AND fomo_flags >= 3) AS fomo_count, count(*) FILTER (retail AND panic) AS panic_count
+  FROM seen s JOIN content c USING (content_id) LEFT JOIN preferred p ON p.content_id = s.content_id AND p.pair_topic = s.topic_id GROUP BY ALL),
+indexed AS (
+  SELECT *, analyzed_count / attention AS analysis_coverage, CASE WHEN analyzed_count > 0 THEN round(greatest(0.0, least(100.0, 100 * (
+      least(1.0, retail_count / attention) * 0.35 + retail_count / (retail_count + 20.0) * 0.25
+      + least(1.0, (buy_intent_count + sell_intent_count) / greatest(retail_count, 1)) * 0.20
+      + least(1.0, (fomo_count + panic_count) / greatest(retail_count, 1)) * 0.15
+      + least(1.0, abs(buy_intent_count - sell_intent_count) / greatest(retail_count, 1)) * 0.05))), 1) END AS heat_index
+  FROM day_stats),
+framed_heat AS (
+  SELECT *, list(heat_index) FILTER (heat_index IS NOT NULL) OVER prior AS prior, max(heat_index) OVER yesterday AS previous_heat_index,
+    coalesce(max(attention) OVER yesterday, 0) AS previous_attention, {', '.join(columns)}
+  FROM indexed WINDOW prior AS ({part} ORDER BY bucket_at RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 SECOND PRECEDING),
+    yesterday AS ({part} ORDER BY bucket_at RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), {', '.join(frames)}),
+deltas AS (
+  SELECT *, coalesce(len(prior), 0) AS baseline_days, round(heat_index - previous_heat_index, 1) AS day_delta,
+    CASE WHEN week_index_days >= 2 AND previous_week_index_days >= 2 THEN round(week_index - previous_week_index, 1) END AS week_delta,
+    CASE WHEN month_index_days >= 5 AND previous_month_index_days >= 5 THEN round(month_index - previous_month_index, 1) END AS month_delta,
+    CASE WHEN heat_index IS NOT NULL AND len(prior) >= 5 THEN round((len(list_filter(prior, lambda v: v < heat_index)) + len(list_filter(prior, lambda v: v = heat_index)) / 2) / len(prior) * 100, 1) END AS historical_percentile,
+    CASE WHEN previous_attention > 0 THEN (attention - previous_attention) / previous_attention END AS change_ratio
+  FROM framed_heat),
+heat AS (
+  SELECT *, (coalesce(day_delta * 0.5, 0) + coalesce(week_delta * 0.3, 0) + coalesce(month_delta * 0.2, 0))
+      / nullif(0.0 + CASE WHEN day_delta IS NULL THEN 0.0 ELSE 0.5 END + CASE WHEN week_delta IS NULL THEN 0.0 ELSE 0.3 END + CASE WHEN month_delta IS NULL THEN 0.0 ELSE 0.2 END, 0) AS score,
+    CASE WHEN analyzed_count >= 30 AND analysis_coverage >= 0.8 THEN 'high' WHEN analyzed_count >= 10 AND analysis_coverage >= 0.5 THEN 'medium'
+      WHEN analyzed_count > 0 THEN 'low' ELSE 'insufficient' END AS index_confidence,
+    CASE WHEN previous_attention = 0 THEN 'new' WHEN change_ratio >= 0.1 THEN 'rising' WHEN change_ratio <= -0.1 THEN 'falling' ELSE 'stable' END AS trend
+  FROM deltas)
+"""
