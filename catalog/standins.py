@@ -408,3 +408,67 @@ heat AS (
     CASE WHEN previous_attention = 0 THEN 'new' WHEN change_ratio >= 0.1 THEN 'rising' WHEN change_ratio <= -0.1 THEN 'falling' ELSE 'stable' END AS trend
   FROM deltas)
 """
+
+
+def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One to three raw versions per event, some cut off, ambiguous, late or repeated."""
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    rows = events.withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") % 3)))
+    shape = F.when((F.col("v") == 2) & (F.col("k") % 5 == 0), 0).otherwise(F.col("v"))
+    rows = rows.withColumn("w", shape)
+    ident = F.col("event_id").cast("string")
+    cut = (F.col("w") == 1) & (F.col("k") % 2 == 0)
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    updated = F.when(F.col("k") % 10 == 7, iso(F.col("ts") - F.expr("INTERVAL 1 DAY"))).otherwise(iso(F.col("ts") + F.expr("INTERVAL 1 HOUR")))
+    payload = F.to_json(
+        F.struct(
+            F.col("user_id").cast("string").alias("author_id"),
+            F.when(cut, F.concat(F.lit("body "), ident)).otherwise(F.concat(F.lit("body of post "), ident, F.lit(" version "), F.col("w").cast("string"))).alias("body"),
+            cut.alias("body_truncated"),
+            F.when(F.col("w") < 2, F.col("k") % 10).alias("comments"),
+            (F.floor("value").cast("long") + F.col("w")).alias("likes"),
+            F.when(F.col("k") % 4 == 0, "edit_time").otherwise("publish_time").alias("source_timestamp_field"),
+            F.when(F.col("k") % 4 == 0, "ambiguous").otherwise("published").alias("timestamp_semantics"),
+            F.when(F.col("w") != 1, F.concat(F.lit("title "), ident)).alias("title"),
+            updated.alias("updated_at"),
+        )
+    )
+    late = F.when(F.col("k") == 95, F.expr("ts - INTERVAL 1 HOUR")).otherwise(F.timestamp_seconds(F.unix_seconds("ts") + (F.col("v") + 1) * 3600))
+    return rows.select(
+        (F.col("event_id") * 3 + F.col("v")).alias("raw_id"), F.col("event_type").alias("source"), ident.alias("source_item_id"),
+        F.when(F.col("k") == 98, "archived_snapshot").when(F.col("k") == 97, "pageviews").otherwise("forum_post").alias("observation_kind"),
+        F.when(F.col("k") != 99, F.col("ts")).alias("published_at"), late.alias("observed_at"), late.alias("collected_at"),
+        payload.alias("payload"), F.sha2(payload, 256).alias("payload_hash"),
+    )
+
+
+def raw_links(raw: DataFrame) -> DataFrame:
+    """Topics whose query found each raw row."""
+    topic = F.col("raw_id") % 5 + 1
+    topics = F.when(F.col("raw_id") % 2 == 0, F.array(topic)).otherwise(F.array(topic, topic % 5 + 1))
+    return raw.select("raw_id", F.explode(topics).alias("topic_id")).withColumn("collection_query", F.concat(F.lit("q"), F.col("topic_id").cast("string")))
+
+
+RAW = """
+ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+ver AS (SELECT *, CASE WHEN v = 2 AND k % 5 = 0 THEN 0 ELSE v END AS w FROM (SELECT *, unnest(range(0, k % 3 + 1)) AS v FROM ev)),
+raw AS (
+  SELECT event_id * 3 + v AS raw_id, event_type AS source, event_id::VARCHAR AS source_item_id, k, v, w, user_id, value,
+    CASE WHEN k = 98 THEN 'archived_snapshot' WHEN k = 97 THEN 'pageviews' ELSE 'forum_post' END AS observation_kind,
+    CASE WHEN k <> 99 THEN ts END AS published_at,
+    CASE WHEN k = 95 THEN ts - INTERVAL 1 HOUR ELSE date_trunc('second', ts) + INTERVAL 1 HOUR * (v + 1) END AS observed_at,
+    CASE WHEN w = 1 AND k % 2 = 0 THEN 'body ' || event_id ELSE 'body of post ' || event_id || ' version ' || w END AS body,
+    (w = 1 AND k % 2 = 0) AS cut, k % 4 <> 0 AS verified, CASE WHEN w <> 1 THEN 'title ' || event_id END AS title,
+    CAST(floor(value) AS BIGINT) + w AS likes, CASE WHEN w < 2 THEN k % 10 END AS comments,
+    date_trunc('second', CASE WHEN k % 10 = 7 THEN ts - INTERVAL 1 DAY ELSE ts + INTERVAL 1 HOUR END) AS updated_at
+  FROM ver),
+hashed AS (
+  SELECT *, sha256('{"author_id":"' || user_id || '","body":"' || body || '","body_truncated":' || cut::VARCHAR
+      || coalesce(',"comments":' || comments, '') || ',"likes":' || likes || ',"source_timestamp_field":"' || CASE WHEN verified THEN 'publish_time' ELSE 'edit_time' END
+      || '","timestamp_semantics":"' || CASE WHEN verified THEN 'published' ELSE 'ambiguous' END || '"' || coalesce(',"title":"' || title || '"', '')
+      || ',"updated_at":"' || strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') || '"}') AS payload_hash,
+    CASE WHEN verified AND published_at IS NULL THEN 'missing_publication_time' WHEN published_at > observed_at + INTERVAL 10 MINUTE THEN 'future_after_observation'
+      WHEN updated_at < published_at THEN 'updated_before_published' END AS issue FROM raw),
+links AS (
+  SELECT raw_id, raw_id % 5 + 1 AS topic_id FROM raw UNION ALL SELECT raw_id, (raw_id % 5 + 1) % 5 + 1 FROM raw WHERE raw_id % 2 = 1)
+"""

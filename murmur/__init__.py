@@ -1 +1,8 @@
 """Crowd-sentiment and event-study operators for Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Arrow functions travel with the job, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
