@@ -27,11 +27,11 @@ def decode_references(text: pd.Series) -> pd.Series:
 def html_to_text(page: Column) -> Column:
     """Visible text of a page: no script or style, one line per block, blanks collapsed."""
     text = F.coalesce(page, F.lit(""))
-    text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?(</\1\s*>|\z)", "")
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    text = F.regexp_replace(text, r"(?i)<img\b[^>]*>", IMAGE_MARK)
-    text = F.regexp_replace(text, rf"(?i)</?({'|'.join(BLOCK_TAGS)})(\s[^>]*|/)?>", "\n")
-    text = F.regexp_replace(text, r"<[!?/a-zA-Z][^>]*>", "")
+    text = F.regexp_replace(text, r"(?i)<(script|style)\b[^>\x01]*>[^\x01]*?(</\1\s*>|(?=\x01)|\z)", "")
+    text = F.regexp_replace(text, r"<!--[^\x01]*?-->", "")
+    text = F.regexp_replace(text, r"(?i)<img\b[^>\x01]*>", IMAGE_MARK)
+    text = F.regexp_replace(text, rf"(?i)</?({'|'.join(BLOCK_TAGS)})(\s[^>\x01]*|/)?>", "\n")
+    text = F.regexp_replace(text, r"<[!?/a-zA-Z][^>\x01]*>", "")
     text = decode_references(text)
     text = F.replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), F.lit("\u200b"), F.lit(""))
     text = F.replace(text, F.lit(SITE_MARK), F.lit(""))
@@ -40,6 +40,13 @@ def html_to_text(page: Column) -> Column:
     return F.regexp_replace(text, r"^[\s]+|[\s]+$", "")
 
 
+def html_texts(parts: Column) -> Column:
+    """X01 over an array: the cleaned, non-empty texts. A control character keeps them apart."""
+    whole = html_to_text(F.array_join(F.transform(parts, lambda p: F.translate(p, "\x01", " ")), "\x01"))
+    pieces = F.transform(F.split(whole, "\x01"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return F.filter(pieces, lambda p: p != "")
+
+
 def canonical_url(url: Column) -> Column:
     """Lower-case scheme and host, no default port, fragment or tracking parameters."""
     text = F.trim(url)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.timeutil import BUCKET_SECONDS, floor_bucket
+from murmur.session import checkpointed
 
 # Which metric raises which kind of event.
 EVENT_TYPES = {
@@ -64,6 +65,8 @@ def detect_events(
     runs = islands(
         strong, list(EVENT_GROUP), ["_at", "metric_name"], lambda w: F.col("_at") > F.lag("_at").over(w) + step, "_start"
     )
+    # Few signals qualify; written once, they serve both events and links.
+    runs = checkpointed(runs)
     peak_order = F.struct(F.col("robust_z"), F.col("percentile"), -F.col("_at"), F.col("metric_name"))
     peak = F.max_by(F.struct("bucket_at", "raw_value", "robust_z", "percentile", "metric_name"), peak_order)
     started = F.timestamp_seconds("_start")

@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from murmur.session import checkpointed
 
 
-def null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
-
-
 def running_total(
     df: DataFrame, keys: list[str], order: list[str], *, weight: Column | None = None,
     before: str = "before", total: str = "total",
