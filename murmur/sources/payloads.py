@@ -210,7 +210,8 @@ def qa_items(items: DataFrame, *, item: str = "item", query: str = "query") -> t
 
 DETAIL_SCHEMA = (
     "note STRUCT<noteId: STRING, id: STRING, time: STRING, title: STRING, desc: STRING, description: STRING,"
-    " user: STRUCT<userId: STRING, id: STRING, nickname: STRING, nickName: STRING>,"
+    # Kept as text: two of its names differ in case only.
+    " user: STRING,"
     " interactInfo: STRUCT<likedCount: STRING, collectedCount: STRING, commentCount: STRING, sharedCount: STRING>>,"
     " comments STRUCT<list: ARRAY<STRUCT<content: STRING>>>"
 )
@@ -225,6 +226,7 @@ def note_details(responses: DataFrame, *, response: str = "response", query: str
     inner = _get(data, "$.data")
     rows = rows.withColumn("r", F.from_json(F.coalesce(F.when(_is(inner, "OBJECT"), inner), data).cast("string"), DETAIL_SCHEMA))
     n = lambda p: F.col(f"r.note.{p}")
+    u = lambda p: F.get_json_object(n("user"), f"$.{p}")
     ident = F.coalesce(_filled(F.trim(n("noteId"))), _filled(F.trim(n("id"))))
     rows = rows.withColumn("_title", html_to_text(n("title")))
     published = epoch_instant(n("time"))
@@ -233,8 +235,8 @@ def note_details(responses: DataFrame, *, response: str = "response", query: str
     fields = {
         "id": ident, "observation_kind": F.lit("xiaohongshu_note"), "published_at": _iso(published), "updated_at": _iso(published), "timestamp_semantics": F.lit("published"),
         "source_timestamp_field": F.lit("note.time"), "source_timezone": F.lit("unix_epoch_utc"), "title": _filled(F.col("_title")), "body": body,
-        "url": F.concat(F.lit(NOTE_URL), F.url_encode(ident)), "author_id": F.coalesce(_filled(F.trim(n("user.userId"))), _filled(F.trim(n("user.id")))),
-        "author": _filled(html_to_text(F.coalesce(_filled(n("user.nickname")), n("user.nickName")))), "likes": social_count(n("interactInfo.likedCount")),
+        "url": F.concat(F.lit(NOTE_URL), F.url_encode(ident)), "author_id": F.coalesce(_filled(F.trim(u("userId"))), _filled(F.trim(u("id")))),
+        "author": _filled(html_to_text(F.coalesce(_filled(u("nickname")), u("nickName")))), "likes": social_count(n("interactInfo.likedCount")),
         "favorites": social_count(n("interactInfo.collectedCount")), "comments": social_count(n("interactInfo.commentCount")), "shares": social_count(n("interactInfo.sharedCount")),
         "sample_comments": F.when(F.size(samples) > 0, samples), "query": F.col(query), "source_role": F.lit("discovery"), "sampled": F.lit(True), "language": F.lit("zh-CN"),
     }
