@@ -88,9 +88,13 @@ def normalize_text_nfkc(text: pd.Series) -> pd.Series:
     return folded.str.replace(r"[\s\-_/]+", "", regex=True)
 
 
+# Fixed value: what counts as a token.
+TOKEN = "[a-z0-9_]+|[\u4e00-\u9fff]"
+
+
 def tokens(text: Column) -> Column:
     """Runs of ASCII word characters, or single CJK characters."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9_]+|[\\u4e00-\\u9fff])"), F.lit(1))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
 
 
 def kind_slug(content_type: Column, prefix: str = "zhihu_") -> Column:

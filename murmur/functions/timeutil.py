@@ -68,17 +68,19 @@ def previous_closed_day(now: Column) -> tuple[Column, Column]:
     return day_start(F.date_sub(shanghai_date(now), 1)), today
 
 
+_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?([Zz]|[+-]\d{2}:?\d{2})$"
+_NAIVE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?)?$"
+_SLASHED = r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$"
+
+
 def parse_instant(text: Column) -> Column:
     """ISO text, ``Z`` or offset honoured, naive text read as Shanghai time."""
-    value = F.trim(text.cast("string"))
-    slashed = value.rlike(r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$")
-    value = F.when(slashed, F.translate(value, "/", "-")).otherwise(value)
-    iso = value.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?)?([Zz]|[+-]\d{2}:?\d{2})?$")
-    zoned = value.rlike(r"[T ]\d{2}.*([Zz]|[+-]\d{2}:?\d{2})$")
-    clean = F.regexp_replace(F.regexp_replace(value, ",", "."), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    clean = F.when(zoned | value.rlike(":"), clean).otherwise(value)
-    naive = F.to_utc_timestamp(value.try_cast("timestamp_ntz").cast("timestamp"), SHANGHAI)
-    return F.when(iso & zoned, clean.try_cast("timestamp")).when(iso, naive)
+    value = F.translate(F.trim(text.cast("string")), ",", ".")
+    offset = F.regexp_replace(value, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    local = F.translate(value, "/", "-").try_cast("timestamp_ntz").cast("timestamp")
+    return F.when(value.rlike(_ZONED), offset.try_cast("timestamp")).when(
+        value.rlike(_NAIVE) | value.rlike(_SLASHED), F.to_utc_timestamp(local, SHANGHAI)
+    )
 
 
 def epoch_instant(value: Column) -> Column:

@@ -12,6 +12,7 @@ from murmur.functions.hashing import author_hash
 from murmur.functions.text import whole_number
 from murmur.functions.timeutil import SHANGHAI, parse_instant, shanghai_date
 from murmur.operators.ordering import latest
+from murmur.session import checkpointed
 from murmur.sources.raw import (
     ARCHIVE_KIND, SNAPSHOT_KIND, TREND_KINDS, first_text, is_complete, is_truncated, is_verified, payload_body, source_user_id, with_payload,
 )
@@ -48,23 +49,33 @@ def validity_issue(p: str = "p") -> Column:
     )
 
 
+_TIMES = ("timestamp_semantics", "updated_at")
+_BODY = ("body", "body_truncated")
+
+
 def append_new(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows to append, rows quarantined with a reason).
 
     ``batch`` carries ``raw_id`` in arrival order. A known payload is a no-op. A
     cut-off version is skipped once a complete version of the item is stored or
-    arrived earlier. All checks are aggregates and equi joins on the item.
+    arrived earlier. Payloads are read once into a narrow verdict table; all
+    checks run on that table, and the payloads meet its result in one semi join.
     """
-    parsed = with_payload(batch).withColumn("issue", validity_issue())
-    rejected = parsed.where(F.col("issue").isNotNull()).drop("p")
-    valid = parsed.where(F.col("issue").isNull()).drop("issue")
-    first = valid.groupBy(*VERSION).agg(F.min("raw_id").alias("raw_id"))
-    fresh = valid.join(first, [*VERSION, "raw_id"], "left_semi").join(stored.select(*VERSION), VERSION, "left_anti")
-    arrived = fresh.where(is_complete()).groupBy(*ITEM).agg(F.min("raw_id").alias("_complete_from"))
-    kept = with_payload(stored).where(is_complete()).select(*ITEM).distinct().withColumn("_stored", F.lit(True))
-    checked = fresh.join(kept, ITEM, "left").join(arrived, ITEM, "left")
-    poorer = is_truncated() & (F.col("_stored").isNotNull() | F.coalesce(F.col("_complete_from") < F.col("raw_id"), F.lit(False)))
-    return checked.where(~poorer).select(*batch.columns), rejected
+    verdict = checkpointed(
+        with_payload(batch, fields=(*_BODY, *_TIMES)).select(
+            *VERSION, "raw_id", is_complete().alias("complete"), is_truncated().alias("cut"), validity_issue().alias("issue")
+        )
+    )
+    valid = verdict.where(F.col("issue").isNull()).drop("issue")
+    first = valid.groupBy(*VERSION).agg(F.min_by(F.struct("raw_id", "complete", "cut"), "raw_id").alias("v")).select(*VERSION, "v.*")
+    fresh = first.join(stored.select(*VERSION), VERSION, "left_anti")
+    arrived = fresh.where("complete").groupBy(*ITEM).agg(F.min("raw_id").alias("_complete_from"))
+    kept = with_payload(stored, fields=_BODY).where(is_complete()).select(*ITEM).distinct().withColumn("_stored", F.lit(True))
+    checked = fresh.where("cut").join(kept, ITEM, "left").join(arrived, ITEM, "left")
+    poorer = F.col("_stored").isNotNull() | F.coalesce(F.col("_complete_from") < F.col("raw_id"), F.lit(False))
+    accepted = fresh.where(~F.col("cut")).select("raw_id").unionByName(checked.where(~poorer).select("raw_id"))
+    rejected = verdict.where(F.col("issue").isNotNull()).select("raw_id", "issue")
+    return batch.join(accepted, "raw_id", "left_semi").select(*batch.columns), batch.join(rejected, "raw_id")
 
 
 def split_known(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +109,7 @@ def latest_versions(raw: DataFrame) -> DataFrame:
 
 def latest_complete(raw: DataFrame) -> DataFrame:
     """The newest row that is not cut off; a cut-off row only while there is no other."""
-    parsed = with_payload(raw)
+    parsed = with_payload(raw, fields=_BODY)
     rest = [c for c in raw.columns if c not in ITEM]
     return latest(parsed, ITEM, F.struct((~is_truncated()).alias("whole"), F.col("raw_id").alias("id")), rest)
 

@@ -133,29 +133,40 @@ def array_median(ordered: Column) -> Column:
     return (low + high) / 2
 
 
-def baseline_stats(frame: Column, current: Column, mean: Column, std: Column, *, min_samples: int = 14) -> Column:
-    """Z, robust z and percentile of ``current`` against earlier values.
-
-    Constant frames have no spread: z and robust z stay NULL. The robust z uses
-    the median and 1.4826 times the median absolute deviation.
+def with_baseline(rows: DataFrame, *, min_samples: int = 14) -> DataFrame:
+    """Z, robust z and percentile of ``raw_value`` against the values in ``_frame``.
+
+    Reads ``raw_value``, ``_frame``, ``_mean`` and ``_std``. Constant frames have
+    no spread: z and robust z stay NULL. The robust z uses the median and 1.4826
+    times the median absolute deviation. Each step is a column of its own, so
+    arrays are sorted as primitive doubles in generated code and never twice;
+    ``array_position`` in the descending array counts the larger values.
     """
+    current, n = F.col("raw_value"), F.size("_frame")
+    enough = n >= min_samples
+    ordered = rows.withColumn("_sorted", F.when(enough, F.sort_array("_frame")))
+    above = F.array_position(F.sort_array(F.array_append("_frame", current), asc=False), current) - 1
+    medians = ordered.select("*", array_median(F.col("_sorted")).alias("_med"), F.when(enough, above).alias("_above"))
+    distance = lambda v: F.coalesce(F.abs(v - F.col("_med")), F.lit(0.0))
+    spread = medians.withColumn("_dev", F.sort_array(F.transform("_sorted", distance))).withColumn("_mad", array_median(F.col("_dev")))
+    varied = F.get("_sorted", F.lit(0)) < F.get("_sorted", n - 1)
+    signal = F.struct(
+        F.when(enough & varied & (F.col("_std") > 0), (current - F.col("_mean")) / F.col("_std")).alias("zscore"),
+        F.when(F.col("_mad") > 0, (current - F.col("_med")) / (1.4826 * F.col("_mad"))).alias("robust_z"),
+        ((n - F.col("_above") + 1) / (n + 1)).alias("percentile"),
+    )
+    # A generator of one row: a filter on the result must not be pushed below the
+    # arrays, where it would repeat their sorting for every element.
+    return spread.select(*[c for c in rows.columns if c not in ("_frame", "_mean", "_std")], F.inline(F.array(signal)))
 
-    def stats(ordered: Column) -> Column:
-        n = F.size(ordered)
-        spread = F.get(ordered, F.lit(0)) < F.get(ordered, n - 1)
-        not_above = F.size(F.filter(ordered, lambda v: v <= current))
-
-        def with_median(med: Column) -> Column:
-            mad = array_median(F.sort_array(F.transform(ordered, lambda v: F.abs(v - med))))
-            return bind(mad, lambda m: F.when(m > 0, (current - med) / (1.4826 * m)))
 
-        return F.struct(
-            F.when(spread & (std > 0), (current - mean) / std).alias("zscore"),
-            bind(array_median(ordered), with_median).alias("robust_z"),
-            ((not_above + 1) / (n + 1)).alias("percentile"),
-        )
+def spread_evenly(rows: DataFrame, *keys: str) -> DataFrame:
+    """Hash by key into the configured number of shuffle partitions.
 
-    return F.when(F.size(frame) >= min_samples, bind(F.sort_array(frame), stats))
+    The number is stated, so adaptive execution does not merge partitions that
+    look small on input: every row here fans out to a whole frame of values.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def metric_signals(
@@ -164,38 +175,20 @@ def metric_signals(
     """One signal per metric row and name, against the 30 days before it.
 
     The frame holds only buckets that have rows (no zero fill). One shuffle on
-    the key serves all nine metrics; a key has one row per bucket, so a ten-year
-    hourly key is under 90,000 rows whatever the number of posts behind it.
+    (key, metric) serves all figures, and the nine metrics of a busy key go to
+    different tasks. A window holds one row per bucket, so a ten-year hourly key
+    is under 90,000 rows whatever the number of posts behind it.
     """
-    keys = ["bucket_size", *METRIC_KEYS]
-    wide = metrics.select("bucket_at", *keys, F.unix_seconds("bucket_at").alias("_t"), *[v.alias(f"_v_{n}") for n, v in metric_values().items()])
+    keys = ["bucket_size", *METRIC_KEYS, "metric_name"]
+    long = spread_evenly(metrics_long(metrics).withColumn("_t", F.unix_seconds("bucket_at")), *keys)
     window = Window.partitionBy(*keys).orderBy("_t").rangeBetween(-baseline_days * 86400, -1)
-    framed = wide.select(
-        "*",
-        *[F.collect_list(f"_v_{n}").over(window).alias(f"_f_{n}") for n in METRIC_NAMES],
-        *[F.avg(f"_v_{n}").over(window).alias(f"_a_{n}") for n in METRIC_NAMES],
-        *[F.stddev_pop(f"_v_{n}").over(window).alias(f"_s_{n}") for n in METRIC_NAMES],
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("metric_name"),
-                F.col(f"_v_{n}").alias("raw_value"),
-                F.col(f"_f_{n}").alias("_frame"),
-                F.col(f"_a_{n}").alias("_mean"),
-                F.col(f"_s_{n}").alias("_std"),
-            )
-            for n in METRIC_NAMES
-        ]
+    framed = long.select(
+        "*", F.collect_list("raw_value").over(window).alias("_frame"),
+        F.avg("raw_value").over(window).alias("_mean"), F.stddev_pop("raw_value").over(window).alias("_std"),
     )
-    long = framed.select("bucket_at", *keys, F.inline(rows))
-    stats = baseline_stats(F.col("_frame"), F.col("raw_value"), F.col("_mean"), F.col("_std"), min_samples=min_samples)
-    return (
-        long.withColumn("_stats", stats)
-        .select(
-            "bucket_at", *keys, "metric_name", "raw_value", "_stats.zscore", "_stats.robust_z",
-            "_stats.percentile", F.lit(f"{baseline_days}d").alias("baseline_window"), F.lit(version).alias("metric_version"),
-        )
+    return with_baseline(framed, min_samples=min_samples).select(
+        "bucket_at", *keys, "raw_value", "zscore", "robust_z", "percentile",
+        F.lit(f"{baseline_days}d").alias("baseline_window"), F.lit(version).alias("metric_version"),
     )
 
 

@@ -60,7 +60,7 @@ def source_quality(sources: DataFrame, raw: DataFrame, content: DataFrame, conte
 
 def publication_audit(raw: DataFrame, content: DataFrame) -> DataFrame:
     """The newest raw version of every item with its time issues."""
-    rows = with_payload(latest_versions(raw)).join(
+    rows = with_payload(latest_versions(raw), fields=("timestamp_semantics", "source_timestamp_field", "updated_at", "url")).join(
         content.select(*ITEM, F.col("published_at").alias("content_published_at"), F.lit(True).alias("_normalized")), ITEM, "left"
     )
     published, updated_text = F.col("published_at"), F.col("p.updated_at")

@@ -21,12 +21,18 @@ PAYLOAD_FIELDS = (
     "source_timestamp_field", "updated_at", "answer_edit_time", "market_session_date", "keyword", "query", "value", "unit",
     "followers_bucket", "following_bucket", "account_age_bucket",
 )
-PAYLOAD_SCHEMA = ", ".join(f"{name} STRING" for name in PAYLOAD_FIELDS)
 
 
-def with_payload(raw: DataFrame, out: str = "p") -> DataFrame:
-    """Parse the payload once with an explicit schema; unread fields are never materialised."""
-    return raw.withColumn(out, F.from_json("payload", PAYLOAD_SCHEMA))
+def with_payload(raw: DataFrame, out: str = "p", fields: tuple[str, ...] = PAYLOAD_FIELDS) -> DataFrame:
+    """Parse the payload once, in a generator, for the named fields.
+
+    A later filter on payload fields cannot be pushed below a generator, so no
+    plan ever parses the same JSON again for every field it looks at.
+    """
+    names = [f"_{out}_{name}" for name in fields]
+    parsed = raw.select("*", F.json_tuple("payload", *fields).alias(*names))
+    packed = F.struct(*[F.col(n).alias(f) for n, f in zip(names, fields)])
+    return parsed.withColumn(out, packed).drop(*names)
 
 
 def first_text(*columns: Column) -> Column:

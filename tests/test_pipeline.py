@@ -56,7 +56,7 @@ def test_core_chain_and_repairs(spark, tmp_path, at):
     cut = F.lit("2026-03-10").cast("timestamp")
     kept, counts = rb.clear_topic_history(tables, [1], cut)
     removed = {r.table: r.removed for r in counts.collect()}
-    assert removed["platform_metric"] == 9 and removed["metric_signal"] == 81 and removed["signal_event"] == 0
+    assert removed["platform_metric"] == 10 and removed["metric_signal"] == 90 and removed["signal_event"] == 0
     assert kept["platform_metric"].where(F.col("bucket_at") < cut).count() == 0 and kept["content"].count() == tables["content"].count()
     _, counts = rb.reset_derivatives(tables)
     assert {r.table: r.removed for r in counts.collect()}["signal_event"] == tables["signal_event"].count()
