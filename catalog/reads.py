@@ -71,12 +71,12 @@ def o06(spark, sf):
     f"""WITH {BARS}, link AS (SELECT a * 2 AS link_id, a AS asset_id, a AS topic_id FROM range(1, 7) r(a) UNION ALL SELECT a * 2 + 1, a, a % 8 + 1 FROM range(1, 7) r(a)),
     pos AS (SELECT 3 AS topic_id, 2 AS asset_id, 0 AS position)
     SELECT l.topic_id, l.asset_id, row_number() OVER (PARTITION BY l.topic_id ORDER BY position NULLS LAST, link_id) AS rank, count(b.ts) AS bars, count(b.ts) > 0 AS has_price_data
-    FROM link l LEFT JOIN pos USING (topic_id, asset_id) LEFT JOIN bars b ON b.asset_id = l.asset_id AND b.ts >= TIMESTAMP '1998-01-01' AND b.ts < TIMESTAMP '1998-07-01' GROUP BY l.topic_id, l.asset_id, position, link_id""",
+    FROM link l LEFT JOIN pos USING (topic_id, asset_id) LEFT JOIN bars b ON b.asset_id = l.asset_id AND b.ts >= TIMESTAMP '1990-01-01' AND b.ts < TIMESTAMP '2010-01-01' GROUP BY l.topic_id, l.asset_id, position, link_id""",
 )
 def r06(spark, sf):
     order = spark.createDataFrame([(3, 2, 0)], "topic_id long, asset_id long, position int")
     bars = market_bars(spark, sf).withColumn("bar_id", F.xxhash64("asset_id", "ts"))
-    bounds = {"start": F.lit("1998-01-01").cast("timestamp"), "end": F.lit("1998-07-01").cast("timestamp")}
+    bounds = {"start": F.lit("1990-01-01").cast("timestamp"), "end": F.lit("2010-01-01").cast("timestamp")}
     rows = rd.asset_prices(asset_topic(spark), assets(spark), bars, order=order, **bounds)
     return rows.select("topic_id", "asset_id", n("rank"), n(F.coalesce(F.size("price_history"), F.lit(0)), "bars"), "has_price_data")
 
@@ -279,3 +279,16 @@ def r14(spark, sf):
 
     rows = table(spark, sf, "part").select(F.col("p_brand").alias("market"), F.col("p_partkey").alias("symbol"))
     return running_total(rows, [], ["market", "symbol"]).select("market", "symbol", (F.col("before") + 1).alias("position"))
+
+
+@query(
+    "w19_answer_ranks",
+    "SELECT l_orderkey, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity::BIGINT DESC, l_linenumber DESC, l_partkey DESC, l_orderkey * 1000000 + l_suppkey, l_extendedprice) AS answer_rank, l_returnflag FROM lineitem",
+)
+def w19(spark, sf):
+    """Line items as answers of three questions, each holding a third of all rows."""
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_returnflag", F.col("l_quantity").cast("long").alias("votes"), F.col("l_linenumber").cast("long").alias("favorites"), F.col("l_partkey").alias("comments"),
+        F.struct((F.col("l_orderkey") * 1000000 + F.col("l_suppkey")).alias("a"), F.col("l_extendedprice").alias("b")).alias("position"),
+    )
+    return ig.session_answer_rank(rows, ["l_returnflag"]).select("l_orderkey", n("answer_rank"), "l_returnflag")

@@ -57,10 +57,9 @@ def source_coverage(content: DataFrame, tasks: DataFrame, topics: DataFrame, *,
     )
     days = seen.select("day").unionByName(states.select("day")).distinct()
     wanted = days.select("day", F.explode(F.array(*[F.lit(s) for s in expected])).alias("source")) if expected else days.withColumn("source", F.lit("")).limit(0)
-    total = active.agg(F.count("*").alias("topic_total"))
-    # One counted row joins to every day; its size is one by construction.
+    total = active.agg(F.count("*").alias("topic_total")).scalar()
     spine = wanted.unionByName(seen.select("day", "source")).distinct().withColumn("expected", F.col("source").isin(*expected) if expected else F.lit(False))
-    rows = spine.join(seen, ["day", "source"], "left").join(per_source, ["day", "source"], "left").withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    rows = spine.join(seen, ["day", "source"], "left").join(per_source, ["day", "source"], "left").withColumn("topic_total", total)
     counts = [c for c in rows.columns if c.startswith("n_")] + ["content_count", "recorded_topics"]
     rows = rows.fillna(0, counts)
     status = (
@@ -95,8 +94,9 @@ def day_coverage(content: DataFrame, content_topic: DataFrame, analysis: DataFra
     planned = sources.groupBy("day").agg(
         F.sum(F.col("expected").cast("int")).alias("_e"), F.sum((F.col("expected") & (F.col("status") == "complete")).cast("int")).alias("_c")
     )
-    rows = days.join(planned, "day", "left").join(exact, "day", "left").withColumn("_one", F.lit(1))
-    rows = rows.join(linked.agg(F.count("*").alias("linked_asset_count")).withColumn("_one", F.lit(1)), "_one").fillna(0, ["_e", "_c", "exact_day_asset_count"])
+    linked_count = linked.agg(F.count("*").alias("n")).scalar()
+    rows = days.join(planned, "day", "left").join(exact, "day", "left").withColumn("linked_asset_count", linked_count)
+    rows = rows.fillna(0, ["_e", "_c", "exact_day_asset_count"])
     pending = F.col("indexed_content_count") - F.col("analyzed_content_count")
     collection = F.when(F.col("_e") == 0, "untracked").when(F.col("_e") == F.col("_c"), "complete").otherwise("partial")
     done = (F.col("indexed_content_count") > 0) & (pending == 0)

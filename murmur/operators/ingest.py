@@ -5,13 +5,13 @@ P01, P10, P11, J01-J04, W12, W13, X29, X30, F02, F04, I16, I17.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.hashing import author_hash
 from murmur.functions.text import whole_number
 from murmur.functions.timeutil import SHANGHAI, parse_instant, shanghai_date
-from murmur.operators.ordering import latest
+from murmur.operators.ordering import latest, running_total
 from murmur.session import checkpointed
 from murmur.sources.raw import (
     ARCHIVE_KIND, SNAPSHOT_KIND, TREND_KINDS, first_text, is_complete, is_truncated, is_verified, payload_body, source_user_id, with_payload,
@@ -260,6 +260,11 @@ def import_history(raw: DataFrame, links: DataFrame, stamps: dict[str, dict[str,
 
 
 def session_answer_rank(answers: DataFrame, keys: list[str]) -> DataFrame:
-    """1-based rank of answers by votes, favourites and comments, input order on ties."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("votes"), F.desc("favorites"), F.desc("comments"), "position")
-    return answers.withColumn("answer_rank", F.row_number().over(order))
+    """1-based rank of answers by votes, favourites and comments, input order on ties.
+
+    A question may hold very many answers, so the rank comes from parted ordering.
+    """
+    order = ["_votes", "_favorites", "_comments", "position"]
+    signed = answers.select("*", *[(-F.coalesce(F.greatest(F.col(c), F.lit(0)), F.lit(0))).alias(f"_{c}") for c in ("votes", "favorites", "comments")])
+    placed = running_total(signed, keys, order, before="_b", total="_t")
+    return placed.withColumn("answer_rank", F.col("_b") + 1).drop("_b", "_t", *order[:3])

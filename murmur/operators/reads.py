@@ -34,18 +34,18 @@ def scoped_posts(
 ) -> DataFrame:
     """Visible posts of a topic and period, each with its preferred analysis.
 
-    The newest post of any topic sets the clock. That single value is joined as
-    one row, so nothing has to be read back to the driver first.
+    The newest post of any topic sets the clock, as a scalar subquery: it is
+    computed once on the cluster and never read back to the driver.
     """
     visible = content.where(~F.col("is_deleted"))
     clock_rows = visible if topic_id is None else visible.join(content_topic.select("content_id").distinct(), "content_id", "left_semi")
-    clock = clock_rows.agg(F.max("published_at").alias("_latest")).withColumn("_one", F.lit(1))
-    rows = visible
+    latest_at = clock_rows.agg(F.max("published_at").alias("latest_at")).scalar()
+    start, end = period_bounds(latest_at, period, size, from_at, to_at)
+    rows = visible.where(F.col("published_at") <= end)
+    if start is not None:
+        rows = rows.where(F.col("published_at") >= start)
     if topic_id is not None:
         rows = rows.join(content_topic.where(F.col("topic_id") == topic_id).select("content_id").distinct(), "content_id", "left_semi")
-    start, end = period_bounds(F.col("_latest"), period, size, from_at, to_at)
-    rows = rows.withColumn("_one", F.lit(1)).join(clock, "_one")
-    rows = rows.where((F.col("published_at") <= end) & ((F.col("published_at") >= start) if start is not None else F.lit(True))).drop("_one", "_latest")
     best = effective_by_content(analysis if topic_id is None else analysis.where(F.col("topic_id").isNull() | (F.col("topic_id") == topic_id)))
     picked = rows.join(best, "content_id", "left").withColumn("analysis", pick_effective(F.lit(topic_id).cast("long")))
     return picked.drop("scoped", "unscoped", "any_scope")
@@ -123,6 +123,10 @@ def even_sample(rows: DataFrame, keys: list[str], order: list[str], limit: int)
 
 
 def round_robin(jobs: DataFrame, group: str, order: str) -> DataFrame:
-    """First job of every group, then every second one, and so on."""
-    turn = Window.partitionBy(group).orderBy(order)
-    return jobs.withColumn("turn", F.row_number().over(turn)).orderBy("turn", group)
+    """First job of every group, then every second one, and so on.
+
+    The place inside a group comes from parted ordering, so one large group does
+    not meet in one task.
+    """
+    placed = running_total(jobs, [group], [order], before="_b", total="_t")
+    return placed.withColumn("turn", F.col("_b") + 1).drop("_b", "_t").orderBy("turn", group)

@@ -35,16 +35,20 @@ def trend_signals(
     """Change ratio and baseline of each point against earlier points within 30 days.
 
     Points at the same instant count as earlier when they come first in id
-    order. The frame is a 30-day range, cut to earlier points afterwards, so no
-    growing prefix is kept. A series has one point per raw observation.
+    order. A series is cut into spans as long as the baseline; each point works
+    in its own span and serves as past in the next one, so a task holds two
+    spans of a series and never its whole history.
     """
+    reach = baseline_days * 86400
     rows = observations.select(
         "observation_id", "topic_id", "keyword", "observed_at", F.col("value").cast("double").alias("value"),
         F.unix_seconds("observed_at").alias("_t"),
     )
-    window = Window.partitionBy("topic_id", "keyword").orderBy("_t").rangeBetween(-baseline_days * 86400, 0)
+    own = F.floor(F.col("_t") / reach)
+    rows = rows.withColumn("_own", own).withColumn("_span", F.explode(F.array(own, own + 1)))
+    window = Window.partitionBy("topic_id", "keyword", "_span").orderBy("_t").rangeBetween(-reach, 0)
     point = F.struct(F.col("_t").alias("t"), F.col("observation_id").alias("id"), F.col("value").alias("v"))
-    framed = rows.select("*", F.collect_list(point).over(window).alias("_frame"))
+    framed = rows.select("*", F.collect_list(point).over(window).alias("_frame")).where(F.col("_span") == F.col("_own"))
     if since is not None:
         framed = framed.where(F.col("observed_at") >= since)
     if until is not None:

@@ -30,6 +30,8 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        # The partition value "1d" would otherwise be read back as the number 1.0.
+        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -37,8 +39,10 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def write(self, name: str, df: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
+        """Replace a table; ``by`` names its partition columns, so readers skip what they do not need."""
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
         return self.read(name)
 
 
@@ -92,8 +96,8 @@ def run_core(
     for size in bucket_sizes:
         part = mt.platform_metrics(content, content_topic, content_asset, asset_topic, analysis, size=size)
         metrics = part if metrics is None else metrics.unionByName(part)
-    out["platform_metric"] = store.write("platform_metric", metrics)
-    out["metric_signal"] = store.write("metric_signal", mt.metric_signals(out["platform_metric"]))
+    out["platform_metric"] = store.write("platform_metric", metrics, by=("bucket_size",))
+    out["metric_signal"] = store.write("metric_signal", mt.metric_signals(out["platform_metric"]), by=("bucket_size",))
     events, links = ev.detect_events(out["metric_signal"], min_robust_z=min_robust_z)
     diffusion = store.write("diffusion_event", ev.detect_diffusion(events))
     events = store.write("signal_event", events.unionByName(ev.cross_platform_events(diffusion, events)))

@@ -86,3 +86,20 @@ def test_user_id_aliases(spark, at):
     rows = raw(spark, at, [(1, "a", {"author": {"uid": "u9"}}, None, "2026-07-02"), (2, "b", {"user_id": 5}, None, "2026-07-02"), (3, "c", {"author_id": "", "user": {"id": "z"}}, None, "2026-07-02"), (4, "d", {}, None, "2026-07-02")])
     got = with_payload(rows).orderBy("raw_id").select(source_user_id().alias("u")).collect()
     assert [r.u for r in got] == ["u9", "5", "z", None]
+
+
+def test_pseudonym_is_a_keyed_hash(spark):
+    import hashlib
+    import hmac
+
+    from murmur.functions.hashing import author_hash
+
+    for secret in ("k", "s" * 100):
+        got = spark.range(1).select(author_hash(secret, F.lit("guba"), F.lit("用户42"))).first()[0]
+        assert got == hmac.new(secret.encode(), "guba:用户42".encode(), hashlib.sha256).hexdigest()
+
+
+def test_answers_rank_by_votes_then_input_order(spark):
+    rows = spark.createDataFrame([("q", 5, 1, 1, 0), ("q", 5, 2, 0, 1), ("q", 9, 0, 0, 2), ("q", 5, 1, 1, 3), ("q", None, 0, 0, 4)], "q string, votes long, favorites long, comments long, position int")
+    got = ig.session_answer_rank(rows, ["q"]).orderBy("answer_rank").collect()
+    assert [r.position for r in got] == [2, 1, 0, 3, 4]

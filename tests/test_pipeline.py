@@ -103,3 +103,28 @@ def test_bundle(spark, tmp_path):
     warnings = pp.bundle_warnings(day, sources, evidence)
     pp.write_bundle({"warnings": warnings, "sources": sources}, str(tmp_path))
     assert spark.read.json(str(tmp_path / "warnings")).count() == 4
+
+
+def test_overview_of_a_day(spark, at):
+    from datetime import date
+
+    from murmur.plans.overview import topic_overview
+    from tests.test_metrics import ANALYSIS, CONTENT, post, row
+
+    moments = [at("2026-07-01T02:00:00"), at("2026-07-01T03:00:00"), at("2026-06-30T02:00:00")]
+    tables = {
+        "content": spark.createDataFrame([post(i, m, i) for i, m in enumerate(moments)], CONTENT), "content_topic": spark.createDataFrame([(0, 1), (1, 1), (2, 1), (0, 3)], "content_id long, topic_id long"),
+        "content_analysis": spark.createDataFrame([row(1, 0, emotion=(True, True, True, False, False, False))], ANALYSIS), "topic": spark.createDataFrame([(1, "active"), (2, "active"), (3, "off")], "topic_id long, status string"),
+        "trend_signal": spark.createDataFrame([(1, 1, "k", at("2026-07-01"), 5.0, 0.5, None)], "observation_id long, topic_id long, keyword string, observed_at timestamp, raw_value double, percentile double, change_ratio double"),
+        "asset_topic": spark.createDataFrame([(1, 5, 1)], "link_id long, asset_id long, topic_id long"), "asset": spark.createDataFrame([(5, "S")], "asset_id long, symbol string"),
+        "market_bar": spark.createDataFrame([(1, 5, "1d", at("2026-07-01T01:30:00"), 1.0, 1.0, 1.0, 1.0, "p")], "bar_id long, asset_id long, interval string, ts timestamp, open double, high double, low double, close double, provider string"),
+        "collection_task": spark.createDataFrame([], "source string, topic_id long, window_start timestamp, window_end timestamp, status string, next_retry_at timestamp"),
+    }
+    got = topic_overview(tables, selected=date(2026, 7, 1), expected_sources=["s"])
+    rows = {r.topic_id: r for r in got["topics"].collect()}
+    assert set(rows) == {1, 2} and rows[1].heat_index == 58.7 and rows[1].trend == "rising" and rows[2].trend == "no_data"
+    assert rows[1].latest_activity_at == at("2026-07-01T03:00:00").replace(tzinfo=None)
+    assert got["market"].first().attention == 2 and got["attention"].first().value == 5.0 and got["prices"].first().has_price_data
+    assert got["sources"].first().status == "observed_untracked"
+    day = got["coverage"].first()
+    assert (day.content_count, day.analysis_pending_count, day.exact_day_asset_count, day.collection_status) == (2, 1, 1, "partial")
