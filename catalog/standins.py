@@ -332,7 +332,7 @@ def trend_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts per order priority as page views; the topic is the rank of the name."""
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("value")).select(
         (F.unix_date("day").cast("long") * 10 + F.substring("o_orderpriority", 1, 1).cast("long")).alias("observation_id"),
-        F.lit("wikimedia-pageviews").alias("source"), F.col("o_orderpriority").alias("keyword"),
+        F.when(F.col("value") > 0, "wikimedia-pageviews").alias("source"), F.col("o_orderpriority").alias("keyword"),
         (F.substring("o_orderpriority", 1, 1).cast("long") % 3 + 1).alias("topic_id"),
         F.col("day").cast("timestamp").alias("observed_at"), F.col("value").cast("double").alias("value"), F.lit("views").alias("unit"),
     )

@@ -94,10 +94,9 @@ def task_summary(targets: DataFrame, tasks: DataFrame, *, now: Column) -> DataFr
         n(retryable & ready).alias("retry_ready"), n(retryable & ~ready).alias("retry_deferred"),
     )
     wanted = targets.distinct()
-    untracked = _matches(wanted, tasks.select(*TASK_KEY).distinct(), "left_anti").agg(F.count("*").alias("untracked"))
-    total = wanted.agg(F.count("*").alias("targets"))
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    return one(counters).join(one(untracked), "_one").join(one(total), "_one").drop("_one")
+    untracked = _matches(wanted, tasks.select(*TASK_KEY).distinct(), "left_anti").agg(F.count("*").alias("n")).scalar()
+    total = wanted.agg(F.count("*").alias("n")).scalar()
+    return counters.select("*", untracked.alias("untracked"), total.alias("targets"))
 
 
 def task_retry_at(now: Column, attempts: Column) -> Column:

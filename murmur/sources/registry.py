@@ -38,10 +38,10 @@ def registry_errors(topics: DataFrame, assets: DataFrame) -> DataFrame:
 def _with_ids(wanted: DataFrame, stored: DataFrame, key: list[str], ident: str) -> DataFrame:
     """Keep stored ids; number new rows after the largest one. Registry tables only."""
     known = wanted.join(stored.select(*key, ident), key, "left")
-    top = stored.agg(F.coalesce(F.max(ident), F.lit(0)).alias("_top")).withColumn("_one", F.lit(1))
+    top = stored.agg(F.coalesce(F.max(ident), F.lit(0)).alias("top")).scalar()
     order = Window.partitionBy(F.col(ident).isNull()).orderBy(*key)
-    numbered = known.withColumn("_n", F.row_number().over(order)).withColumn("_one", F.lit(1)).join(top, "_one")
-    return numbered.withColumn(ident, F.coalesce(ident, F.col("_top") + F.col("_n"))).drop("_n", "_one", "_top")
+    numbered = known.withColumn("_n", F.row_number().over(order))
+    return numbered.withColumn(ident, F.coalesce(F.col(ident), top + F.col("_n"))).drop("_n")
 
 
 def sync(topics: DataFrame, assets: DataFrame, stored: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -68,3 +68,9 @@ def test_query_agrees_with_its_sql(spark, duck, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).limit(1).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["a10_source_status", "a17_task_summary", "r03_post_page", "r05_source_coverage", "f03_entity_links", "j13_asof_entry", "x29_folded_content"])
+def test_no_cross_joins(spark, name):
+    text = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
