@@ -6,11 +6,3 @@ from pyspark import cloudpickle
 
 # The few Arrow functions travel with the job, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-import sys as _sys
-
-from pyspark.cloudpickle import register_pickle_by_value as _by_value
-
-# Functions of this package travel to the Python workers by value, so that a
-# cluster needs no copy of the package on its executors.
-_by_value(_sys.modules[__name__])
