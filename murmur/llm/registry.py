@@ -6,7 +6,7 @@ import importlib
 
 from murmur.llm.common import ORACLES, QUERIES
 
-MODULES = ("sharding", "quality", "urls", "simhash", "packing", "toxicity", "mixing", "secrets")
+MODULES = ("sharding", "quality", "urls", "simhash", "packing", "toxicity", "mixing", "neighbours", "secrets")
 
 for _name in MODULES:
     importlib.import_module(f"murmur.llm.{_name}")
