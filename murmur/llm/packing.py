@@ -29,8 +29,8 @@ from murmur.llm.common import query, table
 
 #: Tokens of a window, longest piece of a rest, windows of a batch, id behind a document.
 CAPACITY, PIECE, WINDOWS, END_ID = 1024, 256, 256, 0
-#: Words a task remembers, and texts it encodes together.
-WORDS, TEXTS = 300_000, 1000
+#: Words a task remembers (about 40 MB), and texts it encodes together.
+WORDS, TEXTS = 250_000, 250
 #: Sequence ids of a task begin at its number times this.
 IDS_PER_TASK = 1 << 40
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -46,29 +46,63 @@ def encoder(path: str):
     """texts -> ids (little-endian unsigned 32 bits) as the tokenizer gives them for each whole text.
 
     A space between two characters that are no white space always begins a new
-    pre-token, so texts are cut there, and every distinct word is encoded once. The
-    first ``WORDS`` words are remembered across batches.
+    pre-token, and a lone line break is one, so texts are cut there and every
+    distinct word is encoded once; the first ``WORDS`` are remembered across
+    batches. A unit is a word behind a space, or behind a line break that it keeps.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     pair, single = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
+    plain = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    tails, line = {c: plain(c) for c in ".,"}, plain("\n")
     known: dict[str, bytes] = {}
 
+    def units(text: str) -> tuple[str, list[str]]:
+        if pair.search(text) or text[0].isspace() or text[-1].isspace():
+            first, *rest = single.split(text)
+        else:
+            first, *rest = text.replace("\n", " \n").split(" ")
+        return first, rest
+
+    def letters(words: list[str], between: str) -> dict[str, bytes]:
+        """Ids of words of letters only, each a pre-token, encoded many in a text."""
+        out: dict[str, bytes] = {}
+        groups = [words[k : k + 200] for k in range(0, len(words), 200)]
+        for k in range(0, len(groups), 20):
+            texts = [between + between.join(g) for g in groups[k : k + 20]]
+            for group, found in zip(groups[k : k + 20], tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+                ids, of = np.array(found.ids, dtype="<u4"), np.array(found.word_ids)
+                starts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(ids)]
+                # Behind a line break every other pre-token is the break itself.
+                step = 1 if between == " " else 2
+                out.update((w, ids[starts[step * i] : starts[step * i + step]].tobytes()) for i, w in enumerate(group))
+        return out
+
+    def learn(new: set[str]) -> dict[str, bytes]:
+        """Ids of units; a full stop or comma behind letters is a pre-token of its own."""
+        out: dict[str, bytes] = {}
+        parts = {u: (u[:-1], tails[u[-1]]) if len(u) > 1 and u[-1] in ".," and u[-2].isalpha() else (u, b"") for u in new}
+        bases = {base for base, _ in parts.values()}.difference(known)
+        spaced = [b for b in bases if b.isalpha()]
+        broken = [b[1:] for b in bases if b[:1] == "\n" and b[1:].isalpha()]
+        got = letters(spaced, " ")
+        got.update(("\n" + w, ids) for w, ids in letters(broken, "\n").items())
+        for base in bases.difference(got):
+            got[base] = line + plain(base[1:]) if base[:1] == "\n" else plain(" " + base)
+        for unit, (base, tail) in parts.items():
+            out[unit] = (got.get(base) or known[base]) + tail
+        return out
+
     def encode(texts: list[str]) -> list[bytes]:
-        cut = [(single.split(t) if pair.search(t) or t[0].isspace() or t[-1].isspace() else t.split(" ")) if t else [] for t in texts]
-        heads = [words[0] for words in cut if words]
-        new = set().union(*(words[1:] for words in cut)).difference(known)
-        found = tokenizer.encode_batch(heads + [" " + w for w in new], add_special_tokens=False)
-        ids = [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-        first = iter(ids)
-        out_heads = [next(first) if words else b"" for words in cut]
-        now = dict(zip(new, ids[len(heads) :], strict=True))
+        cut = [units(t) if t else ("", []) for t in texts]
+        new = set().union(*(rest for _, rest in cut)).difference(known)
+        now = learn(new)
         full = len(known) >= WORDS
         if not full:
             known.update(now)
-        get = (lambda w: known.get(w) or now[w]) if full else known.__getitem__
-        return [head + b"".join(map(get, words[1:])) for head, words in zip(out_heads, cut, strict=True)]
+        get = (lambda u: known.get(u) or now[u]) if full else known.__getitem__
+        return [(plain(first) if first else b"") + b"".join(map(get, rest)) for first, rest in cut]
 
     return encode
 
