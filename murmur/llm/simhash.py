@@ -29,6 +29,8 @@ from murmur.session import checkpointed
 
 #: Seed of the shingle hash, rows of a block, rows of a batch, planes between two looks at the radius.
 SEED, BLOCK, BATCH, LOOK = 42, 2048, 1 << 16, 16
+#: Bytes of a node before its fingerprint.
+RANK = 9
 
 
 def fingerprint(text: Column, shingle: int = 3, bits: int = 64) -> Column:
@@ -169,7 +171,7 @@ def linked_leaders(bit_rows: np.ndarray, run_end: np.ndarray, radius: int) -> np
 
 
 def _links(batches: Iterator[pa.RecordBatch], bits: int, radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key in, (fingerprint, leader) links out; holds one batch and one unfinished run."""
+    """Rows sorted by key in, (node, leader) links out; holds one batch and one unfinished run."""
     names = ["t", "key", "a", "b"]
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
@@ -177,8 +179,8 @@ def _links(batches: Iterator[pa.RecordBatch], bits: int, radius: int) -> Iterato
         keys = [rows.column(c).to_numpy() for c in names]
         starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
         ends = np.append(starts[1:], rows.num_rows)
-        prints = rows.column("fp").to_pylist()
-        label = linked_leaders(_bit_matrix(prints, bits), np.repeat(ends, ends - starts), radius)
+        prints = rows.column("node").to_pylist()
+        label = linked_leaders(_bit_matrix([p[RANK:] for p in prints], bits), np.repeat(ends, ends - starts), radius)
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pa.RecordBatch.from_arrays([pa.array([prints[i] for i in moved], pa.binary()), pa.array([prints[i] for i in label[moved]], pa.binary())], schema=schema)
 
@@ -203,29 +205,32 @@ def _links(batches: Iterator[pa.RecordBatch], bits: int, radius: int) -> Iterato
 
 
 def links(prints: DataFrame, keys: list[list[int]], *, bits: int, radius: int, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) that join every two distinct ``fp`` (binary) that share a key and are within ``radius``."""
+    """Links (u, v) that join every two distinct nodes that share a key and are within ``radius``.
+
+    ``prints`` has binary ``node``: ``RANK`` bytes of order, then the fingerprint.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = _bit_matrix(batch.column("fp").to_pylist(), bits)
+            rows = _bit_matrix([n[RANK:] for n in batch.column("node").to_pylist()], bits)
             for t, chosen in enumerate(keys):
                 key = rows[:, chosen].astype("i8") @ (1 << np.arange(len(chosen), dtype="i8"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, dtype="i2")), pa.array(key), batch.column("fp")], names=["t", "key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, dtype="i2")), pa.array(key), batch.column("node")], names=["t", "key", "node"])
 
-    keyed = prints.select("fp").mapInArrow(emit, "t short, key long, fp binary")
+    keyed = prints.select("node").mapInArrow(emit, "t short, key long, node binary")
     # Counted on the map side; keys with a single row need no comparison.
     counts = keyed.groupBy("t", "key").agg(F.count("*").alias("rows")).where("rows > 1")
     shared = keyed.join(counts, ["t", "key"])
     parts = F.ceil(F.col("rows") / block).cast("int")
-    shared = shared.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    shared = shared.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part"))
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(
         F.transform(others, lambda p: F.struct(F.least(p, F.col("part")).alias("a"), F.greatest(p, F.col("part")).alias("b")))
     )
-    dealt = shared.select("t", "key", "fp", F.explode(pairs).alias("pair")).select("t", "key", "pair.a", "pair.b", "fp")
-    ordered = dealt.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "fp")
+    dealt = shared.select("t", "key", "node", F.explode(pairs).alias("pair")).select("t", "key", "pair.a", "pair.b", "node")
+    ordered = dealt.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "node")
     return ordered.mapInArrow(lambda batches: _links(batches, bits, radius), "u binary, v binary")
 
 
@@ -255,14 +260,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _grouped(documents: DataFrame, shingle: int, bits: int, radius: int, keys: list[list[int]] | None, doc_id: str, text: str) -> DataFrame:
-    """doc_id, unit (digest of doc_id and text), fp and its component's root for every row."""
+    """doc_id, unit (digest of doc_id and text), fp, its component's root and that root's doc_id for every row.
+
+    A node is a fingerprint behind the bytes of its smallest doc_id, so the smallest
+    node of a component is the one with the smallest id; null ids come last.
+    """
     prints = checkpointed(documents.select(
-        F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("unit"), F.unhex(fingerprint(F.col(text), shingle, bits)).alias("fp"),
+        F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("unit"), F.unhex(fingerprint(F.col(text), shingle, bits)).alias("fp"),
     ))
-    nodes = checkpointed(prints.select("fp").distinct())
+    first = F.min("doc_id").alias("first_id")
+    # A byte for null, then the id with its sign flipped, which sorts as bytes do.
+    ordered = F.lpad(F.hex(F.col("first_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    rank = F.when(F.col("first_id").isNull(), F.lit("01" + "0" * 16)).otherwise(F.concat(F.lit("00"), ordered))
+    nodes = checkpointed(prints.groupBy("fp").agg(first).select("fp", "first_id", F.concat(F.unhex(rank), F.col("fp")).alias("node")))
     roots = components(links(nodes, keys or exact_keys(bits, radius), bits=bits, radius=radius))
-    of_print = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return prints.join(of_print, "fp")
+    of_print = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("fp", F.coalesce("root", "node").alias("root"))
+    lead = (F.conv(F.hex(F.substring("root", 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+    return prints.join(of_print.withColumn("lead_id", F.when(F.hex(F.substring("root", 1, 1)) == "00", lead)), "fp")
 
 
 def near_duplicates(
@@ -277,9 +291,8 @@ def near_duplicates(
     (null only if all of them are null). Repeated rows stay. An empty table gives
     no rows; extra columns are not read. Returns doc_id, fingerprint, component_id.
     """
-    rows = checkpointed(_grouped(documents, shingle, bits, radius, keys, doc_id, text).drop("unit"))
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    rows = _grouped(documents, shingle, bits, radius, keys, doc_id, text)
+    return rows.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("lead_id").alias("component_id"))
 
 
 #: The pipeline's stage: five words, and 128 bits of which at most 20 differ, which
