@@ -25,7 +25,7 @@ NOISE, LEAST_QUALITY = "#*$%&|<>!0123456789", 0.05
 
 def quality_weight(text: Column) -> Column:
     """Share of characters that are no symbols or digits; 0.05 at least, also for empty texts."""
-    plain = F.length(F.translate(text, NOISE, "")) / F.length(text)
+    plain = F.try_divide(F.length(F.translate(text, NOISE, "")), F.length(text))
     return F.greatest(F.coalesce(plain, F.lit(0.0)), F.lit(LEAST_QUALITY))
 
 
