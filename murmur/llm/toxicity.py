@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from murmur.llm.common import query, table
 
 #: Hash buckets of features, and most labelled documents of each class a fit reads.
-BUCKETS, SAMPLE = 1 << 20, 20_000
+BUCKETS, SAMPLE = 1 << 19, 20_000
 #: Lengths of the prefixes that count besides the word itself.
 PREFIXES = (3, 4, 5, 6, 7)
 #: Weight of the prior, standard errors a log-odds must be away from 0, and what each token costs.
@@ -65,28 +65,31 @@ def _sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen[0].union(chosen[1])), F.col("doc_id") == F.col("_id")).select("text", "toxic")
 
 
-def _document_counts(texts: DataFrame, wanted: np.ndarray | None = None) -> np.ndarray:
-    """Documents per (class, bucket); ``texts`` holds text and toxic. ``wanted`` keeps marked buckets only."""
+def _document_counts(texts: DataFrame, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets with their toxic and clean documents; the entry behind the last bucket holds the sums.
+
+    ``texts`` holds text and toxic. Without ``wanted`` only buckets of at least
+    ``LEAST`` toxic documents come back, with it only the buckets it marks.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, sums = _Remembered(_buckets), np.zeros((2, BUCKETS), dtype="i8")
+        of, sums = _Remembered(_buckets), np.zeros((2, BUCKETS + 1), dtype="i8")
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 found: set[int] = set()
                 for word in set(WORD.findall(text.lower())) if text else ():
                     found.update(of[word])
                 sums[int(toxic)][np.fromiter(found, dtype="i8", count=len(found))] += 1
-        for toxic in range(2):
-            seen = np.flatnonzero(sums[toxic] if wanted is None else sums[toxic] * wanted)
-            yield pd.DataFrame({"toxic": toxic, "bucket": seen, "n": sums[toxic][seen]})
-            yield pd.DataFrame({"toxic": [toxic], "bucket": [BUCKETS], "n": [int(sums[toxic].sum())]})
+                sums[int(toxic)][BUCKETS] += len(found)
+        seen = np.flatnonzero(sums.any(axis=0) & (True if wanted is None else np.append(wanted, True)))
+        yield pd.DataFrame({"bucket": seen, "toxic": sums[1][seen], "clean": sums[0][seen]})
 
-    rows = texts.mapInPandas(count, "toxic int, bucket long, n long").groupBy("toxic", "bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros((2, BUCKETS + 1), dtype="f8")
+    rows = texts.mapInPandas(count, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    if wanted is None:
+        rows = rows.where((F.col("toxic") >= LEAST) | (F.col("bucket") == BUCKETS))
     # Bounded by the number of buckets, not by the corpus.
-    for r in rows.toPandas().itertuples(index=False):
-        out[r.toxic][r.bucket] = r.n
-    return out
+    found = rows.orderBy("bucket").toPandas()
+    return tuple(found[c].to_numpy(dtype="i8") for c in ("bucket", "toxic", "clean"))
 
 
 def segments(scores: np.ndarray) -> list[float]:
@@ -141,7 +144,7 @@ class Model:
         In clean text the number of segments of score s or more is Poisson with
         mean rate * n * exp(-decay * s); the tail is taken by its Chernoff bound.
         """
-        if not scores or not n:
+        if not len(scores) or not n:
             return 0.0, 0.0
         ranked = -np.sort(-np.array(scores))
         r = np.arange(1, len(ranked) + 1)
@@ -184,17 +187,16 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     labelled documents each. Without documents of both classes every score is 0.5.
     """
     sample = _sample(documents, labels)
-    seen = _document_counts(sample)
-    toxic, clean = seen[1][:BUCKETS], seen[0][:BUCKETS]
-    n_toxic, n_clean = seen[1][BUCKETS], seen[0][BUCKETS]
-    if not n_toxic or not n_clean:
+    at, toxic, clean = _document_counts(sample)
+    if not len(at) or at[-1] != BUCKETS or not toxic[-1] or not clean[-1]:
         return Model({})
-    wanted = toxic >= LEAST
-    corpus = _document_counts(documents.select(F.col("text").cast("string").alias("text"), F.lit(0).alias("toxic")), wanted)[0]
-    share = corpus[:BUCKETS] / max(corpus[BUCKETS], 1)
-    prior_toxic, prior_clean = PRIOR * n_toxic * share, PRIOR * n_clean * share
-    at = np.flatnonzero(wanted & (share > 0))
-    a, b = toxic[at] + prior_toxic[at], clean[at] + prior_clean[at]
+    n_toxic, n_clean, at, toxic, clean = toxic[-1], clean[-1], at[:-1], toxic[:-1], clean[:-1]
+    wanted = np.zeros(BUCKETS, dtype=bool)
+    wanted[at] = True
+    corpus_at, _, corpus = _document_counts(documents.select(F.col("text").cast("string").alias("text"), F.lit(0).alias("toxic")), wanted)
+    share = np.zeros(BUCKETS)
+    share[corpus_at[:-1]] = corpus[:-1] / corpus[-1]
+    a, b = toxic + PRIOR * n_toxic * share[at], clean + PRIOR * n_clean * share[at]
     odds = np.log(a / np.maximum(n_toxic * (1 + PRIOR) - a, 1)) - np.log(b / np.maximum(n_clean * (1 + PRIOR) - b, 1))
     sure = np.sign(odds) * np.maximum(np.abs(odds) - SURE * np.sqrt(1 / a + 1 / b), 0)
     model = Model({int(k): float(v) for k, v in zip(at, sure, strict=True) if v})
@@ -206,17 +208,16 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
             yield pd.DataFrame([_scan(t, value) for t in texts], columns=["n", "positive", "segments"])
 
     # At most 2 * SAMPLE rows with the few positive tokens of each.
-    rows = sample.select("toxic", scan("text").alias("s")).collect()
-    negative = [r["s"] for r in rows if not r["toxic"]]
-    positive = np.array([p for s in negative for p in s["positive"]])
-    tokens = sum(s["n"] for s in negative)
-    model.decay = _decay(tokens, positive)
-    chance = np.array([p for s in negative for p in s["segments"]])
+    rows = sample.select("toxic", scan("text").alias("s")).select("toxic", "s.*").toPandas()
+    negative = rows[rows["toxic"] == 0]
+    tokens, empty = int(negative["n"].sum()), [np.zeros(0)]
+    model.decay = _decay(tokens, np.concatenate([*negative["positive"], *empty]))
+    chance = np.concatenate([*negative["segments"], *empty])
     if len(chance):
         middle = np.median(chance)
         model.rate = float((chance >= middle).sum() / tokens * np.exp(model.decay * middle))
-    x = np.array([model.evidence(r["s"]["n"], r["s"]["segments"]) for r in rows])
-    model.curve = _curve(x, np.array([r["toxic"] for r in rows], dtype="f8"))
+    x = np.array([model.evidence(n, s) for n, s in zip(rows["n"], rows["segments"], strict=True)])
+    model.curve = _curve(x, rows["toxic"].to_numpy(dtype="f8"))
     return model
 
 
