@@ -22,8 +22,8 @@ from murmur.llm.common import query, table
 
 #: Hash buckets of features, and most labelled documents of each class a fit reads.
 BUCKETS, SAMPLE = 1 << 19, 20_000
-#: Lengths of the prefixes that count besides the word itself.
-PREFIXES = (3, 4, 5, 6, 7)
+#: Lengths (UTF-8 bytes) of the prefixes that count besides the word itself, and what tells a prefix from a word.
+PREFIXES, PREFIX_MARK = (3, 4, 5, 6, 7, 8), 0x5BD1E995
 #: Weight of the prior, standard errors a log-odds must be away from 0, and what each token costs.
 PRIOR, SURE, COST = 0.02, 1.5, 0.2
 #: Least toxic documents with a feature; words a task remembers.
@@ -32,9 +32,15 @@ THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
 
 
-def _buckets(word: str) -> tuple[int, ...]:
-    forms = {word, *(word[:n] + "~" for n in PREFIXES if len(word) >= n)}
-    return tuple(zlib.crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in forms)
+def _buckets(word: str) -> list[int]:
+    raw = word.encode("utf-8", "surrogatepass")
+    out, crc, at = [zlib.crc32(raw) % BUCKETS], 0, 0
+    for n in PREFIXES:
+        if len(raw) < n:
+            break
+        crc, at = zlib.crc32(raw[at:n], crc), n
+        out.append((crc ^ PREFIX_MARK) % BUCKETS)
+    return out
 
 
 class _Remembered(dict):
@@ -66,21 +72,24 @@ def _sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _document_counts(texts: DataFrame, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets with their toxic and clean documents; the entry behind the last bucket holds the sums.
+    """Buckets with their toxic and clean documents; the entry behind the last bucket holds the sums over distinct words.
 
     ``texts`` holds text and toxic. Without ``wanted`` only buckets of at least
     ``LEAST`` toxic documents come back, with it only the buckets it marks.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, sums = _Remembered(_buckets), np.zeros((2, BUCKETS + 1), dtype="i8")
+        def forms(word: str) -> tuple[int, list[int]]:
+            found = _buckets(word)
+            return len(found), found if wanted is None else [b for b in found if wanted[b]]
+
+        of, sums = _Remembered(forms), np.zeros((2, BUCKETS + 1), dtype="i8")
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                found: set[int] = set()
-                for word in set(WORD.findall(text.lower())) if text else ():
-                    found.update(of[word])
+                known = [of[word] for word in set(WORD.findall(text.lower()))] if text else []
+                found = set().union(*(b for _, b in known))
                 sums[int(toxic)][np.fromiter(found, dtype="i8", count=len(found))] += 1
-                sums[int(toxic)][BUCKETS] += len(found)
+                sums[int(toxic)][BUCKETS] += sum(n for n, _ in known)
         seen = np.flatnonzero(sums.any(axis=0) & (True if wanted is None else np.append(wanted, True)))
         yield pd.DataFrame({"bucket": seen, "toxic": sums[1][seen], "clean": sums[0][seen]})
 
@@ -152,6 +161,11 @@ class Model:
         each = np.where(r > mean, mean - r + r * np.log(r / mean), 0.0)
         return float(each[0]), float(each.max())
 
+    def passages(self, n: int, scores: list[float]) -> int:
+        """Segments that chance gives to a text of this length less than about once in seven."""
+        mean = np.maximum(self.rate * n * np.exp(-self.decay * np.array(scores, dtype="f8")), 1e-300)
+        return int(((mean < 1) & (mean - 1 - np.log(mean) > 1)).sum())
+
     def score(self, best: float, total: float) -> float:
         a, b, c = self.curve
         return float(1 / (1 + np.exp(-np.clip(a + b * np.log1p(best) + c * np.log1p(total), -35, 35))))
@@ -237,7 +251,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
             out = []
             for text in texts:
                 n, _, found = _scan(text, value)
-                out.append((model.score(*model.evidence(n, found)), sum(model.evidence(n, [s])[0] > 1 for s in found)))
+                out.append((model.score(*model.evidence(n, found)), model.passages(n, found)))
             yield pd.DataFrame(out, columns=["score", "n_passages"])
 
     rows = documents.select("doc_id", score(F.col("text").cast("string")).alias("_s"))
