@@ -162,7 +162,7 @@ class Model:
         return float(each[0]), float(each.max())
 
     def passages(self, n: int, scores: list[float]) -> int:
-        """Segments that chance gives to a text of this length less than about once in seven."""
+        """Segments that chance gives a text of this length in one of three cases at most."""
         mean = np.maximum(self.rate * n * np.exp(-self.decay * np.array(scores, dtype="f8")), 1e-300)
         return int(((mean < 1) & (mean - 1 - np.log(mean) > 1)).sum())
 
