@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -76,16 +77,29 @@ def social_count(value: Column) -> Column:
     return (F.regexp_replace(text, "[万千]$", "").try_cast("double") * unit).try_cast("bigint")
 
 
-def normalize_text(text: Column) -> Column:
-    """Lower case without blanks, hyphens, underscores and slashes (no NFKC folding)."""
-    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\-_/]+", ""))
+# Full-width forms and the ideographic space with their compatible ASCII characters.
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
+_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
+# Characters whose NFKC form is themselves and whose case folds by lower(), sharp s apart.
+_PLAIN = r"[^\x00-\x1B\x20-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF\u3001\u3002\u300A-\u3011\u4E00-\u9FFF]"
 
 
 @F.pandas_udf(StringType())
-def normalize_text_nfkc(text: pd.Series) -> pd.Series:
-    """The exact form, with NFKC and case folding, in Arrow batches."""
-    folded = text.fillna("").map(lambda v: unicodedata.normalize("NFKC", v).strip().casefold())
-    return folded.str.replace(r"[\s\-_/]+", "", regex=True)
+def _folded(text: pd.Series) -> pd.Series:
+    """NFKC and case folding in Arrow batches."""
+    return text.map(lambda v: re.sub(r"[\s\-_/]+", "", unicodedata.normalize("NFKC", v).strip().casefold()) if v is not None else None)
+
+
+def normalize_text(text: Column) -> Column:
+    """NFKC and case folded text without blanks, hyphens, underscores and slashes.
+
+    Full-width characters are translated in the JVM; only texts that still hold
+    other characters with a compatibility form go through Python, the rest is
+    sent there as NULL.
+    """
+    value = F.translate(F.coalesce(text, F.lit("")), _WIDE, _NARROW)
+    simple = F.regexp_replace(F.replace(F.lower(value), F.lit("ß"), F.lit("ss")), r"[\s\-_/]+", "")
+    return F.coalesce(_folded(F.when(value.rlike(_PLAIN), value)), simple)
 
 
 # Fixed value: what counts as a token.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions.classify import contains_any
 from murmur.functions.text import normalize_text
+from murmur.session import checkpointed, written
 
 DISCOVERY_SOURCES = ("zhihu", "xiaohongshu")
 # Words that put a text in a securities context.
@@ -23,11 +24,12 @@ STRONG_BODY_TERMS = (
     "市净率", "财报", "基本面", "净利润", "仓位", "调仓", "建仓", "加仓", "减仓", "清仓", "持仓", "被套", "解套", "北向资金",
     "成交量", "换手率", "k线", "做多", "做空", "收益率", "回撤", "金价", "交易日", "stock", "equity", "share price", "market cap", "portfolio",
 )
+# Fixed value: what a ticker looks like.
 TICKER = r"(?i)(?<![a-z0-9])(?:sh|sz|bj)?[03689]\d{5}(?:\.(?:sh|sz|bj))?(?![a-z0-9])"
 # Confidence by method, in the order in which the steps run.
 STEPS = {"ticker": 1.0, "exact_alias": 0.98, "normalized_alias": 0.98, "collection_query": 0.9, "asset_topic": 0.96}
-# Above this many registry terms the literal list gives way to the gram join.
-LITERAL_TERMS = 2000
+# Characters of a text that one row of the term walk covers, and of a term that are looked up first.
+WALK, HEAD = 64, 3
 
 
 def is_market_text(text: Column, terms=MARKET_TERMS, ticker: str = TICKER) -> Column:
@@ -42,40 +44,45 @@ def is_market_content(title: Column, body: Column, terms=MARKET_TERMS, strong=ST
     return is_market_text(title, terms, ticker) | text.rlike(ticker) | contains_any(F.lower(text), tuple(strong))
 
 
-def occurrences(text: Column, term: Column) -> Column:
-    return F.try_divide(F.length(text) - F.length(F.replace(text, term, F.lit(""))), F.length(term)).cast("int")
+def term_hits(texts: DataFrame, terms: DataFrame, *, key: str = "content_id") -> DataFrame:
+    """Where the terms stand in the texts, one row per (key, field, term).
 
+    ``texts`` holds key, field, text and ``border``, the length of a title at the
+    head of the text; ``terms`` holds field and term. Every text is walked once.
+    The first characters at a place tell which term lengths can begin there (a
+    table with a row per head and length), and the substring of such a length
+    meets the terms in an equi join. Only places, never texts, leave the walk.
 
-def topic_mentioned(title_norm: Column, body_norm: Column, term_norm: Column, strict: Column) -> Column:
-    """The term in the title; in the body once, or twice when strict."""
-    least = F.when(strict, 2).otherwise(1)
-    return (term_norm != "") & (F.contains(title_norm, term_norm) | (occurrences(body_norm, term_norm) >= least))
-
-
-def _grams(text: Column, size: int) -> Column:
-    """Distinct substrings of one length."""
-    last = F.length(text) - size + 1
-    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(size)))))
-
-
-def contained_terms(texts: DataFrame, terms: DataFrame, *, key: str = "content_id", text: str = "text", literal_limit: int = LITERAL_TERMS) -> DataFrame:
-    """(key, term) pairs where the text contains the term.
-
-    Up to ``literal_limit`` terms are counted first and then tested as a literal
-    list in one pass over the texts, without any shuffle. A larger registry
-    takes the other exact way: texts and terms meet on the term's leading
-    grams, and only those candidates are verified.
+    ``in_title`` tells of a hit inside the border; ``body_hit`` of one beyond it
+    and ``body_twice`` of two that do not overlap; ``clean`` of one that no ASCII
+    letter or digit adjoins.
     """
-    known = [r[0] for r in terms.select("term").where(F.col("term") != "").distinct().limit(literal_limit + 1).collect()]
-    if len(known) <= literal_limit:
-        listed = F.array(*[F.lit(t) for t in sorted(known)]) if known else F.array().cast("array<string>")
-        hits = F.filter(listed, lambda t: F.contains(F.col(text), t))
-        return texts.select(key, F.explode(hits).alias("term"))
-    sized = terms.select("term").where(F.col("term") != "").distinct().withColumn("_n", F.least(F.length("term"), F.lit(3)))
-    anchors = sized.select("term", F.col("_n"), F.substring(F.col("term"), F.lit(1), F.col("_n")).alias("_gram"))
-    grams = texts.select(key, F.explode(F.array_compact(F.concat(*[F.coalesce(_grams(F.col(text), n), F.array().cast("array<string>")) for n in (1, 2, 3)]))).alias("_gram"))
-    candidates = grams.join(anchors.select("term", "_gram"), "_gram").select(key, "term")
-    return texts.select(key, text).join(candidates, key).where(F.contains(F.col(text), F.col("term"))).select(key, "term")
+    known = terms.select("field", "term").where(F.col("term") != "").distinct()
+    known = written(known.withColumns({"size": F.length("term"), "head": F.substring("term", 1, HEAD)}))
+    heads = written(known.select("field", "head", "size").distinct())
+    longest = known.select(F.coalesce(F.max("size"), F.lit(0))).scalar()
+    shorter = heads.select(F.sort_array(F.collect_set(F.length("head")))).scalar()
+    whole = texts.where(F.col("text") != "").select(key, "field", "text", "border", longest.alias("_longest"), shorter.alias("_heads"))
+    walk = whole.select("*", F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(WALK))).alias("_from"))
+    # One character more on either side shows the edges.
+    before = F.when(F.col("_from") > 1, F.substring(F.col("text"), F.col("_from") - 1, F.lit(1))).otherwise(" ")
+    window = F.concat(before, F.substring(F.col("text"), F.col("_from"), F.col("_longest") + WALK))
+    last = F.least(F.lit(WALK), F.length("text") - F.col("_from") + 1) + 1
+    walk = walk.select(key, "field", "border", "_heads", "_from", window.alias("_window"), last.alias("_last"))
+    places = walk.select(key, "field", "border", "_heads", "_from", "_window", F.explode(F.sequence(F.lit(2), F.col("_last"))).alias("_i"))
+    places = places.select(key, "field", "border", "_from", "_window", "_i", F.explode("_heads").alias("_h"))
+    places = places.withColumn("head", F.substring(F.col("_window"), F.col("_i"), F.col("_h"))).join(heads, ["field", "head"])
+    term = F.substring(F.col("_window"), F.col("_i"), F.col("size"))
+    edges = F.concat(F.substring(F.col("_window"), F.col("_i") - 1, F.lit(1)), F.substring(F.col("_window"), F.col("_i") + F.col("size"), F.lit(1)))
+    found = places.select(key, "field", "border", term.alias("term"), (F.col("_from") + F.col("_i") - 2).alias("at"), "size", edges.alias("_edges"))
+    found = found.join(known.select("field", "term"), ["field", "term"])
+    body = F.when(F.col("at") > F.col("border"), F.col("at"))
+    return found.groupBy(key, "field", "term").agg(
+        F.max(F.col("at") + F.col("size") - 1 <= F.col("border")).alias("in_title"),
+        F.max(body).isNotNull().alias("body_hit"),
+        F.coalesce(F.max(body) - F.min(body) >= F.max("size"), F.lit(False)).alias("body_twice"),
+        F.max(~F.col("_edges").rlike("[A-Za-z0-9]")).alias("clean"),
+    )
 
 
 def unique_aliases(aliases: DataFrame) -> DataFrame:
@@ -85,39 +92,44 @@ def unique_aliases(aliases: DataFrame) -> DataFrame:
     return norm.join(owned.select("alias_norm"), "alias_norm")
 
 
-def ticker_hits(texts: DataFrame, assets: DataFrame, *, key: str = "content_id", text: str = "text") -> DataFrame:
-    """Tickers in a text that are not part of a longer letter or digit run."""
-    low = texts.select(key, F.lower(text).alias("_low"))
-    found = contained_terms(low, assets.select(F.lower("symbol").alias("term")), key=key, text="_low")
-    edge = F.concat(F.lit("(?<![A-Za-z0-9])"), F.lit("\\Q"), F.col("term"), F.lit("\\E"), F.lit("(?![A-Za-z0-9])"))
-    clean = low.join(found, key).where(F.regexp_like("_low", edge)).select(key, "term")
-    return clean.join(assets.select("asset_id", F.lower("symbol").alias("term")), "term").select(key, "asset_id").distinct()
+def _texts(posts: DataFrame) -> DataFrame:
+    """Two texts of a post: normalised, and lower case as written; the border is the title's length."""
+    title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
+    low = F.lower(F.concat_ws(" ", F.when(title != "", title), F.when(body != "", body)))
+    head = posts.select("content_id", normalize_text(title).alias("_title"), normalize_text(body).alias("_body"), low.alias("_low"))
+    norm = F.struct(F.lit("norm").alias("field"), F.concat("_title", "_body").alias("text"), F.length("_title").alias("border"))
+    raw = F.struct(F.lit("low").alias("field"), F.col("_low").alias("text"), F.lit(0).alias("border"))
+    return head.select("content_id", F.explode(F.array(norm, raw)).alias("t")).select("content_id", "t.*")
 
 
-def asset_matches(texts: DataFrame, assets: DataFrame, aliases: DataFrame, *, key: str = "content_id", text: str = "text") -> DataFrame:
-    """One match per post and asset; a ticker first, else the best unique alias."""
-    tickers = ticker_hits(texts, assets, key=key, text=text).withColumn("method", F.lit("ticker")).withColumn("_rank", F.lit("0"))
-    norm = texts.select(key, normalize_text(F.col(text)).alias("_norm"))
+def registry_terms(assets: DataFrame, aliases: DataFrame, topic_terms: DataFrame) -> DataFrame:
+    """All terms that texts are walked for: (field, term)."""
     usable = unique_aliases(aliases)
-    hits = contained_terms(norm, usable.select(F.col("alias_norm").alias("term")), key=key, text="_norm")
-    verbatim = contained_terms(texts.select(key, F.lower(text).alias("_low")), usable.select(F.lower(F.trim("alias")).alias("term")), key=key, text="_low")
-    exact = verbatim.withColumnRenamed("term", "_alias_low").withColumn("_exact", F.lit(True))
-    named = hits.join(usable.withColumnRenamed("alias_norm", "term"), "term").withColumn("_alias_low", F.lower(F.trim("alias")))
-    named = named.join(exact, [key, "_alias_low"], "left")
+    norm = topic_terms.select(normalize_text(F.col("term")).alias("term")).union(usable.select("alias_norm"))
+    low = assets.select(F.lower("symbol").alias("term")).union(usable.select(F.lower(F.trim("alias"))))
+    return norm.select(F.lit("norm").alias("field"), "term").union(low.select(F.lit("low"), "term"))
+
+
+def asset_matches(hits: DataFrame, assets: DataFrame, aliases: DataFrame) -> DataFrame:
+    """One match per post and asset; a ticker with clean edges first, else the best unique alias."""
+    low, norm = hits.where(F.col("field") == "low"), hits.where(F.col("field") == "norm")
+    tickers = low.where("clean").join(assets.select("asset_id", F.lower("symbol").alias("term")), "term")
+    tickers = tickers.select("content_id", "asset_id", F.lit("ticker").alias("method"), F.lit("0").alias("_rank"))
+    usable = unique_aliases(aliases).withColumn("_alias_low", F.lower(F.trim("alias")))
+    named = norm.select("content_id", F.col("term").alias("alias_norm")).join(usable, "alias_norm")
+    exact = low.select("content_id", F.col("term").alias("_alias_low"), F.lit(True).alias("_exact"))
+    named = named.join(exact, ["content_id", "_alias_low"], "left")
     order = F.concat(F.lit("1"), F.format_string("%010d%06d", F.col("priority"), F.lit(100000) - F.length("alias")), F.col("alias"))
-    named = named.select(key, "asset_id", F.when(F.col("_exact"), "exact_alias").otherwise("normalized_alias").alias("method"), order.alias("_rank"))
-    best = tickers.select(key, "asset_id", "method", "_rank").unionByName(named)
-    return best.groupBy(key, "asset_id").agg(F.min_by("method", "_rank").alias("method"))
+    named = named.select("content_id", "asset_id", F.when(F.col("_exact"), "exact_alias").otherwise("normalized_alias").alias("method"), order.alias("_rank"))
+    return tickers.unionByName(named).groupBy("content_id", "asset_id").agg(F.min_by("method", "_rank").alias("method"))
 
 
-def topic_matches(posts: DataFrame, topic_terms: DataFrame, *, discovery: Column) -> DataFrame:
-    """Posts that mention a topic by slug, name or alias; strict for discovery sources."""
-    norm = posts.select("content_id", normalize_text(F.col("title")).alias("_title"), normalize_text(F.col("body")).alias("_body"), discovery.alias("_strict"))
+def topic_matches(hits: DataFrame, strict: DataFrame, topic_terms: DataFrame) -> DataFrame:
+    """Posts that name a topic in the title, or in the body once, or twice where ``strict`` has the post."""
     terms = topic_terms.select("topic_id", normalize_text(F.col("term")).alias("term")).where(F.col("term") != "").distinct()
-    joined = norm.withColumn("_both", F.concat_ws("\n", "_title", "_body"))
-    hits = contained_terms(joined, terms, text="_both")
-    checked = norm.join(hits, "content_id").where(topic_mentioned(F.col("_title"), F.col("_body"), F.col("term"), F.col("_strict")))
-    return checked.select("content_id", "term").join(terms, "term").select("content_id", "topic_id").distinct()
+    named = hits.where((F.col("field") == "norm") & (F.col("in_title") | F.col("body_hit"))).join(strict.withColumn("_strict", F.lit(True)), "content_id", "left")
+    named = named.where(F.col("in_title") | F.col("_strict").isNull() | F.col("body_twice"))
+    return named.select("content_id", "term").join(terms, "term").select("content_id", "topic_id").distinct()
 
 
 def resolve_entities(
@@ -133,8 +145,9 @@ def resolve_entities(
     """
     discovery = F.col("source").isin(*discovery_sources)
     admitted = posts.where(~discovery | is_market_content(F.col("title"), F.col("body"), terms, strong, ticker))
-    text = F.concat_ws(" ", F.when(F.col("title") != "", F.col("title")), F.when(F.col("body") != "", F.col("body")))
-    found = asset_matches(admitted.select("content_id", text.alias("text")), assets, aliases)
+    # The texts are walked once; hits are few and narrow.
+    hits = checkpointed(term_hits(_texts(admitted), registry_terms(assets, aliases, topic_terms)))
+    found = asset_matches(hits, assets, aliases)
     by_asset = found.select("content_id", F.lit("asset").alias("entity_type"), F.col("asset_id").alias("entity_id"), "method", F.lit(0).alias("step"))
     by_query = admitted.where(~discovery).select("content_id").join(query_topics, "content_id").select(
         "content_id", F.lit("topic").alias("entity_type"), F.col("topic_id").alias("entity_id"), F.lit("collection_query").alias("method"), F.lit(1).alias("step")
@@ -142,7 +155,7 @@ def resolve_entities(
     by_link = found.select("content_id", "asset_id").join(asset_topic.select("asset_id", "topic_id"), "asset_id").select(
         "content_id", F.lit("topic").alias("entity_type"), F.col("topic_id").alias("entity_id"), F.lit("asset_topic").alias("method"), F.lit(2).alias("step")
     )
-    by_name = topic_matches(admitted, topic_terms, discovery=discovery).select(
+    by_name = topic_matches(hits, admitted.where(discovery).select("content_id"), topic_terms).select(
         "content_id", F.lit("topic").alias("entity_type"), F.col("topic_id").alias("entity_id"), F.lit("exact_alias").alias("method"), F.lit(3).alias("step")
     )
     every = by_asset.unionByName(by_query).unionByName(by_link).unionByName(by_name)

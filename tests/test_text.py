@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -78,15 +79,31 @@ def test_entity_steps(spark):
     assert got[7] == {("asset", 1, "ticker"), ("asset", 2, "normalized_alias"), ("topic", 11, "asset_topic")}
 
 
-def test_gram_join_agrees_with_the_literal_list(spark):
+def test_term_walk_agrees_with_brute_force(spark):
     random.seed(1)
-    words = ["ab", "abc", "b", "贵州茅台", "茅台", "cab", "zz", "aab"]
-    texts = [(i, "".join(random.choice("abc贵州茅台z") for _ in range(random.randrange(0, 14)))) for i in range(200)]
-    left, terms = spark.createDataFrame(texts, "content_id long, text string"), spark.createDataFrame([(w,) for w in words], "term string")
-    want = {(i, w) for i, t in texts for w in words if w in t}
-    for limit in (2000, 3):
-        got = [tuple(r) for r in en.contained_terms(left, terms, literal_limit=limit).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+    words = ["ab", "abc", "b", "贵州茅台", "茅台", "cab", "zz", "aab", "a" * 90]
+    texts = [(i, "norm", "".join(random.choice("abc贵州茅台z ") for _ in range(random.randrange(0, 200))) + "a" * random.choice([0, 95]), random.randrange(0, 9)) for i in range(150)]
+    hits = en.term_hits(spark.createDataFrame(texts, "content_id long, field string, text string, border int"), spark.createDataFrame([("norm", w) for w in words] + [("low", "zzz")], "field string, term string"))
+    want = {}
+    for i, _, t, border in texts:
+        for w in words:
+            at = [k for k in range(len(t)) if t.startswith(w, k)]
+            body = [k for k in at if k >= border]
+            if at:
+                alone = any(not re.match("[A-Za-z0-9]", t[k - 1 : k] or " ") and not re.match("[A-Za-z0-9]", t[k + len(w) :] or " ") for k in at)
+                want[i, w] = (any(k + len(w) <= border for k in at), bool(body), bool(body) and body[-1] - body[0] >= len(w), alone)
+    got = hits.collect()
+    assert {(r.content_id, r.term): (r.in_title, r.body_hit, r.body_twice, r.clean) for r in got} == want and len(got) == len(want)
+
+
+def test_wide_text_is_found(spark):
+    assets, aliases, links, terms = _registry(spark)
+    posts = spark.createDataFrame([(1, "x", None, "看好黄金ＥＴＦ和ＧＯＬＤ－ＥＴＦ"), (2, "x", "①ﬁ", "ａｐｐｌｅ　ｉｎｃ")], "content_id long, source string, title string, body string")
+    got = {(r.content_id, r.entity_type, r.entity_id) for r in en.resolve_entities(posts, assets, aliases, links, terms, spark.createDataFrame([], "content_id long, topic_id long")).collect()}
+    assert got == {(1, "topic", 12), (2, "asset", 2)}
+    values = ["①ﬁ Straße", "Ａ－ｂ", "é́", "a\u00a0b", "İ", "ſ", None, ""]
+    folded = spark.createDataFrame([(v,) for v in values], "v string").select(tx.normalize_text(F.col("v")).alias("n")).collect()
+    assert [r.n for r in folded] == [re.sub(r"[\s\-_/]+", "", unicodedata.normalize("NFKC", v or "").strip().casefold()) for v in values]
 
 
 def test_short_text_topic(spark):
