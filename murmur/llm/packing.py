@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,8 @@ from murmur.llm.common import query, table
 
 #: Tokens of a window, longest piece of a rest, windows of a batch, id behind a document.
 CAPACITY, PIECE, WINDOWS, END_ID = 1024, 256, 256, 0
-#: Words a task remembers (about 40 MB), and texts it encodes together.
-WORDS, TEXTS = 250_000, 250
+#: Words a worker remembers (about 70 MB), and texts it encodes together.
+WORDS, TEXTS = 400_000, 250
 #: Sequence ids of a task begin at its number times this.
 IDS_PER_TASK = 1 << 40
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -47,15 +49,16 @@ def encoder(path: str):
 
     A space between two characters that are no white space always begins a new
     pre-token, and a lone line break is one, so texts are cut there and every
-    distinct word is encoded once; the first ``WORDS`` are remembered across
-    batches. A unit is a word behind a space, or behind a line break that it keeps.
+    distinct word is encoded once; the first ``WORDS`` are remembered. A unit is a
+    word behind a space, or behind a line break that it keeps.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     pair, single = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
+    marked = re.compile(r"(\n?[^\W\d_]+)((?:[^\w\s]|_)+)")
     plain = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    tails, line = {c: plain(c) for c in ".,"}, plain("\n")
+    marks, line = {}, plain("\n")
     known: dict[str, bytes] = {}
 
     def units(text: str) -> tuple[str, list[str]]:
@@ -72,41 +75,54 @@ def encoder(path: str):
         for k in range(0, len(groups), 20):
             texts = [between + between.join(g) for g in groups[k : k + 20]]
             for group, found in zip(groups[k : k + 20], tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                ids, of = np.array(found.ids, dtype="<u4"), np.array(found.word_ids)
-                starts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(ids)]
+                ids, of = np.array(found.ids, dtype="<u4").tobytes(), np.array(found.word_ids)
+                starts = [0, *((np.flatnonzero(np.diff(of)) + 1) * 4).tolist(), len(ids)]
                 # Behind a line break every other pre-token is the break itself.
-                step = 1 if between == " " else 2
-                out.update((w, ids[starts[step * i] : starts[step * i + step]].tobytes()) for i, w in enumerate(group))
+                starts = starts if between == " " else starts[::2]
+                out.update((w, ids[a:b]) for w, a, b in zip(group, starts[:-1], starts[1:], strict=True))
         return out
 
     def learn(new: set[str]) -> dict[str, bytes]:
-        """Ids of units; a full stop or comma behind letters is a pre-token of its own."""
-        out: dict[str, bytes] = {}
-        parts = {u: (u[:-1], tails[u[-1]]) if len(u) > 1 and u[-1] in ".," and u[-2].isalpha() else (u, b"") for u in new}
+        """Ids of units; marks at the end of letters are a pre-token of their own."""
+        parts = {}
+        for unit in new:
+            m = marked.fullmatch(unit) if not unit.isalpha() else None
+            parts[unit] = m.groups() if m and m.group(1).lstrip("\n").isalpha() and "<|" not in unit else (unit, "")
+        for mark in {m for _, m in parts.values()}.difference(marks):
+            marks[mark] = plain(mark)
         bases = {base for base, _ in parts.values()}.difference(known)
-        spaced = [b for b in bases if b.isalpha()]
-        broken = [b[1:] for b in bases if b[:1] == "\n" and b[1:].isalpha()]
-        got = letters(spaced, " ")
-        got.update(("\n" + w, ids) for w, ids in letters(broken, "\n").items())
+        got = letters([b for b in bases if b.isalpha()], " ")
+        got.update(("\n" + w, ids) for w, ids in letters([b[1:] for b in bases if b[:1] == "\n" and b[1:].isalpha()], "\n").items())
         for base in bases.difference(got):
             got[base] = line + plain(base[1:]) if base[:1] == "\n" else plain(" " + base)
-        for unit, (base, tail) in parts.items():
-            out[unit] = (got.get(base) or known[base]) + tail
-        return out
+        if len(marks) > WORDS // 10:
+            marks.clear()
+            marks[""] = b""
+            marks.update((m, plain(m)) for _, m in parts.values())
+        return {unit: (got.get(base) or known[base]) + marks[mark] for unit, (base, mark) in parts.items()}
 
     def encode(texts: list[str]) -> list[bytes]:
         cut = [units(t) if t else ("", []) for t in texts]
-        new = set().union(*(rest for _, rest in cut)).difference(known)
-        now = learn(new)
-        full = len(known) >= WORDS
-        if not full:
-            known.update(now)
-        get = (lambda u: known.get(u) or now[u]) if full else known.__getitem__
-        return [(plain(first) if first else b"") + b"".join(map(get, rest)) for first, rest in cut]
+        now = learn(set().union(*(rest for _, rest in cut)).difference(known))
+        over = len(known) >= WORDS
+        known.update(now)
+        out = [(plain(first) if first else b"") + b"".join(map(known.__getitem__, rest)) for first, rest in cut]
+        if over:
+            for unit in now:
+                del known[unit]
+        return out
 
     return encode
 
 
+def remembered(name: str, make):
+    """An object that every task of a Python worker shares, made once in its process."""
+    kept = sys.modules.setdefault("_murmur_worker", ModuleType("_murmur_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def differencing(lengths: list[int], windows: int) -> np.ndarray:
     """Window of each length by Karmarkar-Karp differencing."""
     nodes: list[tuple[int, int, np.ndarray] | None] = [None] * len(lengths)
@@ -152,7 +168,7 @@ def windows_of(lengths: list[int], capacity: int = CAPACITY) -> np.ndarray:
 
 def pack_rows(rows: Iterator[pd.DataFrame], path: str, first_id: int, *, capacity: int = CAPACITY, piece: int = PIECE, windows: int = WINDOWS) -> Iterator[pd.DataFrame]:
     """Pieces of (doc_id, text) batches with their sequences, in batches of about ``windows`` windows."""
-    encode, next_id = encoder(path), first_id
+    encode, next_id = remembered(f"encoder {path}", lambda: encoder(path)), first_id
     end = np.array([END_ID], dtype="<u4").tobytes()
     rests: list[tuple] = []
     size = 0
