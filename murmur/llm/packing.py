@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from murmur.llm.common import query, table
 
 #: Tokens of a window, longest piece of a rest, windows of a batch, id behind a document.
-CAPACITY, PIECE, WINDOWS, END_ID = 1024, 256, 256, 0
+CAPACITY, PIECE, WINDOWS, END_ID = 1024, 256, 128, 0
 #: Words a worker remembers (about 70 MB), and texts it encodes together.
 WORDS, TEXTS = 400_000, 250
 #: Sequence ids of a task begin at its number times this.
@@ -102,15 +102,20 @@ def encoder(path: str):
         return {unit: (got.get(base) or known[base]) + marks[mark] for unit, (base, mark) in parts.items()}
 
     def encode(texts: list[str]) -> list[bytes]:
-        cut = [units(t) if t else ("", []) for t in texts]
-        now = learn(set().union(*(rest for _, rest in cut)).difference(known))
-        over = len(known) >= WORDS
-        known.update(now)
-        out = [(plain(first) if first else b"") + b"".join(map(known.__getitem__, rest)) for first, rest in cut]
-        if over:
-            for unit in now:
-                del known[unit]
-        return out
+        rows, wanted = [], set()
+        for text in texts:
+            first, rest = units(text) if text else ("", [])
+            ids = list(map(known.get, rest))
+            holes = [(i, rest[i]) for i, found in enumerate(ids) if found is None]
+            wanted.update(u for _, u in holes)
+            rows.append((first, ids, holes))
+        now = learn(wanted)
+        if len(known) < WORDS:
+            known.update(now)
+        for _, ids, holes in rows:
+            for i, unit in holes:
+                ids[i] = now[unit]
+        return [(plain(first) if first else b"") + b"".join(ids) for first, ids, _ in rows]
 
     return encode
 
