@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import n, query, secs, table
 from catalog.standins import RAW, raw_links, raw_observations
 from murmur.functions import text as tx
+from murmur.functions.hashing import canonical_json, payload_hash
 from murmur.functions import timeutil as tu
 from murmur.operators import ingest as ig
 from murmur.sources.raw import with_payload
@@ -18,9 +19,22 @@ def _stored(raw):
     return raw.where((F.col("raw_id") % 3 == 0) & (F.col("raw_id") % 2 == 0))
 
 
-@query("x03_payload_hash", f"WITH {RAW} SELECT raw_id, payload_hash FROM hashed")
+_LINE = """'{{"comment":"a b","discount":' || {0} || ',"lines":[' || l_linenumber || ',1.0],"order":' || l_orderkey || ',"price":' || {1} || '}}'"""
+
+
+@query(
+    "x03_payload_hash",
+    f"SELECT l_orderkey, l_linenumber, sha256({_LINE.format('CAST(l_discount AS DOUBLE)', 'CAST(l_extendedprice AS DOUBLE)')}) AS payload_hash FROM lineitem WHERE l_extendedprice < 1e7",
+)
 def x03(spark, sf):
-    return raw_observations(spark, sf).select("raw_id", F.sha2("payload", 256).alias("payload_hash"))
+    """Payloads with names out of order, blanks, and whole and broken numbers, over all line items."""
+    lines = table(spark, sf, "lineitem").where("l_extendedprice < 1e7")
+    price, discount = F.col("l_extendedprice").cast("double").cast("string"), F.col("l_discount").cast("double").cast("string")
+    text = F.concat(
+        F.lit('{"price": '), price, F.lit(', "order":'), F.col("l_orderkey").cast("string"), F.lit(', "lines" : ['), F.col("l_linenumber").cast("string"),
+        F.lit(', 1.0], "discount":'), discount, F.lit(',"comment":"a b"}'),
+    )
+    return lines.select("l_orderkey", "l_linenumber", payload_hash(canonical_json(text)).alias("payload_hash"))
 
 
 @query(
@@ -187,12 +201,13 @@ def x02(spark, sf):
 
 @query(
     "i09_page_bodies",
-    r"""SELECT page_id, octet_length(encode(html)) > 4000 AS body_truncated FROM pages""",
+    f"SELECT page_id, md5(body) AS body_md5, octet_length(encode(html)) > 4000 AS body_truncated FROM ({_HTML_SQL}) JOIN pages USING (page_id)",
 )
 def i09(spark, sf):
+    """Whole bodies of all pages, with the flag of a small limit."""
     from murmur.sources.archive import page_bodies
 
-    return page_bodies(table(spark, sf, "pages"), max_body_bytes=4000).select("page_id", "body_truncated")
+    return page_bodies(table(spark, sf, "pages"), max_body_bytes=4000).select("page_id", F.md5("body").alias("body_md5"), "body_truncated")
 
 
 @query(

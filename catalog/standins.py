@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import table
+from murmur.operators.metrics import METRIC_NAMES
 
 
 @dataclass
@@ -288,6 +289,7 @@ assets AS (SELECT a AS asset_id, CASE WHEN a = 1 THEN NULL ELSE 1 END AS benchma
 def events_cte(threshold: float = 3.0, size: str = "1h") -> str:
     """P20, W08, A16 in SQL, after ``signals``."""
     step = "INTERVAL 1 HOUR" if size == "1h" else "INTERVAL 24 HOUR"
+    metrics = ", ".join(f"'{m}'" for m in METRIC_NAMES)
     return f"""
 strong AS (
   SELECT *, CASE metric_name WHEN 'post_count' THEN 'attention_spike' WHEN 'unique_author_count' THEN 'attention_spike'
@@ -301,7 +303,7 @@ runs AS (
   SELECT *, sum(opens) OVER (PARTITION BY event_type, source, topic_id, asset_id ORDER BY bucket_at, metric_name) AS run FROM flagged),
 events_out AS (
   SELECT event_type, source, topic_id, asset_id, run, min(bucket_at) AS started_at, max(bucket_at) AS ended_at, count(*) AS signal_count,
-    arg_max(row(bucket_at, raw_value, robust_z, percentile, metric_name), row(robust_z, percentile, -epoch(bucket_at), metric_name)) AS peak
+    arg_max(row(bucket_at, raw_value, robust_z, percentile, metric_name), row(robust_z, percentile, -epoch(bucket_at), -list_position([{metrics}], metric_name))) AS peak
   FROM runs GROUP BY ALL),
 sig_events AS (
   SELECT concat_ws('|', event_type, source, coalesce(topic_id::VARCHAR, '-'), coalesce(asset_id::VARCHAR, '-'), '{size}', CAST(epoch(started_at) AS BIGINT)) AS event_key,

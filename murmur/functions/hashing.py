@@ -3,16 +3,39 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLOCK = 64  # bytes in a SHA-256 block
 
 
-def canonical_json(text: Column) -> Column:
-    """JSON text with sorted keys and no blanks; NULL when it is not JSON."""
-    return F.try_parse_json(text).cast("string")
+def canonical_json(text: Column, **defaults: str) -> Column:
+    """JSON text with sorted names, no blanks and numbers as they are; NULL when it is not JSON.
+
+    ``defaults`` fill members of an object that are missing or null. Built-in JSON
+    functions rewrite numbers (1.0 becomes 1), so the text goes through Arrow
+    batches.
+    """
+
+    def one(value: str | None) -> str | None:
+        try:
+            data = json.loads(value) if value is not None else None
+        except ValueError:
+            return None
+        if value is None:
+            return None
+        if isinstance(data, dict):
+            data |= {k: v for k, v in defaults.items() if data.get(k) is None}
+        return json.dumps(data, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+    @F.pandas_udf("string")
+    def column(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return column(text)
 
 
 def payload_hash(text: Column) -> Column:

@@ -6,7 +6,7 @@ Asia/Shanghai calendar days, stored as the UTC instant of local midnight.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SHANGHAI = "Asia/Shanghai"
@@ -132,8 +132,9 @@ def trading_sessions(spark: SparkSession, first_day: str, last_day: str, holiday
     )
     is_open = is_trading_day(F.col("trade_date"), holidays)
     local = F.col("trade_date").cast("timestamp")
-    following = F.first(F.when(F.col("is_open"), F.col("trade_date")), ignorenulls=True).over(
-        _calendar_order().rowsBetween(1, 400)
+    # Read backwards, the last open day so far is the next one.
+    following = F.last(F.when(F.col("is_open"), F.col("trade_date")), ignorenulls=True).over(
+        _calendar_order().rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
         days.withColumn("is_open", is_open)
@@ -145,9 +146,7 @@ def trading_sessions(spark: SparkSession, first_day: str, last_day: str, holiday
 
 
 def _calendar_order():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit("calendar")).orderBy("trade_date")
+    return Window.partitionBy(F.lit("calendar")).orderBy(F.desc("trade_date"))
 
 
 def next_safe_entry(signals: DataFrame, sessions: DataFrame, ts: str = "signal_at") -> DataFrame:

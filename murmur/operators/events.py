@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.timeutil import BUCKET_SECONDS, floor_bucket
+from murmur.operators.metrics import METRIC_NAMES
 from murmur.session import checkpointed
 
 # Which metric raises which kind of event.
@@ -55,7 +56,7 @@ def detect_events(
 
     Signals of one group merge while the next bucket is at most one bucket
     later. The peak is the largest (robust z, percentile); ties go to the
-    earliest bucket. ``event_date`` cuts at the end of that UTC date.
+    earliest bucket, then to the metric listed first. ``event_date`` cuts at the end of that UTC date.
     """
     strong = qualifying(signals, min_robust_z=min_robust_z, min_percentile=min_percentile)
     if event_date is not None:
@@ -67,7 +68,9 @@ def detect_events(
     )
     # Few signals qualify; written once, they serve both events and links.
     runs = checkpointed(runs)
-    peak_order = F.struct(F.col("robust_z"), F.col("percentile"), -F.col("_at"), F.col("metric_name"))
+    # Of equal signals in a bucket the metric that is listed first leads.
+    place = F.array_position(F.array(*[F.lit(m) for m in METRIC_NAMES]), F.col("metric_name"))
+    peak_order = F.struct(F.col("robust_z"), F.col("percentile"), -F.col("_at"), -place)
     peak = F.max_by(F.struct("bucket_at", "raw_value", "robust_z", "percentile", "metric_name"), peak_order)
     started = F.timestamp_seconds("_start")
     key = F.concat_ws(

@@ -201,7 +201,7 @@ def fold_versions(raw: DataFrame, secret: str = "murmur") -> DataFrame:
         last("title"), last("url"), *[last(c) for c in COUNTERS],
         F.max_by("body", F.struct(F.length("body"), F.col("raw_id"))).alias("body"),
         F.min_by("author_hash", F.when(F.col("author_hash").isNotNull(), F.col("raw_id"))).alias("author_hash"),
-        F.max_by("payload_hash", "raw_id").alias("content_hash"), F.count("*").alias("versions"),
+        F.max_by("payload_hash", "raw_id").alias("content_hash"), F.count("*").alias("versions"), F.min("raw_id").alias("first_raw_id"),
         F.coalesce(F.max(F.when(F.col("verified"), F.col("raw_id"))), F.min("raw_id")).alias("_from"),
     )
     times = rows.select(*ITEM, "raw_id", "published").join(state.select(*ITEM, "_from"), ITEM).where(F.col("raw_id") >= F.col("_from"))

@@ -30,15 +30,17 @@ def period_bounds(latest_at: Column, period: str, size: str, from_at: Column | N
 
 def scoped_posts(
     content: DataFrame, content_topic: DataFrame, analysis: DataFrame, *, topic_id: int | None, size: str = "1d",
-    period: str = "latest", from_at: Column | None = None, to_at: Column | None = None,
+    period: str = "latest", from_at: Column | None = None, to_at: Column | None = None, active_topics: DataFrame | None = None,
 ) -> DataFrame:
-    """Visible posts of a topic and period, each with its preferred analysis.
+    """Visible posts of a topic and period, each with its preferred analysis.
 
-    The newest post of any topic sets the clock, as a scalar subquery: it is
+    The newest post of any active topic (of any topic at all without
+    ``active_topics``, which holds topic_id) sets the clock, as a scalar subquery: it is
     computed once on the cluster and never read back to the driver.
     """
     visible = content.where(~F.col("is_deleted"))
-    clock_rows = visible if topic_id is None else visible.join(content_topic.select("content_id").distinct(), "content_id", "left_semi")
+    clocked = content_topic if active_topics is None else content_topic.join(active_topics.select("topic_id"), "topic_id", "left_semi")
+    clock_rows = visible if topic_id is None else visible.join(clocked.select("content_id").distinct(), "content_id", "left_semi")
     latest_at = clock_rows.agg(F.max("published_at").alias("latest_at")).scalar()
     start, end = period_bounds(latest_at, period, size, from_at, to_at)
     rows = visible.where(F.col("published_at") <= end)

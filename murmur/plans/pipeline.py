@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,23 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def stored(self, name: str) -> DataFrame | None:
+        """The table if a stage has written it, asked through Spark's own file system."""
+        try:
+            return self.read(name)
+        except AnalysisException:
+            return None
+
+    def replace(self, name: str, df: DataFrame) -> DataFrame:
+        """Rewrite a table from a frame that reads it: written beside it first, then in its place."""
+        staged = f"{self.path(name)}.next"
+        df.write.mode("overwrite").parquet(staged)
+        return self.write(name, self.spark.read.parquet(staged))
+
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        tables.append(df, self.path(name))
+        return self.read(name)
+
     def write(self, name: str, df: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
         """Replace a table; ``by`` names its partition columns, so readers skip what they do not need."""
         writer = df.write.mode("overwrite")
@@ -46,51 +64,73 @@ class Store:
         return self.read(name)
 
 
-def normalise(raw: DataFrame, links: DataFrame, *, secret: str) -> tuple[DataFrame, DataFrame]:
-    """(posts, attention points) from raw versions; ids are stable hashes of the item."""
-    folded = ig.fold_versions(raw, secret)
+def normalise(raw: DataFrame, stored: DataFrame | None, *, secret: str) -> DataFrame:
+    """state of the posts that have versions the stored state does not know.
+
+    Only those posts are folded, over all their versions. Known posts keep their
+    id; new ones are numbered after the largest stored id in order of arrival.
+    """
+    rows = raw
+    if stored is not None:
+        changed = ig.pending_versions(raw, stored).select(*ig.ITEM)
+        rows = raw.join(changed, ig.ITEM, "left_semi")
+    folded = tables.numbered(ig.fold_versions(rows, secret), stored, ig.ITEM, "content_id", ["first_raw_id", *ig.ITEM])
     content = folded.select(
-        F.xxhash64("source", "source_item_id").alias("content_id"), "source", "source_item_id", "kind", F.xxhash64("source", "author_hash").alias("_author"), "author_hash",
+        "content_id", "source", "source_item_id", "kind", F.xxhash64("source", "author_hash").alias("_author"), "author_hash",
         "published_at", "title", "body", "url", "likes", "favorites", "comments", "shares", "views", "content_hash", F.lit(False).alias("is_deleted"),
-    ).withColumn("author_id", F.when(F.col("author_hash").isNotNull(), F.col("_author"))).drop("_author")
-    return content, ig.trend_points(ig.route(raw), links)
+    )
+    return content.withColumn("author_id", F.when(F.col("author_hash").isNotNull(), F.col("_author"))).drop("_author")
 
 
 def rule_analyses(content: DataFrame, content_topic: DataFrame, topics: DataFrame, stored: DataFrame | None = None, **options) -> DataFrame:
-    """A rule-based row for every open target; the text is classified once per post."""
+    """A rule-based row for every open target; the text is classified once per post.
+
+    Stored analyses of any model stay; new rows are numbered after the largest id.
+    """
     targets = wl.analysis_targets(content, content_topic, topics)
     versions = {"model": "rule-based-v0", "prompt_version": "content-analysis-v1", "schema_version": "content-analysis-v1"}
     rows = targets.withColumns({k: F.lit(v) for k, v in versions.items()})
     if stored is not None:
         rows = tables.insert_absent(rows, stored, wl.ANALYSIS_KEY)
     labels = classify(content.select("content_id", "title", "body"), **options).select("content_id", "analysis.*")
-    ident = F.xxhash64(*wl.ANALYSIS_KEY).alias("analysis_id")
-    return rows.join(labels, "content_id").select(ident, "*")
+    made = rows.join(labels, "content_id").withColumn("_topic", F.coalesce("topic_id", F.lit(-1)))
+    top = F.lit(0) if stored is None else stored.select(F.coalesce(F.max("analysis_id"), F.lit(0)).cast("long")).scalar()
+    made = tables.numbered(made, None, [], "analysis_id", ["content_id", "_topic"])
+    return made.select((F.col("analysis_id") + top).cast("long").alias("analysis_id"), *[c for c in made.columns if c not in ("analysis_id", "_topic")])
 
 
 def run_core(
     store: Store, *, secret: str, bucket_sizes: tuple[str, ...] = ("1h", "1d"), min_robust_z: float = 3.0, resolver: dict | None = None,
 ) -> dict[str, DataFrame]:
-    """normalise, resolve, cluster, analyse, aggregate, detect, evaluate and rate, stage by stage."""
+    """normalise, resolve, cluster, analyse, aggregate, detect, evaluate and rate, stage by stage.
+
+    A later run folds, resolves and analyses only posts with new versions, and
+    leaves stored analyses alone; sums over buckets are made anew from them.
+    """
     raw, raw_links = store.read("raw_observation"), store.read("raw_observation_topic")
     assets, asset_topic = store.read("asset"), store.read("asset_topic")
     topics, topic_terms, aliases = store.read("topic"), store.read("topic_term"), store.read("asset_alias")
-    content, trends = normalise(raw, raw_links, secret=secret)
-    out = {"content": store.write("content", content), "trend_observation": store.write("trend_observation", trends)}
-    content = out["content"]
+    stored, entities, analyses = store.stored("content"), store.stored("content_entity"), store.stored("content_analysis")
+    changed = store.write("content_changed", normalise(raw, stored, secret=secret))
+    content = store.write("content", changed) if stored is None else store.replace("content", tables.upsert(changed, stored, ["content_id"]))
+    out = {"content": content, "trend_observation": store.write("trend_observation", ig.trend_points(ig.route(raw), raw_links))}
     active = topics.where(F.col("status") == "active")
     queries = raw.select("raw_id", "source", "source_item_id").join(raw_links, "raw_id").join(active.select("topic_id"), "topic_id", "left_semi")
-    queries = content.select("content_id", "source", "source_item_id").join(queries, ["source", "source_item_id"]).select("content_id", "topic_id").distinct()
-    out["content_entity"] = store.write(
-        "content_entity", en.resolve_entities(content, assets, aliases, asset_topic.join(active.select("topic_id"), "topic_id", "left_semi"), topic_terms.join(active.select("topic_id"), "topic_id", "left_semi"), queries, **(resolver or {}))
+    queries = changed.select("content_id", "source", "source_item_id").join(queries, ["source", "source_item_id"]).select("content_id", "topic_id").distinct()
+    found = store.write(
+        "content_entity_changed", en.resolve_entities(changed, assets, aliases, asset_topic.join(active.select("topic_id"), "topic_id", "left_semi"), topic_terms.join(active.select("topic_id"), "topic_id", "left_semi"), queries, **(resolver or {}))
     )
-    entity = out["content_entity"]
+    if entities is None:
+        entity = store.write("content_entity", found)
+    else:
+        entity = store.replace("content_entity", entities.join(changed.select("content_id"), "content_id", "left_anti").unionByName(found))
+    out["content_entity"] = entity
     content_topic = entity.where(F.col("entity_type") == "topic").select("content_id", F.col("entity_id").alias("topic_id"))
     content_asset = entity.where(F.col("entity_type") == "asset").select("content_id", F.col("entity_id").alias("asset_id"))
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("body"))
     out["content_cluster_member"] = store.write("content_cluster_member", nd.cluster_contents(content.select("content_id", nd.simhash(text).alias("fingerprint"))))
-    out["content_analysis"] = store.write("content_analysis", rule_analyses(content, content_topic, active))
-    analysis = out["content_analysis"]
+    analysis = store.append("content_analysis", rule_analyses(content, content_topic, active, analyses))
+    out["content_analysis"] = analysis
     out["trend_signal"] = store.write("trend_signal", tr.trend_signals(out["trend_observation"]))
     metrics = None
     for size in bucket_sizes:
@@ -111,11 +151,16 @@ def run_core(
 def rebuild(store: Store, *, secret: str, **options) -> tuple[dict[str, DataFrame], DataFrame]:
     """drop posts that never should have been made, then recompute every derived table.
 
-    Tables are rewritten in full; the counts of removed rows are returned.
+    The repaired tables are written first, so removed posts, analyses and links
+    are gone for good; the counts of removed rows are returned.
     """
     names = ("raw_observation", "content", "content_analysis", "content_entity", "content_cluster_member")
-    _, counts = rb.remove_snapshot_content({name: store.read(name) for name in names})
+    kept, counts = rb.remove_snapshot_content({name: store.read(name) for name in names})
     counts = store.write("rebuild_counts", counts)
+    # All repairs are staged before the first table is replaced, because they read each other.
+    staged = {name: store.write(f"{name}.repaired", kept[name]) for name in names[1:]}
+    for name, df in staged.items():
+        store.write(name, df)
     return run_core(store, secret=secret, **options), counts
 
 
@@ -148,7 +193,7 @@ def review_results(answers: DataFrame, rows: DataFrame) -> tuple[DataFrame, Data
     return wl.review(flat.join(rows, "content_id")), invalid.drop("c"), unreadable
 
 
-def enrich_from_archive(content: DataFrame, state: DataFrame, captures: DataFrame, pages: DataFrame, *, crawl_id: str, since: Column, until: Column, now: Column, limit: int, max_body_bytes: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def enrich_from_archive(content: DataFrame, state: DataFrame, captures: DataFrame, pages: DataFrame, *, crawl_id: str, since: Column, until: Column, now: Column, limit: int, max_body_bytes: int = archive.MAX_BODY_BYTES) -> tuple[DataFrame, DataFrame]:
     """(posts with filled bodies, new lookup states) from landed captures and pages."""
     queue = archive.lookup_queue(content, state, crawl_id=crawl_id, since=since, until=until, now=now, limit=limit)
     found = queue.join(archive.newest_capture(captures), "url", "left")

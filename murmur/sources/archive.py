@@ -10,6 +10,8 @@ from murmur.functions.timeutil import compact_instant
 
 CAPTURE_SCHEMA = "url STRING, timestamp STRING, digest STRING, filename STRING, offset BIGINT, length BIGINT, status STRING, mime STRING"
 BODY_LENGTH_TO_REPLACE = 80
+# Bytes at which a fetched page counts as incomplete.
+MAX_BODY_BYTES = 5 * 1024 * 1024
 FINISHED = ("no_capture", "complete")
 
 
@@ -36,12 +38,9 @@ def newest_capture(captures: DataFrame, tie: str | None = None) -> DataFrame:
     return captures.groupBy("url").agg(F.max_by(F.struct(*rest), order).alias("_c")).select("url", "_c.*")
 
 
-def page_bodies(pages: DataFrame, *, html: str = "html", max_body_bytes: int = 2_000_000) -> DataFrame:
-    """Page text, cut at a byte limit of the body, with a flag."""
-    data = F.encode(F.col(html), "UTF-8")
-    cut = F.octet_length(data) > max_body_bytes
-    body = F.when(cut, F.decode(F.substring(data, 1, max_body_bytes), "UTF-8")).otherwise(F.col(html))
-    return pages.withColumn("body", html_to_text(body)).withColumn("body_truncated", cut)
+def page_bodies(pages: DataFrame, *, html: str = "html", max_body_bytes: int = MAX_BODY_BYTES) -> DataFrame:
+    """Text of the whole page; the flag tells that the page is over the fetch limit, nothing is cut here."""
+    return pages.withColumn("body", html_to_text(F.col(html))).withColumn("body_truncated", F.octet_length(html) > max_body_bytes)
 
 
 def lookup_queue(content: DataFrame, state: DataFrame, *, crawl_id: str, since: Column, until: Column, now: Column, limit: int) -> DataFrame:

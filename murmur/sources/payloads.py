@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmur.functions.hashing import canonical_json
 from murmur.functions.text import html_texts, html_to_text, kind_slug, looks_truncated, social_count, whole_number
 from murmur.functions.timeutil import compact_day, epoch_instant, epoch_or_text_instant, parse_instant
 
@@ -84,9 +85,7 @@ def observations(items: DataFrame, *, kind: str = "forum_post", observed_at: Col
     field = lambda names: F.coalesce(*[_text(F.col("_v"), f"$.{n}") for n in names])
     ident, stated = field(ID_NAMES), field(TIME_NAMES)
     own_kind = _text(F.col("_v"), "$.observation_kind")
-    added = F.create_map(F.lit("observation_kind"), F.lit(kind).cast("variant"))
-    whole = F.parse_json(F.to_json(F.map_concat(F.from_json(F.col(item), "map<string,variant>"), added))).cast("string")
-    payload = F.when(F.try_variant_get(F.col("_v"), "$.observation_kind", "variant").isNull(), whole).otherwise(F.col("_v").cast("string"))
+    payload = canonical_json(F.col(item), observation_kind=kind)
     shaped = rows.select(
         *[c for c in items.columns if c not in (item, "position")], ident.alias("source_item_id"), F.coalesce(own_kind, F.lit(kind)).alias("observation_kind"),
         parse_instant(stated).alias("published_at"), observed_at.alias("observed_at"), payload.alias("payload"), stated.alias("_stated"),
@@ -218,7 +217,7 @@ DETAIL_SCHEMA = (
 
 
 def note_details(responses: DataFrame, *, response: str = "response", query: str = "query") -> tuple[DataFrame, DataFrame]:
-    """Note detail envelopes: human counts, at most ten sample comments; failures keep their code."""
+    """Note detail envelopes: human counts, all comments as samples; failures keep their code."""
     v = F.try_parse_json(response)
     keep = [c for c in responses.columns if c != response]
     rows = responses.withColumn("_v", v)
@@ -231,7 +230,7 @@ def note_details(responses: DataFrame, *, response: str = "response", query: str
     rows = rows.withColumn("_title", html_to_text(n("title")))
     published = epoch_instant(n("time"))
     body = F.coalesce(_filled(html_to_text(F.coalesce(_filled(n("desc")), n("description")))), _filled(F.col("_title")))
-    samples = html_texts(F.transform(F.slice(F.col("r.comments.list"), 1, 10), lambda c: F.coalesce(c["content"], F.lit(""))))
+    samples = html_texts(F.transform(F.col("r.comments.list"), lambda c: F.coalesce(c["content"], F.lit(""))))
     fields = {
         "id": ident, "observation_kind": F.lit("xiaohongshu_note"), "published_at": _iso(published), "updated_at": _iso(published), "timestamp_semantics": F.lit("published"),
         "source_timestamp_field": F.lit("note.time"), "source_timezone": F.lit("unix_epoch_utc"), "title": _filled(F.col("_title")), "body": body,

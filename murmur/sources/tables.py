@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmur.operators.ordering import running_total
+
 # Derived tables are laid out by bucket size and day, so a re-run of some days
 # replaces exactly those days and readers prune to the days they need.
 DAY = "part_day"
@@ -46,6 +48,22 @@ def upsert(df: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_new").alias("_r")).select(*keys, "_r.*").select(*stored.columns)
 
 
+def numbered(df: DataFrame, stored: DataFrame | None, keys: list[str], ident: str, order: list[str]) -> DataFrame:
+    """Stored ids of known keys; new keys are numbered after the largest one in ``order``.
+
+    Keys must not be NULL and ``order`` must be total over the new keys. Numbers
+    are given in parts, so no task sees all new rows.
+    """
+    if stored is None:
+        known, fresh, top = None, df, F.lit(0).cast("long")
+    else:
+        ids = stored.select(*keys, ident)
+        known, fresh = df.join(ids, keys), df.join(ids, keys, "left_anti")
+        top = stored.select(F.coalesce(F.max(ident), F.lit(0)).cast("long")).scalar()
+    given = running_total(fresh, [], order, before="_before", total="_total").withColumn(ident, F.col("_before") + 1 + top).drop("_before", "_total")
+    return given if known is None else known.select(*given.columns).unionByName(given)
+
+
 def export_json(df: DataFrame, path: str) -> None:
     """One JSON object per row; instants as ISO text."""
     df.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX").json(path)

@@ -62,6 +62,30 @@ def test_core_chain_and_repairs(spark, tmp_path, at):
     assert {r.table: r.removed for r in counts.collect()}["signal_event"] == tables["signal_event"].count()
 
 
+def test_later_runs_equal_one_full_run_and_keep_analyses(spark, tmp_path, at):
+    whole, grown = build(spark, tmp_path / "whole", at), build(spark, tmp_path / "grown", at)
+    raw = whole.read("raw_observation")
+    grown.write("raw_observation", raw.where("raw_id <= 30"))
+    pp.run_core(grown, secret="k", bucket_sizes=("1d",))
+    reviewed = grown.read("content_analysis").where("content_id = 1").limit(1)
+    better = reviewed.withColumns({"analysis_id": F.lit(5000).cast("long"), "model": F.lit("reviewed"), "intent": F.lit("sell")})
+    grown.append("content_analysis", spark.createDataFrame(better.collect(), better.schema))
+    grown.write("raw_observation", raw)
+    second = pp.run_core(grown, secret="k", bucket_sizes=("1d",))
+    once = pp.run_core(whole, secret="k", bucket_sizes=("1d",))
+    for name, columns in (("content", "*"), ("content_entity", "*"), ("trend_observation", "*"), ("platform_metric", "bucket_at, source, topic_id, post_count, engagement_sum")):
+        left, right = (t[name].selectExpr(*(columns.split(", ") if columns != "*" else once[name].columns)) for t in (second, once))
+        assert left.exceptAll(right).count() == 0 and right.exceptAll(left).count() == 0, name
+    kept = second["content_analysis"]
+    assert [r.intent for r in kept.where("analysis_id = 5000").collect()] == ["sell"]
+    assert kept.count() == once["content_analysis"].count() + 1 and kept.select("analysis_id").distinct().count() == kept.count()
+    bad = second["content"].limit(1).withColumns({"content_id": F.lit(777).cast("long"), "source": F.lit("zhihu"), "source_item_id": F.lit("z1")})
+    grown.append("content", spark.createDataFrame(bad.collect(), bad.schema))
+    again, counts = pp.rebuild(grown, secret="k", bucket_sizes=("1d",))
+    assert {r.table: r.removed for r in counts.collect()}["content"] == 1 and again["content"].where("content_id = 777").count() == 0
+    assert again["content_analysis"].where("analysis_id = 5000").count() == 1
+
+
 def test_market_sync_isolates_broken_assets(spark, at):
     def landed(asset, *lines):
         return (asset, "CN", "stock", "Asia/Shanghai", json.dumps({"data": {"klines": list(lines)}}))

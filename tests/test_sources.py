@@ -66,7 +66,7 @@ def test_forum_qa_and_notes(spark):
     pages = responses(spark, {"data": {"data": {"note": note, "comments": {"list": [{"content": f"c{i}"} for i in range(12)]}}}}, {"success": False, "code": "rate_limited"}, {"data": {"x": 1}}, query="q")
     good, bad = pl.note_details(pages)
     got = payload(good.first())
-    assert got["likes"] == 12000 and got["body"] == "body" and len(got["sample_comments"]) == 10 and got["url"].endswith("/explore/n1")
+    assert got["likes"] == 12000 and got["body"] == "body" and len(got["sample_comments"]) == 12 and got["url"].endswith("/explore/n1")
     assert sorted(r.issue for r in bad.collect()) == ["no_note", "upstream:rate_limited"]
     renamed = pl.renamed_note(items(spark, {"note_id": "n2", "time": 1751328000, "title": "T", "user": {"user_id": "v"}, "interact_info": {"share_count": "3千"}})).withColumn("query", F.lit("q"))
     got = payload(pl.note_details(renamed)[0].first())
