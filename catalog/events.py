@@ -195,18 +195,19 @@ def j20(spark, sf):
 @query(
     "r07_event_payloads",
     _DAILY_EVENTS + f", {BARS}, {RETURNS}" + """
-    SELECT e.event_key, e.signal_count AS metric_rows, count(p.event_key) AS return_rows, count(p.raw_return) AS mature_rows,
-      string_agg(DISTINCT p.horizon, ',' ORDER BY p.horizon) AS horizons
-    FROM sig_events e LEFT JOIN paid p USING (event_key) GROUP BY ALL""",
+    , shown AS (SELECT e.event_key, string_agg(CAST(epoch(r.bucket_at) AS BIGINT) || '/' || metric_name || '/' || CAST(floor(raw_value * 1000 + 0.37) AS BIGINT), ';' ORDER BY r.bucket_at, metric_name) AS metrics
+      FROM sig_events e JOIN runs r ON e.event_type = r.event_type AND e.source = r.source AND e.run = r.run AND e.topic_id IS NOT DISTINCT FROM r.topic_id AND e.asset_id IS NOT DISTINCT FROM r.asset_id GROUP BY 1)
+    SELECT e.event_key, any_value(s.metrics) AS metrics,
+      coalesce(string_agg(p.asset_id || '/' || horizon || '/' || coalesce(CAST(floor(raw_return * 1000000 + 0.37) AS BIGINT)::VARCHAR, '-'), ';' ORDER BY p.asset_id, horizon) FILTER (p.event_key IS NOT NULL), '') AS returns
+    FROM sig_events e JOIN shown s USING (event_key) LEFT JOIN (SELECT event_key, asset_id, horizon, raw_return FROM paid) p USING (event_key) GROUP BY 1""",
 )
 def r07(spark, sf):
     events, links, returns = daily_returns(spark, sf)
-    paid = F.coalesce("returns", F.array())
-    horizons = F.array_join(F.array_sort(F.array_distinct(F.transform("returns", lambda r: r["horizon"]))), ",")
-    return ev.event_payloads(events, links, returns).select(
-        "event_key", n(F.size("metrics"), "metric_rows"), n(F.greatest(F.size("returns"), F.lit(0)), "return_rows"),
-        n(F.coalesce(F.size(F.filter("returns", lambda r: r["raw_return"].isNotNull())), F.lit(0)), "mature_rows"), horizons.alias("horizons"),
-    )
+    number = lambda c, scale: F.floor(c * scale + 0.37).cast("string")
+    metric = lambda m: F.concat_ws("/", F.unix_seconds(m["bucket_at"]).cast("string"), m["metric_name"], number(m["raw_value"], 1000))
+    paid = lambda r: F.concat_ws("/", r["asset_id"].cast("string"), r["horizon"], F.coalesce(number(r["raw_return"], 1000000), F.lit("-")))
+    shown = ev.event_payloads(events, links, returns)
+    return shown.select("event_key", F.array_join(F.transform("metrics", metric), ";").alias("metrics"), F.coalesce(F.array_join(F.transform("returns", paid), ";"), F.lit("")).alias("returns"))
 
 
 @query(

@@ -15,6 +15,11 @@ from murmur.sources.raw import with_payload
 _S = "CAST(floor(epoch({0})) AS BIGINT) AS {1}"
 
 
+def _pad(byte: int) -> str:
+    """The inner or outer key block of the pseudonym's HMAC as a blob literal."""
+    return "".join(f"\\x{b ^ byte:02x}" for b in b"murmur".ljust(64, b"\0"))
+
+
 def _stored(raw):
     return raw.where((F.col("raw_id") % 3 == 0) & (F.col("raw_id") % 2 == 0))
 
@@ -144,12 +149,11 @@ def x30(spark, sf):
 
 @query(
     "f04_authors",
-    f"""WITH {RAW} SELECT source, count(*) AS authors, sum(seen) AS raw_rows FROM (SELECT source, user_id, count(*) AS seen FROM raw GROUP BY ALL) GROUP BY 1""",
+    f"""WITH {RAW} SELECT source, sha256('{_pad(0x5C)}'::BLOB || unhex(sha256('{_pad(0x36)}'::BLOB || encode(source || ':' || user_id)))) AS author_hash,
+    {_S.format('arg_min(observed_at, raw_id)', 'first_seen_at')}, {_S.format('max(observed_at)', 'last_seen_at')} FROM raw GROUP BY source, user_id""",
 )
 def f04(spark, sf):
-    raw = raw_observations(spark, sf)
-    found = ig.authors(raw).groupBy("source").agg(F.count("*").alias("authors"))
-    return found.join(raw.groupBy("source").agg(F.count("*").alias("raw_rows")), "source")
+    return ig.authors(raw_observations(spark, sf)).select("source", "author_hash", secs("first_seen_at"), secs("last_seen_at"))
 
 
 _CERTIFIED = {"click": {"timestamp_semantics": "published"}, "view": {"timestamp_semantics": "published"}}

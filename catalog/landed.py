@@ -317,7 +317,7 @@ def p09(spark, sf):
 def p11(spark, sf):
     k, day = F.col("k"), F.add_months(F.col("o_orderdate").cast("date"), 240)
     named = F.concat(F.month(day).cast("string"), F.lit("月"), F.dayofmonth(day).cast("string"), F.lit("日"))
-    year = F.when(k % 6 == 0, F.year(day)).otherwise(F.lit(2019))
+    year = F.when(k % 6 == 0, F.year(day)).otherwise(F.lit(2050))
     body = F.when(k % 6 <= 1, F.concat(F.lit("如何看待"), year.cast("string"), F.lit("年"), named)).when(k % 6 == 2, F.lit("nothing")).otherwise(F.concat(F.lit("看"), named))
     edited = F.date_format(F.date_add(day, F.when(k % 6 == 3, F.lit(6)).otherwise(F.lit(60))), "yyyy-MM-dd")
     session = F.when(k % 6 != 5, F.date_format(day, "yyyy-MM-dd"))

@@ -72,7 +72,8 @@ def o06(spark, sf):
     "r06_asset_prices",
     f"""WITH {BARS}, link AS (SELECT a * 2 AS link_id, a AS asset_id, a AS topic_id FROM range(1, 7) r(a) UNION ALL SELECT a * 2 + 1, a, a % 8 + 1 FROM range(1, 7) r(a)),
     pos AS (SELECT 3 AS topic_id, 2 AS asset_id, 0 AS position)
-    SELECT l.topic_id, l.asset_id, row_number() OVER (PARTITION BY l.topic_id ORDER BY position NULLS LAST, link_id) AS rank, count(b.ts) AS bars, count(b.ts) > 0 AS has_price_data
+    SELECT l.topic_id, l.asset_id, row_number() OVER (PARTITION BY l.topic_id ORDER BY position NULLS LAST, link_id) AS rank, count(b.ts) > 0 AS has_price_data,
+      coalesce(string_agg(CAST(epoch(b.ts) AS BIGINT) || '/' || CAST(floor(b.close * 1000 + 0.37) AS BIGINT), ';' ORDER BY b.ts), '') AS history
     FROM link l LEFT JOIN pos USING (topic_id, asset_id) LEFT JOIN bars b ON b.asset_id = l.asset_id AND b.ts >= TIMESTAMP '1990-01-01' AND b.ts < TIMESTAMP '2010-01-01' GROUP BY l.topic_id, l.asset_id, position, link_id""",
 )
 def r06(spark, sf):
@@ -80,7 +81,8 @@ def r06(spark, sf):
     bars = market_bars(spark, sf).withColumn("bar_id", F.xxhash64("asset_id", "ts"))
     bounds = {"start": F.lit("1990-01-01").cast("timestamp"), "end": F.lit("2010-01-01").cast("timestamp")}
     rows = rd.asset_prices(asset_topic(spark), assets(spark), bars, order=order, **bounds)
-    return rows.select("topic_id", "asset_id", n("rank"), n(F.coalesce(F.size("price_history"), F.lit(0)), "bars"), "has_price_data")
+    bar = lambda b: F.concat_ws("/", F.unix_seconds(b["ts"]).cast("string"), F.floor(b["close"] * 1000 + 0.37).cast("string"))
+    return rows.select("topic_id", "asset_id", n("rank"), "has_price_data", F.coalesce(F.array_join(F.transform("price_history", bar), ";"), F.lit("")).alias("history"))
 
 
 @query(

@@ -175,13 +175,21 @@ def event_contents(links: DataFrame, content: DataFrame, content_topic: DataFram
     """The newest posts behind each event, each post once, at most ``limit``.
 
     A post lies in ``[bucket, bucket + size)`` exactly when its own bucket is
-    that bucket, so the range join is an equi join. ``row_number <= limit``
-    lets Spark keep only ``limit`` rows per event and task before the shuffle.
+    that bucket, so the range join is an equi join. Only the ``limit`` newest
+    posts of a bucket can be shown, so each bucket is cut to them before it meets
+    its events; Spark applies ``row_number <= limit`` in every task first.
     """
     posts = content.select("content_id", "source", "published_at", floor_bucket(F.col("published_at"), size).alias("bucket_at"))
+
+    def newest(rows: DataFrame, *keys: str) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy(F.desc("published_at"), F.desc("content_id"))
+        return rows.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= limit).drop("_i")
+
     buckets = links.where(F.col("bucket_size") == size).select("event_key", "source", "topic_id", "bucket_at").distinct()
-    scoped = buckets.where(F.col("topic_id").isNotNull()).join(posts.join(content_topic, "content_id"), ["source", "bucket_at", "topic_id"])
-    loose = buckets.where(F.col("topic_id").isNull()).drop("topic_id").join(posts, ["source", "bucket_at"])
+    scoped = buckets.where(F.col("topic_id").isNotNull()).join(
+        newest(posts.join(content_topic, "content_id"), "source", "bucket_at", "topic_id"), ["source", "bucket_at", "topic_id"]
+    )
+    loose = buckets.where(F.col("topic_id").isNull()).drop("topic_id").join(newest(posts, "source", "bucket_at"), ["source", "bucket_at"])
     found = scoped.select("event_key", "bucket_at", "content_id", "published_at").unionByName(
         loose.select("event_key", "bucket_at", "content_id", "published_at")
     )
