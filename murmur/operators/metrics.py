@@ -137,19 +137,23 @@ def with_baseline(rows: DataFrame, *, min_samples: int = 14) -> DataFrame:
     """Z, robust z and percentile of ``raw_value`` against the values in ``_frame``.
 
     Reads ``raw_value``, ``_frame``, ``_mean`` and ``_std``. Constant frames have
-    no spread: z and robust z stay NULL. The robust z uses the median and 1.4826
-    times the median absolute deviation. Each step is a column of its own, so
-    arrays are sorted as primitive doubles in generated code and never twice;
-    ``array_position`` in the descending array counts the larger values.
+    no spread: z and robust z stay NULL, and nothing is sorted for them. The
+    robust z uses the median and 1.4826 times the median absolute deviation. Each
+    step is a column of its own, so arrays are sorted as primitive doubles in
+    generated code and never twice; ``array_position`` in the descending array
+    counts the larger values.
     """
     current, n = F.col("raw_value"), F.size("_frame")
     enough = n >= min_samples
-    ordered = rows.withColumn("_sorted", F.when(enough, F.sort_array("_frame")))
+    low = F.array_min("_frame")
+    varied = enough & (low < F.array_max("_frame"))
+    ordered = rows.withColumn("_varied", varied).withColumn("_sorted", F.when(F.col("_varied"), F.sort_array("_frame")))
     above = F.array_position(F.sort_array(F.array_append("_frame", current), asc=False), current) - 1
-    medians = ordered.select("*", array_median(F.col("_sorted")).alias("_med"), F.when(enough, above).alias("_above"))
+    level = F.when(low > current, n).otherwise(0)
+    medians = ordered.select("*", array_median(F.col("_sorted")).alias("_med"), F.when(F.col("_varied"), above).when(enough, level).alias("_above"))
     distance = lambda v: F.coalesce(F.abs(v - F.col("_med")), F.lit(0.0))
     spread = medians.withColumn("_dev", F.sort_array(F.transform("_sorted", distance))).withColumn("_mad", array_median(F.col("_dev")))
-    varied = F.get("_sorted", F.lit(0)) < F.get("_sorted", n - 1)
+    varied = F.col("_varied")
     signal = F.struct(
         F.when(enough & varied & (F.col("_std") > 0), (current - F.col("_mean")) / F.col("_std")).alias("zscore"),
         F.when(F.col("_mad") > 0, (current - F.col("_med")) / (1.4826 * F.col("_mad"))).alias("robust_z"),
