@@ -52,14 +52,15 @@ def average_rank(counts: DataFrame, keys: list[str], value: str, weight: str, ou
     return placed.select(*keys, value, (F.col("_b") + (F.col("_n") + 1) / 2).alias(out), F.col("_t").alias("_rows"))
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+def spearman(df: DataFrame, keys: list[str], x: str, y: str, ranks_x: DataFrame | None = None) -> DataFrame:
     """Rank correlation per key; under two pairs NULL, without variance 0.
 
     Equal pairs are counted first, so heavy ties shrink before any shuffle of
-    rows, and ranks are computed on distinct values only.
+    rows, and ranks are computed on distinct values only. ``ranks_x`` hands over
+    mid ranks that an earlier ordering has given already.
     """
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("_w"))
-    ranks_x = average_rank(pairs, keys, x, "_w", "_rx")
+    ranks_x = average_rank(pairs, keys, x, "_w", "_rx") if ranks_x is None else ranks_x
     ranks_y = average_rank(pairs, keys, y, "_w", "_ry").drop("_rows")
 
     def attach(rows: DataFrame, ranks: DataFrame, on: list[str]) -> DataFrame:
@@ -79,10 +80,13 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return sums.select(*keys, "pairs", value.alias("spearman"))
 
 
+def _quintile() -> Column:
+    return (F.least(F.lit(4), F.floor(F.col("_b") * 5 / F.col("_t"))).cast("int") + 1).alias("quintile")
+
+
 def quintiles(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Bucket ``min(4, floor(i * 5 / n)) + 1`` over rows in order; not ``ntile``."""
-    placed = running_total(df, keys, order, before="_b", total="_t")
-    return placed.withColumn("quintile", F.least(F.lit(4), F.floor(F.col("_b") * 5 / F.col("_t"))).cast("int") + 1).drop("_b", "_t")
+    return running_total(df, keys, order, before="_b", total="_t").select(*df.columns, _quintile())
 
 
 def reference_assets(topics: DataFrame, asset_topic: DataFrame, configured: DataFrame | None = None) -> DataFrame:
@@ -149,13 +153,15 @@ def quantile_study(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     study = ["topic_id", "metric_name"]
     rows = checkpointed(rows)
     usable = rows.where(F.col("market_abnormal_return").isNotNull())
-    placed = quintiles(usable.select(*study, "raw_value", "event_key", "bucket_at", "market_abnormal_return"), study, ["raw_value", "event_key", "bucket_at"])
-    buckets = summarize(placed, [*study, "quintile"], "market_abnormal_return")
+    # One ordering by the metric gives the buckets and the ranks of the correlation.
+    placed = running_total(usable.select(*study, "raw_value", "event_key", "bucket_at", "market_abnormal_return"), study, ["raw_value", "event_key", "bucket_at"], before="_b", total="_t")
+    buckets = summarize(placed.select(*study, "market_abnormal_return", _quintile()), [*study, "quintile"], "market_abnormal_return")
+    ranks = placed.where(F.col("raw_value").isNotNull()).groupBy(*study, "raw_value").agg((F.min("_b") + (F.count("*") + 1) / 2).alias("_rx"), F.max("_t").alias("_rows"))
     counts = rows.groupBy(*study).agg(
         F.countDistinct("event_key").alias("linked_events"), F.count("has_return").alias("return_rows"),
         F.count("raw_return").alias("raw_mature"), F.count("market_abnormal_return").alias("abnormal_mature"),
     )
-    correlation = spearman(usable, study, "raw_value", "market_abnormal_return")
+    correlation = spearman(usable, study, "raw_value", "market_abnormal_return", ranks)
     status = (
         F.when(F.col("linked_events") == 0, "no_signals").when(F.col("return_rows") == 0, "awaiting_entry")
         .when(F.col("raw_mature") == 0, "awaiting_maturity").when(F.col("abnormal_mature") == 0, "benchmark_unavailable").otherwise("ready")
