@@ -128,7 +128,9 @@ def run_core(
     content_topic = entity.where(F.col("entity_type") == "topic").select("content_id", F.col("entity_id").alias("topic_id"))
     content_asset = entity.where(F.col("entity_type") == "asset").select("content_id", F.col("entity_id").alias("asset_id"))
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("body"))
-    out["content_cluster_member"] = store.write("content_cluster_member", nd.cluster_contents(content.select("content_id", nd.simhash(text).alias("fingerprint"))))
+    members = store.stored("content_cluster_member")
+    grouped = nd.cluster_contents(changed.select("content_id", nd.simhash(text).alias("fingerprint")), stored=members)
+    out["content_cluster_member"] = store.append("content_cluster_member", grouped)
     analysis = store.append("content_analysis", rule_analyses(content, content_topic, active, analyses))
     out["content_analysis"] = analysis
     out["trend_signal"] = store.write("trend_signal", tr.trend_signals(out["trend_observation"]))
