@@ -27,7 +27,7 @@ PREFIXES, PREFIX_MARK = (3, 4, 5, 6, 7, 8), 0x5BD1E995
 #: Weight of the prior, standard errors a log-odds must be away from 0, and what each token costs.
 PRIOR, SURE, COST = 0.02, 1.5, 0.2
 #: Least toxic documents with a feature; words a task remembers.
-LEAST, WORDS = 2, 200_000
+LEAST, WORDS = 2, 400_000
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
 
@@ -79,15 +79,19 @@ def _document_counts(texts: DataFrame, wanted: np.ndarray | None = None) -> tupl
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def forms(word: str) -> tuple[int, list[int]]:
+        # Words without a wanted bucket share one value, which keeps the memory small.
+        nothing = [(n, ()) for n in range(len(PREFIXES) + 2)]
+
+        def forms(word: str) -> tuple[int, tuple[int, ...]]:
             found = _buckets(word)
-            return len(found), found if wanted is None else [b for b in found if wanted[b]]
+            kept = tuple(found) if wanted is None else tuple(b for b in found if wanted[b])
+            return (len(found), kept) if kept else nothing[len(found)]
 
         of, sums = _Remembered(forms), np.zeros((2, BUCKETS + 1), dtype="i8")
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 known = [of[word] for word in set(WORD.findall(text.lower()))] if text else []
-                found = set().union(*(b for _, b in known))
+                found = set().union(*(b for _, b in known if b))
                 sums[int(toxic)][np.fromiter(found, dtype="i8", count=len(found))] += 1
                 sums[int(toxic)][BUCKETS] += sum(n for n, _ in known)
         seen = np.flatnonzero(sums.any(axis=0) & (True if wanted is None else np.append(wanted, True)))
