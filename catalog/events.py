@@ -10,6 +10,7 @@ from catalog.standins import BARS, DAILY_DENSE, HOURLY_DENSE, RETURNS, asset_top
 from murmur.functions import timeutil as tu
 from murmur.operators import events as ev
 from murmur.operators import market as mk
+from murmur.operators import reads as rd
 from murmur.operators.metrics import metric_signals
 
 _HOURLY_EVENTS = f"WITH {HOURLY_DENSE}, {metrics_cte()}, {signals_cte()}, {events_cte(3.0, '1h')}"
@@ -119,8 +120,7 @@ def u07(spark, sf):
 )
 def r09(spark, sf):
     d = ev.detect_diffusion(daily_events(spark, sf)[0])
-    page = d.orderBy(F.desc("started_at"), F.asc_nulls_first("topic_id"), F.asc_nulls_first("asset_id")).limit(200)
-    return page.select(n("topic_id"), n("asset_id"), secs("started_at"), n("platform_count"))
+    return rd.diffusion_list(d).select(n("topic_id"), n("asset_id"), secs("started_at"), n("platform_count"))
 
 
 @query(

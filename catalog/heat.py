@@ -8,6 +8,7 @@ from catalog.base import n, query, r6, secs, table
 from catalog.standins import BARS, DAILY, HOURLY, TRENDS, asset_topic, daily, heat_cte, hourly, market_bars, trend_observations
 from murmur.functions.timeutil import shanghai_date
 from murmur.operators import heat as ht
+from murmur.operators import reads as rd
 from murmur.operators import trends as tr
 
 _STATS = ("attention", "post_count", "comment_count", "unique_author_count", "source_count", "analyzed_count", "retail_count",
@@ -49,8 +50,7 @@ def a04(spark, sf):
 
 @query("a05_topic_series", f"WITH {DAILY}, {heat_cte()} SELECT {_AT}, {', '.join(_STATS)} FROM indexed WHERE topic_id = 3 ORDER BY bucket_at DESC LIMIT 500")
 def a05(spark, sf):
-    series = _stats(spark, sf).where(F.col("topic_id") == 3).orderBy(F.desc("bucket_at")).limit(500)
-    return series.select(secs("bucket_at"), *[n(c) for c in _STATS])
+    return rd.topic_series(_stats(spark, sf), 3).select(secs("bucket_at"), *[n(c) for c in _STATS])
 
 
 @query("x17_daily_heat", f"WITH {DAILY}, {heat_cte()} SELECT topic_id, {_AT}, heat_index, index_confidence FROM heat")
@@ -120,15 +120,8 @@ def a23(spark, sf):
     " FROM preferred JOIN content_topic ct ON ct.content_id = preferred.content_id AND ct.topic_id = pair_topic GROUP BY 1",
 )
 def o07(spark, sf):
-    """Topics by buy intent; one row per topic enters the window."""
-    from pyspark.sql import Window
-
-    from murmur.operators.analysis import content_filter, preferred_analyses
-
     d = hourly(spark, sf)
-    counts = preferred_analyses(d.content_topic, d.analysis).groupBy("topic_id").agg(F.sum(content_filter("buy").cast("long")).alias("buy_intent_count"))
-    order = Window.partitionBy(F.lit("topics")).orderBy(F.desc("buy_intent_count"), "topic_id")
-    return counts.withColumn("position", n(F.row_number().over(order)))
+    return rd.topic_ranking(d.content_topic, d.analysis).select("topic_id", F.col("posts").alias("buy_intent_count"), n("position"))
 
 
 _TREND_SQL = (

@@ -238,6 +238,25 @@ def a10(spark, sf):
     return rows.select("source", n("raw_observation_count"), n("content_count"), secs("last_observed_at"), n("trend_observation_count"), n("trend_signal_count"))
 
 
+@query(
+    "r12_source_report",
+    _QUALITY + """, q AS (SELECT source, metric_name FROM (UNPIVOT w ON COLUMNS(* EXCLUDE (source)) INTO NAME metric_name VALUE v) QUALIFY row_number() OVER (PARTITION BY source ORDER BY metric_name) <= 4),
+    arch AS (SELECT string_agg(o_orderstatus || ':' || n || '/' || c, ',' ORDER BY o_orderstatus) AS t FROM (SELECT o_orderstatus, count(*) AS n, count(*) FILTER (o_orderkey % 2 = 0) AS c FROM orders GROUP BY 1))
+    SELECT name AS source, (SELECT count(*) FROM raw WHERE raw.source = name) AS raw_observation_count, (SELECT string_agg(metric_name, ',' ORDER BY metric_name) FROM q WHERE q.source = name) AS quality,
+      CASE WHEN name = 'click' THEN (SELECT t FROM arch) END AS archive FROM (SELECT DISTINCT event_type AS name FROM events)""",
+)
+def r12(spark, sf):
+    """Status, newest quality and archive lookups in one read; orders stand in for the lookups of one source."""
+    d, raw, obs = hourly(spark, sf), raw_observations(spark, sf), trend_observations(spark, sf)
+    dims = _source_dim(spark, sf)
+    figures = ql.source_quality(dims, raw, d.content, d.content_asset, d.analysis).withColumn("metric_date", F.lit("2024-01-31").cast("date"))
+    lookups = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("2024-01-31").cast("timestamp")).alias("checked_at"))
+    status = ql.source_status(dims.select("source"), raw, d.content, obs, tr.trend_signals(obs))
+    rows = ql.status_report(status, figures, lookups, archive_source="click", per_source=4)
+    looked = F.transform("archive", lambda a: F.concat(a["status"], F.lit(":"), a["lookups"].cast("string"), F.lit("/"), a["checked"].cast("string")))
+    return rows.select("source", n("raw_observation_count"), F.array_join(F.transform("quality", lambda q: q["metric_name"]), ",").alias("quality"), F.array_join(looked, ",").alias("archive"))
+
+
 @query("a20_publication_histogram", "SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, count(*) AS items FROM events GROUP BY 1")
 def a20(spark, sf):
     return ql.publication_histogram(table(spark, sf, "events"), "ts")
@@ -278,11 +297,8 @@ def a19(spark, sf):
 
 @query("r14_listings", "SELECT p_brand AS market, p_partkey AS symbol, row_number() OVER (ORDER BY p_brand, p_partkey) AS position FROM part")
 def r14(spark, sf):
-    """A dimension in listing order, positions taken in parts."""
-    from murmur.operators.ordering import running_total
-
     rows = table(spark, sf, "part").select(F.col("p_brand").alias("market"), F.col("p_partkey").alias("symbol"))
-    return running_total(rows, [], ["market", "symbol"]).select("market", "symbol", (F.col("before") + 1).alias("position"))
+    return rd.listing(rows, ["market", "symbol"])
 
 
 @query(

@@ -38,14 +38,37 @@ def entity_keys(content: DataFrame, content_topic: DataFrame, content_asset: Dat
     )
 
 
+def counters() -> dict[str, Column]:
+    """The counters of a bucket but for its authors, as sums over rows with ``analysis`` and ``_engagement``.
+
+    Promotion and spam leave the sentiment counters but stay in exposure; bullish
+    and bearish do not ask for retail.
+    """
+    retail = is_retail()
+    clean = F.coalesce(~F.col("analysis.promotion") & ~F.col("analysis.spam"), F.lit(False))
+    count = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("long"))
+    return {
+        "post_count": count(~is_comment(F.col("kind"))),
+        "comment_count": count(is_comment(F.col("kind"))),
+        "retail_count": count(retail),
+        "novice_count": count(retail & (F.col("analysis.investor_level") == "novice")),
+        "bullish_count": count(clean & (F.col("analysis.direction") == "bullish")),
+        "bearish_count": count(clean & (F.col("analysis.direction") == "bearish")),
+        "buy_intent_count": count(retail & (F.col("analysis.intent") == "buy")),
+        "sell_intent_count": count(retail & (F.col("analysis.intent") == "sell")),
+        "fomo_count": count(retail & (F.col("analysis.fomo_flags") >= 3)),
+        "panic_count": count(retail & F.col("analysis.panic")),
+        "engagement_sum": F.sum("_engagement"),
+    }
+
+
 def platform_metrics(
     content: DataFrame, content_topic: DataFrame, content_asset: DataFrame, asset_topic: DataFrame,
     analysis: DataFrame, *, size: str = "1h", since: Column | None = None, until: Column | None = None,
 ) -> DataFrame:
     """Twelve counters per (bucket, source, topic, asset); ``until`` is inclusive.
 
-    Deleted posts stay in (P21). Promotion and spam leave the sentiment
-    counters but stay in exposure; bullish and bearish do not ask for retail.
+    Deleted posts stay in (P21).
     """
     if since is not None:
         content = content.where(F.col("published_at") >= since)
@@ -60,22 +83,8 @@ def platform_metrics(
     )
     pairs = keyed.withColumn("topic_id", F.explode_outer("topics")).withColumn("asset_id", F.explode_outer("assets"))
     rows = pairs.withColumn("analysis", pick_effective(F.col("topic_id")))
-    retail = is_retail()
-    clean = F.coalesce(~F.col("analysis.promotion") & ~F.col("analysis.spam"), F.lit(False))
-    count = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("long"))
     return rows.groupBy("bucket_at", *METRIC_KEYS).agg(
-        count(~is_comment(F.col("kind"))).alias("post_count"),
-        count(is_comment(F.col("kind"))).alias("comment_count"),
-        F.countDistinct("author_id").alias("unique_author_count"),
-        count(retail).alias("retail_count"),
-        count(retail & (F.col("analysis.investor_level") == "novice")).alias("novice_count"),
-        count(clean & (F.col("analysis.direction") == "bullish")).alias("bullish_count"),
-        count(clean & (F.col("analysis.direction") == "bearish")).alias("bearish_count"),
-        count(retail & (F.col("analysis.intent") == "buy")).alias("buy_intent_count"),
-        count(retail & (F.col("analysis.intent") == "sell")).alias("sell_intent_count"),
-        count(retail & (F.col("analysis.fomo_flags") >= 3)).alias("fomo_count"),
-        count(retail & F.col("analysis.panic")).alias("panic_count"),
-        F.sum("_engagement").alias("engagement_sum"),
+        F.countDistinct("author_id").alias("unique_author_count"), *[value.alias(name) for name, value in counters().items()],
     ).withColumn("bucket_size", F.lit(size))
 
 

@@ -129,6 +129,15 @@ def source_status(sources: DataFrame, raw: DataFrame, content: DataFrame, trends
     return rows.fillna(0, ["raw_observation_count", "content_count", "trend_observation_count", "trend_signal_count"])
 
 
+def status_report(status: DataFrame, quality: DataFrame, archive: DataFrame, *, archive_source: str, per_source: int = 20) -> DataFrame:
+    """Status rows with their newest quality figures and, at the archive source, its lookups by status."""
+    newest = latest_quality(quality, per_source).groupBy("source").agg(
+        F.array_sort(F.collect_list(F.struct("position", "metric_date", "metric_name", "metric_value"))).alias("quality")
+    )
+    lookups = archive_status(archive).agg(F.array_sort(F.collect_list(F.struct("status", "lookups", "checked"))).alias("archive")).select(F.lit(archive_source).alias("source"), "archive")
+    return status.join(newest, "source", "left").join(lookups, "source", "left")
+
+
 def archive_status(state: DataFrame) -> DataFrame:
     """A10: archive lookups by status."""
     return state.groupBy("status").agg(F.count("*").alias("lookups"), F.count("checked_at").alias("checked"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.timeutil import bucket_seconds, floor_bucket, shanghai_date
-from murmur.operators.analysis import CONTENT_FILTERS, content_filter, effective_by_content, engagement, pick_effective
+from murmur.operators.analysis import CONTENT_FILTERS, content_filter, effective_by_content, engagement, pick_effective, preferred_analyses
 from murmur.operators.ordering import running_total
 
 # How many buckets each named period reaches back.
@@ -80,6 +80,30 @@ def post_page(posts: DataFrame, *, name: str = "all", limit: int = 30, offset: i
     )
 
 
+def topic_series(stats: DataFrame, topic_id: int, limit: int = 500) -> DataFrame:
+    """The newest days of one topic."""
+    return stats.where(F.col("topic_id") == topic_id).orderBy(F.desc("bucket_at")).limit(limit)
+
+
+def diffusion_list(diffusion: DataFrame, limit: int = 200) -> DataFrame:
+    """The newest diffusions, those without topic or asset first among equals."""
+    return diffusion.orderBy(F.desc("started_at"), F.asc_nulls_first("topic_id"), F.asc_nulls_first("asset_id")).limit(limit)
+
+
+def topic_ranking(content_topic: DataFrame, analysis: DataFrame, name: str = "buy") -> DataFrame:
+    """Topics by the posts a filter keeps; only one row per topic is ordered."""
+    kept = F.sum(content_filter(name).cast("long")).alias("posts")
+    counts = preferred_analyses(content_topic, analysis).groupBy("topic_id").agg(kept)
+    ranked = running_total(counts.withColumn("_order", -F.coalesce("posts", F.lit(0))), [], ["_order", "topic_id"], before="_b", total="_t")
+    return ranked.select("topic_id", "posts", (F.col("_b") + 1).alias("position"))
+
+
+def listing(rows: DataFrame, order: list[str]) -> DataFrame:
+    """A dimension in listing order; positions are taken in parts."""
+    placed = running_total(rows, [], order, before="_b", total="_t")
+    return placed.withColumn("position", F.col("_b") + 1).drop("_b", "_t")
+
+
 def bounded_evidence(posts: DataFrame, *, name: str = "all", limit: int = 200) -> tuple[DataFrame, DataFrame]:
     """(evidence rows, total / returned / truncated) for a bundle."""
     wanted = posts.where(content_filter(name))
