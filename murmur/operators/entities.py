@@ -61,8 +61,11 @@ def term_hits(texts: DataFrame, terms: DataFrame, *, key: str = "content_id") ->
     known = written(known.withColumns({"size": F.length("term"), "head": F.substring("term", 1, HEAD)}))
     heads = written(known.select("field", "head", "size").distinct())
     longest = known.select(F.coalesce(F.max("size"), F.lit(0))).scalar()
-    shorter = heads.select(F.sort_array(F.collect_set(F.length("head")))).scalar()
-    whole = texts.where(F.col("text") != "").select(key, "field", "text", "border", longest.alias("_longest"), shorter.alias("_heads"))
+    shorter = heads.select(F.collect_set(F.struct("field", F.length("head").alias("n")))).scalar()
+    whole = texts.where(F.col("text") != "").select(key, "field", "text", "border", longest.alias("_longest"), shorter.alias("_all"))
+    # Fields without a term are not walked.
+    own = F.transform(F.filter("_all", lambda h: h["field"] == F.col("field")), lambda h: h["n"])
+    whole = whole.withColumn("_heads", own).drop("_all").where(F.size("_heads") > 0)
     walk = whole.select("*", F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(WALK))).alias("_from"))
     # One character more on either side shows the edges.
     before = F.when(F.col("_from") > 1, F.substring(F.col("text"), F.col("_from") - 1, F.lit(1))).otherwise(" ")
@@ -145,17 +148,18 @@ def resolve_entities(
     """
     discovery = F.col("source").isin(*discovery_sources)
     admitted = posts.where(~discovery | is_market_content(F.col("title"), F.col("body"), terms, strong, ticker))
-    # The texts are walked once; hits are few and narrow.
+    # The texts are read twice: for the admitted ids, and for the walk, whose hits are narrow.
+    marks = checkpointed(admitted.select("content_id", discovery.alias("strict")))
     hits = checkpointed(term_hits(_texts(admitted), registry_terms(assets, aliases, topic_terms)))
     found = asset_matches(hits, assets, aliases)
     by_asset = found.select("content_id", F.lit("asset").alias("entity_type"), F.col("asset_id").alias("entity_id"), "method", F.lit(0).alias("step"))
-    by_query = admitted.where(~discovery).select("content_id").join(query_topics, "content_id").select(
+    by_query = marks.where(~F.col("strict")).select("content_id").join(query_topics, "content_id").select(
         "content_id", F.lit("topic").alias("entity_type"), F.col("topic_id").alias("entity_id"), F.lit("collection_query").alias("method"), F.lit(1).alias("step")
     )
     by_link = found.select("content_id", "asset_id").join(asset_topic.select("asset_id", "topic_id"), "asset_id").select(
         "content_id", F.lit("topic").alias("entity_type"), F.col("topic_id").alias("entity_id"), F.lit("asset_topic").alias("method"), F.lit(2).alias("step")
     )
-    by_name = topic_matches(hits, admitted.where(discovery).select("content_id"), topic_terms).select(
+    by_name = topic_matches(hits, marks.where("strict").select("content_id"), topic_terms).select(
         "content_id", F.lit("topic").alias("entity_type"), F.col("topic_id").alias("entity_id"), F.lit("exact_alias").alias("method"), F.lit(3).alias("step")
     )
     every = by_asset.unionByName(by_query).unionByName(by_link).unionByName(by_name)
