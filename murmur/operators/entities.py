@@ -91,8 +91,12 @@ def term_hits(texts: DataFrame, terms: DataFrame, *, key: str = "content_id") ->
 def unique_aliases(aliases: DataFrame) -> DataFrame:
     """Normalised aliases that belong to exactly one asset."""
     norm = aliases.withColumn("alias_norm", normalize_text(F.col("alias"))).where(F.col("alias_norm") != "")
-    owned = norm.groupBy("alias_norm").agg(F.countDistinct("asset_id").alias("_owners")).where(F.col("_owners") == 1)
-    return norm.join(owned.select("alias_norm"), "alias_norm")
+    named = norm.groupBy("alias_norm").agg(F.collect_set("asset_id").alias("_owners"), F.collect_list(F.struct(*aliases.columns)).alias("_rows"))
+    return named.where(F.size("_owners") == 1).select("alias_norm", F.inline("_rows"))
+
+
+def normalized_topics(topic_terms: DataFrame) -> DataFrame:
+    return topic_terms.select("topic_id", normalize_text(F.col("term")).alias("term")).where(F.col("term") != "").distinct()
 
 
 def _texts(posts: DataFrame) -> DataFrame:
@@ -105,21 +109,19 @@ def _texts(posts: DataFrame) -> DataFrame:
     return head.select("content_id", F.explode(F.array(norm, raw)).alias("t")).select("content_id", "t.*")
 
 
-def registry_terms(assets: DataFrame, aliases: DataFrame, topic_terms: DataFrame) -> DataFrame:
-    """All terms that texts are walked for: (field, term)."""
-    usable = unique_aliases(aliases)
-    norm = topic_terms.select(normalize_text(F.col("term")).alias("term")).union(usable.select("alias_norm"))
+def registry_terms(assets: DataFrame, usable: DataFrame, topics: DataFrame) -> DataFrame:
+    """All terms that texts are walked for: (field, term); ``usable`` are unique aliases, ``topics`` normalised terms."""
+    norm = topics.select("term").union(usable.select("alias_norm"))
     low = assets.select(F.lower("symbol").alias("term")).union(usable.select(F.lower(F.trim("alias"))))
     return norm.select(F.lit("norm").alias("field"), "term").union(low.select(F.lit("low"), "term"))
 
 
-def asset_matches(hits: DataFrame, assets: DataFrame, aliases: DataFrame) -> DataFrame:
+def asset_matches(hits: DataFrame, assets: DataFrame, usable: DataFrame) -> DataFrame:
     """One match per post and asset; a ticker with clean edges first, else the best unique alias."""
     low, norm = hits.where(F.col("field") == "low"), hits.where(F.col("field") == "norm")
     tickers = low.where("clean").join(assets.select("asset_id", F.lower("symbol").alias("term")), "term")
     tickers = tickers.select("content_id", "asset_id", F.lit("ticker").alias("method"), F.lit("0").alias("_rank"))
-    usable = unique_aliases(aliases).withColumn("_alias_low", F.lower(F.trim("alias")))
-    named = norm.select("content_id", F.col("term").alias("alias_norm")).join(usable, "alias_norm")
+    named = norm.select("content_id", F.col("term").alias("alias_norm")).join(usable.withColumn("_alias_low", F.lower(F.trim("alias"))), "alias_norm")
     exact = low.select("content_id", F.col("term").alias("_alias_low"), F.lit(True).alias("_exact"))
     named = named.join(exact, ["content_id", "_alias_low"], "left")
     order = F.concat(F.lit("1"), F.format_string("%010d%06d", F.col("priority"), F.lit(100000) - F.length("alias")), F.col("alias"))
@@ -127,12 +129,11 @@ def asset_matches(hits: DataFrame, assets: DataFrame, aliases: DataFrame) -> Dat
     return tickers.unionByName(named).groupBy("content_id", "asset_id").agg(F.min_by("method", "_rank").alias("method"))
 
 
-def topic_matches(hits: DataFrame, strict: DataFrame, topic_terms: DataFrame) -> DataFrame:
+def topic_matches(hits: DataFrame, strict: DataFrame, topics: DataFrame) -> DataFrame:
     """Posts that name a topic in the title, or in the body once, or twice where ``strict`` has the post."""
-    terms = topic_terms.select("topic_id", normalize_text(F.col("term")).alias("term")).where(F.col("term") != "").distinct()
     named = hits.where((F.col("field") == "norm") & (F.col("in_title") | F.col("body_hit"))).join(strict.withColumn("_strict", F.lit(True)), "content_id", "left")
     named = named.where(F.col("in_title") | F.col("_strict").isNull() | F.col("body_twice"))
-    return named.select("content_id", "term").join(terms, "term").select("content_id", "topic_id").distinct()
+    return named.select("content_id", "term").join(topics, "term").select("content_id", "topic_id").distinct()
 
 
 def resolve_entities(
@@ -150,8 +151,9 @@ def resolve_entities(
     admitted = posts.where(~discovery | is_market_content(F.col("title"), F.col("body"), terms, strong, ticker))
     # The texts are read twice: for the admitted ids, and for the walk, whose hits are narrow.
     marks = checkpointed(admitted.select("content_id", discovery.alias("strict")))
-    hits = checkpointed(term_hits(_texts(admitted), registry_terms(assets, aliases, topic_terms)))
-    found = asset_matches(hits, assets, aliases)
+    usable, topics = written(unique_aliases(aliases)), written(normalized_topics(topic_terms))
+    hits = checkpointed(term_hits(_texts(admitted), registry_terms(assets, usable, topics)))
+    found = checkpointed(asset_matches(hits, assets, usable))
     by_asset = found.select("content_id", F.lit("asset").alias("entity_type"), F.col("asset_id").alias("entity_id"), "method", F.lit(0).alias("step"))
     by_query = marks.where(~F.col("strict")).select("content_id").join(query_topics, "content_id").select(
         "content_id", F.lit("topic").alias("entity_type"), F.col("topic_id").alias("entity_id"), F.lit("collection_query").alias("method"), F.lit(1).alias("step")
@@ -159,7 +161,7 @@ def resolve_entities(
     by_link = found.select("content_id", "asset_id").join(asset_topic.select("asset_id", "topic_id"), "asset_id").select(
         "content_id", F.lit("topic").alias("entity_type"), F.col("topic_id").alias("entity_id"), F.lit("asset_topic").alias("method"), F.lit(2).alias("step")
     )
-    by_name = topic_matches(hits, marks.where("strict").select("content_id"), topic_terms).select(
+    by_name = topic_matches(hits, marks.where("strict").select("content_id"), topics).select(
         "content_id", F.lit("topic").alias("entity_type"), F.col("topic_id").alias("entity_id"), F.lit("exact_alias").alias("method"), F.lit(3).alias("step")
     )
     every = by_asset.unionByName(by_query).unionByName(by_link).unionByName(by_name)
