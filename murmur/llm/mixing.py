@@ -44,7 +44,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     """
     ranked = running_total(sizes.withColumn("_last", F.col("source").isNull()), [], ["_last", "source"], before="_place", total="_n")
     place = (F.col("_place") % len(weights) + 1).cast("int")
-    ranked = checkpointed(ranked.select("source", "source_size", F.element_at(F.array(*[F.lit(w) for w in weights]), place).alias("_w")))
+    ranked = ranked.select("source", "source_size", F.element_at(F.array(*[F.lit(w) for w in weights]), place).alias("_w"))
     cap, level, rounds = F.col("source_size") * epochs, 0.0, 0
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     capped = -1
