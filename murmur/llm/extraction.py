@@ -297,8 +297,11 @@ def label(pages: list[list[Block]], model: Labeller, paths: dict, hashes: dict[s
 
 def fit(pages: DataFrame) -> Labeller:
     """A labeller from at most ``SAMPLE`` pages (smallest id digests) of ordinary length, the same on every run."""
-    rows = pages.where(F.length("html") <= 20_000).select("page_id", F.col("html").cast("string").alias("html"))
-    return train([r["html"] for r in rows.orderBy(F.xxhash64("page_id"), "html").limit(SAMPLE).collect()])
+    short = pages.where((F.length("html") <= 20_000) & F.col("page_id").isNotNull())
+    ids = short.select(F.col("page_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+    # At most SAMPLE ids go out and SAMPLE pages come back, whatever the number of tasks.
+    chosen = short.select("page_id", F.col("html").cast("string").alias("html")).join(F.broadcast(ids), F.col("page_id") == F.col("_id"), "left_semi")
+    return train([r["html"] for r in chosen.groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect()])
 
 
 def extracted(pages: DataFrame, model: Labeller) -> DataFrame:
