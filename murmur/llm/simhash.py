@@ -29,8 +29,8 @@ from murmur.session import checkpointed
 
 #: Seed of the shingle hash, rows of a block, rows of a batch, planes between two looks at the radius.
 SEED, BLOCK, BATCH, LOOK = 42, 2048, 1 << 16, 16
-#: Bytes of a node before its fingerprint.
-RANK = 9
+#: Bytes of a node before its fingerprint, and parts that the links of a node are dealt to.
+RANK, SALTS = 9, 16
 
 
 def fingerprint(text: Column, shingle: int = 3, bits: int = 64) -> Column:
@@ -241,16 +241,20 @@ def components(edges: DataFrame) -> DataFrame:
     nodes, with sums of the links telling when nothing changes any more.
     """
     now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+
+    def with_least(links: DataFrame, low: DataFrame) -> DataFrame:
+        """Each link with the least neighbour of its u; the links of a busy node are dealt to ``SALTS`` parts."""
+        salted = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        return salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"])
+
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = print_of(now)
     while before[0]:
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = with_least(both, both.groupBy("u").agg(F.min("v").alias("m"))).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         # Links now lead from larger to smaller nodes.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = with_least(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         now = checkpointed(small)
         after = print_of(now)
         if after == before:
