@@ -74,3 +74,18 @@ def test_entry_runs(spark):
 def test_no_cross_joins(spark, name):
     text = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_functions_reach_workers_without_the_package(tmp_path):
+    """A session started from another folder, whose workers cannot import the package."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(entry.__file__).resolve().parent)
+    code = (
+        f"import sys; sys.path.insert(0, {root!r}); import __spark_entry__ as e; from murmur.session import local_session; s = local_session('2');"
+        f"print([e.queries()[q](s, {SF!r}).count() for q in ('x01_html_to_text', 'x12_normalized_text', 'j14_near_duplicates')])"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("[50, 200, 200]"), done.stderr[-800:]
