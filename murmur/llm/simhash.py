@@ -73,12 +73,6 @@ def exact_keys(bits: int, radius: int, spare: int = 3) -> list[list[int]]:
     return [sum(chosen, []) for chosen in combinations(blocks, spare)]
 
 
-def sampled_keys(bits: int, key_bits: int, tables: int) -> list[list[int]]:
-    """Fixed pseudo-random bit choices for radii that blocks cannot serve."""
-    draw = np.random.default_rng(SEED)
-    return [sorted(draw.choice(bits, key_bits, replace=False).tolist()) for _ in range(tables)]
-
-
 def _bit_matrix(prints: list[bytes] | np.ndarray, bits: int) -> np.ndarray:
     raw = np.frombuffer(b"".join(prints), dtype="u1").reshape(-1, bits // 8)
     return np.unpackbits(raw, axis=1)
@@ -299,24 +293,22 @@ def near_duplicates(
     return rows.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("lead_id").alias("component_id"))
 
 
-#: The pipeline's stage: five words, and 128 bits of which at most 20 differ, which
-#: is what texts of Jaccard similarity 0.8 differ in; any two share one of 56 keys
-#: of 22 bits with probability 0.80 at that edge, 0.94 at similarity 0.85 and over
-#: 0.99 at 0.9. Wide keys keep strangers apart; a much larger corpus needs wider ones.
-STAGE = {"shingle": 5, "bits": 128, "radius": 20}
-STAGE_KEYS = {"key_bits": 22, "tables": 56}
-
-
 def deduplicated(documents: DataFrame) -> DataFrame:
     """One row of each group of near copies, columns unchanged.
 
-    The row with the smallest doc_id stays (null ids last), then the smallest text
+    Texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8
+    are linked; ``jaccard`` finds every such pair and confirms each link. The row
+    with the smallest doc_id of a group stays (null ids last), then the smallest text
     digest; of rows that repeat both, the one with the smallest lang, source and
     n_chars. Nulls, empty texts and empty tables as in ``near_duplicates``: all
     texts without words form one group.
     """
-    keys = sampled_keys(STAGE["bits"], **STAGE_KEYS)
-    found = _grouped(documents, STAGE["shingle"], STAGE["bits"], STAGE["radius"], keys, "doc_id", "text")
+    from murmur.llm import jaccard
+
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("unit"), F.col("text"), jaccard.digests(F.col("text")).alias("fp"))
+    prints = checkpointed(texts.select("doc_id", "unit", "fp"))
+    roots = jaccard.near_copies(texts).withColumnRenamed("node", "fp")
+    found = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     key, whole = fresh(documents, "_unit"), fresh(documents, "_whole")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "unit")).alias("first")
     winners = found.groupBy("root").agg(first).select(F.col("first.unit").alias(key))

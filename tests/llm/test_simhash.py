@@ -118,3 +118,28 @@ def test_near_copies_leave_one_document(spark):
     rows += [(9000 + i, " ".join(word() for _ in range(120)), "en", "s", 0) for i in range(40)]
     kept = sm.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [f * 100 for f in range(families)] + [9000 + i for i in range(40)]
+
+
+def similarity(a, b):
+    a, b = (t.split() for t in (a, b))
+    a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_every_pair_of_similarity_four_fifths_is_joined_and_no_other(spark):
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    rows, lost = [], []
+    for pair in range(150):
+        words = [word() for _ in range(220)]
+        changed = list(words)
+        # Changes stand apart, so that each takes five shingles: similarities from 0.64 to 0.9.
+        for at in draw.sample(range(5, 215, 10), draw.randint(2, 10)):
+            changed[at] = word()
+        a, b = " ".join(words), " ".join(changed)
+        rows += [(2 * pair, a, "en", "s", 0), (2 * pair + 1, b, "en", "s", 0)]
+        if similarity(a, b) >= 0.8:
+            lost.append(2 * pair + 1)
+    kept = sm.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3))
+    assert 20 < len(lost) < 130
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r[0] for r in rows} - set(lost))
