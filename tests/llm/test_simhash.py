@@ -143,3 +143,15 @@ def test_every_pair_of_similarity_four_fifths_is_joined_and_no_other(spark):
     kept = sm.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3))
     assert 20 < len(lost) < 130
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r[0] for r in rows} - set(lost))
+
+
+def test_documents_of_the_table_match_brute_force_similarity(documents):
+    rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in documents.collect()]
+    sets = {d: {tuple(t[i : i + 5]) for i in range(max(len(t) - 4, 1))} if t else set() for d, t in rows}
+    root = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    assert sorted(r["doc_id"] for r in sm.deduplicated(documents).collect()) == sorted(set(root.values()))
