@@ -8,7 +8,8 @@ left. That gives windows of nearly equal length. If the longest is over the
 capacity, the number of windows rises by one and the merging runs again.
 
 Pieces are gathered and packed inside a task, in batches of a fixed number of
-windows, so nothing is shuffled and memory does not depend on the input.
+windows, so nothing is shuffled and memory does not depend on the input. A piece carries its ids; the query shows
+their digest.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 import heapq
 import re
 import sys
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 from types import ModuleType
@@ -35,7 +35,7 @@ CAPACITY, PIECE, WINDOWS, END_ID = 1024, 256, 128, 0
 WORDS, TEXTS = 400_000, 250
 #: Sequence ids of a task begin at its number times this.
 IDS_PER_TASK = 1 << 40
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def byte_bpe_path() -> str:
@@ -207,7 +207,7 @@ def pack_rows(rows: Iterator[pd.DataFrame], path: str, first_id: int, *, capacit
             whole = n - n % capacity
             cuts = [*range(0, whole, capacity), *range(whole, n, piece), n]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                row = (key, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), n)
+                row = (key, a, b - a, ids[4 * a : 4 * b], n)
                 if b - a == capacity:
                     out.append((*row, next_id, 0))
                     next_id += 1
@@ -229,15 +229,24 @@ def pack(documents: DataFrame, *, path: str | None = None, doc_id: str = "doc_id
     rows are packed each for itself. An empty table gives no rows; extra columns
     are not read. ``path`` names the tokenizer file on the workers (default: the
     installed byte-level BPE). A sequence lies inside one task; its id is unique.
+    Returns a row per piece: doc_id, start, length, ids (little-endian unsigned 32
+    bits) and their ids_crc32, doc_tokens, sequence_id, offset. ``sequences`` joins them.
     """
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from pack_rows(batches, path or byte_bpe_path(), TaskContext.get().partitionId() * IDS_PER_TASK, capacity=capacity)
 
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(packed, SCHEMA)
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(packed, SCHEMA).select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids) of every window: its pieces' ids in the order of their offsets."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    joined = F.aggregate(parts, F.lit(b""), lambda whole, part: F.concat(whole, part["ids"]))
+    return pieces.groupBy("sequence_id").agg(F.sum("length").alias("length"), joined.alias("ids"))
 
 
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens."""
-    return pack(table(spark, sf_dir, "documents"))
+    """Pieces of all documents in sequences of at most 1024 tokens, their ids as a digest."""
+    return pack(table(spark, sf_dir, "documents")).drop("ids")

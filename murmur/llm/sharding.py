@@ -23,7 +23,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm.common import query, table
+from murmur.llm.common import fresh, query, table
 from murmur.operators.ordering import running_total
 from murmur.session import checkpointed
 
@@ -136,21 +136,15 @@ def cut_digests(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
         known.update({b[0]: b for b in _blocks(groups, wanted, digits)})
 
 
-def shards_of(documents: DataFrame, shards: int = 16, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's shard and its gapless place there.
-
-    Size is the UTF-8 length of the text plus 1. A null text has size 1 and forms
-    a group of its own kind, apart from the empty text. Repeated rows each keep
-    their place. A null ``doc_id`` stands first in its group. Extra columns are
-    not read. An empty table gives no rows; fewer groups than shards leave the
-    last shards empty. Returns doc_id, size, text_crc32, shard, slot.
-    """
-    value = F.col(text).cast("string")
+def _placed(documents: DataFrame, shards: int, doc_id: str, text: str, *keep: Column) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot of every row, and the columns of ``keep``."""
+    value = F.col(f"`{text}`").cast("string")
     rows = documents.select(
-        F.col(doc_id).alias("doc_id"),
+        F.col(f"`{doc_id}`").alias("doc_id"),
         (F.coalesce(F.octet_length(value), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(value, F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.md5(value.cast("binary")), F.lit("0" * DIGEST_DIGITS)).alias("digest"),
+        *keep,
     )
     rows = checkpointed(rows)
     # One row per group: a text that a third of all rows share is summed on the map side.
@@ -159,7 +153,30 @@ def shards_of(documents: DataFrame, shards: int = 16, *, doc_id: str = "doc_id",
     # A cut is a digest prefix, and its group or block begins there.
     shard: Column = sum(((F.col("digest") >= F.lit(c)).cast("int") for c in cuts), F.lit(0)).cast("int")
     placed = running_total(rows.withColumn("shard", shard), ["shard"], ["digest", "doc_id"], before="slot", total="rows_in_shard")
-    return placed.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
+    return placed.withColumn("slot", F.col("slot").cast("long"))
+
+
+def shards_of(documents: DataFrame, shards: int = 16, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each row's shard and its gapless place there.
+
+    Size is the UTF-8 length of the text plus 1. A null text has size 1 and forms
+    a group of its own kind, apart from the empty text. Repeated rows each keep
+    their place. A null ``doc_id`` stands first in its group. Extra columns are
+    not read. An empty table gives no rows; fewer groups than shards leave the
+    last shards empty. Returns doc_id, size, text_crc32, shard, slot.
+    """
+    return _placed(documents, shards, doc_id, text).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def sharded_documents(documents: DataFrame, shards: int = 16, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents themselves, all rows and columns, with ``shard`` and ``slot`` as ``shards_of`` gives them.
+
+    Columns of those names get an underscore behind the new ones. Written with
+    ``partitionBy("shard")`` every shard is a folder.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_whole")
+    placed = _placed(documents, shards, doc_id, text, whole)
+    return placed.select("_whole.*", F.col("shard").alias(fresh(documents, "shard")), F.col("slot").alias(fresh(documents, "slot")))
 
 
 @query("op1_sharding")

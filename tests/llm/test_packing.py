@@ -75,3 +75,16 @@ def test_differencing_is_even_and_complete():
         assert len(at) == len(lengths) and loads.max() <= 1024
     at = pk.differencing([8, 7, 6, 5, 4], 2)
     assert sorted(np.bincount(at, weights=[8, 7, 6, 5, 4])) == [14, 16]
+
+
+def test_pieces_and_windows_carry_their_ids(spark, documents, tokenizer):
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    pieces = pk.pack(documents).collect()
+    windows = {r["sequence_id"]: r for r in pk.sequences(spark.createDataFrame(pieces)).collect()}
+    held = defaultdict(int)
+    for r in pieces:
+        whole = ids(tokenizer, texts[r["doc_id"]])[r["start"] : r["start"] + r["length"]].tobytes()
+        assert r["ids"] == whole and r["ids_crc32"] == zlib.crc32(whole)
+        assert windows[r["sequence_id"]]["ids"][4 * r["offset"] : 4 * (r["offset"] + r["length"])] == whole
+        held[r["sequence_id"]] += r["length"]
+    assert held == {k: w["length"] for k, w in windows.items()} and all(len(w["ids"]) == 4 * w["length"] for w in windows.values())

@@ -59,3 +59,13 @@ def test_odd_rows(odd, nothing):
     assert len(rows) == odd.count()
     check(rows)
     assert sh.shards_of(nothing).collect() == []
+
+
+def test_shards_hold_the_documents(documents, odd, nothing):
+    for frame in (documents, odd):
+        rows = sh.sharded_documents(frame)
+        assert rows.columns == [*frame.columns, "shard", "slot"]
+        assert sorted((tuple(r)[:-2] for r in rows.collect()), key=str) == sorted(map(tuple, frame.collect()), key=str)
+        places = sorted((str(r["doc_id"]), r["shard"], r["slot"]) for r in rows.collect())
+        assert places == sorted((str(r["doc_id"]), r["shard"], r["slot"]) for r in sh.shards_of(frame).collect())
+    assert sh.sharded_documents(nothing).collect() == []
