@@ -33,6 +33,8 @@ from murmur.llm.common import query, table
 CAPACITY, PIECE, WINDOWS, END_ID = 1024, 256, 128, 0
 #: Words a worker remembers (about 70 MB), and texts it encodes together.
 WORDS, TEXTS = 400_000, 250
+#: Pieces that leave a task together, with their ids a few megabytes.
+FRAME = 2000
 #: Sequence ids of a task begin at its number times this.
 IDS_PER_TASK = 1 << 40
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -216,6 +218,9 @@ def pack_rows(rows: Iterator[pd.DataFrame], path: str, first_id: int, *, capacit
                     size += b - a
             if size >= windows * capacity:
                 out += flush()
+            if len(out) >= FRAME:
+                yield frame(out)
+                out = []
         if out:
             yield frame(out)
     if rests:
