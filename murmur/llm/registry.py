@@ -7,7 +7,7 @@ import importlib
 import corpus_pipeline
 from murmur.llm.common import ORACLES, QUERIES
 
-MODULES = ("sharding", "quality", "urls", "simhash", "packing", "toxicity", "mixing", "extraction", "neighbours", "secrets", "lines", "codes")
+MODULES = ("sharding", "quality", "urls", "simhash", "packing", "toxicity", "mixing", "extraction", "neighbours", "secrets", "lines", "codes", "alignment")
 
 for _name in MODULES:
     importlib.import_module(f"murmur.llm.{_name}")
