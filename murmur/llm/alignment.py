@@ -15,6 +15,7 @@ the number of pairs (``most_pairs``), whatever the corpus.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -32,6 +33,13 @@ from murmur.session import written
 
 #: Words a worker remembers with their ids (about 60 MB), and bytes of text a task works on together.
 WORDS, BYTES = 200_000, 2_000_000
+#: Words encoded as one text, and equal ends in a row after which blocks are compared.
+TOGETHER, STRETCH = 200, 4
+#: Longest word that is merged by rank.
+LONG = 100
+# The pre-tokenizer of byte-level files and its pattern.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>"
 SUMMARY = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<long>, times array<long>"
 #: The character that stands for a space in pieces.
@@ -71,49 +79,90 @@ class Tokenizers:
         self.size_a, self.size_b = (np.array([len(t) for t in tokens], dtype="i8") for tokens in (self.bytes_a, self.bytes_b))
         # Texts may be cut between words if no piece goes on behind a space or holds a line break.
         self.cuts = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces) and SPACE in pieces
-        self.mark = pieces.index(SPACE) if SPACE in pieces else -1
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.quick = self._quick()
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
+        self.unkept: set[str] = set()
         self.pair, self.single = re.compile(r"\s\s"), re.compile(r"(?<=\S)(?: (?=\S)|(?=\n\S))")
 
+    def _quick(self):
+        """The same merges by rank, for words: far faster, and equal where ids follow the order of the merges."""
+        import tiktoken
+
+        made = json.loads(self.a.to_str())
+        model, ids = made["model"], self.a.get_vocab()
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+        if made["normalizer"] or model["type"] != "BPE" or made["pre_tokenizer"] != BYTE_LEVEL or model.get("ignore_merges") or any(ids.get("".join(m)) != 256 + k for k, m in enumerate(merges)):
+            return None
+        return tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.bytes_a[: 256 + len(merges)])}, special_tokens={})
+
     def units(self, text: str) -> list[str]:
         """The text cut at single spaces (left out) and before single line breaks, where both tokenizers begin anew."""
-        if not self.cuts or text[0].isspace():
-            return [text]
         if self.pair.search(text) or text[-1].isspace():
             return self.single.split(text)
         return text.replace("\n", " \n").split(" ")
 
-    def same_bytes(self, ids: list[int], tokens: list[bytes], wanted: bytes) -> bool:
-        return b"".join([tokens[i] for i in ids]) == wanted
-
-    def whole(self, text: str) -> tuple[bytes, bytes] | None:
-        """Ids of A and B (little-endian unsigned 32 bits) of a text by itself, None if its bytes are not kept."""
-        return self._learned([text], [" " + text], [0])[0]
-
-    def _learned(self, texts: list[str], behind: list[str], skip: list[int]) -> list[tuple[bytes, bytes] | None]:
-        out = []
-        for text, a, b, first in zip(behind, self.a.encode_batch_fast(behind, add_special_tokens=False), self.b.encode(texts, num_threads=1), skip, strict=True):
-            ids, raw = a.ids, text.encode("utf-8", "surrogatepass")
-            good = (not first or b[0] == self.mark) and self.same_bytes(ids, self.bytes_a, raw) and self.same_bytes(b[first:], self.bytes_b, raw)
-            out.append((np.array(ids, dtype="<u4").tobytes(), np.array(b[first:], dtype="<u4").tobytes()) if good else None)
-        return out
+    def whole(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of A for space+text and of B for text, None if one does not keep the bytes."""
+        raw = f" {text}".encode("utf-8", "surrogatepass")
+        a, b = self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, self.b.encode(text)
+        if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
+            return None
+        return np.array(a, dtype="<u4"), np.array(b, dtype="<u4")
+
+    def learn(self, units: list[str]) -> None:
+        """Remember the ids of units; many are encoded as one text and cut where their bytes end."""
+        behind = [u if u[0] == "\n" else f" {u}" for u in units]
+        groups = [range(k, min(k + TOGETHER, len(units))) for k in range(0, len(units), TOGETHER)]
+        for k in range(0, len(groups), 20):
+            quick = self.quick is not None and all(len(behind[i]) <= LONG for g in groups[k : k + 20] for i in g)
+            # A word of one letter in front takes the mark that B sets before a text.
+            texts = [" a" + "".join([behind[i] for i in g]) for g in groups[k : k + 20]]
+            of_a = [self.quick.encode_ordinary(t) for t in texts] if quick else [found.ids for found in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+            of_b = self.b.encode([t[1:] for t in texts], num_threads=1)
+            for group, text, a, b in zip(groups[k : k + 20], texts, of_a, of_b, strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                stops = np.cumsum([2, *[len(behind[i].encode("utf-8", "surrogatepass")) for i in group]])
+                cut_a, cut_b = self._cut(a, self.bytes_a, self.size_a, raw, stops), self._cut(b, self.bytes_b, self.size_b, raw, stops)
+                if cut_a is None or cut_b is None:
+                    if len(group) == 1:
+                        self.unkept.add(units[group[0]])
+                        continue
+                    for i in group:
+                        self.learn([units[i]])
+                    continue
+                for i, x, y in zip(group, cut_a, cut_b, strict=True):
+                    self.known_a[units[i]], self.known_b[units[i]] = x, y
+
+    @staticmethod
+    def _cut(ids: list[int], tokens: list[bytes], sizes: np.ndarray, raw: bytes, stops: np.ndarray) -> list[bytes] | None:
+        """Ids between the stops as bytes, without those up to the first one; None if bytes are not kept or a token crosses a stop."""
+        if b"".join([tokens[i] for i in ids]) != raw:
+            return None
+        ids = np.array(ids, dtype="<u4")
+        ends = sizes[ids].cumsum()
+        at = np.searchsorted(ends, stops)
+        if (ends[at] != stops).any():
+            return None
+        held, at = ids.tobytes(), ((at + 1) * 4).tolist()
+        return [held[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of A for space+text and of B for text; None for texts without tokens."""
-        cut = [self.units(t) if t else [] for t in texts]
-        new = list({u for t in cut if len(t) > 1 for u in t if u not in self.known})
-        # A line break begins its unit without a space, and B's mark in front of it is no part of the text.
-        breaks = [u[:1] == "\n" for u in new]
-        learned = dict(zip(new, self._learned(new, [u if nl else " " + u for u, nl in zip(new, breaks, strict=True)], [int(nl) for nl in breaks]), strict=True)) if new else {}
+        if len(self.known_a) + len(self.unkept) > WORDS:
+            self.known_a, self.known_b, self.unkept = {}, {}, set()
+        cut = [self.units(t) if t and self.cuts and not t[0].isspace() else [] for t in texts]
+        new: set[str] = set()
+        for units in cut:
+            new.update(units)
+        self.learn(sorted(new.difference(self.known_a).difference(self.unkept), key=len))
         out = []
         for text, units in zip(texts, cut, strict=True):
-            found = [learned[u] if u in learned else self.known[u] for u in units] if len(units) > 1 else [None]
-            if None in found:
-                # Texts of one unit, and those where a word alone does not keep its bytes, are encoded whole.
-                found = [self.whole(text)] if text else [None]
-            out.append(None if found[0] is None else tuple(np.frombuffer(b"".join(ids), dtype="<u4") for ids in zip(*found, strict=True)))
-        if len(self.known) < WORDS:
-            self.known.update(learned)
+            if units and (not self.unkept or self.unkept.isdisjoint(units)):
+                out.append(tuple(np.frombuffer(b"".join([known[u] for u in units]), dtype="<u4") for known in (self.known_a, self.known_b)))
+            else:
+                # Texts that begin with white space, and those where a word by itself does not keep its bytes.
+                out.append(self.whole(text) if text else None)
         return out
 
 
@@ -121,19 +170,24 @@ def group_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     """Numbers of A and of B tokens up to the end of every group, from the ascending ends of the tokens."""
     ends_a: list[int] = []
     ends_b: list[int] = []
-    i = j = 0
-    while i < len(a) and j < len(b):
-        start, shift, length = i, j - i, 1
-        while i + length <= len(a) and j + length <= len(b) and a[i : i + length] == b[j : j + length]:
-            i, j, length = i + length, j + length, 2 * length
-        while length > 1:
-            length //= 2
-            if i + length <= len(a) and j + length <= len(b) and a[i : i + length] == b[j : j + length]:
-                i, j = i + length, j + length
-        ends_a.extend(range(start + 1, i + 1))
-        ends_b.extend(range(start + 1 + shift, j + 1))
-        if i < len(a) and j < len(b):
-            x, y = a[i], b[j]
+    i = j = run = 0
+    while i < len(a):
+        x, y = a[i], b[j]
+        if x == y:
+            run += 1
+            if run == STRETCH:
+                start, shift, length, run = i, j - i, STRETCH, 0
+                while i + length <= len(a) and a[i : i + length] == b[j : j + length]:
+                    i, j, length = i + length, j + length, 2 * length
+                while length > 1:
+                    length //= 2
+                    if i + length <= len(a) and a[i : i + length] == b[j : j + length]:
+                        i, j = i + length, j + length
+                ends_a.extend(range(start + 1, i + 1))
+                ends_b.extend(range(start + 1 + shift, j + 1))
+                continue
+        else:
+            run = 0
             while x != y:
                 if x < y:
                     i += 1
@@ -141,9 +195,9 @@ def group_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
                 else:
                     j += 1
                     y = b[j]
-            i, j = i + 1, j + 1
-            ends_a.append(i)
-            ends_b.append(j)
+        i, j = i + 1, j + 1
+        ends_a.append(i)
+        ends_b.append(j)
     return ends_a, ends_b
 
 
@@ -179,47 +233,70 @@ def aligned(documents: DataFrame, *, path_a: str | None = None, path_b: str | No
     workers (default: the installed byte-level BPE and the piece model).
     """
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = path_a or byte_bpe_path(), path_b or piece_bpe_path()
-        both = remembered(f"aligner {paths}", lambda: Tokenizers(*paths))
-        none = (np.zeros(0, dtype="<u4"),) * 2
-        for rows in _by_size(batches, lambda batch: pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
-            ids = [found or none for found in both.encode([t or "" for t in rows.column("text").to_pylist()])]
-            ends = [group_ends(both.size_a[a].cumsum().tolist(), both.size_b[b].cumsum().tolist()) for a, b in ids]
-            columns = [_lists([pair[k] for pair in of], pa.int32()) for of in (ids, ends) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], names=["doc_id", "a_ids", "b_ids", "a_ends", "b_ends"])
+    paths = path_a or byte_bpe_path(), path_b or piece_bpe_path()
+    return _texts(documents, doc_id, text).mapInArrow(lambda batches: _align(batches, paths), ALIGNED)
 
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(align, ALIGNED)
 
+def _texts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-def groups_text(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> str:
-    """`a1,a2|b1;a3|b2,b3`: decimal ids of the groups in order."""
-    a, b, out, i, j = list(map(str, a)), list(map(str, b)), [], 0, 0
-    for x, y in zip(ends_a, ends_b, strict=True):
-        out.append(f"{a[i]}|{b[j]}" if x - i == 1 == y - j else f"{','.join(a[i:x])}|{','.join(b[j:y])}")
-        i, j = x, y
-    return ";".join(out)
 
+def _align(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    both = remembered(f"aligner {paths}", lambda: Tokenizers(*paths))
+    none = (np.zeros(0, dtype="<u4"),) * 2
+    for rows in _by_size(batches, lambda batch: pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
+        ids = [found or none for found in both.encode([t or "" for t in rows.column("text").to_pylist()])]
+        ends = [group_ends(both.size_a[a].cumsum().tolist(), both.size_b[b].cumsum().tolist()) for a, b in ids]
+        columns = [_lists([pair[k] for pair in of], pa.int32()) for of in (ids, ends) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], names=["doc_id", "a_ids", "b_ids", "a_ends", "b_ends"])
 
-def summaries(rows: DataFrame, size_b: int) -> DataFrame:
-    """Sizes, digest of the groups and the distinct linked pairs (A id * size_b + B id) with their number, of aligned rows."""
+
+class GroupTexts:
+    """Groups as text, `a1,a2|b1;a3|b2,b3`: decimal ids in order."""
+
+    def __init__(self, size_a: int, size_b: int):
+        self.size_a = size_a
+        # One row of bytes for every id and the mark behind it, filled up with zeros.
+        rows = np.array([f"{i}{mark}" for size, marks in ((size_a, ",|"), (size_b, ",;")) for i in range(size) for mark in marks], dtype="S")
+        self.table = rows.view("u1").reshape(len(rows), -1)
+
+    def text(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> bytes:
+        if not len(ends_a):
+            return b""
+        in_group = lambda ends: np.diff(ends, prepend=0)
+        # A group's A ids stand behind all B ids of earlier groups, its B ids behind all A ids up to it.
+        at_a = np.arange(len(a)) + np.repeat(ends_b - in_group(ends_b), in_group(ends_a))
+        at_b = np.arange(len(b)) + np.repeat(ends_a, in_group(ends_b))
+        codes = np.empty(len(a) + len(b), dtype="i8")
+        codes[at_a], codes[at_b] = 2 * a, 2 * (b + self.size_a)
+        codes[at_a[ends_a - 1]] += 1
+        codes[at_b[ends_b - 1]] += 1
+        found = self.table[codes].reshape(-1)
+        return found[found > 0][:-1].tobytes()
+
+
+def linked(documents: DataFrame, *, path_a: str | None = None, path_b: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Sizes, digest of the groups and the distinct linked pairs (A id * B's vocabulary + B id) with their number; rows as in ``aligned``."""
+    paths = path_a or byte_bpe_path(), path_b or piece_bpe_path()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a_ids", "b_ids", "a_ends", "b_ends"]
-        for part in _by_size(batches, lambda batch: pc.list_value_length(batch.column("a_ids")).to_pylist()):
+        both = remembered(f"aligner {paths}", lambda: Tokenizers(*paths))
+        size_b = len(both.bytes_b)
+        texts = remembered(f"group texts {paths}", lambda: GroupTexts(len(both.bytes_a), size_b))
+        for part in _align(batches, paths):
             n_a, n_b, n_groups, digests, pairs, times = [], [], [], [], [], []
             for k in range(part.num_rows):
-                a, b, x, y = (part.column(c)[k].values.to_numpy().astype("i8") for c in names)
-                text = groups_text(*(v.tolist() for v in (a, b, x, y)))
+                a, b, x, y = (part.column(c)[k].values.to_numpy().astype("i8") for c in ("a_ids", "b_ids", "a_ends", "b_ends"))
+                text = texts.text(a, b, x, y)
                 code, n = np.unique(a[x - 1] * size_b + b[y - 1], return_counts=True)
-                for column, value in zip((n_a, n_b, n_groups, digests, pairs, times), (len(a), len(b), len(x), hashlib.sha256(text.encode()).hexdigest() if text else "", code, n), strict=True):
+                for column, value in zip((n_a, n_b, n_groups, digests, pairs, times), (len(a), len(b), len(x), hashlib.sha256(text).hexdigest() if text else "", code, n), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n_a, n_b, n_groups)), pa.array(digests, pa.string()), _lists(pairs, pa.int64()), _lists(times, pa.int64())],
                 names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"],
             )
 
-    return rows.mapInArrow(summed, SUMMARY)
+    return _texts(documents, doc_id, text).mapInArrow(summed, SUMMARY)
 
 
 def _added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +307,7 @@ def _added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """(pair, n): links of the whole corpus that hold each id pair, from ``summaries``; added up inside a task first."""
+    """(pair, n): links of the whole corpus that hold each id pair, from ``linked``; added up inside a task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, held = [np.zeros(0, dtype="i8")], [np.zeros(0, dtype="i8")], 0
@@ -257,7 +334,7 @@ def most_pairs(a: list[bytes], b: list[bytes]) -> int:
 
 
 def scored(rows: DataFrame, size_b: int, bound: int) -> DataFrame:
-    """``summaries`` with n_best and count_sum.
+    """``linked`` with n_best and count_sum.
 
     n_best counts links whose pair is the commonest of its B id in the corpus, ties
     included; count_sum adds up the counts of the links' pairs. The pair table is
@@ -290,8 +367,7 @@ def scored(rows: DataFrame, size_b: int, bound: int) -> DataFrame:
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups, links and the corpus-wide counts of links of all documents."""
     both = Tokenizers(byte_bpe_path(), piece_bpe_path())
-    size_b = len(both.bytes_b)
-    rows = written(summaries(aligned(table(spark, sf_dir, "documents")), size_b))
-    found = scored(rows, size_b, most_pairs(both.bytes_a, both.bytes_b))
+    rows = written(linked(table(spark, sf_dir, "documents")))
+    found = scored(rows, len(both.bytes_b), most_pairs(both.bytes_a, both.bytes_b))
     # A group's last tokens are the only ones that end together, so every group is one link.
     return found.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
