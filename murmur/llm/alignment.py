@@ -15,7 +15,6 @@ the number of pairs (``most_pairs``), whatever the corpus.
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import re
 from collections.abc import Iterator
@@ -27,19 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmur.llm.bytebpe import LONG, TOGETHER, by_rank, cut, token_bytes
 from murmur.llm.common import query, table
 from murmur.llm.packing import byte_bpe_path, remembered
 from murmur.session import written
 
 #: Words a worker remembers with their ids (about 60 MB), and bytes of text a task works on together.
 WORDS, BYTES = 200_000, 2_000_000
-#: Words encoded as one text, and equal ends in a row after which blocks are compared.
-TOGETHER, STRETCH = 200, 4
-#: Longest word that is merged by rank.
-LONG = 100
-# The pre-tokenizer of byte-level files and its pattern.
-BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Equal ends in a row after which blocks are compared.
+STRETCH = 4
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>"
 SUMMARY = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<long>, times array<long>"
 #: The character that stands for a space in pieces.
@@ -52,13 +47,6 @@ def piece_bpe_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _byte_characters() -> dict[str, int]:
-    """Characters of byte-level entries: printable bytes stand for themselves, the others follow from U+0100."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 class Tokenizers:
     """Both tokenizers of a task, and the bytes of all their tokens."""
 
@@ -71,31 +59,18 @@ class Tokenizers:
         # Strings of special tokens inside a text are plain text.
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        of = _byte_characters()
-        entries = {i: entry for entry, i in self.a.get_vocab().items()}
-        self.bytes_a = [bytes(of[c] for c in entries[i]) if i in entries and all(c in of for c in entries[i]) else entries.get(i, "").encode() for i in range(max(entries) + 1)]
+        self.bytes_a = token_bytes(self.a)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace(SPACE, " ").encode() for p in pieces]
         self.size_a, self.size_b = (np.array([len(t) for t in tokens], dtype="i8") for tokens in (self.bytes_a, self.bytes_b))
         # Texts may be cut between words if no piece goes on behind a space or holds a line break.
         self.cuts = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces) and SPACE in pieces
-        self.quick = self._quick()
+        self.quick = by_rank(self.a, self.bytes_a)
         self.known_a: dict[str, bytes] = {}
         self.known_b: dict[str, bytes] = {}
         self.unkept: set[str] = set()
         self.pair, self.single = re.compile(r"\s\s"), re.compile(r"(?<=\S)(?: (?=\S)|(?=\n\S))")
 
-    def _quick(self):
-        """The same merges by rank, for words: far faster, and equal where ids follow the order of the merges."""
-        import tiktoken
-
-        made = json.loads(self.a.to_str())
-        model, ids = made["model"], self.a.get_vocab()
-        merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
-        if made["normalizer"] or model["type"] != "BPE" or made["pre_tokenizer"] != BYTE_LEVEL or model.get("ignore_merges") or any(ids.get("".join(m)) != 256 + k for k, m in enumerate(merges)):
-            return None
-        return tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.bytes_a[: 256 + len(merges)])}, special_tokens={})
-
     def units(self, text: str) -> list[str]:
         """The text cut at single spaces (left out) and before single line breaks, where both tokenizers begin anew."""
         if self.pair.search(text) or text[-1].isspace():
@@ -123,7 +98,7 @@ class Tokenizers:
             for group, text, a, b in zip(groups[k : k + 20], texts, of_a, of_b, strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 stops = np.cumsum([2, *[len(behind[i].encode("utf-8", "surrogatepass")) for i in group]])
-                cut_a, cut_b = self._cut(a, self.bytes_a, self.size_a, raw, stops), self._cut(b, self.bytes_b, self.size_b, raw, stops)
+                cut_a, cut_b = cut(a, self.bytes_a, self.size_a, raw, stops), cut(b, self.bytes_b, self.size_b, raw, stops)
                 if cut_a is None or cut_b is None:
                     if len(group) == 1:
                         self.unkept.add(units[group[0]])
@@ -134,30 +109,17 @@ class Tokenizers:
                 for i, x, y in zip(group, cut_a, cut_b, strict=True):
                     self.known_a[units[i]], self.known_b[units[i]] = x, y
 
-    @staticmethod
-    def _cut(ids: list[int], tokens: list[bytes], sizes: np.ndarray, raw: bytes, stops: np.ndarray) -> list[bytes] | None:
-        """Ids between the stops as bytes, without those up to the first one; None if bytes are not kept or a token crosses a stop."""
-        if b"".join([tokens[i] for i in ids]) != raw:
-            return None
-        ids = np.array(ids, dtype="<u4")
-        ends = sizes[ids].cumsum()
-        at = np.searchsorted(ends, stops)
-        if (ends[at] != stops).any():
-            return None
-        held, at = ids.tobytes(), ((at + 1) * 4).tolist()
-        return [held[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of A for space+text and of B for text; None for texts without tokens."""
         if len(self.known_a) + len(self.unkept) > WORDS:
             self.known_a, self.known_b, self.unkept = {}, {}, set()
-        cut = [self.units(t) if t and self.cuts and not t[0].isspace() else [] for t in texts]
+        parts = [self.units(t) if t and self.cuts and not t[0].isspace() else [] for t in texts]
         new: set[str] = set()
-        for units in cut:
+        for units in parts:
             new.update(units)
         self.learn(sorted(new.difference(self.known_a).difference(self.unkept), key=len))
         out = []
-        for text, units in zip(texts, cut, strict=True):
+        for text, units in zip(texts, parts, strict=True):
             if units and (not self.unkept or self.unkept.isdisjoint(units)):
                 out.append(tuple(np.frombuffer(b"".join([known[u] for u in units]), dtype="<u4") for known in (self.known_a, self.known_b)))
             else:

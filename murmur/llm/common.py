@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +50,18 @@ def row_key(*columns: Column) -> Column:
     """128-bit digest of values, nulls told apart from empty strings."""
     parts = [F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in columns]
     return F.md5(F.concat_ws("|", *parts))
+
+
+def released(rows: Iterator) -> Iterator:
+    """The rows of a task; behind them a worker gives back memory that it no longer needs, since later stages reuse its process."""
+    import pyarrow as pa
+
+    try:
+        yield from rows
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # only the GNU library has it
+            pass

@@ -22,12 +22,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmur.llm.common import released
 from murmur.llm.simhash import components
 from murmur.session import checkpointed, written
 
 #: Words of a shingle; similarity as a fraction; buckets of the counts that give the order, and the fullest of them, whose shingles come last.
 SHINGLE, OVER, UNDER, BUCKETS, FULLEST = 5, 4, 5, 1 << 20, 1 << 15
 KEYED = "key long, place int, n int, fp binary"
+#: Parity bits of a set, in longs, and the rows of a key from which it is dealt in blocks and compared by them first.
+LONGS, BLOCK = 8, 512
 
 
 def shingle_set(value: str | None) -> np.ndarray:
@@ -53,6 +56,15 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return UNDER * both >= OVER * (len(a) + len(b) - both)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each bit.
+
+    What two sets share cancels out, so they differ in at least as many shingles as
+    their bits do; sets of similarity OVER / UNDER differ in at most a ninth of both.
+    """
+    return np.packbits(np.bincount((shingles >> np.uint64(64 - (64 * LONGS).bit_length() + 1)).astype("i8"), minlength=64 * LONGS) & 1).view("<i8")
+
+
 def prefix_length(n: int) -> int:
     return n - -(-OVER * n // UNDER) + 1
 
@@ -79,7 +91,7 @@ def _bucket_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(total[at])], names=["bucket", "n"])
 
-    found = texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(FULLEST).collect()
+    found = texts.mapInArrow(lambda b: released(count(b)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(FULLEST).collect()
     return np.array([r["bucket"] for r in found], dtype="i8"), np.array([r["n"] for r in found], dtype="i8")
 
 
@@ -146,8 +158,8 @@ def _keyed(texts: DataFrame) -> DataFrame:
                 columns = [pa.array(np.concatenate(keys).view("i8")), pa.array(place), pa.array(np.array(sizes, dtype="i4")[of]), pa.array(fps, pa.binary()).take(pa.array(of))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "place", "n", "fp"])
 
-    rows = texts.mapInArrow(prefixes, KEYED)
-    return checkpointed(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_shared, KEYED))
+    rows = texts.mapInArrow(lambda b: released(prefixes(b)), KEYED)
+    return checkpointed(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda b: released(_shared(b)), KEYED))
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +168,8 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, left, n = (rows.column(c).to_numpy() for c in ("key", "left", "n"))
         root = rows.column("root").combine_chunks().dictionary_encode()
         root = (root.combine_chunks() if isinstance(root, pa.ChunkedArray) else root).indices.to_numpy()
+        none = bytes(8 * LONGS)
+        bits = np.frombuffer(b"".join([b or none for b in rows.column("bits").to_pylist()]), dtype="u8").reshape(-1, LONGS)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
         mixed = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), np.diff(np.append(starts, len(key))))
@@ -164,12 +178,40 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lag += 1
             at = at[at + lag < ends[at]]
             a = at[(root[at] != root[at + lag]) & (9 * np.minimum(left[at], left[at + lag]) >= 4 * (n[at] + n[at + lag]))]
+            if len(a):
+                a = a[9 * np.bitwise_count(bits[a] ^ bits[a + lag]).sum(axis=1, dtype="i8") <= n[a] + n[a + lag]]
             if len(a):
                 u, v = (fp.take(pa.array(i)).combine_chunks() for i in (a, a + lag))
                 low = pc.less(u, v)
                 yield pa.RecordBatch.from_arrays([pc.if_else(low, u, v), pc.if_else(low, v, u)], names=["u", "v"])
 
 
+def _stored(texts: DataFrame) -> DataFrame:
+    """(fp, text) with the number of shingles and the parity bits, written."""
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+            sizes, bits = pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, sizes, bits], names=["fp", "text", "n", "bits"])
+
+    return written(texts.select("fp", "text").mapInArrow(lambda b: released(described(b)), "fp binary, text string, n int, bits binary"))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that the parity bits do not rule out; no similar pair is lost, and no text has travelled yet."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="u8").reshape(-1, LONGS) for c in ("a", "b"))
+            kept = 9 * np.bitwise_count(a ^ b).sum(axis=1, dtype="i8") <= batch.column("n").to_numpy()
+            yield batch.select(["u", "v"]).take(pa.array(np.flatnonzero(kept)))
+
+    side = lambda node, bits, size: sets.select(F.col("fp").alias(node), F.col("bits").alias(bits), F.col("n").alias(size))
+    both = pairs.join(side("u", "a", "n_a"), "u").join(side("v", "b", "n_b"), "v")
+    return both.select("u", "v", "a", "b", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(near, "u binary, v binary")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar."""
 
@@ -184,17 +226,31 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     kept.append(i)
             yield batch.select(["u", "v"]).take(pa.array(kept, pa.int64()))
 
-    both = pairs.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
-    return checkpointed(both.select("u", "v", "a", "b").mapInArrow(compare, "u binary, v binary"))
+    left = _possible(pairs, texts)
+    both = left.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
+    return checkpointed(both.select("u", "v", "a", "b").mapInArrow(lambda b: released(compare(b)), "u binary, v binary"))
+
+
+def _dealt(placed: DataFrame, keyed: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """The rows with parity bits where a key has more than ``block``; such a key is dealt so that every two parts meet once."""
+    # At most one row for every ``block`` rows; Spark sends it by its size.
+    busy = keyed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > block).select("key", F.ceil(F.col("rows") / block).cast("int").alias("parts"))
+    rows = placed.join(busy, "key", "left")
+    plain = rows.where("parts is null").select("key", "left", "n", "fp", "root", F.lit(None).cast("binary").alias("bits"))
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part"))
+    met = rows.where("parts is not null").withColumn("part", part).withColumn("other", F.explode(others))
+    key = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    return plain.unionByName(met.select(key.alias("key"), "left", "n", "fp", "root").join(sets.select("fp", "bits"), "fp"))
 
 
-def near_copies(texts: DataFrame, fp: str = "fp", text: str = "text") -> DataFrame:
+def near_copies(texts: DataFrame, fp: str = "fp", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(node, root) of the sets that links of similarity OVER / UNDER or more join to another; fp is ``digests(text)``."""
     values = texts.select(F.col(fp).alias("fp"), F.col(text).cast("string").alias("text"))
     keyed = _keyed(values.select("text"))
     met = keyed.select("fp").distinct()
     one = values.groupBy("fp").agg(F.min("text").alias("text"))
-    stored = written(one.join(met, "fp", "left_semi"))
+    stored = _stored(one.join(met, "fp", "left_semi"))
     rows = keyed.withColumn("left", F.col("n") - F.col("place"))
     first = rows.groupBy("key").agg(F.min(F.struct("fp", "left", "n")).alias("first"))
     may = (F.col("fp") != F.col("first.fp")) & (9 * F.least("left", "first.left") >= 4 * (F.col("n") + F.col("first.n")))
@@ -202,5 +258,6 @@ def near_copies(texts: DataFrame, fp: str = "fp", text: str = "text") -> DataFra
     links = _confirmed(stars, stored)
     roots = components(links)
     placed = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "left", "n", "fp", F.coalesce("root", "fp").alias("root"))
-    crossing = placed.repartition("key").sortWithinPartitions("key").mapInArrow(_crossing, "u binary, v binary").distinct()
+    dealt = _dealt(placed, keyed, stored, block).repartition("key").sortWithinPartitions("key")
+    crossing = dealt.mapInArrow(lambda b: released(_crossing(b)), "u binary, v binary").distinct()
     return components(links.union(_confirmed(crossing, stored)))

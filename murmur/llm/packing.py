@@ -27,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm.common import query, table
+from murmur.llm.bytebpe import LONG, TOGETHER, by_rank, cut, token_bytes
+from murmur.llm.common import query, released, table
 
 #: Tokens of a window, longest piece of a rest, windows of a batch, id behind a document.
 CAPACITY, PIECE, WINDOWS, END_ID = 1024, 256, 128, 0
-#: Words a worker remembers (about 70 MB), and texts it encodes together.
-WORDS, TEXTS = 400_000, 250
+#: Words a worker remembers (about 20 MB), and texts it encodes together.
+WORDS, TEXTS = 100_000, 250
 #: Pieces that leave a task together, with their ids a few megabytes.
 FRAME = 2000
 #: Sequence ids of a task begin at its number times this.
@@ -61,6 +62,8 @@ def encoder(path: str):
     marked = re.compile(r"(\n?[^\W\d_]+)((?:[^\w\s]|_)+)")
     plain = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
     marks, line = {}, plain("\n")
+    tokens = token_bytes(tokenizer)
+    quick, sizes = by_rank(tokenizer, tokens), np.array([len(t) for t in tokens], dtype="i8")
     known: dict[str, bytes] = {}
 
     def units(text: str) -> tuple[str, list[str]]:
@@ -70,18 +73,16 @@ def encoder(path: str):
             first, *rest = text.replace("\n", " \n").split(" ")
         return first, rest
 
-    def letters(words: list[str], between: str) -> dict[str, bytes]:
-        """Ids of words of letters only, each a pre-token, encoded many in a text."""
+    def words_of(words: list[str]) -> dict[str, bytes]:
+        """Ids of short words, each behind its space or line break, encoded many in a text."""
         out: dict[str, bytes] = {}
-        groups = [words[k : k + 200] for k in range(0, len(words), 200)]
-        for k in range(0, len(groups), 20):
-            texts = [between + between.join(g) for g in groups[k : k + 20]]
-            for group, found in zip(groups[k : k + 20], tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                ids, of = np.array(found.ids, dtype="<u4").tobytes(), np.array(found.word_ids)
-                starts = [0, *((np.flatnonzero(np.diff(of)) + 1) * 4).tolist(), len(ids)]
-                # Behind a line break every other pre-token is the break itself.
-                starts = starts if between == " " else starts[::2]
-                out.update((w, ids[a:b]) for w, a, b in zip(group, starts[:-1], starts[1:], strict=True))
+        behind = [w if w[0] == "\n" else f" {w}" for w in words]
+        for k in range(0, len(words), TOGETHER):
+            raw = [w.encode("utf-8", "surrogatepass") for w in behind[k : k + TOGETHER]]
+            ids = quick.encode_ordinary(" a" + "".join(behind[k : k + TOGETHER]))
+            found = cut(ids, tokens, sizes, b" a" + b"".join(raw), np.cumsum([2, *map(len, raw)]))
+            # Never None unless a text holds what is no UTF-8; such words are encoded by themselves.
+            out.update(zip(words[k : k + TOGETHER], found or [], strict=False))
         return out
 
     def learn(new: set[str]) -> dict[str, bytes]:
@@ -93,8 +94,7 @@ def encoder(path: str):
         for mark in {m for _, m in parts.values()}.difference(marks):
             marks[mark] = plain(mark)
         bases = {base for base, _ in parts.values()}.difference(known)
-        got = letters([b for b in bases if b.isalpha()], " ")
-        got.update(("\n" + w, ids) for w, ids in letters([b[1:] for b in bases if b[:1] == "\n" and b[1:].isalpha()], "\n").items())
+        got = words_of([b for b in bases if 0 < len(b) <= LONG and "<|" not in b]) if quick else {}
         for base in bases.difference(got):
             got[base] = line + plain(base[1:]) if base[:1] == "\n" else plain(" " + base)
         if len(marks) > WORDS // 10:
@@ -239,7 +239,7 @@ def pack(documents: DataFrame, *, path: str | None = None, doc_id: str = "doc_id
     """
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from pack_rows(batches, path or byte_bpe_path(), TaskContext.get().partitionId() * IDS_PER_TASK, capacity=capacity)
+        yield from released(pack_rows(batches, path or byte_bpe_path(), TaskContext.get().partitionId() * IDS_PER_TASK, capacity=capacity))
 
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(packed, SCHEMA).select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm.common import fresh, query, table
+from murmur.llm.common import fresh, query, released, table
 from murmur.llm.forest import Forest
 
 #: Public prefixes of access keys and tokens.
@@ -236,7 +236,7 @@ def findings(documents: DataFrame, scanner: Scanner) -> DataFrame:
             yield frame
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    return rows.mapInPandas(scan, "doc_id long, start long, length long, score double, is_secret boolean")
+    return rows.mapInPandas(lambda b: released(scan(b)), "doc_id long, start long, length long, score double, is_secret boolean")
 
 
 def masked(text: str, spans: list[tuple[int, int, float]]) -> str:
@@ -254,6 +254,9 @@ def redacted_documents(documents: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def redact(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        yield from released(cleaned(batches))
+
+    def cleaned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, paths in batches:
             values = [t if isinstance(t, str) else None for t in texts]
             spans = scanner.scan(values, [p if isinstance(p, str) else None for p in paths])

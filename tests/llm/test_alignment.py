@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from tokenizers.decoders import ByteLevel
 
 from murmur.llm import alignment as al
+from murmur.llm.bytebpe import byte_characters
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +21,7 @@ def plain():
     a = Tokenizer.from_file(al.byte_bpe_path())
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=al.piece_bpe_path())
-    byte = al._byte_characters()
+    byte = byte_characters()
 
     def tokens(text):
         if not text:
@@ -129,4 +130,4 @@ def test_pairs_are_bounded_by_the_vocabularies():
     assert al.most_pairs([b"ab", b"b"], [b"b", b"cab", b"x"]) == 4
     both = al.Tokenizers(al.byte_bpe_path(), al.piece_bpe_path())
     assert both.cuts and al.most_pairs(both.bytes_a, both.bytes_b) < 1_000_000
-    assert sorted(set(al._byte_characters().values())) == list(range(256)) and ByteLevel().decode([c for c, b in sorted(al._byte_characters().items(), key=lambda x: x[1]) if 32 <= b < 127]) == bytes(range(32, 127)).decode()
+    assert sorted(set(byte_characters().values())) == list(range(256)) and ByteLevel().decode([c for c, b in sorted(byte_characters().items(), key=lambda x: x[1]) if 32 <= b < 127]) == bytes(range(32, 127)).decode()

@@ -1,13 +1,17 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from murmur.llm import mixing, packing, quality, simhash
+from murmur.llm import jaccard, mixing, packing, quality
 from murmur.llm.secrets import MASK
 
 SF = "/root/testdata/sf0.001"
@@ -38,20 +42,53 @@ def test_quality_keeps_what_the_operator_keeps(spark, stages):
     assert rows(stages[1]) == {d: r for d, r in rows(stages[0]).items() if d in {v["doc_id"] for v in verdicts}}
 
 
-def test_one_document_of_each_group_stays(spark, stages):
-    prints = {r["doc_id"]: int(r["fp"], 16) for r in stages[1].select("doc_id", simhash.fingerprint(stages[1]["text"], 5, 128).alias("fp")).collect()}
-    ids = sorted(prints)
+def groups(sets):
+    """{id: smallest id} over all pairs of similarity 0.8, by plain sets."""
+    ids = sorted(sets)
     root = {d: d for d in ids}
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            if bin(prints[a] ^ prints[b]).count("1") <= 20:
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
                 low, high = sorted((root[a], root[b]))
                 root = {d: low if r == high else r for d, r in root.items()}
-    kept = set(rows(stages[2]))
-    # Sampled keys may leave a pair at the edge of the radius apart, never join strangers.
-    assert set(root.values()) <= kept and len(kept - set(root.values())) <= 2
-    texts = [r["text"] for r in stages[2].collect()]
-    assert len(texts) == len(set(texts))
+    return root
+
+
+def shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, min(len(words), 1)))}
+
+
+def test_one_document_of_each_group_stays(stages):
+    root = groups({d: shingles(r["text"]) for d, r in rows(stages[1]).items()})
+    assert set(rows(stages[2])) == set(root.values()) and len(set(root.values())) < len(root)
+
+
+def test_texts_of_one_template_meet_in_blocks(spark):
+    draw = random.Random(6)
+    common = [f"c{k}" for k in range(40)]
+    texts = {}
+    for i in range(240):
+        # Groups of ten share half of their own words; all share the middle, which no other text has.
+        words = [f"g{i // 10}w{k}" for k in range(200)] + common
+        for _ in range(draw.choice((1, 3, 12))):
+            words[draw.randrange(200)] = f"x{draw.random()}"
+        texts[i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").select("doc_id", "text", jaccard.digests(F.col("text")).alias("fp")).repartition(6)
+    found = {r["node"]: r["root"] for r in jaccard.near_copies(df, block=16).collect()}
+    of = {r["doc_id"]: found.get(r["fp"], r["fp"]) for r in df.collect()}
+    root = groups({d: shingles(t) for d, t in texts.items()})
+    same = lambda labels: {frozenset(d for d in labels if labels[d] == r) for r in set(labels.values())}
+    assert same(of) == same(root) and len(same(root)) > 24
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 1 << 64), max_size=80), st.sets(st.integers(0, 1 << 64), max_size=80), st.sets(st.integers(0, 1 << 64), max_size=300))
+def test_parity_bits_never_rule_out_a_similar_pair(one, other, both):
+    a, b = (np.array(sorted(x % (1 << 64) for x in s | both), dtype="u8") for s in (one, other))
+    differ = int(np.bitwise_count(jaccard.parity(a) ^ jaccard.parity(b)).sum())
+    assert differ <= len(np.setxor1d(a, b)) and (not jaccard.similar(a, b) or 9 * differ <= len(a) + len(b))
 
 
 def test_only_secrets_change(stages):
