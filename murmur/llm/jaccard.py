@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm.common import released
@@ -31,6 +32,7 @@ SHINGLE, OVER, UNDER, BUCKETS, FULLEST = 5, 4, 5, 1 << 20, 1 << 15
 KEYED = "key long, place int, n int, fp binary"
 #: Parity bits of a set, in longs, and the rows of a key from which it is dealt in blocks and compared by them first.
 LONGS, BLOCK = 8, 512
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shingle_set(value: str | None) -> np.ndarray:
@@ -168,8 +170,9 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, left, n = (rows.column(c).to_numpy() for c in ("key", "left", "n"))
         root = rows.column("root").combine_chunks().dictionary_encode()
         root = (root.combine_chunks() if isinstance(root, pa.ChunkedArray) else root).indices.to_numpy()
-        none = bytes(8 * LONGS)
-        bits = np.frombuffer(b"".join([b or none for b in rows.column("bits").to_pylist()]), dtype="u8").reshape(-1, LONGS)
+        busy, none, bits = rows.column("bits").null_count < rows.num_rows, bytes(8 * LONGS), None
+        if busy:
+            bits = np.frombuffer(b"".join([b or none for b in rows.column("bits").to_pylist()]), dtype="u8").reshape(-1, LONGS)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
         mixed = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), np.diff(np.append(starts, len(key))))
@@ -178,7 +181,7 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lag += 1
             at = at[at + lag < ends[at]]
             a = at[(root[at] != root[at + lag]) & (9 * np.minimum(left[at], left[at + lag]) >= 4 * (n[at] + n[at + lag]))]
-            if len(a):
+            if len(a) and busy:
                 a = a[9 * np.bitwise_count(bits[a] ^ bits[a + lag]).sum(axis=1, dtype="i8") <= n[a] + n[a + lag]]
             if len(a):
                 u, v = (fp.take(pa.array(i)).combine_chunks() for i in (a, a + lag))
@@ -244,8 +247,24 @@ def _dealt(placed: DataFrame, keyed: DataFrame, sets: DataFrame, block: int) ->
     return plain.unionByName(met.select(key.alias("key"), "left", "n", "fp", "root").join(sets.select("fp", "bits"), "fp"))
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Every query begun inside runs once and drops its shuffle files behind it, so that one step's files are on disk at a time."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def near_copies(texts: DataFrame, fp: str = "fp", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(node, root) of the sets that links of similarity OVER / UNDER or more join to another; fp is ``digests(text)``."""
+    with _shuffles_dropped(texts.sparkSession):
+        return _near_copies(texts, fp, text, block)
+
+
+def _near_copies(texts: DataFrame, fp: str, text: str, block: int) -> DataFrame:
     values = texts.select(F.col(fp).alias("fp"), F.col(text).cast("string").alias("text"))
     keyed = _keyed(values.select("text"))
     met = keyed.select("fp").distinct()
