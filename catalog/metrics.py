@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.base import n, query, r6, secs
 from catalog.standins import DAILY, HOURLY, daily, hourly, metrics_cte, signals_cte
 from murmur.operators import analysis as an
 from murmur.operators import metrics as mt
+from murmur.plans.pipeline import refresh_sums
+from murmur.session import ensure_checkpoint_dir
+from murmur.sources.store import PART, Run, Store
 
 COUNTERS = (
     "post_count", "comment_count", "unique_author_count", "retail_count", "novice_count", "bullish_count",
@@ -92,6 +97,42 @@ def w02_daily(spark, sf):
     return _signal_columns(mt.metric_signals(metrics_of(daily(spark, sf))))
 
 
+def _store_after_two_runs(spark, sf):
+    """Posts arrive in two runs, late ones among the second; only the days they reach are summed again."""
+    ensure_checkpoint_dir(spark)
+    d, store = hourly(spark, sf), Store(spark, f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}")
+    day = F.to_date("published_at").cast("string")
+    tags = lambda df, kind, entity: df.select("content_id", F.lit(kind).alias("entity_type"), F.col(entity).alias("entity_id"))
+    entity = tags(d.content_topic, "topic", "topic_id").unionByName(tags(d.content_asset, "asset", "asset_id"))
+    entity = entity.join(d.content.select("content_id", day.alias(PART)), "content_id")
+    late = d.content.select(F.percentile_approx("published_at", 0.8).alias("cut"), F.percentile_approx("published_at", 0.5).alias("half"), F.percentile_approx("published_at", 0.52).alias("end"))
+    cut, half, end = (F.lit(v) for v in late.first())
+    second = (F.col("published_at") > cut) | F.col("published_at").between(half, end)
+    store.write("content_analysis", d.analysis)
+    store.write("asset_topic", d.asset_topic)
+    run = Run(store)
+    run.write_parts("content", d.content.where(~second).withColumn(PART, day))
+    run.write_parts("content_entity", entity)
+    refresh_sums(run, (d.size,))
+    run.commit()
+    run, arrived = Run(store), d.content.where(second)
+    days = [r[0] for r in arrived.select(day).distinct().collect()]
+    run.write_parts("content", run.read("content", days).unionByName(arrived).withColumn(PART, day), days)
+    refresh_sums(run, (d.size,), arrived.select("published_at"))
+    run.commit()
+    return store
+
+
+@query("a01_metrics_after_two_runs", f"WITH {HOURLY}, {metrics_cte()} {_METRICS_SQL}")
+def a01_two_runs(spark, sf):
+    return _store_after_two_runs(spark, sf).read("platform_metric").select(*_keys(), *[n(c) for c in COUNTERS], r6("engagement_sum"))
+
+
+@query("f01_signals_after_two_runs", f"WITH {HOURLY}, {metrics_cte()}, {signals_cte()} {_SIGNAL_SQL}")
+def f01_signals(spark, sf):
+    return _signal_columns(_store_after_two_runs(spark, sf).read("metric_signal"))
+
+
 _P = "SELECT CAST(epoch(m.bucket_at) AS BIGINT) AS bucket_at, m.source, m.topic_id, m.asset_id, m.post_count, m.retail_count"
 
 

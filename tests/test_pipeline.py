@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from murmur.operators import rebuild as rb
@@ -62,6 +63,87 @@ def test_core_chain_and_repairs(spark, tmp_path, at):
     assert {r.table: r.removed for r in counts.collect()}["signal_event"] == tables["signal_event"].count()
 
 
+def same_tables(left, right, but=()):
+    """Whether two stores hold equal rows in every table of the chain, doubles to nine places."""
+    for name in pp.CORE_TABLES:
+        if name in but:
+            continue
+        one, other = left.read(name), right.read(name)
+        doubles = {f.name for f in one.schema.fields if f.dataType.simpleString() == "double"}
+        flat = lambda df: df.select(*[F.round(c, 9).alias(c) if c in doubles else F.col(c) for c in sorted(one.columns)])  # noqa: B023, E731
+        one, other = flat(one).collect(), flat(other).collect()
+        assert sorted(map(repr, one)) == sorted(map(repr, other)), name
+
+
+def edited(spark, raw):
+    """A later version of an early post: more likes, so its day changes."""
+    row = raw.where("raw_id = 5").first().asDict()
+    payload = {**json.loads(row["payload"]), "likes": 900}
+    text = json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    later = {**row, "raw_id": 2001, "payload": text, "payload_hash": "edited", "observed_at": row["observed_at"] + timedelta(days=40), "collected_at": row["collected_at"] + timedelta(days=40)}
+    return spark.createDataFrame([tuple(later[c] for c in raw.columns)], raw.schema)
+
+
+def test_growing_runs_equal_one_full_run_and_touch_only_days_they_reach(spark, tmp_path, at):
+    whole, grown = build(spark, tmp_path / "whole", at), build(spark, tmp_path / "grown", at)
+    raw = whole.read("raw_observation")
+    whole.append("raw_observation", edited(spark, raw))
+    grown.write("raw_observation", raw.where("raw_id <= 30"))
+    pp.run_core(grown, secret="k", bucket_sizes=("1d",))
+    grown.append("raw_observation", raw.where("raw_id > 30"))
+    pp.run_core(grown, secret="k", bucket_sizes=("1d",))
+    before = pp.Run(grown)
+    grown.append("raw_observation", edited(spark, raw))
+    pp.run_core(grown, secret="k", bucket_sizes=("1d",))
+    after = pp.Run(grown)
+    for name, reach in (("platform_metric", 0), ("metric_signal", 30)):
+        old, new = before.folders(name), after.folders(name)
+        moved = {p for p in new if new[p] != old.get(p)}
+        day = after.read("content").where("content_id = 5").select(pp._bucket_part("1d", pp.floor_bucket(F.col("published_at"), "1d"))).first()[0]
+        assert day in moved and moved == set(new) & {*pp._shifted([day], 0, reach)} and (reach or len(moved) == 1 < len(new))
+    # A run without anything new changes no sum and no signal.
+    pp.run_core(grown, secret="k", bucket_sizes=("1d",))
+    assert all(pp.Run(grown).folders(name) == after.folders(name) for name in ("content", "platform_metric", "metric_signal"))
+    pp.run_core(whole, secret="k", bucket_sizes=("1d",))
+    # The edited post was analysed before and after its edit; every other table is the same.
+    same_tables(grown, whole, but=("content_analysis",))
+    kept = lambda store: sorted(map(repr, store.read("content_analysis").drop("analysis_id").where("content_id <> 5").collect()))
+    assert kept(grown) == kept(whole) and grown.read("content_analysis").where("content_id = 5").count() == 2
+    files = pp.Run(grown).read("platform_metric", [day]).inputFiles()
+    assert files and all(f"{pp.PART}={day}" in f or "/columns/" in f for f in files)
+
+
+def test_a_run_stopped_anywhere_leaves_no_trace_and_loses_nothing(spark, tmp_path, at, monkeypatch):
+    whole, broken = build(spark, tmp_path / "whole", at), build(spark, tmp_path / "broken", at)
+    pp.run_core(whole, secret="k", bucket_sizes=("1d",))
+    state = broken.folders()
+
+    def stopping(name, real):
+        def write(self, table, *args, **kwargs):
+            out = real(self, table, *args, **kwargs)
+            if table == name:
+                raise KeyboardInterrupt(name)
+            return out
+
+        return write
+
+    for name in ("content", "content_entity", "content_analysis", "platform_metric", "event_return"):
+        with monkeypatch.context() as patch:
+            for method in ("write", "append", "write_parts"):
+                patch.setattr(pp.Run, method, stopping(name, getattr(pp.Run, method)))
+            with pytest.raises(KeyboardInterrupt):
+                pp.run_core(broken, secret="k", bucket_sizes=("1d",))
+        assert broken.folders() == state and broken.stored("content") is None
+    with monkeypatch.context() as patch:
+        patch.setattr(pp.Store, "commit", lambda self, changes: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            pp.run_core(broken, secret="k", bucket_sizes=("1d",))
+    assert broken.folders() == state
+    pp.run_core(broken, secret="k", bucket_sizes=("1d",))
+    assert broken.read("content_entity").count() > 0 and broken.read("content_cluster_member").count() > 0
+    same_tables(broken, whole)
+
+
 def test_later_runs_equal_one_full_run_and_keep_analyses(spark, tmp_path, at):
     whole, grown = build(spark, tmp_path / "whole", at), build(spark, tmp_path / "grown", at)
     raw = whole.read("raw_observation")
