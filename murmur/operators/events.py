@@ -48,6 +48,11 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts_new, out: s
     return flagged.withColumn(out, label.over(window.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def event_key(start: Column) -> Column:
+    """Key of an event from its group and the seconds of its first bucket."""
+    return F.concat_ws("|", "event_type", "source", _label(F.col("topic_id")), _label(F.col("asset_id")), "bucket_size", start.cast("string")).alias("event_key")
+
+
 def detect_events(
     signals: DataFrame, *, min_robust_z: float = 3.0, min_percentile: float = 0.95,
     rule_version: str = "discovery-v1", event_date: str | None = None,
@@ -73,9 +78,7 @@ def detect_events(
     peak_order = F.struct(F.col("robust_z"), F.col("percentile"), -F.col("_at"), -place)
     peak = F.max_by(F.struct("bucket_at", "raw_value", "robust_z", "percentile", "metric_name"), peak_order)
     started = F.timestamp_seconds("_start")
-    key = F.concat_ws(
-        "|", "event_type", "source", _label(F.col("topic_id")), _label(F.col("asset_id")), "bucket_size", F.col("_start").cast("string")
-    ).alias("event_key")
+    key = event_key(F.col("_start"))
     events = (
         runs.groupBy(*EVENT_GROUP, "_start")
         .agg(peak.alias("_peak"), F.max("bucket_at").alias("ended_at"), F.count("*").alias("signal_count"))

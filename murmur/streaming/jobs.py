@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from murmur.functions.timeutil import bucket_seconds
+from murmur.functions.timeutil import BUCKET_SECONDS, bucket_seconds
 from murmur.operators.analysis import engagement
-from murmur.operators.events import EVENT_GROUP
+from murmur.operators.events import EVENT_GROUP, event_key
 from murmur.operators.ingest import VERSION
-from murmur.operators.metrics import counters
+from murmur.operators.metrics import METRIC_NAMES, counters, metrics_long
 from murmur.sources.raw import RAW_SCHEMA
+from murmur.sources.store import PART, SEEN, Run, Store
 
 WATERMARK = "2 hours"
 ANALYSIS = "struct<actor_type:string,investor_level:string,direction:string,intent:string,fomo_flags:int,panic:boolean,promotion:boolean,spam:boolean>"
@@ -62,65 +63,144 @@ def with_registry(posts: DataFrame, entity_dim: DataFrame, *, on: str) -> DataFr
     return posts.join(entity_dim, on, "left")
 
 
-def merged_events(strong: DataFrame, *, size: str = "1h", delay: str = WATERMARK) -> DataFrame:
-    """ST4: qualifying signals of a group merge while they are at most one bucket apart."""
-    step = bucket_seconds(size)
-    rows = strong.withWatermark("bucket_at", delay).groupBy(F.session_window("bucket_at", f"{step} seconds").alias("w"), *EVENT_GROUP).agg(
-        F.min("bucket_at").alias("started_at"), F.max("bucket_at").alias("ended_at"), F.count("*").alias("signal_count"), F.max("robust_z").alias("peak_zscore")
+EVENT_STATE = "times ARRAY<BIGINT>, names ARRAY<STRING>, raws ARRAY<DOUBLE>, zs ARRAY<DOUBLE>, robusts ARRAY<DOUBLE>, percentiles ARRAY<DOUBLE>"
+_LINK = "bucket_at: TIMESTAMP, metric_name: STRING, raw_value: DOUBLE, zscore: DOUBLE, robust_z: DOUBLE, percentile: DOUBLE"
+_GROUP = {"event_type": "STRING", "source": "STRING", "topic_id": "BIGINT", "asset_id": "BIGINT", "bucket_size": "STRING", "metric_name": "STRING"}
+
+
+def _typed(names: tuple[str, ...]) -> str:
+    return ", ".join(f"{c} {_GROUP[c]}" for c in names)
+
+
+def _keyed_frame(names: tuple[str, ...], key: tuple, out: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows of one key with the key in front; NULL key parts stay NULL."""
+    frame = pd.DataFrame(out, columns=columns)
+    for place, (name, value) in enumerate(zip(names, key, strict=True)):
+        empty = value is None or value != value
+        frame.insert(place, name, pd.Series([None if empty else value] * len(out), dtype="Int64" if _GROUP[name] == "BIGINT" else "object"))
+    return frame
+
+
+def merged_events(strong: DataFrame, *, delay: str = WATERMARK, rule_version: str = "discovery-v1") -> DataFrame:
+    """ST4/W08: events of qualifying signals, each once, when the watermark says that nothing can join it any more.
+
+    The state of a group holds the signals of its open runs only; a timer closes the
+    first of them one bucket after its end. Signals that come late but inside the
+    watermark extend or join runs as in the batch. A row has the columns of an event
+    and its signals as ``links``; ``event_links`` makes rows of them.
+    """
+    steps = {size: bucket_seconds(size) for size in BUCKET_SECONDS}
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        size, watermark = steps[key[-1]], state.getCurrentWatermarkMs()
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        for rows in () if state.hasTimedOut else frames:
+            numbers = [[None if x != x else float(x) for x in rows[c].astype("float64")] for c in ("raw_value", "zscore", "robust_z", "percentile")]
+            held += zip([int(t.timestamp()) for t in rows["bucket_at"]], rows["metric_name"], *numbers, strict=True)
+        held.sort(key=lambda r: (r[0], METRIC_NAMES.index(r[1])))
+        runs: list[list[tuple]] = []
+        for row in held:
+            if runs and row[0] <= runs[-1][-1][0] + size:
+                runs[-1].append(row)
+            else:
+                runs.append([row])
+        # A late signal of the next bucket could still extend a run that is not closed.
+        closed = [r for r in runs if (r[-1][0] + size) * 1000 < watermark]
+        left = [row for r in runs[len(closed) :] for row in r]
+        if left:
+            state.update(tuple(map(list, zip(*left, strict=True))))
+            state.setTimeoutTimestamp(max((runs[len(closed)][-1][0] + size) * 1000 + 1, watermark + 1))
+        elif state.exists:
+            state.remove()
+        out = []
+        for run in closed:
+            peak = max(run, key=lambda r: (r[4], r[5], -r[0], -METRIC_NAMES.index(r[1])))
+            links = [{"bucket_at": pd.Timestamp(r[0], unit="s"), "metric_name": r[1], "raw_value": r[2], "zscore": r[3], "robust_z": r[4], "percentile": r[5]} for r in run]
+            out.append((run[0][0], peak[0], run[-1][0], peak[2], peak[4], peak[5], peak[1], len(run), links))
+        yield _keyed_frame(EVENT_GROUP, key, out, ["_start", "_peak", "_end", "peak_value", "peak_zscore", "peak_percentile", "peak_metric", "signal_count", "links"])
+
+    output = f"{_typed(EVENT_GROUP)}, _start BIGINT, _peak BIGINT, _end BIGINT, peak_value DOUBLE, peak_zscore DOUBLE, peak_percentile DOUBLE, peak_metric STRING, signal_count BIGINT, links ARRAY<STRUCT<{_LINK}>>"
+    slim = strong.withWatermark("bucket_at", delay).select(*EVENT_GROUP, "bucket_at", "metric_name", "raw_value", "zscore", "robust_z", "percentile")
+    rows = slim.groupBy(*EVENT_GROUP).applyInPandasWithState(step, output, EVENT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    at = lambda c: F.timestamp_seconds(c)
+    return rows.select(
+        event_key(F.col("_start")), *EVENT_GROUP, at("_start").alias("started_at"), at("_peak").alias("peaked_at"), at("_end").alias("ended_at"), "peak_value", "peak_zscore", "peak_percentile",
+        "peak_metric", at("_peak").alias("trigger_bucket_at"), "signal_count", F.lit(rule_version).alias("rule_version"), F.lit("discovered").alias("status"), "links",
     )
-    return rows.drop("w")
 
 
-def upsert_latest(spark: SparkSession, state_path: str, keys: list[str], order: str):
-    """ST6: a ``foreachBatch`` writer that keeps the newest row per key.
+def event_links(events: DataFrame) -> DataFrame:
+    """A row per signal of the events of ``merged_events``."""
+    return events.select("event_key", *EVENT_GROUP, F.inline("links"))
+
+
+def upsert_latest(store: Store, name: str, keys: list[str], order: str, *, stream: str, parts: int = 64):
+    """ST6: a ``foreachBatch`` writer that keeps the newest row per key in a table of the store.
 
-    Batch n reads version n-1 and writes version n, so a batch that is repeated
-    after a failure gives the same state and readers never see a half-written one.
+    The table is cut by key hash; a batch reads and rewrites the parts it touches
+    and no others. The commit that shows them also names the batch of this
+    ``stream``, so a batch that is repeated after a failure changes nothing and
+    readers never see half of one. A stream that starts over an older state takes
+    it over; of two rows with one key and equal ``order`` the stored one stays.
     """
+    fence = (SEEN, f"{name} by {stream}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        rest = [c for c in batch.columns if c not in keys]
-        rows = batch
-        if batch_id > 0:
-            rows = rows.unionByName(session.read.parquet(f"{state_path}/version={batch_id - 1}"))
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
-        newest.write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
+        run = Run(Store(batch.sparkSession, store.folder))
+        done = run.before.get(fence)
+        if done and int(done[0]) >= batch_id:
+            return
+        part = F.lpad(F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("string"), 4, "0")
+        rows, rest = batch.withColumn(PART, part), [c for c in batch.columns if c not in keys]
+        touched = [r[0] for r in rows.select(PART).distinct().collect()]
+        before = run.stored(name, touched)
+        both = rows.withColumn("_stored", F.lit(0))
+        if before is not None:
+            both = both.unionByName(before.withColumn(PART, part).withColumn("_stored", F.lit(1)))
+        newest = both.groupBy(PART, *keys).agg(F.max_by(F.struct(*rest), F.struct(order, "_stored")).alias("_r")).select(*keys, "_r.*", PART)
+        if touched:
+            run.write_parts(name, newest, touched)
+        run.changes[fence] = [str(batch_id)]
+        run.commit()
 
     return write
 
 
+BASELINE_KEYS = ("bucket_size", "source", "topic_id", "asset_id", "metric_name")
 BASELINE_STATE = "times ARRAY<BIGINT>, values ARRAY<DOUBLE>"
-BASELINE_OUTPUT = "source STRING, topic_id BIGINT, bucket_at TIMESTAMP, raw_value DOUBLE, zscore DOUBLE, robust_z DOUBLE, percentile DOUBLE"
 
 
-def rolling_baseline(buckets: DataFrame, *, value: str = "post_count", days: int = 30, min_samples: int = 14) -> DataFrame:
-    """ST7: signals of finished buckets against the 30 days before them, kept as state per key.
+def rolling_baseline(buckets: DataFrame, *, days: int = 30, min_samples: int = 14, delay: str = WATERMARK, version: str = "metric-v1") -> DataFrame:
+    """ST7/W02-W05: signals of all nine metrics of finished buckets against the 30 days before them.
 
-    The state holds at most 720 hourly values per key and is trimmed at every
-    call, so its size does not grow with the stream.
+    ``buckets`` are rows of ``bucket_counts`` (a missing asset_id is NULL), which
+    come in order of time for a key. The state of a (size, source, topic, asset,
+    metric) holds at most 720 hourly values; a timer drops a key that has had no
+    bucket for ``days``, so state follows the keys in use and not the age of the stream.
     """
+    rows = buckets if "asset_id" in buckets.columns else buckets.withColumn("asset_id", F.lit(None).cast("long"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, values = (list(map(list, state.get)) if state.exists else ([], []))
-        rows = pd.concat(list(frames)).sort_values("bucket_at")
         out = []
-        for at, current in zip(rows["bucket_at"], rows["raw_value"]):
-            now = int(at.timestamp())
-            keep = [i for i, t in enumerate(times) if t >= now - days * 86400]
-            times, values = [times[i] for i in keep], [values[i] for i in keep]
-            past = np.array([v for t, v in zip(times, values) if t < now])
-            out.append((at, float(current), *_stats(past, float(current), min_samples)))
-            times.append(now)
-            values.append(float(current))
-        state.update((times, values))
-        frame = pd.DataFrame(out, columns=["bucket_at", "raw_value", "zscore", "robust_z", "percentile"])
-        frame.insert(0, "topic_id", key[1])
-        frame.insert(0, "source", key[0])
-        yield frame
-
-    slim = buckets.select("source", F.coalesce("topic_id", F.lit(-1)).cast("long").alias("topic_id"), "bucket_at", F.col(value).cast("double").alias("raw_value"))
-    return slim.groupBy("source", "topic_id").applyInPandasWithState(step, BASELINE_OUTPUT, BASELINE_STATE, "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            times, values = (np.array(v, dtype=t) for v, t in zip(state.get if state.exists else ([], []), ("i8", "f8"), strict=True))
+            new = pd.concat(list(frames)).sort_values("bucket_at")
+            for at, current in zip(new["bucket_at"], new["raw_value"], strict=True):
+                now = int(at.timestamp())
+                first, last = np.searchsorted(times, (now - days * 86400, now))
+                out.append((at, float(current), *_stats(values[first:last], float(current), min_samples)))
+                times, values = np.insert(times, last, now), np.insert(values, last, current)
+            kept = times >= times[-1] - days * 86400
+            state.update((times[kept].tolist(), values[kept].tolist()))
+            state.setTimeoutTimestamp(max((int(times[-1]) + days * 86400) * 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield _keyed_frame(BASELINE_KEYS, key, out, ["bucket_at", "raw_value", "zscore", "robust_z", "percentile"])
+
+    slim = metrics_long(rows.withWatermark("bucket_at", delay)).select(*BASELINE_KEYS, "bucket_at", "raw_value")
+    output = f"{_typed(BASELINE_KEYS)}, bucket_at TIMESTAMP, raw_value DOUBLE, zscore DOUBLE, robust_z DOUBLE, percentile DOUBLE"
+    made = slim.groupBy(*BASELINE_KEYS).applyInPandasWithState(step, output, BASELINE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return made.select("bucket_at", *BASELINE_KEYS, "raw_value", "zscore", "robust_z", "percentile", F.lit(f"{days}d").alias("baseline_window"), F.lit(version).alias("metric_version"))
 
 
 def _stats(past: np.ndarray, current: float, least: int) -> tuple:

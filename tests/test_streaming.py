@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from murmur.functions.timeutil import floor_bucket
 from murmur.operators import events as ev
 from murmur.operators import metrics as mt
+from murmur.sources.store import Store
 from murmur.streaming import jobs as st
 
 RAW = "raw_id long, source string, source_item_id string, payload_hash string, observed_at timestamp"
@@ -65,43 +66,82 @@ def test_daily_buckets_start_at_shanghai_midnight(spark, tmp_path, at):
 SIGNAL = "bucket_at timestamp, bucket_size string, source string, topic_id long, asset_id long, metric_name string, raw_value double, zscore double, robust_z double, percentile double, event_type string"
 
 
-def test_session_windows_equal_the_batch_events(spark, tmp_path, at):
-    hours = ["10", "11", "12", "15", "16", "20"]
-    rows = [(at(f"2026-07-01T{h}:00:00"), "1h", "s", 1, 2, "post_count", 1.0, 1.0, 4.0, 0.99, "attention_spike") for h in hours]
-    last = [(at("2026-07-03T00:00:00"), "1h", "s", 1, 2, "post_count", 1.0, 1.0, 4.0, 0.99, "attention_spike")]
-    stream = drain(st.merged_events(land(spark, tmp_path, [rows[:4], rows[4:], last, [(at("2026-07-04T00:00:00"), *last[0][1:])]], SIGNAL)))
-    batch, _ = ev.detect_events(spark.createDataFrame(rows, SIGNAL).drop("event_type"))
-    spans = lambda df: sorted((r.started_at, r.ended_at, r.signal_count) for r in df.collect())
-    assert spans(stream)[:3] == spans(batch)
+def values(df):
+    return sorted(repr([(c, r[c]) for c in sorted(df.columns)]) for r in df.collect())
+
+
+def test_events_close_once_and_equal_the_batch_with_late_signals(spark, tmp_path, at):
+    def signal(hour, *, topic=1, asset=2, metric="post_count", robust=4.0, day=1, z=1.0):
+        kind = {"post_count": "attention_spike", "unique_author_count": "attention_spike", "fomo_ratio": "fomo_spike"}[metric]
+        return (at(f"2026-07-{day:02d}T{hour:02d}:00:00"), "1h", "s", topic, asset, metric, float(hour), z, robust, 0.99, kind)
+
+    batches = [
+        [signal(10), signal(12), signal(10, topic=None, asset=None)],
+        # Inside the watermark of two hours: the hole at 11 is filled late, and 12 ties with it.
+        [signal(11, robust=5.0), signal(11, metric="unique_author_count", robust=5.0), signal(12, topic=None, asset=None, z=None)],
+        [signal(15), signal(16, robust=9.0), signal(15, metric="fomo_ratio", robust=3.5)],
+        [signal(20)], [signal(0, day=3)], [signal(0, day=4)], [signal(0, day=5)],
+    ]
+    stream = drain(st.merged_events(land(spark, tmp_path, batches, SIGNAL)))
+    events, links = ev.detect_events(spark.createDataFrame([r for b in batches for r in b], SIGNAL).drop("event_type"))
+    done = F.col("started_at") < F.lit("2026-07-04").cast("timestamp")
+    stream = stream.where(done).cache()
+    assert stream.count() == 7 and values(stream.drop("links").select(*events.columns)) == values(events.where(done))
+    assert values(st.event_links(stream)) == values(links.join(events.where(done).select("event_key"), "event_key").select(*st.event_links(stream).columns))
 
 
 def test_state_keeps_the_newest_row_per_item(spark, tmp_path, at):
     rows = [[(1, "s", "a", "h1", at("2026-07-01")), (2, "s", "b", "h1", at("2026-07-01"))], [(3, "s", "a", "h2", at("2026-07-02"))]]
     (tmp_path / "in").mkdir()
-    stream = land(spark, tmp_path / "in", rows, RAW)
-    query = stream.writeStream.foreachBatch(st.upsert_latest(spark, str(tmp_path / "state"), ["source", "source_item_id"], "raw_id")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    store = Store(spark, str(tmp_path / "state"))
+    write = st.upsert_latest(store, "newest", ["source", "source_item_id"], "raw_id", stream="one")
+    query = land(spark, tmp_path / "in", rows, RAW).writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.processAllAvailable()
     query.stop()
-    newest = spark.read.parquet(str(tmp_path / "state" / "version=1"))
-    assert sorted((r.source_item_id, r.raw_id) for r in newest.collect()) == [("a", 3), ("b", 2)]
+    newest = lambda: sorted((r.source_item_id, r.raw_id) for r in store.read("newest").collect())
+    assert newest() == [("a", 3), ("b", 2)]
+    before = store.folders()
+    # A repeated batch changes nothing, a new one rewrites the part it touches.
+    write(spark.createDataFrame([(9, "s", "b", "h9", at("2026-07-09"))], RAW), 1)
+    assert store.folders() == before
+    write(spark.createDataFrame([(9, "s", "b", "h9", at("2026-07-09")), (1, "s", "b", "old", at("2026-07-01"))], RAW), 2)
+    after = store.folders()
+    assert newest() == [("a", 3), ("b", 9)] and sum(after[k] != before.get(k) for k in after if k[0] == "newest") == 1
+    # Another stream begins with batch 0 over the state that is there.
+    st.upsert_latest(store, "newest", ["source", "source_item_id"], "raw_id", stream="two")(spark.createDataFrame([(10, "s", "c", "h", at("2026-07-09"))], RAW), 0)
+    assert newest() == [("a", 3), ("b", 9), ("c", 10)]
 
 
-def test_rolling_state_equals_the_batch_baseline(spark, tmp_path, at):
+COUNTED = "bucket_at timestamp, bucket_size string, source string, topic_id long, asset_id long, post_count long, comment_count long, unique_author_count long, retail_count long, novice_count long, fomo_count long, panic_count long, buy_intent_count long, sell_intent_count long, engagement_sum double"
+
+
+def test_rolling_state_equals_the_batch_baseline_in_every_column(spark, tmp_path, at):
     from datetime import timedelta
 
-    values = [1, 5, 2, 8, 3, 9, 4, 1, 7, 2, 6, 3, 5, 8, 30, 4, 12]
-    first = at("2026-01-01")
-    schema = "source string, topic_id long, bucket_at timestamp, post_count long"
-    rows = [("s", 1, first + timedelta(days=2 * i), v) for i, v in enumerate(values)]
-    got = {r.bucket_at: r for r in drain(st.rolling_baseline(land(spark, tmp_path, [rows[:5], rows[5:15], rows[15:]], schema))).collect()}
-    wide = spark.createDataFrame([(t, "1d", s, k, None, v, 0, 1, 0, 0, 0, 0, 0, 0, 0.0) for s, k, t, v in rows],
-        "bucket_at timestamp, bucket_size string, source string, topic_id long, asset_id long, post_count long, comment_count long, unique_author_count long, retail_count long, novice_count long, fomo_count long, panic_count long, buy_intent_count long, sell_intent_count long, engagement_sum double")
-    batch = mt.metric_signals(wide).where("metric_name = 'post_count'").collect()
-    assert len(got) == len(batch) == len(values)
-    for r in batch:
-        for name in ("zscore", "robust_z", "percentile"):
-            a, b = got[r.bucket_at][name], r[name]
-            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9)
+    first, keys = at("2026-01-01"), [(1, None), (None, None), (1, 7)]
+    rows = []
+    for i in range(34):
+        for j, (topic, asset) in enumerate(keys):
+            v = (i * 7 + j * 3) % 11 + (30 if i == 29 else 0)
+            # The last key stops early: its state has gone when it speaks again.
+            if (topic, asset) != (1, 7) or i < 4 or i == 33:
+                rows.append((first + timedelta(days=2 * i), "1d", "s", topic, asset, v, i % 3, v // 2, v // 2, v // 3, i % 2, 0, v % 2, 1, float(v) / 3))
+    cut = [0, 20, 45, len(rows)]
+    stream = land(spark, tmp_path, [rows[a:b] for a, b in zip(cut, cut[1:], strict=False)], COUNTED)
+    got, batch = drain(st.rolling_baseline(stream)), mt.metric_signals(spark.createDataFrame(rows, COUNTED))
+    rounded = lambda df: df.select(*[F.round(c, 9).alias(c) if c in ("raw_value", "zscore", "robust_z", "percentile") else F.col(c) for c in batch.columns])
+    assert batch.count() == 9 * len(rows) and batch.where("robust_z is not null").count() > 100
+    assert values(rounded(got)) == values(rounded(batch))
+
+
+def test_keys_without_buckets_leave_the_state(spark, tmp_path, at):
+    row = lambda day, topic: (at(f"2026-{day}"), "1d", "s", topic, None, 3, 0, 1, 1, 0, 0, 0, 0, 0, 1.0)
+    stream = land(spark, tmp_path, [[row("01-01", 1), row("01-01", 2)], [row("03-01", 2)], [row("03-02", 2)], [row("03-03", 2)]], COUNTED)
+    query = st.rolling_baseline(stream).writeStream.outputMode("append").format("memory").queryName("leaving").start()
+    query.processAllAvailable()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    query.stop()
+    assert held[0] == 18 and held[-1] == 9
 
 
 def test_registry_join_on_a_stream(spark, tmp_path, at):
