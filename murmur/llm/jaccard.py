@@ -30,8 +30,8 @@ from murmur.session import checkpointed, written
 #: Words of a shingle; similarity as a fraction; buckets of the counts that give the order, and the fullest of them, whose shingles come last.
 SHINGLE, OVER, UNDER, BUCKETS, FULLEST = 5, 4, 5, 1 << 20, 1 << 15
 KEYED = "key long, place int, n int, fp binary"
-#: Parity bits of a set, in longs, and the rows of a key from which it is dealt in blocks and compared by them first.
-LONGS, BLOCK = 8, 512
+#: Parity bits of a set, in longs; rows of a key above which its pairs are compared by them first, and those of a block of a busy key.
+LONGS, FEW, BLOCK = 8, 4, 512
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -182,6 +182,7 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[at + lag < ends[at]]
             a = at[(root[at] != root[at + lag]) & (9 * np.minimum(left[at], left[at + lag]) >= 4 * (n[at] + n[at + lag]))]
             if len(a) and busy:
+                # Rows without bits have zeros throughout their key, which rule nothing out.
                 a = a[9 * np.bitwise_count(bits[a] ^ bits[a + lag]).sum(axis=1, dtype="i8") <= n[a] + n[a + lag]]
             if len(a):
                 u, v = (fp.take(pa.array(i)).combine_chunks() for i in (a, a + lag))
@@ -229,21 +230,24 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     kept.append(i)
             yield batch.select(["u", "v"]).take(pa.array(kept, pa.int64()))
 
-    left = _possible(pairs, texts)
+    left = checkpointed(_possible(pairs, texts))
+    # Only texts of these pairs travel to both ends.
+    wanted = left.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    texts = written(texts.select("fp", "text").join(wanted, "fp", "left_semi"))
     both = left.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
     return checkpointed(both.select("u", "v", "a", "b").mapInArrow(lambda b: released(compare(b)), "u binary, v binary"))
 
 
 def _dealt(placed: DataFrame, keyed: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """The rows with parity bits where a key has more than ``block``; such a key is dealt so that every two parts meet once."""
-    # At most one row for every ``block`` rows; Spark sends it by its size.
-    busy = keyed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > block).select("key", F.ceil(F.col("rows") / block).cast("int").alias("parts"))
+    """The rows, with parity bits where a key has more than FEW; one of more than ``block`` is dealt so that every two parts meet."""
+    # At most one row for every FEW rows; Spark sends it by its size.
+    busy = keyed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > FEW).select("key", F.ceil(F.col("rows") / block).cast("int").alias("parts"))
     rows = placed.join(busy, "key", "left")
     plain = rows.where("parts is null").select("key", "left", "n", "fp", "root", F.lit(None).cast("binary").alias("bits"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part"))
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part")))
     met = rows.where("parts is not null").withColumn("part", part).withColumn("other", F.explode(others))
-    key = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
     return plain.unionByName(met.select(key.alias("key"), "left", "n", "fp", "root").join(sets.select("fp", "bits"), "fp"))
 
 
