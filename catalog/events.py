@@ -192,6 +192,45 @@ def j20(spark, sf):
     return ev.event_contents(links, d.content, d.content_topic, size="1h").select("event_key", "content_id", n("position"))
 
 
+def _raw_versions(spark, sf):
+    """One to three landed versions of every post."""
+    versions = F.explode(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int"))).alias("v")
+    return table(spark, sf, "events").select("event_id", "event_type", "user_id", versions).select(
+        (F.col("event_id") * 3 + F.col("v")).alias("raw_id"), F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("source_item_id"),
+        F.concat_ws(":", "event_id", "user_id", "v").alias("payload_hash"),
+    )
+
+
+@query(
+    "r07_event_provenance",
+    _HOURLY_EVENTS + """,
+    hit AS (SELECT DISTINCT e.event_key, r.bucket_at, c.content_id, c.published_at, c.author_id FROM runs r
+      JOIN sig_events e ON e.event_type = r.event_type AND e.source = r.source AND e.run = r.run
+        AND e.topic_id IS NOT DISTINCT FROM r.topic_id AND e.asset_id IS NOT DISTINCT FROM r.asset_id
+      JOIN content c ON c.source = r.source AND c.published_at >= r.bucket_at AND c.published_at < r.bucket_at + INTERVAL 1 HOUR
+      WHERE r.topic_id IS NULL OR EXISTS (SELECT 1 FROM content_topic t WHERE t.content_id = c.content_id AND t.topic_id = r.topic_id)),
+    picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY bucket_at, published_at DESC, content_id DESC) AS position FROM hit) WHERE position <= 50),
+    best AS (SELECT content_id, arg_max(analysis_id || '/' || model || '/' || intent, tier * 10000000000 + analysis_id) AS effective,
+      string_agg(analysis_id || '/' || intent, ';' ORDER BY analysis_id DESC) AS analyses FROM analysis GROUP BY 1),
+    version AS (SELECT content_id, string_agg((content_id * 3 + v) || '=' || content_id || ':' || author_id || ':' || v, ';' ORDER BY v DESC) AS versions
+      FROM (SELECT content_id, author_id, unnest(range(content_id % 3 + 1)) AS v FROM content) GROUP BY 1)
+    SELECT e.event_key, coalesce(p.position, 0) AS position, p.content_id, effective, coalesce(analyses, '') AS analyses, coalesce(versions, '') AS versions
+    FROM sig_events e LEFT JOIN picked p USING (event_key) LEFT JOIN best USING (content_id) LEFT JOIN version USING (content_id)""",
+)
+def r07_provenance(spark, sf):
+    d = hourly(spark, sf, dense=True)
+    events, links = hourly_events(spark, sf)
+    chosen = ev.event_contents(links, d.content, d.content_topic, size="1h")
+    shown = ev.event_details(events, chosen, d.content, _raw_versions(spark, sf), d.analysis)
+    part = lambda *c: F.concat_ws("/", *[x.cast("string") for x in c])
+    return shown.select("event_key", F.explode_outer("raw_drilldown").alias("d")).select(
+        "event_key", n(F.coalesce("d.position", F.lit(0)), "position"), n("d.content.content_id", "content_id"),
+        F.when(F.col("d.analysis").isNotNull(), part(F.col("d.analysis.analysis_id"), F.col("d.analysis.model"), F.col("d.analysis.intent"))).alias("effective"),
+        F.coalesce(F.array_join(F.transform("d.analyses", lambda a: part(a["analysis_id"], a["intent"])), ";"), F.lit("")).alias("analyses"),
+        F.coalesce(F.array_join(F.transform("d.raw_observations", lambda r: F.concat_ws("=", r["raw_id"].cast("string"), r["payload_hash"])), ";"), F.lit("")).alias("versions"),
+    )
+
+
 @query(
     "r07_event_payloads",
     _DAILY_EVENTS + f", {BARS}, {RETURNS}" + """

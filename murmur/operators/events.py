@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.timeutil import BUCKET_SECONDS, floor_bucket
+from murmur.operators.analysis import analysis_tier
 from murmur.operators.metrics import METRIC_NAMES
-from murmur.session import checkpointed
+from murmur.session import checkpointed, written
 
 # Which metric raises which kind of event.
 EVENT_TYPES = {
@@ -198,3 +199,45 @@ def event_contents(links: DataFrame, content: DataFrame, content_topic: DataFram
     )
     order = Window.partitionBy("event_key").orderBy("bucket_at", F.desc("published_at"), F.desc("content_id"))
     return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
+
+
+def event_histories(chosen: DataFrame, content: DataFrame, raw: DataFrame, analysis: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(posts, raw versions, analyses) behind the rows of ``event_contents``, one row each.
+
+    The chosen posts are few, at most ``limit`` for an event, and written first:
+    Spark knows their size, broadcasts them if small, and so cuts versions and
+    analyses in their scans, before any of them is shuffled. Every version of a
+    chosen post is a row of its own, so a post with a long history needs no large row.
+    """
+    ids = written(chosen.select("content_id").distinct())
+    posts = written(content.join(ids, "content_id", "left_semi"))
+    items = posts.select("content_id", "source", "source_item_id")
+    versions = raw.join(items, ["source", "source_item_id"])
+    return posts, versions, analysis.join(ids, "content_id", "left_semi")
+
+
+def event_details(events: DataFrame, chosen: DataFrame, content: DataFrame, raw: DataFrame, analysis: DataFrame) -> DataFrame:
+    """Events with ``raw_drilldown``: their posts in order, each with its effective analysis,
+    all analyses and all raw versions, newest first; an event without posts has an empty one.
+
+    Histories are nested once per post and then meet the events that show it. Rows hold
+    whole histories, as a page needs them; to pass on many, take ``event_histories``.
+    """
+    chosen = written(chosen)
+    posts, versions, analyses = event_histories(chosen, content, raw, analysis)
+
+    def newest_first(rows: DataFrame, ident: str) -> Column:
+        return F.sort_array(F.collect_list(F.struct(ident, *[c for c in rows.columns if c not in (ident, "content_id")])), asc=False)
+
+    best = F.struct(analysis_tier(F.col("model"), F.col("prompt_version")), "analysis_id")
+    whole = F.struct("analysis_id", *[c for c in analyses.columns if c not in ("analysis_id", "content_id")])
+    judged = analyses.groupBy("content_id").agg(F.max_by(whole, best).alias("analysis"), newest_first(analyses, "analysis_id").alias("analyses"))
+    landed = versions.groupBy("content_id").agg(newest_first(versions, "raw_id").alias("raw_observations"))
+    told = posts.select("content_id", F.struct(*posts.columns).alias("content")).join(judged, "content_id", "left").join(landed, "content_id", "left")
+    empty = lambda name: F.coalesce(name, F.array().cast(told.schema[name].dataType)).alias(name)
+    shown = chosen.select("event_key", "content_id", "position").join(told, "content_id")
+    entry = F.struct("position", "content", "analysis", empty("analyses"), empty("raw_observations"))
+    drilldown = shown.groupBy("event_key").agg(F.array_sort(F.collect_list(entry)).alias("raw_drilldown"))
+    return events.join(drilldown, "event_key", "left").withColumn(
+        "raw_drilldown", F.coalesce("raw_drilldown", F.array().cast(drilldown.schema["raw_drilldown"].dataType))
+    )

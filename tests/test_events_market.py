@@ -101,3 +101,37 @@ def test_bounds_and_question_dates(spark):
         tu.question_session_date(F.lit("如何看待7月3日A股市场"), F.lit("2025-01-01").cast("timestamp")),
     ).first()
     assert list(row) == ["2026-06-30 16:00:00", "2026-07-01 16:00:00", date(2026, 7, 3), date(2025, 7, 3)]
+
+
+def test_details_hold_posts_versions_and_analyses(spark, at):
+    events = spark.createDataFrame([("e1",), ("e2",), ("none",)], "event_key string")
+    chosen = spark.createDataFrame([("e1", 2, 1), ("e1", 1, 2), ("e2", 1, 1), ("e2", 3, 2)], "event_key string, content_id long, position int")
+    content = spark.createDataFrame([(i, "s", f"p{i}", f"body {i}") for i in range(1, 5)], "content_id long, source string, source_item_id string, body string")
+    raw = spark.createDataFrame(
+        [(10, "s", "p1", "a"), (11, "s", "p1", None), (12, "other", "p1", "c"), (13, "s", "p2", "d"), (14, "s", "p4", "e")],
+        "raw_id long, source string, source_item_id string, payload string",
+    )
+    analysis = spark.createDataFrame(
+        [(1, 1, None, "rule-based-v0", "x", "buy"), (2, 1, 7, "m-via-openai-compatible", "evidence-content-review-v3:h", "sell"), (3, 1, 8, "other", None, "hold"), (4, 2, None, None, None, "wait"), (5, 4, None, "other", "x", "buy")],
+        "analysis_id long, content_id long, topic_id long, model string, prompt_version string, intent string",
+    )
+    got = {r.event_key: r.raw_drilldown for r in ev.event_details(events, chosen, content, raw, analysis).collect()}
+    assert [(p.position, p.content.content_id, p.content.body) for p in got["e1"]] == [(1, 2, "body 2"), (2, 1, "body 1")] and got["none"] == []
+    first = got["e2"][0]
+    assert first.analysis.analysis_id == 2 and [a.analysis_id for a in first.analyses] == [3, 2, 1] and first.analyses[1].intent == "sell"
+    assert [(r.raw_id, r.payload) for r in first.raw_observations] == [(11, None), (10, "a")] and first == got["e1"][1].__class__(1, *got["e1"][1][1:])
+    bare = got["e2"][1]
+    assert bare.content.content_id == 3 and bare.analysis is None and bare.analyses == [] and bare.raw_observations == []
+    posts, versions, analyses = ev.event_histories(chosen, content, raw, analysis)
+    assert (posts.count(), versions.count(), analyses.count()) == (3, 3, 4)
+
+
+def test_histories_are_cut_before_they_are_shuffled(spark, tmp_path):
+    chosen = spark.createDataFrame([("e1", 2, 1)], "event_key string, content_id long, position int")
+    content = spark.range(2000).select(F.col("id").alias("content_id"), F.lit("s").alias("source"), F.col("id").cast("string").alias("source_item_id"))
+    raw = spark.range(4000).select(F.col("id").alias("raw_id"), F.lit("s").alias("source"), (F.col("id") % 2000).cast("string").alias("source_item_id"))
+    analysis = spark.range(4000).select(F.col("id").alias("analysis_id"), (F.col("id") % 2000).alias("content_id"))
+    for rows, count in zip(ev.event_histories(chosen, content, raw, analysis)[1:], (2, 2)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+        assert rows.count() == count
