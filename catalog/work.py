@@ -10,6 +10,8 @@ from murmur.functions import hashing as hs
 from murmur.functions.text import kind_slug
 from murmur.operators import market as mk
 from murmur.operators import worklists as wl
+from murmur.plans import review as rv
+from murmur.session import written
 
 _NOW = "2024-01-15 00:00:00"
 
@@ -250,3 +252,53 @@ def j26(spark, sf):
     )
     at = lambda v: F.lit(v).cast("timestamp")
     return lookup_queue(content, state, crawl_id="now", since=at("2024-01-03"), until=at("2024-01-25"), now=at("2024-02-01"), limit=500)
+
+
+_REVIEWER = "m-via-codex-cli"
+
+
+def _review_answers(requests):
+    """An answer per batch: some items break the contract, name another post or come twice; every tenth batch is no JSON."""
+    i = F.col("content_id")
+    sure = lambda value: F.struct(F.lit(value).alias("value"), F.lit(0.5).alias("confidence"))
+    named = lambda name, value: F.struct(F.lit(value).alias(name), F.lit(0.5).alias("confidence"))
+    item = F.struct(
+        named("type", "retail").alias("actor"), named("level", "unknown").alias("investor"), F.array().cast("array<string>").alias("novice_signals"),
+        sure("bullish").alias("direction"), sure("buy").alias("intent"), sure("owned").alias("position"), F.struct(F.lit(False).alias("panic")).alias("emotion"), sure(False).alias("spam"),
+        F.when(i % 17 == 0, i + 1000000000).otherwise(i).alias("id"), F.lit("explicit_self_executed").alias("intent_basis"), F.lit("ok").alias("rationale"),
+        F.when(i % 4 == 3, "zz not in here").otherwise(F.substring("body", 1, 12)).alias("intent_evidence"), F.when(i % 13 == 0, 1).alias("mood"),
+    )
+    times = F.explode(F.sequence(F.lit(0), F.when(i % 19 == 0, 1).otherwise(0)))
+    items = requests.select("batch", item.alias("item"), times.alias("_t")).groupBy("batch").agg(F.collect_list("item").alias("items"))
+    answer = F.when(F.col("batch") % 10 == 0, "no answer today").otherwise(F.to_json(F.struct("items")))
+    return items.select(F.col("batch").alias("answer_id"), "batch", F.lit(_REVIEWER).alias("model"), answer.alias("answer"))
+
+
+@query(
+    "f07_review_job",
+    """WITH asked AS (SELECT doc_id, text, (row_number() OVER (ORDER BY doc_id) - 1) // 20 + 1 AS batch FROM documents WHERE doc_id % 7 <> 0),
+    item AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'unknown_field' WHEN doc_id % 17 = 0 THEN 'not_asked' WHEN doc_id % 19 = 0 THEN 'returned_twice' END AS reason FROM asked WHERE batch % 10 <> 0),
+    top AS (SELECT max(CASE WHEN doc_id % 11 = 0 THEN doc_id * 2 + 1 WHEN doc_id % 7 = 0 THEN doc_id * 2 END) AS top FROM documents)
+    SELECT doc_id AS content_id, batch, CASE WHEN doc_id % 4 = 3 OR regexp_replace(coalesce(text, ''), '[\t\n\x0B\f\r ]+', '', 'g') = '' THEN 'unknown' ELSE 'buy' END AS outcome,
+      row_number() OVER (ORDER BY doc_id) + (SELECT top FROM top) AS analysis_id FROM item WHERE reason IS NULL
+    UNION ALL SELECT CASE WHEN doc_id % 17 = 0 THEN doc_id + 1000000000 ELSE doc_id END, batch, reason, NULL FROM (SELECT *, unnest(range(CASE WHEN doc_id % 19 = 0 THEN 2 ELSE 1 END)) AS t FROM item WHERE reason IS NOT NULL)
+    UNION ALL SELECT DISTINCT NULL, batch, 'unreadable', NULL FROM asked WHERE batch % 10 = 0""",
+)
+def f07(spark, sf):
+    """All documents as posts: one in seven is reviewed already, one in eleven was reviewed with an older text."""
+    content = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("content_id"), "source", F.lit(None).cast("timestamp").alias("published_at"), F.lit(None).cast("string").alias("title"),
+        F.coalesce("text", F.lit("")).alias("body"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.lit(False).alias("is_deleted"),
+    )
+    i, version = F.col("content_id"), F.concat(F.lit("codex-content-review-v4:"), F.substring("content_hash", 1, 12))
+    stored = lambda rows, ident, prompt: rows.select(
+        ident.alias("analysis_id"), "content_id", F.lit(None).cast("long").alias("topic_id"), F.col("content_hash").alias("input_hash"), F.lit(_REVIEWER).alias("model"),
+        prompt.alias("prompt_version"), F.lit("content-analysis-v1").alias("schema_version"), F.lit("hold").alias("intent"),
+    )
+    analysis = stored(content.where(i % 7 == 0), i * 2, version).unionByName(stored(content.where(i % 11 == 0), i * 2 + 1, F.lit("codex-content-review-v4:old")))
+    requests = written(rv.review_requests(content, analysis, resume_models=(_REVIEWER,)))
+    accepted, rejected = rv.judge_answers(_review_answers(requests), requests)
+    fresh, said = rv.review_rows(accepted, analysis, None, reviewer="r")
+    batches = requests.select("content_id", "batch")
+    done = fresh.join(said.select("analysis_id"), "analysis_id", "left_semi").join(batches, "content_id").select("content_id", n("batch"), F.col("intent").alias("outcome"), n("analysis_id"))
+    return done.unionByName(rejected.select("content_id", n("batch"), F.col("reason").alias("outcome"), F.lit(None).cast("long").alias("analysis_id")))
