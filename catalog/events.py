@@ -192,7 +192,7 @@ def j20(spark, sf):
     return ev.event_contents(links, d.content, d.content_topic, size="1h").select("event_key", "content_id", n("position"))
 
 
-def _raw_versions(spark, sf):
+def raw_versions(spark, sf):
     """One to three landed versions of every post."""
     versions = F.explode(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int"))).alias("v")
     return table(spark, sf, "events").select("event_id", "event_type", "user_id", versions).select(
@@ -221,7 +221,7 @@ def r07_provenance(spark, sf):
     d = hourly(spark, sf, dense=True)
     events, links = hourly_events(spark, sf)
     chosen = ev.event_contents(links, d.content, d.content_topic, size="1h")
-    shown = ev.event_details(events, chosen, d.content, _raw_versions(spark, sf), d.analysis)
+    shown = ev.event_details(events, chosen, d.content, raw_versions(spark, sf), d.analysis)
     part = lambda *c: F.concat_ws("/", *[x.cast("string") for x in c])
     return shown.select("event_key", F.explode_outer("raw_drilldown").alias("d")).select(
         "event_key", n(F.coalesce("d.position", F.lit(0)), "position"), n("d.content.content_id", "content_id"),

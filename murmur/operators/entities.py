@@ -136,6 +136,17 @@ def topic_matches(hits: DataFrame, strict: DataFrame, topics: DataFrame) -> Data
     return named.select("content_id", "term").join(topics, "term").select("content_id", "topic_id").distinct()
 
 
+def collection_topics(posts: DataFrame, raw: DataFrame, raw_topic: DataFrame, topics: DataFrame) -> DataFrame:
+    """(content_id, topic_id) of the topics in ``topics`` whose collection queries found a version of a post, each once.
+
+    The posts meet their versions first, so a run over few changed posts carries
+    only their versions on to the links.
+    """
+    seen = posts.select("content_id", "source", "source_item_id").join(raw.select("raw_id", "source", "source_item_id"), ["source", "source_item_id"])
+    linked = seen.select("content_id", "raw_id").join(raw_topic.select("raw_id", "topic_id"), "raw_id")
+    return linked.join(topics.select("topic_id"), "topic_id", "left_semi").select("content_id", "topic_id").distinct()
+
+
 def resolve_entities(
     posts: DataFrame, assets: DataFrame, aliases: DataFrame, asset_topic: DataFrame, topic_terms: DataFrame, query_topics: DataFrame,
     *, discovery_sources: tuple[str, ...] = DISCOVERY_SOURCES, terms=MARKET_TERMS, strong=STRONG_BODY_TERMS, ticker: str = TICKER,

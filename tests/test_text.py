@@ -157,3 +157,11 @@ def test_clusters_equal_the_sequential_rule(spark):
     found = got.collect()
     assert {r.content_id: r.leader_id for r in found} == _greedy(rows)
     assert max(r.distance for r in found) <= 3
+
+
+def test_topics_of_collection_queries(spark):
+    posts = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "a", "z")], "content_id long, source string, source_item_id string")
+    raw = spark.createDataFrame([(10, "a", "x"), (11, "a", "x"), (12, "b", "x"), (13, "a", "y"), (14, "a", None)], "raw_id long, source string, source_item_id string")
+    links = spark.createDataFrame([(10, 1), (11, 1), (11, 2), (12, 3), (13, 1), (14, 1), (12, None)], "raw_id long, topic_id long")
+    topics = spark.createDataFrame([(1,), (2,)], "topic_id long")
+    assert sorted(map(tuple, en.collection_topics(posts, raw, links, topics).collect())) == [(1, 1), (1, 2)]
