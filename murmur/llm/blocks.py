@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from html import unescape
 
 #: Elements that begin a block of text, that never close, and whose text is no page text.
@@ -22,13 +24,37 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
 
 
+class Place:
+    """An open element behind the ones around it; blocks share places, so a deep page costs one place an element."""
+
+    __slots__ = ("parent", "tokens", "length", "hot")
+
+    def __init__(self, parent: Place | None, tokens: tuple[str, ...]):
+        self.parent, self.tokens = parent, tokens
+        self.length = len(tokens) + (parent.length if parent else 0)
+        #: Kept by readers of the path: what they made of the tokens up to here.
+        self.hot: int | None = None
+
+    def up(self) -> Iterator[Place]:
+        """This place and the ones around it, innermost first."""
+        at: Place | None = self
+        while at is not None:
+            yield at
+            at = at.parent
+
+
 class Block:
-    """Text of a block, the path tokens of its elements, and how much of it is linked."""
+    """Text of a block, the place of its elements, and how much of it is linked."""
+
+    __slots__ = ("text", "place", "linked", "size")
 
-    __slots__ = ("text", "path", "linked", "size")
+    def __init__(self, text: str, place: Place | None, linked: int, size: int):
+        self.text, self.place, self.linked, self.size = text, place, linked, size
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int, size: int):
-        self.text, self.path, self.linked, self.size = text, path, linked, size
+    @property
+    def path(self) -> tuple[str, ...]:
+        """All path tokens, outermost first; made anew at each call."""
+        return tuple(t for p in reversed(list(self.place.up() if self.place else ())) for t in p.tokens)
 
 
 def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
@@ -42,14 +68,20 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def blocks(html: str | None) -> list[Block]:
-    """Blocks in page order; references decoded, white space folded, empty blocks left out."""
+    """Blocks in page order; references decoded, white space folded, empty blocks left out.
+
+    Each element is opened and closed once, so nested and unclosed elements cost no
+    more than others.
+    """
     if not html:
         return []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    #: Open elements: tag, place, and where the nearest block element among them stands (-1: none).
+    stack: list[tuple[str, Place | None, int]] = []
+    opened: Counter[str] = Counter()
     out: list[Block] = []
     parts: list[str] = []
-    links = linked = 0
-    at, where = 0, ()
+    linked = 0
+    at, where = 0, None
 
     def close() -> None:
         nonlocal parts, linked
@@ -59,8 +91,10 @@ def blocks(html: str | None) -> list[Block]:
                 out.append(Block(text, where, linked, sum(map(len, parts))))
         parts, linked = [], 0
 
-    def path() -> tuple[str, ...]:
-        return tuple(t for tag, tokens in stack if tag in BLOCK_TAGS or len(tokens) > 1 for t in tokens)
+    def leave(k: int) -> None:
+        for tag, _, _ in stack[k:]:
+            opened[tag] -= 1
+        del stack[k:]
 
     silent = ""
     while at < len(html):
@@ -68,9 +102,9 @@ def blocks(html: str | None) -> list[Block]:
         end = m.start() if m else len(html)
         if end > at and not silent:
             if not parts:
-                where = path()
+                where = stack[-1][1] if stack else None
             parts.append(html[at:end])
-            linked += (end - at) if links else 0
+            linked += (end - at) if opened["a"] else 0
         if not m:
             break
         at = m.end()
@@ -92,24 +126,19 @@ def blocks(html: str | None) -> list[Block]:
         if tag in BLOCK_TAGS:
             close()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in VOID_TAGS:
             continue
-        if tag in BLOCK_TAGS:
+        near = stack[-1][2] if stack else -1
+        if tag in BLOCK_TAGS and near >= 0 and (stack[near][0] == "p" or stack[near][0] in CLOSED_BY.get(tag, ())):
             # An open paragraph ends at the next block, with the inline elements in it.
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] in CLOSED_BY.get(tag, ()):
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK_TAGS:
-                    break
-        stack.append((tag, _tokens(tag, m.group(3))))
-        links += tag == "a"
+            leave(near)
+            near = stack[-1][2] if stack else -1
+        tokens, around = _tokens(tag, m.group(3)), stack[-1][1] if stack else None
+        place = Place(around, tokens) if tag in BLOCK_TAGS or len(tokens) > 1 else around
+        stack.append((tag, place, len(stack) if tag in BLOCK_TAGS else near))
+        opened[tag] += 1
     close()
     return out

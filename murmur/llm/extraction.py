@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm.blocks import Block, blocks
+from murmur.llm.blocks import Block, Place, blocks
 from murmur.llm.common import query, table
 
 #: Buckets of path tokens and of words, measures, hidden units of each direction.
@@ -45,12 +45,27 @@ def _bucket(token: str, buckets: int) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) % buckets
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATHS, dtype="f4")
-    out[[_bucket(t, PATHS) for t in path]] = 1
-    if path:
-        tags = [t for t in path if not t.startswith(".")]
-        out[_bucket("leaf " + (tags[-1] if tags else ""), PATHS)] = 1
+def _path_key(place: Place | None) -> tuple[int, str | None]:
+    """(bits of the path's buckets, innermost tag); a place is read once however many blocks share it."""
+    if place is None:
+        return 0, None
+    fresh = []
+    for at in place.up():
+        if at.hot is not None:
+            break
+        fresh.append(at)
+    for at in reversed(fresh):
+        at.hot = at.parent.hot if at.parent else 0
+        for token in at.tokens:
+            at.hot |= 1 << _bucket(token, PATHS)
+    return place.hot, place.tokens[0]
+
+
+def _path_vector(key: tuple[int, str | None]) -> np.ndarray:
+    hot, tag = key
+    out = np.array([hot >> k & 1 for k in range(PATHS)], dtype="f4")
+    if tag is not None:
+        out[_bucket("leaf " + tag, PATHS)] = 1
     return out
 
 
@@ -69,7 +84,7 @@ def _rest_vector(page: list[Block], i: int, hashes: dict[str, int]) -> np.ndarra
     n = len(block.text)
     out[WORDS:] = (
         np.log1p(n) / 8, min(1.0, block.linked / max(block.size, 1)), i / max(len(page) - 1, 1), float(block.text[-1] in ".!?:;…"),
-        sum(block.text.count(c) for c in ",.;") / max(len(words), 1), len(words) < 5, "©" in block.text, len(block.path) / 16,
+        sum(block.text.count(c) for c in ",.;") / max(len(words), 1), len(words) < 5, "©" in block.text, (block.place.length if block.place else 0) / 16,
     )
     return out
 
@@ -236,7 +251,7 @@ def train(pages: list[str]) -> Labeller:
             b.text = b.text.replace(MARK, "").strip() or "-"
         examples.append((page, labels))
     hashes: dict[str, int] = {}
-    vectors = [np.stack([np.concatenate([_path_vector(b.path), _rest_vector(page, i, hashes)]) for i, b in enumerate(page)]) if page else None for page, _ in examples]
+    vectors = [np.stack([np.concatenate([_path_vector(_path_key(b.place)), _rest_vector(page, i, hashes)]) for i, b in enumerate(page)]) if page else None for page, _ in examples]
     data = [(v, np.array(labels, dtype="f4")) for v, (_, labels) in zip(vectors, examples, strict=True) if v is not None]
     model, moments, t = Labeller(), {}, 0
     for _ in range(ROUNDS):
@@ -267,12 +282,13 @@ def label(pages: list[list[Block]], model: Labeller, paths: dict, hashes: dict[s
     w_rest = np.concatenate([model.w["xf"][PATHS:], model.w["xb"][PATHS:]], axis=1)
     constant = np.concatenate([model.w["cf"], model.w["cb"]])
 
-    def of_path(path: tuple[str, ...]) -> np.ndarray:
-        found = paths.get(path)
+    def of_place(place: Place | None) -> np.ndarray:
+        key = _path_key(place)
+        found = paths.get(key)
         if found is None:
-            found = _path_vector(path) @ w_path
+            found = _path_vector(key) @ w_path
             if len(paths) < 50_000:
-                paths[path] = found
+                paths[key] = found
         return found
 
     k = 0
@@ -287,7 +303,7 @@ def label(pages: list[list[Block]], model: Labeller, paths: dict, hashes: dict[s
         for j, i in enumerate(chosen):
             page = pages[i]
             rest = np.stack([_rest_vector(page, b, hashes) for b in range(len(page))])
-            inputs[j, : len(page)] = np.stack([of_path(b.path) for b in page]) + rest @ w_rest + constant
+            inputs[j, : len(page)] = np.stack([of_place(b.place) for b in page]) + rest @ w_rest + constant
             mask[j, : len(page)] = 1
         z = model.logits({"f": inputs[:, :, : 4 * HIDDEN], "b": inputs[:, :, 4 * HIDDEN :]}, mask)
         for j, i in enumerate(chosen):

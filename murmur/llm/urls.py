@@ -1,7 +1,7 @@
 """Operator 3, URL filters: host suffixes and path prefixes against rules by hash prefix.
 
-Every URL becomes expressions "host suffix + path prefix"; rules are held under
-the same form. Both sides meet on a short hash prefix of the expression, then the
+Every URL becomes expressions "host suffix + path prefix", of the sizes that rules
+have; rules are held under the same form. Both sides meet on a short hash prefix of the expression, then the
 full digest and the rest of the rule's path are confirmed, and the longest fitting
 rule decides. DataFrame functions only.
 """
@@ -38,6 +38,11 @@ def _anchor(path: Column) -> Column:
     return F.regexp_extract(path, r"^(?s:.*/)?", 0)
 
 
+def _count(column: str, sign: str) -> Column:
+    """How often a sign stands in a text."""
+    return F.length(column) - F.length(F.replace(F.col(column), F.lit(sign), F.lit("")))
+
+
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.createDataFrame(list(rules), "verdict string, rule_host string, rule_path string")
 
@@ -56,19 +61,21 @@ def judged(pages: DataFrame, rules: DataFrame, *, default: str = DEFAULT, page_i
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     # A place that holds many rows is looked up once.
     places = rows.where("host <> ''").distinct()
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    # Each prefix that ends in a slash, and the empty one.
-    steps = F.split("path", "/", -1)
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(steps, F.lit(1), i), "/"), F.lit("/"))))
-    expressions = places.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
-    digest = lambda h, p: F.sha2(F.concat_ws("\n", h, p), 256)
-    left = expressions.select("host", "path", digest(F.col("suffix"), F.col("prefix")).alias("digest"))
-    left = left.withColumn("short", F.substring("digest", 1, SHORT))
     right = rules.select(
         F.col("verdict").alias("rule_verdict"), F.translate("rule_host", UPPER, LOWER).alias("rule_host"), F.coalesce("rule_path", F.lit("")).alias("rule_path"),
     ).where("rule_host <> ''")
-    right = right.withColumn("rule_digest", digest(F.col("rule_host"), _anchor(F.col("rule_path")))).withColumn("rule_short", F.substring("rule_digest", 1, SHORT))
+    right = right.withColumn("anchor", _anchor(F.col("rule_path")))
+    # Only sizes that a rule has are expanded, so a URL of many labels or slashes costs no more
+    # than its length for each of them. There are as many as rules differ in size.
+    sizes = right.agg(F.collect_set(F.struct((_count("rule_host", ".") + 1).alias("labels"), _count("anchor", "/").alias("steps")))).scalar()
+    places = places.select("host", "path", (_count("host", ".") + 1).alias("labels"), _count("path", "/").alias("steps"), sizes.alias("sizes"))
+    fitting = F.filter("sizes", lambda s: (s["labels"] <= F.col("labels")) & (s["steps"] <= F.col("steps")))
+    sized = places.select("host", "path", F.explode(fitting).alias("s"))
+    suffix = F.call_function("substring_index", F.col("host"), F.lit("."), -F.col("s.labels"))
+    prefix = F.when(F.col("s.steps") == 0, "").otherwise(F.concat(F.call_function("substring_index", F.col("path"), F.lit("/"), F.col("s.steps")), F.lit("/")))
+    digest = lambda h, p: F.sha2(F.concat_ws("\n", h, p), 256)
+    left = sized.select("host", "path", digest(suffix, prefix).alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
+    right = right.withColumn("rule_digest", digest(F.col("rule_host"), F.col("anchor"))).withColumn("rule_short", F.substring("rule_digest", 1, SHORT))
     met = left.join(right, F.col("short") == F.col("rule_short"))
     fits = met.where((F.col("digest") == F.col("rule_digest")) & F.startswith(F.col("path"), F.col("rule_path")))
     name = F.concat("rule_host", "rule_path")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -29,6 +30,35 @@ def test_blocks_of_broken_markup():
     assert len(blocks("<div>" * 3000 + "deep")) == 1
 
 
+@pytest.mark.parametrize("page,count", [("<div>x" * 170_000, 170_000), ("<div>" * 100_000 + "</x>" * 100_000 + "y", 1), ("<b>" * 100_000 + "<div></div>" * 60_000 + "z", 1)])
+def test_a_megabyte_of_open_elements_takes_linear_time(page, count):
+    start = time.monotonic()
+    assert len(blocks(page)) == count
+    assert time.monotonic() - start < 20
+
+
+#: Pages written by hand with the article that a reader sees in them.
+WRITTEN = [
+    (
+        "<html><body><nav><a href='/'>Home</a><a href='/n'>News</a></nav><article><h1>Storm closes the pass</h1><p>Snow fell all night on the mountain road, and ploughs could not keep up.</p>"
+        "<p>The road opens again on Friday, the council said &amp; drivers should wait.</p></article><footer>&copy; 2024 The Valley Post. All rights reserved.</footer></body></html>",
+        "Storm closes the pass\nSnow fell all night on the mountain road, and ploughs could not keep up.\nThe road opens again on Friday, the council said & drivers should wait.",
+    ),
+    (
+        "<body><div class='cookie-notice'><p>We use cookies on this site.</p></div><main><p>Bread needs four things: flour, water, salt and time.</p><aside class='sidebar'><h3>Related</h3><ul><li><a href='/x'>Rolls</a></li></ul></aside>"
+        "<p>Leave the dough in a cool room until it has doubled.</p></main><section class='comments'><div class='comment'><p>Great recipe, thank you so much!</p></div></section></body>",
+        "Bread needs four things: flour, water, salt and time.\nLeave the dough in a cool room until it has doubled.",
+    ),
+    ("<body><header><div>Daily</div></header><nav><ul><li><a href='/'>Start</a></li></ul></nav><form><label>Search</label></form><footer>Imprint</footer></body>", ""),
+]
+
+
+@pytest.mark.parametrize("page,text", WRITTEN)
+def test_written_pages_give_their_article(model, page, text):
+    page = blocks(page)
+    assert "\n".join(b.text for b, main in zip(page, ex.label([page], model, {}, {})[0], strict=True) if main) == text
+
+
 def test_unseen_pages_are_labelled(html, model):
     wrong = total = 0
     for page, main in zip(map(blocks, html[100:]), ex.label([blocks(h) for h in html[100:]], model, {}, {}), strict=True):

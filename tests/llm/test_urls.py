@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 from murmur.llm import urls
 
 
@@ -35,3 +37,34 @@ def test_rules_need_not_end_in_a_slash(spark):
     pages = spark.createDataFrame([(1, "http://a.b/abcdef"), (2, "http://a.b/abx/abd"), (3, "http://a.b/ab")], "page_id long, url string")
     rules = urls.rule_table(spark, [("block", "a.b", "/abc"), ("allow", "b", "/abx/a"), ("block", "b", "")])
     assert {r["page_id"]: r["rule"] for r in urls.judged(pages, rules).collect()} == {1: "a.b/abc", 2: "b/abx/a", 3: "b"}
+
+
+def test_long_paths_and_hosts_take_linear_time(spark):
+    made = ["http://x.net/en/" + "/" * 100_000 + "z", "http://" + "a." * 50_000 + "example.com/de/" + "p/" * 50_000, "http://" + "." * 100_000 + "/"]
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    start = time.monotonic()
+    found = urls.judged(pages, urls.rule_table(spark)).collect()
+    assert time.monotonic() - start < 20
+    assert {(r["page_id"], r["rule"], r["verdict"]) for r in found} == {(0, "net/", "block"), (1, "example.com/de/", "block"), (2, None, "allow")}
+
+
+def test_drawn_urls_meet_drawn_rules(spark):
+    import random
+
+    draw = random.Random(7)
+    host = lambda n: ".".join(draw.choice(("a", "b", "")) for _ in range(draw.randint(1, n)))
+    path = lambda n: "".join(draw.choice(("/", "x", "/y", "//")) for _ in range(draw.randint(0, n)))
+    rules = sorted({(draw.choice(("block", "allow")), h, path(5)) for _ in range(60) if (h := host(3))})
+    rules = list({(h, p): (v, h, p) for v, h, p in rules}.values())
+    made = [(i, f"http://{host(5)}{'/' if i % 2 else ''}{path(7)}") for i in range(400)]
+    found = {r["page_id"]: r for r in urls.judged(spark.createDataFrame(made, "page_id long, url string"), urls.rule_table(spark, rules)).collect()}
+    for i, _ in made:
+        h, p = found[i]["host"], found[i]["path"]
+        fits = [(len(rh + rp), len(rh), v == "block", rh + rp, v) for v, rh, rp in rules if (h == rh or h.endswith("." + rh)) and h and p.startswith(rp)]
+        best = max(fits, default=None)
+        assert (found[i]["rule"], found[i]["verdict"]) == ((best[3], best[4]) if best else (None, "allow"))
+
+
+def test_no_rules_reject_nothing(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
+    assert [(r["rule"], r["verdict"]) for r in urls.judged(pages, urls.rule_table(spark).limit(0)).collect()] == [(None, "allow")]
