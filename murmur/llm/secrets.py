@@ -4,8 +4,8 @@ Candidates are long runs of key characters, values behind a secret's name (or a
 longer name with it inside), and blocks of private keys. Each is described by its length, character classes and
 transitions, how much of it dictionary pieces cover, the document's path (source)
 and its neighbouring words. The forest learns from labelled findings: a fixed set
-of keys and look-alikes drawn from the public formats below, set into the words of
-the corpus sample. Its verdict removes false positives.
+of keys and look-alikes drawn from the public formats below, set into common words of
+the corpus. Its verdict removes false positives.
 """
 
 from __future__ import annotations
@@ -33,22 +33,27 @@ SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_k
 HARMLESS_WORDS = ("sha", "sha1", "sha256", "md5", "checksum", "commit", "digest", "hash", "revision", "uuid", "guid", "etag", "id", "isbn", "order", "integrity")
 #: Parts of paths that hold examples.
 EXAMPLE_PATHS = ("test", "example", "sample", "fixture", "mock", "doc")
-#: Documents of the sample and its commonest words, which give dictionary pieces and backgrounds; findings drawn; the verdict's threshold.
-SAMPLE, WORDS, FINDINGS, THRESHOLD = 2000, 20_000, 3000, 0.5
+#: Commonest words of all documents, which give dictionary pieces and backgrounds; findings drawn; the verdict's threshold.
+WORDS, FINDINGS, THRESHOLD = 20_000, 3000, 0.5
 PLAIN = ("this", "that", "with", "from", "have", "they", "which", "their")
 MASK = "[SECRET]"
 
+#: Code points of the shortest value behind a name; a run without a name has at least 16.
+LEAST = 6
+
 RUN = re.compile(
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"
     r"|[A-Za-z0-9][A-Za-z0-9+/_.\-]{14,}[A-Za-z0-9=]={0,2}"
 )
 #: A secret's name, also as a part of a longer one, and what stands behind it. The value is
 #: looked at and not consumed, since it may be the name of a next one ("auth: bearer ...").
+#: Of a plain value only the least length is looked at; ``_named`` finds its end.
 NAMED = re.compile(
     "(?i:" + "|".join(re.escape(w) for w in sorted(SECRET_WORDS, key=len, reverse=True)) + r")\w{0,64}+"
     r"(?:\\?[\"'])?(?:\s*(?::=|=>|[:=])\s*|[ \t]+|(?<=[\"'])[ \t]*)"
-    r"(?=\\\"(?P<escaped>(?:[^\"\\\n]|\\[^\"\n])+)\\\"|\"(?P<double>(?:[^\"\\\n]|\\.)+)\"|'(?P<single>(?:[^'\\\n]|\\.)+)'|[(\[{<]*[\"']?(?P<plain>[^\s\"']{6,}))"
+    r"(?=\\\"(?P<escaped>(?:[^\"\\\n]|\\[^\"\n])+)\\\"|\"(?P<double>(?:[^\"\\\n]|\\.)+)\"|'(?P<single>(?:[^'\\\n]|\\.)+)'|[(\[{<]*[\"']?(?P<plain>[^\s\"']{%d}))" % LEAST
 )
+PLAIN_END, TRAILING = re.compile(r"[\s\"']"), ",.;:!?)]}'\""
 PIECE, WORD = 3, re.compile(r"\w+")
 FEATURES = 21
 
@@ -56,12 +61,19 @@ FEATURES = 21
 def _named(text: str) -> tuple[list[tuple[int, int]], set[int]]:
     """(start, end) of the values behind names, a quoted one to its closing quote on the line; places of the names."""
     out, names = [], set()
+    stop = last = -1
     for m in NAMED.finditer(text):
         a, b = m.span(m.lastgroup)
         names.add(m.start())
-        while m.lastgroup == "plain" and b > a and text[b - 1] in ",.;:!?)]}'\"":
-            b -= 1
-        if b - a >= 6:
+        if m.lastgroup == "plain":
+            # The names of one run share its end, which is looked for once.
+            if a >= stop:
+                end = PLAIN_END.search(text, a)
+                stop = last = end.start() if end else len(text)
+                while last > a and text[last - 1] in TRAILING:
+                    last -= 1
+            b = max(a, last)
+        if b - a >= LEAST:
             out.append((a, b))
     return out, names
 
@@ -83,10 +95,10 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
         i = bisect_left(starts, a)
         if i < len(starts) and starts[i] < b and text[a : a + 5] != "-----" and _is_name(text[a:b]):
             continue  # the name of a value
-        while b > a and text[b - 1] in ",.;:!?)]}'\"":
+        while b > a and text[b - 1] in TRAILING:
             b -= 1
         # A long run without digit, inner capital or key sign is a word.
-        if b - a >= 6 and (text[a : a + 5] == "-----" or not text[a:b].replace("-", "").replace(".", "").isalpha() or _mixed(text[a:b])):
+        if b - a >= LEAST and (text[a : a + 5] == "-----" or not text[a:b].replace("-", "").replace(".", "").isalpha() or _mixed(text[a:b])):
             found.append((a, -b, False))
     # A block of a private key holds what is in it; else a value behind a name goes before a run that reaches into it.
     found.sort(key=lambda s: (s[0], s[1]))
@@ -115,14 +127,14 @@ def _kind(c: str) -> int:
 
 
 def describe(text: str, start: int, end: int, path: str | None, pieces: frozenset[str]) -> list[float]:
-    """The features of one candidate."""
+    """The features of one candidate, from all its characters."""
     value = text[start:end]
     n = len(value)
     counts = Counter(value)
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
-    kinds = [_kind(c) for c in value[:400]]
+    kinds = [_kind(c) for c in value]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(len(kinds) - 1, 1)
-    low = value[:400].lower()
+    low = value.lower()
     grams = [low[i : i + PIECE] for i in range(len(low) - PIECE + 1)]
     covered = sum(g in pieces for g in grams) / max(len(grams), 1)
     before = [w.lower() for w in WORD.findall(text[max(0, start - 40) : start])][-3:]
@@ -131,7 +143,7 @@ def describe(text: str, start: int, end: int, path: str | None, pieces: frozense
     where = (path or "").lower()
     share = [kinds.count(k) / len(kinds) for k in range(4)]
     return [
-        min(n, 400), entropy, entropy / math.log2(max(n, 2)), changes, covered, *share,
+        n, entropy, entropy / math.log2(max(n, 2)), changes, covered, *share,
         float(all(c in string.hexdigits for c in value)), float(value.startswith(KEY_PREFIXES)), float(value.startswith("-----BEGIN")),
         float(any(_names(w) for w in before)), float(any(w in HARMLESS_WORDS for w in before + after)),
         float("=" in near or ":" in near), float('"' in near or "'" in near), float(any(p in where for p in EXAMPLE_PATHS)),
@@ -197,14 +209,13 @@ class Scanner:
 
 
 def fit(documents: DataFrame) -> Scanner:
-    """Dictionary pieces from at most ``SAMPLE`` documents (smallest id digests), forest from the labelled findings.
+    """Dictionary pieces from the ``WORDS`` commonest words of all documents, forest from the labelled findings.
 
-    Without documents a few plain words serve as background.
+    Words are counted over every whole text and combined before the shuffle; only the
+    commonest reach the driver. Without documents a few plain words serve as background.
     """
-    ids = documents.where("text <> ''").select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(SAMPLE)
-    # At most SAMPLE ids, so sending them to every task is safe at any size.
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    found = texts.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where(F.length("word") >= 2).groupBy("word").agg(F.count("*").alias("n"))
+    found = documents.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}]+")).alias("word")).where(F.length("word") >= 2)
+    found = found.groupBy("word").agg(F.count("*").alias("n"))
     words = [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(WORDS).collect()] or list(PLAIN)
     grams: Counter[str] = Counter()
     for w in words:

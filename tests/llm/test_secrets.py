@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import re
+import time
 
 import pytest
 
@@ -24,8 +26,6 @@ def test_planted_tokens_are_found_and_nothing_else(spark, scanner):
 
 
 def test_forest_on_unseen_findings(scanner, monkeypatch):
-    import random
-
     monkeypatch.setattr(sc.random, "Random", lambda _: random.SystemRandom())
     rows = sc._findings(["alpha", "bravo", "charlie", "deltaic", "echoes"])
     right = sum((scanner.forest.predict(__import__("numpy").array([sc.describe(t, a, b, p, scanner.pieces)]))[0] >= 0.5) == bool(y) for t, a, b, p, y in rows[:600])
@@ -71,3 +71,47 @@ def test_prose_behind_a_name_stays(scanner):
 def test_quoted_values_end_at_their_own_quote():
     for text, value in (('password = "a \\"quoted\\" one" y', 'a \\"quoted\\" one'), ('{\\"token\\": \\"hunter2Xy\\"}', "hunter2Xy"), ("key (ghp_hunter2Xy9QzAbCd)", "ghp_hunter2Xy9QzAbCd")):
         assert value in [text[a:b] for a, b in sc.candidates(text)]
+
+
+def test_features_come_from_the_whole_candidate(scanner):
+    head = "documents/" * 40
+    tails = [head + "report-of-the-year/" * 20, head + "".join(random.Random(3).choices("0123456789abcdefABCXYZ+", k=380))]
+    rows = [sc.describe(f"see {t} here", 4, 4 + len(t), "src1", scanner.pieces) for t in tails]
+    assert len(tails[0]) == len(tails[1]) and all(abs(rows[0][k] - rows[1][k]) > 0.02 for k in (1, 3, 4, 5))
+
+
+def test_dictionary_counts_all_documents(spark):
+    rows = [(i, f"zebra{'x' * (i % 3)} quagga" if i >= 2500 else "plain", "s") for i in range(5000)]
+    found = sc.fit(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {"qua", "zeb", "pla"} <= found.pieces
+
+
+def _plain_named(text):
+    """Values behind names, found again from every name on its own."""
+    pattern = re.compile(sc.NAMED.pattern.replace("{%d}))" % sc.LEAST, "{%d,}))" % sc.LEAST))
+    out = []
+    for m in pattern.finditer(text):
+        a, b = m.span(m.lastgroup)
+        while m.lastgroup == "plain" and b > a and text[b - 1] in sc.TRAILING:
+            b -= 1
+        if b - a >= sc.LEAST:
+            out.append((a, b))
+    return out
+
+
+def test_values_match_a_second_search():
+    draw, found = random.Random(5), 0
+    bits = ["key", "token", ":", "=", " ", '"', "'", "\\", "\n", "(", ")", ".", "abc", "Xy9z81", "password", "auth: ", "\\\""]
+    for _ in range(4000):
+        text = "".join(draw.choice(bits) for _ in range(draw.randint(1, 40)))
+        values = sc._named(text)[0]
+        assert values == _plain_named(text), text
+        found += len(values)
+    assert found > 4000
+
+
+@pytest.mark.parametrize("text", ["key:" * 250_000, "key:" * 100_000 + ":" * 500_000, 'key:"' * 200_000, "key " * 250_000, "key" + " " * 1_000_000, "a" + "-" * 1_000_000, "-----BEGIN " * 90_000])
+def test_a_megabyte_takes_linear_time(scanner, text):
+    start = time.monotonic()
+    scanner.scan([text], [None])
+    assert time.monotonic() - start < 20
