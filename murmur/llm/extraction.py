@@ -194,7 +194,8 @@ def _composed(words: list[str], draw: random.Random) -> str:
         if kind == 8:
             return f'<form {draw.choice(("", named(draw.choice(("login", "search", "subscribe", "newsletter")))))}><label>{say(2)}</label><p>{sentence(3, 15)}</p><select><option>{say(1)}</option></select><button>{say(1)}</button></form>'
         if kind == 9:
-            entry = lambda: f'<{draw.choice(("div", "li", "article", "p"))} class="comment"><b>{say(1)}</b><p>{sentence(5, 60)}</p></div>'
+            tag = draw.choice(("div", "li", "article", "blockquote"))
+            entry = lambda: f'<{tag} class="comment"><b>{say(1)}</b><p>{sentence(5, 60)}</p></{tag}>'
             return f'<section {named(draw.choice(("comments", "comment", "discussion", "reply")))}><h3>{say(2)}</h3>{"".join(entry() for _ in range(draw.randint(1, 5)))}</section>'
         if kind == 10:
             return f'<footer {draw.choice(("", named("footer")))}>{draw.choice(("&copy; ", ""))}{sentence(3, 25)}{draw.choice(("", "<p>" + sentence(3, 20) + "</p>"))}</footer>'
@@ -210,7 +211,8 @@ def _composed(words: list[str], draw: random.Random) -> str:
         if kind == 6:
             return f"<p><b>{text}</b><br>{say(5)}</p>"
         if kind == 7:
-            return f"<{draw.choice(('h2', 'h3', 'blockquote', 'pre'))}>{text}</{draw.choice(('h2', 'h3', 'blockquote', 'pre'))}>"
+            tag = draw.choice(("h2", "h3", "blockquote", "pre"))
+            return f"<{tag}>{text}</{tag}>"
         if kind == 8:
             return "<ul>" + "".join(f"<li>{MARK}{sentence(2, 20)}</li>" for _ in range(draw.randint(1, 4))) + "</ul>"
         return draw.choice((f"<table><tr><td>{text}</td><td>{MARK}{say(3)}</td></tr></table>", f"<div>{text}</div>", f"<figure><figcaption>{text}</figcaption></figure>"))
@@ -218,8 +220,9 @@ def _composed(words: list[str], draw: random.Random) -> str:
     inner = f"<h1>{MARK}{say(draw.randint(1, 9))}</h1>" if draw.random() < 0.8 else ""
     for _ in range(draw.randint(0, 9)):
         inner += paragraph()
-        if draw.random() < 0.06:
-            inner += draw.choice((f'<div {named(draw.choice(("ad", "advert", "promo", "share", "related", "newsletter")))}>{sentence(2, 25)}</div>', f"<aside>{sentence(3, 25)}</aside>"))
+        if draw.random() < 0.3:
+            # Clutter may stand in the midst of an article, which goes on behind it.
+            inner += draw.choice((clutter(), clutter(), f'<div {named(draw.choice(("ad", "advert", "promo", "share", "related", "newsletter")))}>{sentence(2, 25)}</div>', f"<aside>{sentence(3, 25)}</aside>"))
     box = draw.choice(("article", "article", "article", "main", "div", "div", "section"))
     name = named(draw.choice(ARTICLE)) if box in ("div", "section") or draw.random() < 0.3 else ""
     body = f"<{box} {name}>{inner}</{box}>"

@@ -49,6 +49,11 @@ WRITTEN = [
         "<p>Leave the dough in a cool room until it has doubled.</p></main><section class='comments'><div class='comment'><p>Great recipe, thank you so much!</p></div></section></body>",
         "Bread needs four things: flour, water, salt and time.\nLeave the dough in a cool room until it has doubled.",
     ),
+    (
+        "<body><div id='top-menu'><ul><li><a href='/'>Index</a></li></ul></div><div class='post-content'><h2>Old harbour</h2><p>The cranes were built in 1911 and still stand.</p><div class='related'><p>More on ships</p></div>"
+        "<p>Visitors climb them in summer.</p><blockquote>It is a long way up, one of them said.</blockquote></div><div class='copyright'><p>&copy; Harbour trust</p></div></body>",
+        "Old harbour\nThe cranes were built in 1911 and still stand.\nVisitors climb them in summer.\nIt is a long way up, one of them said.",
+    ),
     ("<body><header><div>Daily</div></header><nav><ul><li><a href='/'>Start</a></li></ul></nav><form><label>Search</label></form><footer>Imprint</footer></body>", ""),
 ]
 
