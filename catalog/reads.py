@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import n, query, r6, secs, table
 from catalog.heat import trend_observations
-from catalog.standins import BARS, HOURLY, RAW, TRENDS, asset_topic, assets, hourly, market_bars, raw_observations
+from catalog.standins import BARS, DAILY, HOURLY, RAW, TRENDS, asset_topic, assets, daily, hourly, market_bars, raw_observations
 from murmur.functions.timeutil import day_start, shanghai_date
 from murmur.operators import coverage as cv
 from murmur.operators import ingest as ig
@@ -48,6 +48,24 @@ def r03(spark, sf):
     return page.select("content_id", "source", secs("published_at"), "analysis.analysis_id", r6("engagement_sum"), "time_semantics")
 
 
+@query(
+    "o01_deep_page",
+    f"""WITH {DAILY}, ranked AS (SELECT content_id, source, published_at, likes, row_number() OVER (ORDER BY published_at DESC, content_id DESC) - 1 AS place FROM content)
+    SELECT CASE WHEN place < 100 THEN 0 ELSE 10000 END AS behind, content_id, source, CAST(floor(epoch(published_at)) AS BIGINT) AS published_at, CAST(likes AS DOUBLE) AS engagement_sum
+    FROM ranked WHERE place < 30 OR place BETWEEN 30 AND 59 OR place BETWEEN 10000 AND 10099""",
+)
+def o01(spark, sf):
+    """The first page, the one behind its last post, and a page behind 10,000 posts."""
+    d = daily(spark, sf)
+    posts = rd.scoped_posts(d.content, d.content_topic, d.analysis, topic_id=None, period="all")
+    first = rd.post_page(posts, limit=30)
+    last = lambda c: first.agg(F.min_by(c, F.struct("published_at", "content_id"))).scalar()
+    second = rd.post_page(posts, limit=30, after=(last("published_at"), last("content_id")))
+    deep = rd.deep_page(posts, rd.page_days(posts), limit=100, offset=10_000)
+    pages = [p.select(F.lit(behind).alias("behind"), "content_id", "source", secs("published_at"), r6("engagement_sum")) for p, behind in ((first, 0), (second, 0), (deep, 10_000))]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
 @query(
     "r03_market_facets",
     f"WITH {HOURLY} SELECT {_FACETS} FROM content LEFT JOIN preferred_any USING (content_id)",

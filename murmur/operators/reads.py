@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.functions.timeutil import bucket_seconds, floor_bucket, shanghai_date
+from murmur.functions.timeutil import bucket_seconds, day_start, floor_bucket, shanghai_date, shift
 from murmur.operators.analysis import CONTENT_FILTERS, content_filter, effective_by_content, engagement, pick_effective, preferred_analyses
 from murmur.operators.ordering import running_total
 
@@ -68,18 +68,56 @@ def source_facets(posts: DataFrame) -> DataFrame:
     return posts.groupBy("source").agg(F.count("*").alias("posts"))
 
 
-def post_page(posts: DataFrame, *, name: str = "all", limit: int = 30, offset: int = 0) -> DataFrame:
-    """One page, newest first; a page holds at most 100 posts."""
+def post_page(posts: DataFrame, *, name: str = "all", limit: int = 30, offset: int = 0, after: tuple[Column, Column] | None = None) -> DataFrame:
+    """One page, newest first; a page holds at most 100 posts.
+
+    ``after`` is the (published_at, content_id) of the last post shown: the scan starts
+    there and the work does not grow with the pages before. A far ``offset`` belongs to
+    ``deep_page``.
+    """
     if not 1 <= limit <= 100 or offset < 0:
         raise ValueError("limit must be between 1 and 100 and offset not negative")
+    rows = posts.where(content_filter(name))
+    if after is not None:
+        at, content_id = after
+        rows = rows.where((F.col("published_at") <= at) & ((F.col("published_at") < at) | (F.col("content_id") < content_id)))
+    return _shown(rows.orderBy(F.desc("published_at"), F.desc("content_id")).offset(offset).limit(limit))
+
+
+def _shown(page: DataFrame) -> DataFrame:
     reference = F.col("kind") == "reference_answer"
-    page = posts.where(content_filter(name)).orderBy(F.desc("published_at"), F.desc("content_id")).offset(offset).limit(limit)
     return page.select(
         "*", engagement().alias("engagement_sum"), F.when(reference, "market_session_reference").otherwise("published").alias("time_semantics"),
         F.when(reference, shanghai_date(F.col("published_at"))).alias("reference_date"),
     )
 
 
+def page_days(posts: DataFrame, *, name: str = "all") -> DataFrame:
+    """Posts of every Shanghai day and of the days after it; one row a day, to be kept beside the posts."""
+    days = posts.where(content_filter(name) & F.col("published_at").isNotNull()).groupBy(shanghai_date(F.col("published_at")).alias("day")).agg(F.count("*").alias("posts"))
+    later = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    return days.withColumn("newer", F.coalesce(F.sum("posts").over(later), F.lit(0)))
+
+
+def deep_page(posts: DataFrame, days: DataFrame, *, name: str = "all", limit: int = 30, offset: int = 0) -> DataFrame:
+    """The page behind ``offset`` posts with a publication time, found through ``page_days``.
+
+    The counts name the days that the page touches, and only these are scanned. Inside
+    them positions are taken in parts over ids and times alone, so a day that holds most
+    posts is not sorted in one task; whole posts are read for the page only.
+    """
+    if not 1 <= limit <= 100 or offset < 0:
+        raise ValueError("limit must be between 1 and 100 and offset not negative")
+    touched = days.where((F.col("newer") < offset + limit) & (F.col("newer") + F.col("posts") > offset))
+    first, last, newer = (touched.agg(x).scalar() for x in (F.min("day"), F.max("day"), F.min("newer")))
+    at = F.col("published_at")
+    rows = posts.where(content_filter(name) & (at >= day_start(first)) & (at < shift(day_start(last), 86400)))
+    keys = rows.select("content_id", "published_at", (-F.unix_micros(at)).alias("_at"), (-F.col("content_id")).alias("_id"))
+    placed = running_total(keys, [], ["_at", "_id"], before="_b", total="_t").withColumn("_place", F.col("_b") + newer)
+    wanted = placed.where((F.col("_place") >= offset) & (F.col("_place") < offset + limit)).select("content_id", "published_at")
+    return _shown(rows.join(wanted, ["content_id", "published_at"], "left_semi").select(*posts.columns)).orderBy(F.desc("published_at"), F.desc("content_id"))
+
+
 def topic_series(stats: DataFrame, topic_id: int, limit: int = 500) -> DataFrame:
     """The newest days of one topic."""
     return stats.where(F.col("topic_id") == topic_id).orderBy(F.desc("bucket_at")).limit(limit)
