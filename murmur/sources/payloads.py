@@ -46,8 +46,18 @@ def _is(value: Column, kind: str) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
 
+def _marked(rows: DataFrame, issue: Column) -> DataFrame:
+    """The rows with their issue, which comes out of a generator.
+
+    Spark carries a filter on a plain column down into what computes it, and there
+    every field read of a parsed response would parse it again.
+    """
+    named = rows.withColumn("_issue", issue)
+    return named.select(*rows.columns, F.inline(F.array(F.struct(F.col("_issue").alias("issue")))))
+
+
 def _split(rows: DataFrame, issue: Column) -> tuple[DataFrame, DataFrame]:
-    marked = rows.withColumn("issue", issue)
+    marked = _marked(rows, issue)
     return marked.where(F.col("issue").isNull()).drop("issue"), marked.where(F.col("issue").isNotNull())
 
 
@@ -110,12 +120,13 @@ def _payload(fields: dict[str, Column]) -> Column:
 
 
 def _emit(rows: DataFrame, keep: list[str], fields: dict[str, Column], published: Column, issue: Column, kind: str | Column) -> tuple[DataFrame, DataFrame]:
-    shaped = rows.select(
+    marked = _marked(rows, issue)
+    shaped = [
         *keep, fields["id"].alias("source_item_id"), (F.lit(kind) if isinstance(kind, str) else kind).alias("observation_kind"),
-        published.alias("published_at"), _payload(fields).alias("payload"), issue.alias("issue"),
-    )
-    good = shaped.where(F.col("issue").isNull()).drop("issue")
-    return good.withColumn("payload_hash", F.sha2("payload", 256)), shaped.where(F.col("issue").isNotNull())
+        published.alias("published_at"), _payload(fields).alias("payload"),
+    ]
+    good = marked.where(F.col("issue").isNull()).select(*shaped)
+    return good.withColumn("payload_hash", F.sha2("payload", 256)), marked.where(F.col("issue").isNotNull()).select(*shaped, "issue")
 
 
 BOARD_SCHEMA = (

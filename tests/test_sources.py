@@ -142,3 +142,12 @@ def test_archived_bodies_fill_only_poor_ones(spark):
     captures = spark.createDataFrame([(i, f"archive {i}", i == 4) for i in (1, 2, 3, 4)], "content_id long, body string, body_truncated boolean")
     got = {r.content_id: r.body for r in ar.fill_bodies(content, captures).collect()}
     assert got[1] == "archive 1" and got[2] == "archive 2" and got[3] == "x" * 90 and got[4] == "short" and got[5] is None
+
+
+def test_a_response_is_parsed_once_in_either_half(spark):
+    rows = spark.createDataFrame([('{"data":{"note":{"noteId":"7","time":"1700000000","title":"t"},"comments":{"list":[{"content":"c"}]}}}',), ('{"success":false,"error_code":"E1"}',), ("no",)], "response string")
+    good, bad = pl.note_details(rows.withColumn("query", F.lit("q")))
+    for half in (good, bad):
+        plan = half._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and not any("from_json(" in line for line in plan.split("\n") if "Filter" in line)
+    assert [r.source_item_id for r in good.collect()] == ["7"] and sorted(r.issue for r in bad.collect()) == ["not_json", "upstream:E1"]
