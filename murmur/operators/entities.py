@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import string
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from murmur.functions.classify import contains_any
 from murmur.functions.text import normalize_text
@@ -28,8 +35,10 @@ STRONG_BODY_TERMS = (
 TICKER = r"(?i)(?<![a-z0-9])(?:sh|sz|bj)?[03689]\d{5}(?:\.(?:sh|sz|bj))?(?![a-z0-9])"
 # Confidence by method, in the order in which the steps run.
 STEPS = {"ticker": 1.0, "exact_alias": 0.98, "normalized_alias": 0.98, "collection_query": 0.9, "asset_topic": 0.96}
-# Characters of a text that one row of the term walk covers, and of a term that are looked up first.
-WALK, HEAD = 64, 3
+# Characters that the term walk takes together, those of a term that are looked up first, and bits that mark the terms (a power of two).
+WALK, HEAD, MARKS = 1 << 18, 8, 1 << 26
+# Characters that may not adjoin a clean hit.
+EDGES = frozenset(string.ascii_letters + string.digits)
 
 
 def is_market_text(text: Column, terms=MARKET_TERMS, ticker: str = TICKER) -> Column:
@@ -44,47 +53,150 @@ def is_market_content(title: Column, body: Column, terms=MARKET_TERMS, strong=ST
     return is_market_text(title, terms, ticker) | text.rlike(ticker) | contains_any(F.lower(text), tuple(strong))
 
 
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    """Code points spread over 64 bits."""
+    codes = (codes.astype("u8") + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (codes ^ codes >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _window_hashes(sums: np.ndarray, at: np.ndarray, size: int, inverse: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of ``size`` characters at ``at``, from running sums of weighted code points."""
+    return (sums[at + size] - sums[at]) * inverse[at]
+
+
+def _sums(text: str, powers: np.ndarray) -> np.ndarray:
+    codes = _mixed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"))
+    return np.concatenate([np.zeros(1, dtype="u8"), np.cumsum(codes * powers[: len(codes)], dtype="u8")])
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd factor modulo 2^64, and of its inverse."""
+    factor = 0xD6E8FEB86659FD93
+    return tuple(np.concatenate([np.ones(1, dtype="u8"), np.cumprod(np.full(max(n - 1, 0), f, dtype="u8"), dtype="u8")]) for f in (factor, pow(factor, -1, 1 << 64)))
+
+
+def _slots(hashes: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Two of ``MARKS`` bit numbers for each hash; ``kind`` tells fields, sizes and heads apart."""
+    seed = np.uint64(zlib.crc32(kind.encode()) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (hashes ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ h >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+    low = np.uint64(MARKS - 1)
+    return (h >> np.uint64(32)) & low, (h ^ h >> np.uint64(37)) & low
+
+
+def _marked(bits: np.ndarray, hashes: np.ndarray, kind: str) -> np.ndarray:
+    """Which hashes may be of a term: never false for one, rarely true for another text."""
+    one, two = _slots(hashes, kind)
+    bit = lambda slot: (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+    found = bit(one)
+    found[found] = bit(two[found])
+    return found
+
+
+def _marks(known: DataFrame) -> np.ndarray:
+    """Bits of all terms and of their heads: at most ``MARKS`` of them, however many terms there are."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, inverse = _powers(HEAD)
+        for batch in batches:
+            slots = [np.zeros(0, dtype="u8")]
+            for field, term in zip(batch.column("field").to_pylist(), batch.column("term").to_pylist(), strict=True):
+                if len(term) >= len(powers):
+                    powers, inverse = _powers(2 * len(term))
+                sums, start = _sums(term, powers), np.zeros(1, dtype="i8")
+                head = min(len(term), HEAD)
+                slots += _slots(_window_hashes(sums, start, head, inverse), f"{field} head {head}")
+                slots += _slots(_window_hashes(sums, start, len(term), inverse), f"{field} {len(term)}")
+            slots = np.unique(np.concatenate(slots))
+            masks = np.uint64(1) << (slots & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array((slots >> np.uint64(6)).astype("i4")), pa.array(masks.view("i8"))], names=["word", "mask"])
+
+    rows = known.select("field", "term").mapInArrow(mark, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits = np.zeros(MARKS // 64, dtype="u8")
+    bits[rows.column("word").to_numpy()] = rows.column("mask").to_numpy().view("u8")
+    return bits
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about ``WALK`` characters together; a longer text stands alone."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > first and size + len(text) > WALK:
+            yield first, i
+            first, size = i, 0
+        size += len(text)
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def _places(texts: list[str], field: str, sizes: list[int], bits: np.ndarray, powers: np.ndarray, inverse: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, text number, place in the text) of what the bits take for terms."""
+    lengths = np.array([len(t) for t in texts], dtype="i8")
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    sums, total = _sums("".join(texts), powers), int(starts[-1])
+    left = np.repeat(starts[1:], lengths) - np.arange(total)
+    for head in sorted({min(n, HEAD) for n in sizes}):
+        at = np.flatnonzero(left >= head)
+        at = at[_marked(bits, _window_hashes(sums, at, head, inverse), f"{field} head {head}")]
+        for size in (n for n in sizes if min(n, HEAD) == head):
+            fit = at[left[at] >= size]
+            fit = fit[_marked(bits, _window_hashes(sums, fit, size, inverse), f"{field} {size}")]
+            if len(fit):
+                of = np.searchsorted(starts, fit, "right") - 1
+                yield size, of, fit - starts[of]
+
+
 def term_hits(texts: DataFrame, terms: DataFrame, *, key: str = "content_id") -> DataFrame:
     """Where the terms stand in the texts, one row per (key, field, term).
 
     ``texts`` holds key, field, text and ``border``, the length of a title at the
-    head of the text; ``terms`` holds field and term. Every text is walked once.
-    The first characters at a place tell which term lengths can begin there (a
-    table with a row per head and length), and the substring of such a length
-    meets the terms in an equi join. Only places, never texts, leave the walk.
+    head of the text; ``terms`` holds field and term. Every text is walked once, in
+    Arrow batches: running sums give a hash of the characters at every place, and
+    bits of bounded number (of the terms' heads, then of whole terms) tell where a
+    term may stand. Only such places leave the walk, one row for each text and
+    word, and an equi join with the terms keeps the true ones.
 
     ``in_title`` tells of a hit inside the border; ``body_hit`` of one beyond it
     and ``body_twice`` of two that do not overlap; ``clean`` of one that no ASCII
     letter or digit adjoins.
     """
-    known = terms.select("field", "term").where(F.col("term") != "").distinct()
-    known = written(known.withColumns({"size": F.length("term"), "head": F.substring("term", 1, HEAD)}))
-    heads = written(known.select("field", "head", "size").distinct())
-    longest = known.select(F.coalesce(F.max("size"), F.lit(0))).scalar()
-    shorter = heads.select(F.collect_set(F.struct("field", F.length("head").alias("n")))).scalar()
-    whole = texts.where(F.col("text") != "").select(key, "field", "text", "border", longest.alias("_longest"), shorter.alias("_all"))
-    # Fields without a term are not walked.
-    own = F.transform(F.filter("_all", lambda h: h["field"] == F.col("field")), lambda h: h["n"])
-    whole = whole.withColumn("_heads", own).drop("_all").where(F.size("_heads") > 0)
-    walk = whole.select("*", F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(WALK))).alias("_from"))
-    # One character more on either side shows the edges.
-    before = F.when(F.col("_from") > 1, F.substring(F.col("text"), F.col("_from") - 1, F.lit(1))).otherwise(" ")
-    window = F.concat(before, F.substring(F.col("text"), F.col("_from"), F.col("_longest") + WALK))
-    last = F.least(F.lit(WALK), F.length("text") - F.col("_from") + 1) + 1
-    walk = walk.select(key, "field", "border", "_heads", "_from", window.alias("_window"), last.alias("_last"))
-    places = walk.select(key, "field", "border", "_heads", "_from", "_window", F.explode(F.sequence(F.lit(2), F.col("_last"))).alias("_i"))
-    places = places.select(key, "field", "border", "_from", "_window", "_i", F.explode("_heads").alias("_h"))
-    places = places.withColumn("head", F.substring(F.col("_window"), F.col("_i"), F.col("_h"))).join(heads, ["field", "head"])
-    term = F.substring(F.col("_window"), F.col("_i"), F.col("size"))
-    edges = F.concat(F.substring(F.col("_window"), F.col("_i") - 1, F.lit(1)), F.substring(F.col("_window"), F.col("_i") + F.col("size"), F.lit(1)))
-    found = places.select(key, "field", "border", term.alias("term"), (F.col("_from") + F.col("_i") - 2).alias("at"), "size", edges.alias("_edges"))
-    found = found.join(known.select("field", "term"), ["field", "term"])
-    body = F.when(F.col("at") > F.col("border"), F.col("at"))
+    known = written(terms.select("field", "term").where((F.col("term") != "") & F.col("field").isNotNull()).distinct())
+    sizes = {r["field"]: sorted(r["sizes"]) for r in known.groupBy("field").agg(F.collect_set(F.length("term")).alias("sizes")).collect()}
+    shared = known.sparkSession.sparkContext.broadcast(_marks(known))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, (powers, inverse) = shared.value, _powers(WALK + 1)
+        for batch in batches:
+            fields, values, borders = (batch.column(c).to_pylist() for c in ("field", "text", "border"))
+            # Fields without a term are not walked.
+            for field in sorted({f for f in fields if f in sizes}):
+                rows = [i for i, f in enumerate(fields) if f == field and values[i]]
+                whole = [values[i] for i in rows]
+                for first, last in _chunks(whole):
+                    part, found = whole[first:last], {}
+                    if sum(map(len, part)) >= len(powers):
+                        powers, inverse = _powers(sum(map(len, part)) + 1)
+                    for size, of, at in _places(part, field, sizes[field], bits, powers, inverse):
+                        for i, k in zip(of.tolist(), at.tolist(), strict=True):
+                            text, border = part[i], borders[rows[first + i]]
+                            title, body = (None, None) if border is None else (k + size <= border, k + 1 if k + 1 > border else None)
+                            clean = not (k and text[k - 1] in EDGES) and text[k + size : k + size + 1] not in EDGES
+                            spot = rows[first + i], text[k : k + size]
+                            seen = found.setdefault(spot, [title, body, body, clean])
+                            # Places of one size come in order: the first body place stays, the last one moves.
+                            found[spot] = [seen[0] or title, seen[1] if seen[1] is not None else body, body if body is not None else seen[2], seen[3] or clean]
+                    if found:
+                        at, names = zip(*found, strict=True)
+                        title, head, tail, clean = (pa.array(list(c), t) for c, t in zip(zip(*found.values(), strict=True), (pa.bool_(), pa.int64(), pa.int64(), pa.bool_()), strict=True))
+                        yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), pa.array([field] * len(at)), pa.array(names), title, head, tail, clean], names=[key, "field", "term", "title", "head", "tail", "clean"])
+
+    shape = StructType([StructField(key, texts.schema[key].dataType), *StructType.fromDDL("field string, term string, title boolean, head long, tail long, clean boolean")])
+    found = texts.where(F.col("text") != "").select(key, "field", "text", "border").mapInArrow(walk, shape).join(known, ["field", "term"], "left_semi")
     return found.groupBy(key, "field", "term").agg(
-        F.max(F.col("at") + F.col("size") - 1 <= F.col("border")).alias("in_title"),
-        F.max(body).isNotNull().alias("body_hit"),
-        F.coalesce(F.max(body) - F.min(body) >= F.max("size"), F.lit(False)).alias("body_twice"),
-        F.max(~F.col("_edges").rlike("[A-Za-z0-9]")).alias("clean"),
+        F.max("title").alias("in_title"),
+        F.max("tail").isNotNull().alias("body_hit"),
+        F.coalesce(F.max("tail") - F.min("head") >= F.max(F.length("term")), F.lit(False)).alias("body_twice"),
+        F.max("clean").alias("clean"),
     )
 
 

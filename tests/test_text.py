@@ -96,6 +96,20 @@ def test_term_walk_agrees_with_brute_force(spark):
     assert {(r.content_id, r.term): (r.in_title, r.body_hit, r.body_twice, r.clean) for r in got} == want and len(got) == len(want)
 
 
+def test_term_walk_sends_hits_only(spark):
+    """No row for a character, whatever the text; equal keys, null borders and terms over the head length are kept apart."""
+    texts = [(1, "norm", "x" * 5000 + "abcdefghij", 0), (1, "norm", "abcdefghijabcdefghij", 10), (2, "norm", "abcdefghix", None), (None, "norm", "zabcdefghij", None), (3, None, "abcdefghij", 0)]
+    df = spark.createDataFrame(texts, "content_id long, field string, text string, border int")
+    terms = spark.createDataFrame([("norm", "abcdefghij"), ("norm", "abcdefghi"), ("norm", None), (None, "abcdefghij")], "field string, term string")
+    hits = en.term_hits(df, terms)
+    assert "Generate" not in hits._jdf.queryExecution().executedPlan().toString()
+    got = {(r.content_id, r.term): (r.in_title, r.body_hit, r.body_twice, r.clean) for r in hits.collect()}
+    assert got == {
+        (1, "abcdefghij"): (True, True, True, False), (1, "abcdefghi"): (True, True, True, False),
+        (2, "abcdefghi"): (None, False, False, False), (None, "abcdefghij"): (None, False, False, False), (None, "abcdefghi"): (None, False, False, False),
+    }
+
+
 def test_wide_text_is_found(spark):
     assets, aliases, links, terms = _registry(spark)
     posts = spark.createDataFrame([(1, "x", None, "看好黄金ＥＴＦ和ＧＯＬＤ－ＥＴＦ"), (2, "x", "①ﬁ", "ａｐｐｌｅ　ｉｎｃ")], "content_id long, source string, title string, body string")
