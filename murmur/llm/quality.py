@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.llm.common import fresh, query, released, table
+from murmur.session import checkpointed
 
-#: Feature buckets (a power of two), and most labelled documents of each class a fit reads.
-BUCKETS, SAMPLE = 1 << 16, 20_000
+#: Feature buckets (a power of two).
+BUCKETS = 1 << 16
 #: Distinct tokens a task remembers the hash of.
 TOKENS = 200_000
 #: Base rules: least words, and most of 100 words that may stand in repeated windows.
@@ -77,31 +78,33 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def _sample(documents: DataFrame, labels: DataFrame, value: int) -> DataFrame:
-    """At most ``SAMPLE`` documents whose label is ``value``, the same on every run."""
-    chosen = labels.where((F.col("quality") == value) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    # Bounded by SAMPLE ids, so sending it to every task is safe at any size.
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")
+def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every text with the classes of its document: ``good``, ``poor``, both or neither."""
+    has = lambda value: F.max(F.coalesce(F.col("quality") == value, F.lit(False)))
+    classes = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(has(1).alias("good"), has(0).alias("poor")).where("good or poor")
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(classes, F.col("doc_id") == F.col("_id"), "left")
+    return texts.select("text", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("poor", F.lit(False)).alias("poor"))
 
 
-def _feature_counts(texts: DataFrame) -> np.ndarray:
-    """Corpus counts per bucket; a task sends at most ``BUCKETS`` rows."""
+def _feature_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts per bucket over the good texts and over all; a task sends at most ``BUCKETS`` rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, sums = features(), np.zeros(BUCKETS, dtype="i8")
+        of, sums, trusted = features(), np.zeros(BUCKETS, dtype="i8"), np.zeros(BUCKETS, dtype="i8")
         for batch in batches:
-            texts = batch["text"].tolist()
-            for k in range(0, len(texts), 50):
-                sums += np.bincount(np.concatenate([of(t) for t in texts[k : k + 50]]), minlength=BUCKETS)
+            for text, good in zip(batch["text"].tolist(), batch["good"].tolist(), strict=True):
+                found = of(text)
+                np.add.at(sums, found, 1)
+                if good:
+                    np.add.at(trusted, found, 1)
         seen = np.flatnonzero(sums)
-        yield pd.DataFrame({"bucket": seen, "n": sums[seen]})
+        yield pd.DataFrame({"bucket": seen, "n": sums[seen], "t": trusted[seen]})
 
-    rows = texts.select(F.col("text").cast("string").alias("text")).mapInPandas(lambda b: released(count(b)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(BUCKETS, dtype="f8")
+    rows = texts.select("text", "good").mapInPandas(lambda b: released(count(b)), "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
+    raw, trusted = np.zeros(BUCKETS, dtype="f8"), np.zeros(BUCKETS, dtype="f8")
     for r in rows:
-        out[r["bucket"]] = r["n"]
-    return out
+        raw[r["bucket"]], trusted[r["bucket"]] = r["n"], r["t"]
+    return trusted, raw
 
 
 def _score(text: str | None, of, ratio: np.ndarray) -> float:
@@ -109,17 +112,42 @@ def _score(text: str | None, of, ratio: np.ndarray) -> float:
     return float(ratio[found].mean()) if len(found) else 0.0
 
 
+def _threshold(scores: DataFrame) -> float:
+    """The middle between two neighbouring scores, or a place below all, with the fewest errors; the first of several.
+
+    ``scores`` has score, good and poor, the numbers of documents of each class with
+    that score. They are sorted by ranges; only a range's sums reach the driver.
+    """
+    dealt = checkpointed(scores.repartitionByRange("score").sortWithinPartitions("score").withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy("part").agg(F.sum("good").alias("good"), F.sum("poor").alias("poor"), F.max("score").alias("last"), F.min("score").alias("first")).orderBy("part").collect()
+    if not sum(r["poor"] for r in sums):
+        return -np.inf
+    poor, good, before, starts = sum(r["poor"] for r in sums), 0, None, []
+    for r in sums:
+        starts.append((r["part"], good, poor, before if before is not None else r["first"] - 2))
+        good, poor, before = good + r["good"], poor - r["poor"], r["last"]
+    starts = scores.sparkSession.createDataFrame(starts, "part int, good_before long, poor_from long, score_before double")
+    order = Window.partitionBy("part").orderBy("score")
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda name: F.coalesce(F.sum(name).over(upto), F.lit(0))
+    cuts = dealt.join(F.broadcast(starts), "part").select(
+        (10 * (F.col("good_before") + below("good")) + F.col("poor_from") - below("poor")).alias("errors"),
+        ((F.coalesce(F.lag("score").over(order), F.col("score_before")) + F.col("score")) / 2).alias("cut"),
+    )
+    return float(cuts.agg(F.min(F.struct("errors", "cut"))["cut"]).first()[0])
+
+
 def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Log ratio per bucket, and the threshold.
 
-    Raw counts cover all documents. Trusted text and the threshold come from at
-    most ``SAMPLE`` labelled documents of each class; the threshold is the middle
-    of the interval that parts the sample with the fewest errors, a rejected good
-    document counting ten times. Without labelled documents of a class nothing is
-    rejected by the ratio.
+    Raw counts cover all documents, trusted counts all labelled good ones, and the
+    threshold all labelled documents of both classes; it is the middle of the
+    interval that parts them with the fewest errors, a rejected good document
+    counting ten times. Without labelled documents of a class nothing is rejected
+    by the ratio.
     """
-    good, poor = _sample(documents, labels, 1), _sample(documents, labels, 0)
-    trusted, raw = _feature_counts(good), _feature_counts(documents)
+    texts = _labelled(documents, labels)
+    trusted, raw = _feature_counts(texts)
     if not trusted.sum():
         return np.zeros(BUCKETS), -np.inf
     ratio = np.log((trusted + 1) / (trusted.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
@@ -130,14 +158,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         for texts in batches:
             yield pd.Series([_score(t, of, ratio) for t in texts], dtype="float64")
 
-    # At most SAMPLE numbers of each class.
-    of_good, of_poor = (np.sort([r[0] for r in rows.select(score("text")).collect()]) for rows in (good, poor))
-    if not len(of_poor):
-        return ratio, -np.inf
-    edges = np.unique(np.concatenate([of_good, of_poor]))
-    middles = np.concatenate([[edges[0] - 1], (edges[1:] + edges[:-1]) / 2])
-    errors = 10 * np.searchsorted(of_good, middles) + len(of_poor) - np.searchsorted(of_poor, middles)
-    return ratio, float(middles[np.argmin(errors)])
+    number = lambda name: F.sum(F.col(name).cast("long")).alias(name)
+    return ratio, _threshold(texts.where("good or poor").select(score("text").alias("score"), "good", "poor").groupBy("score").agg(number("good"), number("poor")))
 
 
 def _judge(ratio: np.ndarray, threshold: float):

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from murmur.llm import quality as ql
 
 
@@ -41,3 +43,21 @@ def test_odd_rows(odd, nothing, labels):
     kept = ql.kept_documents(odd, labels)
     assert kept.columns == odd.columns
     assert ql.judged(nothing, labels).collect() == [] and ql.judged(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_the_fit_reads_every_labelled_document(spark):
+    words = lambda k: " ".join(f"{'fine' if k % 3 else 'bad'}{k % 40}x{j % 60}" for j in range(60))
+    docs = spark.range(41000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(41000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    trusted, raw = ql._feature_counts(ql._labelled(docs, labels))
+    assert trusted.sum() == raw.sum() == 41000 * 3
+    rows = [(k, words(k)) for k in range(60)] + [(7, words(8)), (None, words(3))]
+    marks = [(k, int(k % 3 > 0)) for k in range(50)] + [(4, 0), (None, 1), (9, None)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(marks, "doc_id long, quality int")
+    ratio, threshold = ql.fit(docs, labels)
+    of = ql.features()
+    score = {quality: sorted(ql._score(t, of, ratio) for d, t in rows if (d, quality) in marks and d is not None) for quality in (0, 1)}
+    edges = sorted({*score[0], *score[1]})
+    middles = [edges[0] - 1, *((a + b) / 2 for a, b in zip(edges, edges[1:], strict=False))]
+    errors = [10 * sum(v < m for v in score[1]) + sum(v >= m for v in score[0]) for m in middles]
+    assert abs(threshold - middles[errors.index(min(errors))]) < 1e-12
