@@ -179,3 +179,20 @@ def test_topics_of_collection_queries(spark):
     links = spark.createDataFrame([(10, 1), (11, 1), (11, 2), (12, 3), (13, 1), (14, 1), (12, None)], "raw_id long, topic_id long")
     topics = spark.createDataFrame([(1,), (2,)], "topic_id long")
     assert sorted(map(tuple, en.collection_topics(posts, raw, links, topics).collect())) == [(1, 1), (1, 2)]
+
+
+def test_groups_are_decided_alike_in_a_task_and_in_rounds(spark):
+    draw = random.Random(3)
+    centres = [draw.getrandbits(64) for _ in range(6)]
+    prints = {c ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(5))) for c in centres for _ in range(40)}
+    ids = draw.sample(range(10_000), len(prints))
+    rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in zip(ids, sorted(prints), strict=True)]
+    nodes = spark.createDataFrame([*rows, (None, 5)], "node long, fp long")
+    leaders, want = [], {}
+    for i, p in sorted(rows):
+        near = [j for j, q in leaders if ((p ^ q) & (1 << 64) - 1).bit_count() <= 3]
+        want[i] = near[0] if near else i
+        leaders += [] if near else [(i, p)]
+    for whole in (1000, 10):
+        got = nd.greedy_leaders(nodes, whole=whole).collect()
+        assert {r.node: r.leader for r in got} == {**want, None: None} and len(got) == len(rows) + 1
