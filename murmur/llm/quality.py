@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.llm.common import fresh, query, released, table
-from murmur.session import checkpointed
+from murmur.session import checkpointed, written
 
 #: Feature buckets (a power of two).
 BUCKETS = 1 << 16
 #: Distinct tokens a task remembers the hash of.
 TOKENS = 200_000
+#: Least and most bits by which texts without a label are told before the join; one bitmap of Spark has the least.
+LEAST_BITS, MOST_BITS = 1 << 15, 1 << 26
 #: Base rules: least words, and most of 100 words that may stand in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -78,31 +80,74 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every text with the classes of its document: ``good``, ``poor``, both or neither."""
+def _classes(labels: DataFrame) -> DataFrame:
+    """(_id, good, poor) of every labelled document, written: Spark knows its size and broadcasts it while it is small."""
     has = lambda value: F.max(F.coalesce(F.col("quality") == value, F.lit(False)))
-    classes = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(has(1).alias("good"), has(0).alias("poor")).where("good or poor")
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(classes, F.col("doc_id") == F.col("_id"), "left")
-    return texts.select("text", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("poor", F.lit(False)).alias("poor"))
+    return written(labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(has(1).alias("good"), has(0).alias("poor")).where("good or poor"))
+
+
+def _maybe_labelled(documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows whose id falls on a bit of the labelled ids: all labelled ones and few others, so that other texts need not travel."""
+    if documents.schema["doc_id"].dataType != classes.schema["_id"].dataType:
+        return documents
+    bits = min(max(8 * classes.count(), LEAST_BITS), MOST_BITS)
+    # Numbers of bitmap_bucket_number and bitmap_bit_position begin at 1 and 0.
+    place = lambda name: F.pmod(F.xxhash64(name), F.lit(bits)) + 1
+    marked = classes.groupBy(F.bitmap_bucket_number(place("_id")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("_id"))).alias("marks")).collect()
+    held = np.zeros((-(-bits // LEAST_BITS), LEAST_BITS // 8), dtype="u1")
+    for r in marked:
+        held[r["bucket"] - 1] = np.frombuffer(r["marks"], dtype="u1")
+    shared = documents.sparkSession.sparkContext.broadcast(held.ravel())
+
+    @F.pandas_udf("boolean")
+    def marked_place(places: pd.Series) -> pd.Series:
+        at = places.to_numpy() - 1
+        return pd.Series((shared.value[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    return documents.where(marked_place(place("doc_id")))
+
+
+def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(found, good, poor) of the labelled documents; the packed features of their texts travel, no text does."""
+
+    @F.pandas_udf("binary")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = features()
+        for texts in batches:
+            yield pd.Series([_packed(of(t)) for t in texts], dtype="object")
+
+    classes = _classes(labels)
+    rows = _maybe_labelled(documents, classes).select("doc_id", packed(F.col("text").cast("string")).alias("found"))
+    return rows.join(classes, F.col("doc_id") == F.col("_id")).select("found", "good", "poor")
+
+
+def _packed(found: np.ndarray) -> bytes:
+    """Bucket numbers in ascending order, as compressed steps."""
+    return zlib.compress(np.diff(np.sort(found), prepend=0).astype("<u2").tobytes(), 1)
+
+
+def _unpacked(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(steps), dtype="<u2").astype("i8"))
 
 
-def _feature_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts per bucket over the good texts and over all; a task sends at most ``BUCKETS`` rows."""
+def _feature_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts per bucket over the good rows and over all given, of ``text`` or packed in ``found``; a task sends at most ``BUCKETS`` rows."""
+    column = "text" if "text" in rows.columns else "found"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, sums, trusted = features(), np.zeros(BUCKETS, dtype="i8"), np.zeros(BUCKETS, dtype="i8")
+        of, sums, trusted = features() if column == "text" else _unpacked, np.zeros(BUCKETS, dtype="i8"), np.zeros(BUCKETS, dtype="i8")
         for batch in batches:
-            for text, good in zip(batch["text"].tolist(), batch["good"].tolist(), strict=True):
-                found = of(text)
+            for value, good in zip(batch[column].tolist(), batch["good"].tolist(), strict=True):
+                found = of(value)
                 np.add.at(sums, found, 1)
                 if good:
                     np.add.at(trusted, found, 1)
         seen = np.flatnonzero(sums)
         yield pd.DataFrame({"bucket": seen, "n": sums[seen], "t": trusted[seen]})
 
-    rows = texts.select("text", "good").mapInPandas(lambda b: released(count(b)), "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
+    counts = rows.select(column, "good").mapInPandas(lambda b: released(count(b)), "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
     raw, trusted = np.zeros(BUCKETS, dtype="f8"), np.zeros(BUCKETS, dtype="f8")
-    for r in rows:
+    for r in counts:
         raw[r["bucket"]], trusted[r["bucket"]] = r["n"], r["t"]
     return trusted, raw
 
@@ -146,10 +191,10 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     counting ten times. Without labelled documents of a class nothing is rejected
     by the ratio.
     """
-    texts = _labelled(documents, labels)
-    trusted, raw = _feature_counts(texts)
+    trusted, _ = _feature_counts(_labelled(documents, labels.where("quality = 1")))
     if not trusted.sum():
         return np.zeros(BUCKETS), -np.inf
+    _, raw = _feature_counts(documents.select(F.col("text").cast("string").alias("text"), F.lit(False).alias("good")))
     ratio = np.log((trusted + 1) / (trusted.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
     @F.pandas_udf("double")
@@ -159,7 +204,9 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
             yield pd.Series([_score(t, of, ratio) for t in texts], dtype="float64")
 
     number = lambda name: F.sum(F.col(name).cast("long")).alias(name)
-    return ratio, _threshold(texts.where("good or poor").select(score("text").alias("score"), "good", "poor").groupBy("score").agg(number("good"), number("poor")))
+    classes = _classes(labels)
+    scores = _maybe_labelled(documents, classes).select("doc_id", score(F.col("text").cast("string")).alias("score")).join(classes, F.col("doc_id") == F.col("_id"))
+    return ratio, _threshold(scores.groupBy("score").agg(number("good"), number("poor")))
 
 
 def _judge(ratio: np.ndarray, threshold: float):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from murmur.llm import quality as ql
@@ -61,3 +62,27 @@ def test_the_fit_reads_every_labelled_document(spark):
     middles = [edges[0] - 1, *((a + b) / 2 for a, b in zip(edges, edges[1:], strict=False))]
     errors = [10 * sum(v < m for v in score[1]) + sum(v >= m for v in score[0]) for m in middles]
     assert abs(threshold - middles[errors.index(min(errors))]) < 1e-12
+
+
+def test_only_features_of_labelled_documents_meet_the_labels(spark):
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionByName(docs.where("doc_id = 17")).unionByName(spark.createDataFrame([(None, "none"), (-5, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(0, 1200, 3)] + [(17, 1), (-5, 0), (3, 0), (None, 1), (70000, 1), (8, None)], "doc_id long, quality int")
+    marks, of = {}, ql.features()
+    for r in labels.where("doc_id is not null and quality is not null").collect():
+        marks.setdefault(r["doc_id"], set()).add(r["quality"])
+    wanted = sorted((sorted(of(r["text"]).tolist()), 1 in marks[r["doc_id"]], 0 in marks[r["doc_id"]]) for r in docs.collect() if r["doc_id"] in marks)
+    found = ql._labelled(docs, labels)
+    # No text reaches the join; all 20,003 did before.
+    assert "text" not in found.columns and sorted((ql._unpacked(r["found"]).tolist(), r["good"], r["poor"]) for r in found.collect()) == wanted
+    sent = {r["doc_id"] for r in ql._maybe_labelled(docs, ql._classes(labels)).collect()}
+    assert marks.keys() - {70000} <= sent and len(sent) < 2000
+    # Ids of another type are joined as Spark compares them.
+    assert ql._labelled(docs, labels.select(F.col("doc_id").cast("int").alias("doc_id"), "quality")).count() == len(wanted)
+
+
+def test_packed_features_come_back():
+    of = ql.features()
+    for text in (None, "", "a", "a a a b", "é 中文 #* " * 50, "word " * 3000):
+        assert ql._unpacked(ql._packed(of(text))).tolist() == sorted(of(text).tolist())
+    assert ql._unpacked(ql._packed(np.array([0, 65535, 0, 65535]))).tolist() == [0, 0, 65535, 65535]
