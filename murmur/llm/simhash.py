@@ -293,11 +293,20 @@ def near_duplicates(
     return rows.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("lead_id").alias("component_id"))
 
 
+def _linked(documents: DataFrame, prints: DataFrame) -> DataFrame:
+    """(u, v): the sets of a component of ``near_duplicates``, each with the component's smallest; of prints (unit, fp)."""
+    rows = _grouped(documents, 3, 64, 2, None, "doc_id", "text").select("unit", F.col("root").alias("group")).distinct()
+    sets = checkpointed(rows.join(prints.select("unit", F.col("fp").alias("v")).distinct(), "unit").select("group", "v").distinct())
+    least = sets.groupBy("group").agg(F.min("v").alias("u"))
+    return sets.join(least, "group").where("u <> v").select("u", "v").distinct()
+
+
 def deduplicated(documents: DataFrame) -> DataFrame:
     """One row of each group of near copies, columns unchanged.
 
     Texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8
-    are linked; ``jaccard`` finds every such pair and confirms each link. The row
+    are linked. Copies come from the components of ``near_duplicates`` first; each is
+    confirmed by that similarity, and ``jaccard`` finds every pair that is left. The row
     with the smallest doc_id of a group stays (null ids last), then the smallest text
     digest; of rows that repeat both, the one with the smallest lang, source and
     n_chars. Nulls, empty texts and empty tables as in ``near_duplicates``: all
@@ -307,7 +316,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("unit"), F.col("text"), jaccard.digests(F.col("text")).alias("fp"))
     prints = checkpointed(texts.select("doc_id", "unit", "fp"))
-    roots = jaccard.near_copies(texts).withColumnRenamed("node", "fp")
+    roots = jaccard.near_copies(texts, linked=_linked(documents, prints)).withColumnRenamed("node", "fp")
     found = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     key, whole = fresh(documents, "_unit"), fresh(documents, "_whole")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "unit")).alias("first")

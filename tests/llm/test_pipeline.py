@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from murmur.llm import jaccard, mixing, packing, quality
+from murmur.llm import jaccard, mixing, packing, quality, simhash
 from murmur.llm.secrets import MASK
 
 SF = "/root/testdata/sf0.001"
@@ -133,3 +133,70 @@ def test_stages_handle_odd_rows(spark, odd, nothing):
     for _, stage in cp.STAGES:
         stage(spark, odd, SF).collect()
         assert stage(spark, nothing, SF).collect() == []
+
+
+def test_copies_of_the_simhash_operator_come_first(spark, monkeypatch):
+    body = [f"w{k}" for k in range(300)]
+    texts = [" ".join(body), " ".join(body).upper() + " ", " ".join([*body, "more"]), " ".join(f"y{k}" for k in range(80)), None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    given, whole = [], jaccard.near_copies
+
+    def seen(texts, **options):
+        given.extend(map(tuple, options["linked"].collect()))
+        return whole(texts, **options)
+
+    monkeypatch.setattr(jaccard, "near_copies", seen)
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(df).collect()) == [0, 3, 4]
+    group = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    fps = {r["doc_id"]: bytes(r["fp"]) for r in df.select("doc_id", jaccard.digests(F.col("text")).alias("fp")).collect()}
+    wanted = {(min(f for d, f in fps.items() if group[d] == c), fps[k]) for k, c in group.items()}
+    assert group[2] == 0 and {(bytes(u), bytes(v)) for u, v in given} == {(u, v) for u, v in wanted if u != v} != set()
+
+
+def test_links_of_another_method_are_confirmed(spark):
+    texts = [" ".join(f"{a}{k}" for k in range(60)) for a in "abc"] + [" ".join([*(f"a{k}" for k in range(60)), "z"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", "text", jaccard.digests(F.col("text")).alias("fp"))
+    fp = [r["fp"] for r in df.orderBy("doc_id").collect()]
+    false = spark.createDataFrame([(fp[0], fp[1]), (fp[2], fp[1]), (fp[3], fp[0])], "u binary, v binary")
+    found = {bytes(r["node"]): bytes(r["root"]) for r in jaccard.near_copies(df, linked=false).collect()}
+    assert found.keys() - {bytes(min(fp[0], fp[3]))} == {bytes(max(fp[0], fp[3]))} and set(found.values()) == {bytes(min(fp[0], fp[3]))}
+
+
+def test_pairs_that_have_met_are_not_made_again(spark, monkeypatch):
+    # Every text shares one passage with one other text, too little to be a copy.
+    texts = [" ".join([*(f"p{i // 2}x{k}" for k in range(60)), *(f"o{i}x{k}" for k in range(60))]) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", "text", jaccard.digests(F.col("text")).alias("fp"))
+    dealt, rows = jaccard._dealt, []
+
+    def seen(*args):
+        out = dealt(*args)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_dealt", seen)
+    assert jaccard.near_copies(df).collect() == [] and rows == [0]
+
+
+def test_a_pair_is_made_under_few_of_its_keys(spark, monkeypatch):
+    # Texts of one family are a little too different; every two share dozens of rare passages.
+    draw, texts = random.Random(3), []
+    for i in range(60):
+        words = [f"f{i // 12}w{k}" for k in range(200)]
+        for k in draw.sample(range(200), 6 if i % 12 else 1):
+            words[k] = f"x{i}y{k}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", "text", jaccard.digests(F.col("text")).alias("fp")).repartition(4)
+    made, crossing = spark.sparkContext.accumulator(0), jaccard._crossing
+
+    def counted(batches):
+        for batch in crossing(batches):
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(jaccard, "_crossing", counted)
+    found = {r["node"]: r["root"] for r in jaccard.near_copies(df).collect()}
+    of = {r["doc_id"]: found.get(r["fp"], r["fp"]) for r in df.collect()}
+    root = groups({d: shingles(t) for d, t in enumerate(texts)})
+    assert {frozenset(d for d in of if of[d] == r) for r in set(of.values())} == {frozenset(d for d in root if root[d] == r) for r in set(root.values())}
+    # 5 families of 66 pairs; each pair was made under dozens of keys before.
+    assert made.value <= 2 * 5 * 66
