@@ -269,7 +269,9 @@ def _review_answers(requests):
         F.when(i % 4 == 3, "zz not in here").otherwise(F.substring("body", 1, 12)).alias("intent_evidence"), F.when(i % 13 == 0, 1).alias("mood"),
     )
     times = F.explode(F.sequence(F.lit(0), F.when(i % 19 == 0, 1).otherwise(0)))
-    items = requests.select("batch", item.alias("item"), times.alias("_t")).groupBy("batch").agg(F.collect_list("item").alias("items"))
+    # Items are few bytes and slow to print; left to their size, all batches would be made in one task.
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    items = requests.select("batch", item.alias("item"), times.alias("_t")).repartition(parts, "batch").groupBy("batch").agg(F.collect_list("item").alias("items"))
     answer = F.when(F.col("batch") % 10 == 0, "no answer today").otherwise(F.to_json(F.struct("items")))
     return items.select(F.col("batch").alias("answer_id"), "batch", F.lit(_REVIEWER).alias("model"), answer.alias("answer"))
 
@@ -297,7 +299,7 @@ def f07(spark, sf):
     )
     analysis = stored(content.where(i % 7 == 0), i * 2, version).unionByName(stored(content.where(i % 11 == 0), i * 2 + 1, F.lit("codex-content-review-v4:old")))
     requests = written(rv.review_requests(content, analysis, resume_models=(_REVIEWER,)))
-    accepted, rejected = rv.judge_answers(_review_answers(requests), requests)
+    accepted, rejected = rv.judge_answers(written(_review_answers(requests)), requests)
     fresh, said = rv.review_rows(accepted, analysis, None, reviewer="r")
     batches = requests.select("content_id", "batch")
     done = fresh.join(said.select("analysis_id"), "analysis_id", "left_semi").join(batches, "content_id").select("content_id", n("batch"), F.col("intent").alias("outcome"), n("analysis_id"))

@@ -60,7 +60,9 @@ def judge_answers(answers: DataFrame, requests: DataFrame) -> tuple[DataFrame, D
     Evidence that is not in the text the model read costs an item its intent and
     nothing else. Of several answers of a model for a text the first one stays.
     """
-    items, unreadable = wl.review_items(answers.select("answer_id", "batch", "model", "answer"))
+    # Answers are small and slow to parse; left to their size, all of them would be parsed in one task.
+    parts = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    items, unreadable = wl.review_items(answers.select("answer_id", "batch", "model", "answer").repartition(parts))
     parsed = wl.parse_contract(items).withColumns(
         {"content_id": F.col("c.id"), "intent_basis": F.col("c.intent_basis"), "intent_evidence": F.col("c.intent_evidence"), "rationale": F.col("c.rationale")}
     )

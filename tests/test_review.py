@@ -121,3 +121,20 @@ def test_a_call_that_stops_leaves_no_trace(spark, tmp_path, at, monkeypatch):
     assert store.read("content_analysis").count() == 0 and store.stored(rv.REVIEWS) is None
     assert rv.take_in_reviews(store, reviewer="r").first().reviewed == 2
     assert store.read("content_analysis").where(F.col("intent") == "buy").count() == store.read(rv.REVIEWS).count() == 2
+
+
+def test_answers_of_one_part_are_parsed_in_many_tasks(spark, at, monkeypatch):
+    requests = spark.createDataFrame(posts(at, 1), CONTENT).select(
+        "content_id", F.lit(1).cast("long").alias("batch"), F.lit("p").alias("prompt_version"), F.lit("t").alias("target_hash"), F.lit("i").alias("input_hash"), "title", "body"
+    )
+    answers = spark.createDataFrame([(k, 1, MODEL, json.dumps({"items": [CONTRACT | {"id": k, "intent_evidence": ""}]})) for k in range(40)], ANSWER).coalesce(1)
+    parts, whole = [], rv.wl.review_items
+
+    def seen(answers):
+        parts.append(answers.select(F.spark_partition_id().alias("p")).distinct().count())
+        return whole(answers)
+
+    monkeypatch.setattr(rv.wl, "review_items", seen)
+    accepted, rejected = rv.judge_answers(answers, requests)
+    assert (accepted.count(), rejected.where("reason = 'not_asked'").count()) == (1, 39)
+    assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
