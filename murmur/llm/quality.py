@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from murmur.llm.common import fresh, query, released, table
 from murmur.session import checkpointed, written
@@ -86,38 +88,49 @@ def _classes(labels: DataFrame) -> DataFrame:
     return written(labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(has(1).alias("good"), has(0).alias("poor")).where("good or poor"))
 
 
-def _maybe_labelled(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows whose id falls on a bit of the labelled ids: all labelled ones and few others, so that other texts need not travel."""
-    if documents.schema["doc_id"].dataType != classes.schema["_id"].dataType:
-        return documents
-    bits = min(max(8 * classes.count(), LEAST_BITS), MOST_BITS)
-    # Numbers of bitmap_bucket_number and bitmap_bit_position begin at 1 and 0.
-    place = lambda name: F.pmod(F.xxhash64(name), F.lit(bits)) + 1
-    marked = classes.groupBy(F.bitmap_bucket_number(place("_id")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("_id"))).alias("marks")).collect()
-    held = np.zeros((-(-bits // LEAST_BITS), LEAST_BITS // 8), dtype="u1")
-    for r in marked:
-        held[r["bucket"] - 1] = np.frombuffer(r["marks"], dtype="u1")
-    shared = documents.sparkSession.sparkContext.broadcast(held.ravel())
+def _maybe_labelled(documents: DataFrame, classes: DataFrame, name: str = "text", kind: str = "string", make: Callable[[], Callable] = lambda: lambda text: text) -> DataFrame:
+    """(doc_id, ``name``) of the rows whose id falls on a bit of the labelled ids: all labelled ones and few others, so that other texts need not travel.
 
-    @F.pandas_udf("boolean")
-    def marked_place(places: pd.Series) -> pd.Series:
-        at = places.to_numpy() - 1
-        return pd.Series((shared.value[at >> 3] >> (at & 7) & 1).astype(bool))
+    ``make`` gives a task the function from a text to its value, the text itself by
+    default. The bits are read and the values made in one pass, so a task has one
+    Python worker, and no row with its text waits in the JVM for a worker's answer.
+    """
+    schema = StructType().add("doc_id", documents.schema["doc_id"].dataType).add(name, kind)
+    place, shared = F.lit(None).cast("long"), None
+    if schema["doc_id"].dataType == classes.schema["_id"].dataType:
+        bits = min(max(8 * classes.count(), LEAST_BITS), MOST_BITS)
+        # Numbers of bitmap_bucket_number and bitmap_bit_position begin at 1 and 0.
+        at = lambda column: F.pmod(F.xxhash64(column), F.lit(bits)) + 1
+        marked = classes.groupBy(F.bitmap_bucket_number(at("_id")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at("_id"))).alias("marks")).collect()
+        held = np.zeros((-(-bits // LEAST_BITS), LEAST_BITS // 8), dtype="u1")
+        for r in marked:
+            held[r["bucket"] - 1] = np.frombuffer(r["marks"], dtype="u1")
+        place, shared = at("doc_id"), documents.sparkSession.sparkContext.broadcast(held.ravel())
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = make()
+        for batch in batches:
+            ids, texts, places = batch.columns
+            rows = np.arange(len(ids))
+            if shared is not None:
+                places = places.to_numpy(zero_copy_only=False) - 1
+                rows = np.flatnonzero(shared.value[places >> 3] >> (places & 7) & 1)
+            made = [value(texts[i].as_py()) for i in rows.tolist()]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(made, type=pa.type_for_alias(kind))], names=schema.names)
 
-    return documents.where(marked_place(place("doc_id")))
+    rows = documents.select("doc_id", F.col("text").cast("string"), place)
+    return rows.mapInArrow(lambda b: released(values(b)), schema)
 
 
 def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(found, good, poor) of the labelled documents; the packed features of their texts travel, no text does."""
 
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def packed():
         of = features()
-        for texts in batches:
-            yield pd.Series([_packed(of(t)) for t in texts], dtype="object")
+        return lambda text: _packed(of(text))
 
     classes = _classes(labels)
-    rows = _maybe_labelled(documents, classes).select("doc_id", packed(F.col("text").cast("string")).alias("found"))
+    rows = _maybe_labelled(documents, classes, "found", "binary", packed)
     return rows.join(classes, F.col("doc_id") == F.col("_id")).select("found", "good", "poor")
 
 
@@ -134,18 +147,18 @@ def _feature_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Counts per bucket over the good rows and over all given, of ``text`` or packed in ``found``; a task sends at most ``BUCKETS`` rows."""
     column = "text" if "text" in rows.columns else "found"
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, sums, trusted = features() if column == "text" else _unpacked, np.zeros(BUCKETS, dtype="i8"), np.zeros(BUCKETS, dtype="i8")
         for batch in batches:
-            for value, good in zip(batch[column].tolist(), batch["good"].tolist(), strict=True):
-                found = of(value)
+            for value, good in zip(*batch.columns, strict=True):
+                found = of(value.as_py())
                 np.add.at(sums, found, 1)
-                if good:
+                if good.as_py():
                     np.add.at(trusted, found, 1)
         seen = np.flatnonzero(sums)
-        yield pd.DataFrame({"bucket": seen, "n": sums[seen], "t": trusted[seen]})
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen]), pa.array(trusted[seen])], names=["bucket", "n", "t"])
 
-    counts = rows.select(column, "good").mapInPandas(lambda b: released(count(b)), "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
+    counts = rows.select(column, "good").mapInArrow(lambda b: released(count(b)), "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
     raw, trusted = np.zeros(BUCKETS, dtype="f8"), np.zeros(BUCKETS, dtype="f8")
     for r in counts:
         raw[r["bucket"]], trusted[r["bucket"]] = r["n"], r["t"]
@@ -171,7 +184,9 @@ def _threshold(scores: DataFrame) -> float:
     for r in sums:
         starts.append((r["part"], good, poor, before if before is not None else r["first"] - 2))
         good, poor, before = good + r["good"], poor - r["poor"], r["last"]
-    starts = scores.sparkSession.createDataFrame(starts, "part int, good_before long, poor_from long, score_before double")
+    # Rows of a list would go through Python workers of another kind, which then stay beside the others.
+    kinds = pa.schema([("part", pa.int32()), ("good_before", pa.int64()), ("poor_from", pa.int64()), ("score_before", pa.float64())])
+    starts = scores.sparkSession.createDataFrame(pa.Table.from_pylist([dict(zip(kinds.names, start, strict=True)) for start in starts], schema=kinds))
     order = Window.partitionBy("part").orderBy("score")
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     below = lambda name: F.coalesce(F.sum(name).over(upto), F.lit(0))
@@ -197,15 +212,13 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     _, raw = _feature_counts(documents.select(F.col("text").cast("string").alias("text"), F.lit(False).alias("good")))
     ratio = np.log((trusted + 1) / (trusted.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score():
         of = features()
-        for texts in batches:
-            yield pd.Series([_score(t, of, ratio) for t in texts], dtype="float64")
+        return lambda text: _score(text, of, ratio)
 
     number = lambda name: F.sum(F.col(name).cast("long")).alias(name)
     classes = _classes(labels)
-    scores = _maybe_labelled(documents, classes).select("doc_id", score(F.col("text").cast("string")).alias("score")).join(classes, F.col("doc_id") == F.col("_id"))
+    scores = _maybe_labelled(documents, classes, "score", "double", score).join(classes, F.col("doc_id") == F.col("_id"))
     return ratio, _threshold(scores.groupBy("score").agg(number("good"), number("poor")))
 
 

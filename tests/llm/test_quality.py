@@ -81,6 +81,30 @@ def test_only_features_of_labelled_documents_meet_the_labels(spark):
     assert ql._labelled(docs, labels.select(F.col("doc_id").cast("int").alias("doc_id"), "quality")).count() == len(wanted)
 
 
+def test_one_python_worker_a_task_reads_labelled_texts(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(0, 900, 3)], "doc_id long, quality int")
+    scores, whole = [], ql._threshold
+
+    def seen(rows):
+        scores.append(rows)
+        return whole(rows)
+
+    monkeypatch.setattr(ql, "_threshold", seen)
+    ratio, _ = ql.fit(docs, labels)
+    for rows in (ql._labelled(docs, labels), *scores):
+        plan = rows._jdf.queryExecution().sparkPlan().toString()
+        # The bits of the labelled ids were read by a worker of their own before, behind which whole rows waited.
+        assert len(re.findall(r"ArrowEvalPython|MapInArrow|MapInPandas|MapInBatch", plan)) == 1
+    of = ql.features()
+    wanted = {}
+    for k in range(0, 900, 3):
+        score = ql._score(f"word {k}", of, ratio)
+        good, poor = wanted.get(score, (0, 0))
+        wanted[score] = (good + k % 2, poor + 1 - k % 2)
+    assert {r["score"]: (r["good"], r["poor"]) for r in scores[0].collect()} == wanted
+
+
 def test_packed_features_come_back():
     of = ql.features()
     for text in (None, "", "a", "a a a b", "é 中文 #* " * 50, "word " * 3000):
