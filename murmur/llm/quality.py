@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,38 +24,79 @@ from murmur.session import checkpointed, written
 
 #: Feature buckets (a power of two).
 BUCKETS = 1 << 16
-#: Distinct tokens a task remembers the hash of.
-TOKENS = 200_000
+#: Characters of texts that are cut into tokens at once, bytes of a token hashed side by side with others, and most words of which three numbers fit one integer.
+GROUP, LONG, WIDEST = 1 << 18, 24, 1 << 21
 #: Least and most bits by which texts without a label are told before the join; one bitmap of Spark has the least.
 LEAST_BITS, MOST_BITS = 1 << 15, 1 << 26
 #: Base rules: least words, and most of 100 words that may stand in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
-TOKEN = r"\w+|[^\w\s]+"
 
 
-def features():
-    """text -> bucket numbers of its tokens and of neighbouring token pairs."""
-    token = re.compile(TOKEN)
-
-    class Hashes(dict):
-        def __missing__(self, word: str) -> int:
-            value = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-            if len(self) < TOKENS:
-                self[word] = value
-            return value
-
-    hashes = Hashes()
+def _kind(char: str) -> int:
+    """0 for white space, 1 for characters of words and 2 for others, as regular expressions tell them."""
+    return 0 if char.isspace() else 1 if char.isalnum() or char == "_" else 2
+
+
+def _crcs(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """CRC-32 of parts of the bytes, a byte of all parts at a time."""
+    table = np.arange(256, dtype="u4")
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    order = np.argsort(-np.minimum(size, LONG + 1).astype("i1"), kind="stable")
+    at, sizes = first[order], size[order]
+    crc = np.full(len(at), 0xFFFFFFFF, dtype="u4")
+    # Sizes fall, so the parts that have a byte left are the first ones.
+    left = np.cumsum(np.bincount(np.minimum(sizes, LONG + 1), minlength=LONG + 2)[::-1])[::-1]
+    for k in range(LONG):
+        n = int(left[k + 1])
+        if not n:
+            break
+        crc[:n] = table[(crc[:n] ^ data[at[:n] + k]) & 0xFF] ^ crc[:n] >> 8
+    crc ^= 0xFFFFFFFF
+    for i in range(int(left[LONG + 1])):
+        crc[i] = zlib.crc32(data[at[i] : at[i] + sizes[i]])
+    out = np.empty(len(at), dtype="u8")
+    out[order] = crc
+    return out
+
+
+def _found(texts: list[str]) -> Iterator[np.ndarray]:
+    """Bucket numbers of the tokens and of neighbouring token pairs of each text; tokens are the runs of one kind of character."""
+    parts = [text.encode("utf-8", "surrogatepass") for text in texts]
+    data = np.frombuffer(b" ".join([b"", *parts, b""]), dtype="u1")
+    kind, high = np.array([_kind(chr(c)) for c in range(256)], dtype="u1")[data], np.flatnonzero(data > 0x7F)
+    if len(high):
+        points = np.frombuffer(data[high].tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        points, at = np.unique(points, return_inverse=True)
+        kind[high] = np.repeat(np.array([_kind(chr(c)) for c in points], dtype="u1")[at], (2 + (points > 0x7FF) + (points > 0xFFFF))[at])
+    edges = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    token = kind[edges[:-1]] > 0
+    first, last = edges[:-1][token], edges[1:][token]
+    one = _crcs(data, first, last - first)
+    two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
+    one, two = ((found & np.uint64(BUCKETS - 1)).astype("i8") for found in (one, two))
+    cuts = np.searchsorted(first, np.cumsum([0, *(len(part) + 1 for part in parts)])).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield np.concatenate([one[a:b], two[a : max(a, b - 1)]])
+
+
+def found_in(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """``_found`` of the texts in groups, since most of its work is done for a group at once."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text or "")
+        size += len(group[-1])
+        if size >= GROUP:
+            yield from _found(group)
+            group, size = [], 0
+    if group:
+        yield from _found(group)
 
-    def of(text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, dtype="i8")
-        words = token.findall(text)
-        one = np.fromiter(map(hashes.__getitem__, words), dtype="u8", count=len(words))
-        two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
-        return (np.concatenate([one, two]) & np.uint64(BUCKETS - 1)).astype("i8")
 
-    return of
+def features():
+    """text -> bucket numbers of its tokens and of neighbouring token pairs."""
+    return lambda text: next(found_in([text]))
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -63,23 +104,33 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     if not text:
         return 0, 0, 0, 0, 0
     words = text.encode("utf-8", "surrogatepass").split()
-    n = len(words)
     chars = len(text) - sum(text.count(c) for c in BLANKS)
     symbols = sum(text.count(c) for c in SYMBOLS)
     lines = [line for line in text.split("\n") if line.strip(BLANKS)]
-    repeated = 0
-    if n > 3:
-        ids: dict[bytes, int] = {}
-        at = np.fromiter((ids.setdefault(w, len(ids)) for w in words), dtype="i8", count=n)
+    last = dict(zip(words, range(len(words)), strict=True))
+    repeated = _repeated(np.fromiter(map(last.__getitem__, words), dtype="i8", count=len(words)))
+    return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
+
+
+def _repeated(numbers: np.ndarray) -> int:
+    """Words in windows of three that are found twice or more."""
+    n = len(numbers)
+    if n < 4:
+        return 0
+    pairs, span = numbers[:-1] * (numbers.max() + 1) + numbers[1:], int(numbers.max()) + 1
+    if span > WIDEST:
         # Pairs are numbered first, so that three words fit one integer for any vocabulary.
-        _, pairs = np.unique(at[:-1] * len(ids) + at[1:], return_inverse=True)
-        _, window, count = np.unique(pairs[:-1] * len(ids) + at[2:], return_inverse=True, return_counts=True)
-        again = count[window] > 1
-        inside = np.zeros(n, dtype=bool)
-        for shift in range(3):
-            inside[shift : n - 2 + shift] |= again
-        repeated = int(inside.sum())
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated
+        _, pairs = np.unique(pairs, return_inverse=True)
+    windows = pairs[:-1] * span + numbers[2:]
+    ordered = np.sort(windows)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return 0
+    again = twice[np.minimum(np.searchsorted(twice, windows), len(twice) - 1)] == windows
+    inside = np.zeros(n, dtype=bool)
+    for shift in range(3):
+        inside[shift : n - 2 + shift] |= again
+    return int(inside.sum())
 
 
 def _classes(labels: DataFrame) -> DataFrame:
@@ -88,11 +139,10 @@ def _classes(labels: DataFrame) -> DataFrame:
     return written(labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(has(1).alias("good"), has(0).alias("poor")).where("good or poor"))
 
 
-def _maybe_labelled(documents: DataFrame, classes: DataFrame, name: str = "text", kind: str = "string", make: Callable[[], Callable] = lambda: lambda text: text) -> DataFrame:
+def _maybe_labelled(documents: DataFrame, classes: DataFrame, name: str = "text", kind: str = "string", make: Callable[[Iterator], Iterator] = iter) -> DataFrame:
     """(doc_id, ``name``) of the rows whose id falls on a bit of the labelled ids: all labelled ones and few others, so that other texts need not travel.
 
-    ``make`` gives a task the function from a text to its value, the text itself by
-    default. The bits are read and the values made in one pass, so a task has one
+    ``make`` gives the values of some texts, the texts themselves by default. The bits are read and the values made in one pass, so a task has one
     Python worker, and no row with its text waits in the JVM for a worker's answer.
     """
     schema = StructType().add("doc_id", documents.schema["doc_id"].dataType).add(name, kind)
@@ -108,14 +158,13 @@ def _maybe_labelled(documents: DataFrame, classes: DataFrame, name: str = "text"
         place, shared = at("doc_id"), documents.sparkSession.sparkContext.broadcast(held.ravel())
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = make()
         for batch in batches:
             ids, texts, places = batch.columns
             rows = np.arange(len(ids))
             if shared is not None:
                 places = places.to_numpy(zero_copy_only=False) - 1
                 rows = np.flatnonzero(shared.value[places >> 3] >> (places & 7) & 1)
-            made = [value(texts[i].as_py()) for i in rows.tolist()]
+            made = list(make(texts[i].as_py() for i in rows.tolist()))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(made, type=pa.type_for_alias(kind))], names=schema.names)
 
     rows = documents.select("doc_id", F.col("text").cast("string"), place)
@@ -125,9 +174,8 @@ def _maybe_labelled(documents: DataFrame, classes: DataFrame, name: str = "text"
 def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(found, good, poor) of the labelled documents; the packed features of their texts travel, no text does."""
 
-    def packed():
-        of = features()
-        return lambda text: _packed(of(text))
+    def packed(texts: Iterator[str | None]) -> Iterator[bytes]:
+        return map(_packed, found_in(texts))
 
     classes = _classes(labels)
     rows = _maybe_labelled(documents, classes, "found", "binary", packed)
@@ -148,10 +196,10 @@ def _feature_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     column = "text" if "text" in rows.columns else "found"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, sums, trusted = features() if column == "text" else _unpacked, np.zeros(BUCKETS, dtype="i8"), np.zeros(BUCKETS, dtype="i8")
+        sums, trusted = np.zeros(BUCKETS, dtype="i8"), np.zeros(BUCKETS, dtype="i8")
         for batch in batches:
-            for value, good in zip(*batch.columns, strict=True):
-                found = of(value.as_py())
+            values = (value.as_py() for value in batch.column(0))
+            for found, good in zip(found_in(values) if column == "text" else map(_unpacked, values), batch.column(1), strict=True):
                 np.add.at(sums, found, 1)
                 if good.as_py():
                     np.add.at(trusted, found, 1)
@@ -166,7 +214,10 @@ def _feature_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _score(text: str | None, of, ratio: np.ndarray) -> float:
-    found = of(text)
+    return _mean(of(text), ratio)
+
+
+def _mean(found: np.ndarray, ratio: np.ndarray) -> float:
     return float(ratio[found].mean()) if len(found) else 0.0
 
 
@@ -212,9 +263,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     _, raw = _feature_counts(documents.select(F.col("text").cast("string").alias("text"), F.lit(False).alias("good")))
     ratio = np.log((trusted + 1) / (trusted.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
-    def score():
-        of = features()
-        return lambda text: _score(text, of, ratio)
+    def score(texts: Iterator[str | None]) -> Iterator[float]:
+        return (_mean(found, ratio) for found in found_in(texts))
 
     number = lambda name: F.sum(F.col(name).cast("long")).alias(name)
     classes = _classes(labels)
@@ -230,13 +280,12 @@ def _judge(ratio: np.ndarray, threshold: float):
         yield from released(verdicts(batches))
 
     def verdicts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        of = features()
         for texts in batches:
             out = []
-            for text in texts:
+            for text, found in zip(texts, found_in(texts), strict=True):
                 base = base_counts(text)
                 failed = base[0] < LEAST_WORDS or 100 * base[4] > MOST_REPEATED * base[0]
-                value = _score(text, of, ratio)
+                value = _mean(found, ratio)
                 out.append((*base, failed, not failed and value >= threshold, value))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in kind.split(", ")])
 

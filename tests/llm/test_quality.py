@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -110,3 +112,45 @@ def test_packed_features_come_back():
     for text in (None, "", "a", "a a a b", "é 中文 #* " * 50, "word " * 3000):
         assert ql._unpacked(ql._packed(of(text))).tolist() == sorted(of(text).tolist())
     assert ql._unpacked(ql._packed(np.array([0, 65535, 0, 65535]))).tolist() == [0, 0, 65535, 65535]
+
+
+def plain_features(text):
+    one = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in re.findall(r"\w+|[^\w\s]+", text or "")]
+    two = [((a * 0x9E3779B97F4A7C15 + b) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) >> 33 for a, b in zip(one, one[1:], strict=False)]
+    return [h % ql.BUCKETS for h in one + two]
+
+
+def test_texts_are_cut_into_tokens_in_groups(monkeypatch):
+    draw, found, groups = random.Random(4), ql._found, []
+    texts = [None, "", " \n", "a", "a\x1cb c\x85d\u3000e\xa0f", "__ -- a-b_c !!?", "\ud800 x", "中文，你好 \U0001f600!", "é" * 40, "x" * 24 + " " + "x" * 25 + " " + "y" * 3000]
+    texts += ["".join(draw.choice("ab \n\x0b\x1c\x85\xa0é中\u0301,._-$\U0001f600") for _ in range(draw.randrange(120))) for _ in range(400)]
+
+    def seen(group):
+        groups.append(len(group))
+        return found(group)
+
+    monkeypatch.setattr(ql, "_found", seen)
+    for size, calls in ((ql.GROUP, 1), (5000, 10), (1, len(texts))):
+        monkeypatch.setattr(ql, "GROUP", size)
+        groups.clear()
+        assert [f.tolist() for f in ql.found_in(iter(texts))] == [plain_features(t) for t in texts]
+        # One text at a time before, and a look-up for each of its tokens.
+        assert len(groups) <= calls
+    assert list(ql.found_in([])) == []
+
+
+def test_kinds_of_characters_are_those_of_regular_expressions():
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.array([ql._kind(c) for c in every])
+    for pattern, kind in ((r"\s", 0), (r"\w", 1)):
+        at = np.zeros(len(every), dtype=bool)
+        at[[m.start() for m in re.finditer(pattern, every)]] = True
+        assert ((kinds == kind) == at).all()
+
+
+def test_repeated_words_of_any_vocabulary(monkeypatch):
+    draw = random.Random(9)
+    texts = [" ".join(f"w{draw.randrange(n)}" for _ in range(draw.randrange(60))) for n in (1, 2, 3, 6, 20) for _ in range(20)]
+    for widest in (ql.WIDEST, 1):
+        monkeypatch.setattr(ql, "WIDEST", widest)
+        assert [ql.base_counts(t) for t in texts] == [plain(t) for t in texts]
