@@ -206,10 +206,9 @@ def _feature_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         seen = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen]), pa.array(trusted[seen])], names=["bucket", "n", "t"])
 
-    counts = rows.select(column, "good").mapInArrow(lambda b: released(count(b)), "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
+    counts = rows.select(column, "good").mapInArrow(lambda b: released(count(b)), "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
     raw, trusted = np.zeros(BUCKETS, dtype="f8"), np.zeros(BUCKETS, dtype="f8")
-    for r in counts:
-        raw[r["bucket"]], trusted[r["bucket"]] = r["n"], r["t"]
+    raw[counts["bucket"].to_numpy()], trusted[counts["bucket"].to_numpy()] = counts["n"].to_numpy(), counts["t"].to_numpy()
     return trusted, raw
 
 

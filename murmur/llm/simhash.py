@@ -239,13 +239,15 @@ def components(edges: DataFrame) -> DataFrame:
     def with_least(links: DataFrame, low: DataFrame) -> DataFrame:
         """Each link with the least neighbour of its u; the links of a busy node are dealt to ``SALTS`` parts."""
         salted = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-        return salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"])
+        # Merged in place: a broadcast of a few rows takes whole pages of the driver's heap, twice a round.
+        return salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), ["u", "salt"])
 
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = print_of(now)
     while before[0]:
         both = now.union(now.select("v", "u"))
-        large = with_least(both, both.groupBy("u").agg(F.min("v").alias("m"))).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        # Cut here, because what follows reads it three times and the driver plans every reading.
+        large = checkpointed(with_least(both, both.groupBy("u").agg(F.min("v").alias("m"))).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
         # Links now lead from larger to smaller nodes.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = with_least(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()

@@ -200,3 +200,23 @@ def test_a_pair_is_made_under_few_of_its_keys(spark, monkeypatch):
     assert {frozenset(d for d in of if of[d] == r) for r in set(of.values())} == {frozenset(d for d in root if root[d] == r) for r in set(root.values())}
     # 5 families of 66 pairs; each pair was made under dozens of keys before.
     assert made.value <= 2 * 5 * 66
+
+
+def test_few_bucket_counts_reach_the_driver(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * k) % 97}" for k in range(1, 60)) for i in range(120)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    wanted = {}
+    for t in texts:
+        for bucket in (jaccard.shingle_set(t) % np.uint64(jaccard.BUCKETS)).tolist():
+            wanted[bucket] = wanted.get(bucket, 0) + 1
+    plans = []
+    for name in ("collect", "toArrow"):
+        whole = getattr(type(df), name)
+        monkeypatch.setattr(type(df), name, lambda self, whole=whole: plans.append(self._jdf.queryExecution().executedPlan().toString()) or whole(self))
+    every = dict(zip(*(a.tolist() for a in jaccard._bucket_counts(df)), strict=True))
+    assert every == wanted and len(wanted) > 500
+    monkeypatch.setattr(jaccard, "FULLEST", 400)
+    some = dict(zip(*(a.tolist() for a in jaccard._bucket_counts(df)), strict=True))
+    assert len(some) <= 420 and some == {b: n for b, n in wanted.items() if n > min([*wanted.values()] if not some else [max(n for b, n in wanted.items() if b not in some)])}
+    # Each task sent as many rows as the driver keeps of all before.
+    assert plans and not any("TakeOrdered" in plan for plan in plans)
