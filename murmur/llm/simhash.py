@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm.common import fresh, query, row_key, table
-from murmur.session import checkpointed
+from murmur.session import checkpointed, written
 
 #: Seed of the shingle hash, rows of a block, rows of a batch, planes between two looks at the radius.
 SEED, BLOCK, BATCH, LOOK = 42, 2048, 1 << 16, 16
@@ -234,7 +234,8 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star contraction: every round moves links towards smaller
     nodes, with sums of the links telling when nothing changes any more.
     """
-    now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    # Written, since a checkpoint keeps estimated sizes, which joins multiply round by round, and a table has its own.
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
 
     def with_least(links: DataFrame, low: DataFrame) -> DataFrame:
         """Each link with the least neighbour of its u; the links of a busy node are dealt to ``SALTS`` parts."""
@@ -251,7 +252,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Links now lead from larger to smaller nodes.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = with_least(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        now = checkpointed(small)
+        now = written(small)
         after = print_of(now)
         if after == before:
             break

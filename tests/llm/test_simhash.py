@@ -104,6 +104,14 @@ def test_long_chains_become_one_component(spark):
     assert len(found) == 399 and {r["root"] for r in found} == {name(0)}
 
 
+def test_estimated_sizes_do_not_grow_with_the_rounds(spark):
+    name = lambda i: i.to_bytes(4, "big")
+    edges = spark.createDataFrame([(name(k * 37 % 101), name((k + 1) * 37 % 101)) for k in range(100)], "u binary, v binary")
+    found = sm.components(edges)
+    # Hundreds of thousands of bits before, in the driver's heap.
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64 and found.count() == 100
+
+
 def test_near_copies_leave_one_document(spark):
     draw = random.Random(5)
     word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
