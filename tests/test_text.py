@@ -196,3 +196,50 @@ def test_groups_are_decided_alike_in_a_task_and_in_rounds(spark):
     for whole in (1000, 10):
         got = nd.greedy_leaders(nodes, whole=whole).collect()
         assert {r.node: r.leader for r in got} == {**want, None: None} and len(got) == len(rows) + 1
+
+
+def _signed(value):
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _chain(draw, length):
+    """Fingerprints of which each is three bits from the next."""
+    value, out = draw.getrandbits(64), []
+    for _ in range(length):
+        out.append(value)
+        value ^= sum(1 << b for b in draw.sample(range(64), 3))
+    return list(dict.fromkeys(out))
+
+
+def test_estimated_sizes_do_not_grow_with_the_rounds(spark):
+    # One group that needs several rounds, whether a task or rounds decide it.
+    rows = [(i * 37 % 101, _signed(v)) for i, v in enumerate(_chain(random.Random(4), 100))]
+    for whole in (1000, 10):
+        found = nd.greedy_leaders(spark.createDataFrame(rows, "node long, fp long"), whole=whole)
+        # Hundreds of bits before, more with every round, in the driver's heap.
+        assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
+        assert {r.node: r.leader for r in found.collect()} == _greedy(rows)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rows = [(i, _signed(v)) for i, v in enumerate(_chain(random.Random(8), 300))]
+    tables, whole = [], nd.written
+    monkeypatch.setattr(nd, "written", lambda df: tables.append(df) or whole(df))
+    assert {r.node: r.leader for r in nd.greedy_leaders(spark.createDataFrame(rows, "node long, fp long")).collect()} == _greedy(rows)
+    assert len(tables) < 40
+
+
+def test_a_key_of_many_rows_is_dealt_and_no_pair_comes_twice(spark):
+    draw = random.Random(12)
+    centre = draw.getrandbits(64)
+    prints = sorted({centre ^ sum(1 << b for b in draw.sample(range(12), draw.randrange(5))) for _ in range(400)})
+    # Equal nodes follow their fingerprints.
+    rows = sorted((draw.randrange(150), _signed(p)) for p in prints)
+    nodes = spark.createDataFrame(draw.sample(rows, len(rows)), "node long, fp long")
+    wanted = sorted((n, p, q) for i, (n, p) in enumerate(rows) for _, q in rows[i + 1 :] if ((p ^ q) & (1 << 64) - 1).bit_count() <= 3)
+    for block in (2048, 16):
+        assert sorted(map(tuple, nd._pairs(nodes, 3, block).collect())) == wanted
+    place = [(i, p) for i, (_, p) in enumerate(rows)]
+    led = _greedy(place)
+    found = {r.fp: (r.leader, r.leader_fp) for r in nd.greedy_leaders(nodes, block=16).collect()}
+    assert found == {p: rows[led[i]] for i, p in place}
